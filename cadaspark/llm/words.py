@@ -19,10 +19,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` in order, and each text's first index.
+def coded_words(texts: list[str], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: distinct words, each place's word, first places.
 
-    The second array has one entry more than there are texts.  ``lower`` lower-cases A-Z only.
+    The last array has one entry more than there are texts.  ``lower`` lower-cases A-Z only.
     """
     data = [t.encode() for t in texts]
     if lower:
@@ -35,9 +35,15 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     offsets = np.append(0, np.cumsum(ends - begins)).astype(np.int32)
     words = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(joined[ink].tobytes())])
     coded = words.dictionary_encode()
-    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     first = np.searchsorted(begins, np.append(0, np.cumsum(lengths)))
-    return each[coded.indices.to_numpy()] if len(begins) else np.zeros(0, np.uint64), first
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), first
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word in order, A-Z lower-cased, and each text's first index."""
+    distinct, places, first = coded_words(texts, lower=True)
+    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    return each[places] if len(places) else np.zeros(0, np.uint64), first
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -147,4 +147,3 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("codes").cast("string"), digest).alias("feature"))
 
 
-OP4_SQL = None  # samples and transforms have no SQL form

@@ -6,7 +6,7 @@ from functools import partial
 
 import public_tokenizers
 
-from cadaspark.llm import exact_dedup, token_counts, token_files
+from cadaspark.llm import exact_dedup, line_dedup, media, mixing, near_dedup, packing, quality, token_counts, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,9 +15,16 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
         "op2_token_files": partial(token_files.op2, tokenizer=TOKENIZER),
+        "op3_toxicity": toxicity.op3,
+        "op4_media": media.op4,
+        "op5_best_fit_packing": partial(packing.op5, tokenizer=TOKENIZER),
         "op6_token_counts": partial(token_counts.op6, tokenizer=TOKENIZER),
+        "op7_mixing": mixing.op7,
+        "op8_quality": quality.op8,
+        "op9_line_dedup": line_dedup.op9,
+        "op10_near_dedup": near_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

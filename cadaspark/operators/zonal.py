@@ -40,7 +40,7 @@ def parcel_attributes(cells: DataFrame, evidence: DataFrame) -> DataFrame:
     """A row a zone: land cover label, land use.  ``evidence`` has zone, buildings, largest_m2, frontage_m, area_m2."""
     joined = zonal_stats(cells).join(cover_shares(cells), "zone").join(evidence, "zone", "left").fillna(0, ["buildings", "largest_m2", "frontage_m", "area_m2"])
     share = lambda name: F.coalesce(F.element_at("shares", F.lit(name)), F.lit(0.0))
-    green = share("tree") + share("grass / scrub") + share("agriculture")
+    green = F.col("green") / F.col("cells")
     cover = F.col("built") / F.col("cells")
     return joined.select("zone", "cells", cover.alias("cover"), "height_m", "storeys", "percent", cover_label(cover, F.col("shares")).alias("landcover"), land_use(F.col("buildings"), F.col("largest_m2"), cover, F.col("frontage_m"), F.col("height_m"), F.col("area_m2"), share("water"), green).alias("land_use"))
 

@@ -171,7 +171,7 @@ def visit_distance(spark, sf_dir):
 
 
 @query(
-    """select s.id, round(100 * (s.area - ref_area) / ref_area, 1) as area_diff_pct, round(greatest(abs(r.x0 - p.x0), abs(r.x1 - p.x1)), 2) as boundary_offset_m
+    """select s.id, round(100 * (s.area - ref_area) / ref_area, 1) + 0 as area_diff_pct, round(greatest(abs(r.x0 - p.x0), abs(r.x1 - p.x1)), 2) as boundary_offset_m
     from rec_status s join parcels p using (id) join records r on r.ref_id = s.best where s.status = 'MATCH'""",
     **ALL,
 )
@@ -180,4 +180,4 @@ def boundary_offsets(spark, sf_dir):
     good = _status(spark, sf_dir).filter("status = 'MATCH'")
     p, r = x.geoms(x.parcels(spark, sf_dir)).select("id", F.col("geom").alias("ga")), x.geoms(x.records(spark, sf_dir)).select("ref_id", F.col("geom").alias("gb"))
     both = good.join(p, "id").join(r, "ref_id")
-    return both.select("id", F.round(100 * (F.col("area") - F.col("ref_area")) / F.col("ref_area"), 1).alias("area_diff_pct"), F.round(boundary_offset("ga", "gb"), 2).alias("boundary_offset_m"))
+    return both.select("id", (F.round(100 * (F.col("area") - F.col("ref_area")) / F.col("ref_area"), 1) + F.lit(0.0)).alias("area_diff_pct"), F.round(boundary_offset("ga", "gb"), 2).alias("boundary_offset_m"))

@@ -16,9 +16,9 @@ STATS = """select zone, count(*) as cells, count(*) filter (where class = 8) as
     quantile_cont(height_m, 0.5) filter (where class = 8) as height_m from pixels group by zone"""
 
 
-@query("select zone, cells, built, green, round(certainty, 4) as certainty from zstats", zstats=STATS)
+@query("select zone, cells, built, green, round(certainty, 6) as certainty from zstats", zstats=STATS)
 def zonal_stats(spark, sf_dir):
-    return z.zonal_stats(x.pixels(spark, sf_dir)).select("zone", "cells", "built", "green", F.round("certainty", 4).alias("certainty"))
+    return z.zonal_stats(x.pixels(spark, sf_dir)).select("zone", "cells", "built", "green", F.round("certainty", 6).alias("certainty"))
 
 
 @query("select zone, round(height_m, 3) as height_m, case when height_m > 1.5 then greatest(1, round(height_m / 3)::int) end as storeys from zstats where height_m is not null", zstats=STATS)
@@ -84,9 +84,9 @@ def parcel_confidence(spark, sf_dir):
 APP = "select zone, ['open', 'vegetation', 'road', 'road', 'vegetation', 'water', 'vegetation', 'building'][class] as app_class, sum(prob) as s from pixels group by all"
 
 
-@query("select zone, app_class, round(case when t > 0 then s / t else 0 end, 4) as p from (select *, sum(s) over (partition by zone) as t from app)", app=APP)
+@query("select zone, app_class, round(case when t > 0 then s / t else 0 end, 8) as p from (select *, sum(s) over (partition by zone) as t from app)", app=APP)
 def class_remap(spark, sf_dir):
-    return z.remapped(x.pixels(spark, sf_dir)).select("zone", "app_class", F.round("p", 4).alias("p"))
+    return z.remapped(x.pixels(spark, sf_dir)).select("zone", "app_class", F.round("p", 8).alias("p"))
 
 
 @query("select l_partkey as cell, round(sum((1 + l_linenumber) * l_discount) / sum(1 + l_linenumber), 5) as score from lineitem group by 1")

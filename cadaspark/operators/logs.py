@@ -52,7 +52,7 @@ def latest_status(visits: DataFrame) -> DataFrame:
 
 def version_rank(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``age``: 1 for a key's newest version."""
-    return versions.withColumn("age", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order])))
+    return versions.withColumn("age", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order])).cast("bigint"))
 
 
 def last_versions(versions: DataFrame, key: str, order: list[str], kept: int = KEPT_VERSIONS) -> DataFrame:

@@ -15,7 +15,7 @@ def certainty() -> Column:
 def ranked(df: DataFrame, *order: Column, n: int) -> DataFrame:
     """The first ``n`` rows in an order, with ``rank``; the window sees those rows alone."""
     top = df.orderBy(*order).limit(n)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
 
 def review_queue(parcels: DataFrame, status: str | None = None, n: int = 200) -> DataFrame:
@@ -48,4 +48,4 @@ def priority(landlocked: DataFrame, unrecorded: DataFrame, everything: DataFrame
 
 
 def top_per_group(df: DataFrame, group: str, *order: Column, n: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("bigint")).filter(F.col("rank") <= n)

@@ -200,8 +200,8 @@ SQL = {
     "edits": "select event_id as edit_id, ts as t, concat_ws(' ', event_type, props) as action, user_id as parcels from events",
     "pixels": "select l_partkey as zone, 1 + l_linenumber % 8 as class, l_discount * 10 as prob, l_quantity / 2 as height_m from lineitem",
     "grid": """select (p_partkey % 50)::int as x, (p_partkey // 50)::int as y, p_size % 5 as label, p_size > 10 as mask, p_size::double as value from part""",
-    "instances": """select (y // 400)::int as tile, x, y, case when p_size > 8 then x // 5 * 100 + y // 4 % 100 + 1 else 0 end as truth,
-        case when p_size > 12 then (x + p_size % 2) // 5 * 100 + y // 4 % 100 + 1 else 0 end as pred
+    "instances": """select (y // 400)::int as tile, x, y, (case when p_size > 8 then x // 5 * 100 + y // 4 % 100 + 1 else 0 end)::bigint as truth,
+        (case when p_size > 12 then (x + p_size % 2) // 5 * 100 + y // 4 % 100 + 1 else 0 end)::bigint as pred
         from (select *, (p_partkey % 50)::int as x, (p_partkey // 50)::int as y from part)""",
 }
 
@@ -213,13 +213,14 @@ def sql(text: str, **own: str) -> str:
     """
     views = SQL | own
     names: list[str] = []
+    begun: set[str] = set()
 
     def need(body: str) -> None:
         for name in views:
-            if name not in names and re.search(rf"\b{name}\b", body):
+            if name not in begun and re.search(rf"\b{name}\b", body):
+                begun.add(name)
                 need(views[name])
-                if name not in names:
-                    names.append(name)
+                names.append(name)
 
     need(text)
     return "with " + ",\n".join(f"{n} as ({views[n]})" for n in names) + "\n" + text.strip() if names else text.strip()

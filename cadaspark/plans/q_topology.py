@@ -87,7 +87,7 @@ TILES = """select p_partkey as id, (p_partkey % 50)::int as i, (p_partkey // 50)
 
 
 @query(
-    """select i * 5 as x, j * 5 as y, 400.0 as area_m2 from tiles t where p_size % 7 = 0 and (select count(*) from tiles u where u.p_size % 7 <> 0
+    """select (i * 5)::bigint as x, (j * 5)::bigint as y, 400.0::double as area_m2 from tiles t where p_size % 7 = 0 and (select count(*) from tiles u where u.p_size % 7 <> 0
     and abs(t.i - u.i) + abs(t.j - u.j) = 1) = 4""",
     tiles=TILES,
 )

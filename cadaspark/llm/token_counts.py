@@ -27,7 +27,7 @@ from cadaspark.llm.common import clear_text, groups
 
 LIMIT = 1024
 #: Transitions and words that a worker keeps at most; beyond it the memory is emptied and refilled.
-KEPT = 1_000_000
+KEPT, KEPT_WORDS = 700_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,7 +54,7 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: list[tuple] = [(b"", ((-1, 0),))]
         self.numbers = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.steps: dict[int, int] = {}  # state << 8 | byte -> next state << 10 | added + 512
         self.words: dict[bytes, int] = {s.encode(): 1 for s in self.special}
 
     def encode(self, word: bytes) -> list[bytes]:
@@ -77,8 +77,8 @@ class Transducer:
             known = self.pairs[left, right] = self.encode(b"".join(own)) == own
         return known
 
-    def compile(self, number: int, byte: int) -> tuple[int, int]:
-        """The transition of a state on a byte: (next state, tokens added)."""
+    def compile(self, number: int, byte: int) -> int:
+        """The transition of a state on a byte, as ``steps`` keeps it."""
         suffix, cuts = self.states[number]
         grown = suffix + bytes((byte,))
         while grown not in self.prefixes:
@@ -96,8 +96,8 @@ class Transducer:
         to = self.numbers.setdefault(state, len(self.states))
         if to == len(self.states):
             self.states.append(state)
-        self.steps[number << 8 | byte] = (to, added)
-        return to, added
+        self.steps[number << 8 | byte] = step = to << 10 | added + 512
+        return step
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token."""
@@ -106,13 +106,15 @@ class Transducer:
             if len(self.steps) > KEPT:
                 self.states, self.steps = self.states[:1], {}
                 self.numbers = {self.states[0]: 0}
-            if len(self.words) > KEPT:
+            if len(self.words) > KEPT_WORDS:
                 self.words = {s.encode(): 1 for s in self.special}
             state, known, steps = 0, 0, self.steps
             for byte in word:
                 step = steps.get(state << 8 | byte)
-                state, added = step if step is not None else self.compile(state, byte)
-                known += added
+                if step is None:
+                    step = self.compile(state, byte)
+                state = step >> 10
+                known += (step & 1023) - 512
             if len(word) <= 64:
                 self.words[word] = known
         return known

@@ -36,7 +36,7 @@ SEQUENCE = 1024
 BATCH_ROWS = 1024
 END_ID = 0
 #: Pre-tokens that a worker remembers at most.
-KEPT = 1_200_000
+KEPT = 800_000
 
 
 class Encoder:

@@ -40,7 +40,8 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarray])
         yield pd.DataFrame({"weights": [np.asarray(weights, np.float32).tobytes()]})
 
     model = stored(rows.repartition(1).mapInPandas(run, "weights binary"), "model")
-    return np.frombuffer(model.first()["weights"], np.float32)
+    row = model.first()
+    return fit([], np.zeros(0, np.int64)).astype(np.float32) if row is None else np.frombuffer(row["weights"], np.float32)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, score: Callable[[list[str], np.ndarray], np.ndarray], modulus: int, held: int) -> DataFrame:

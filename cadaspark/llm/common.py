@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Characters that count as white space in texts: ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes that a task handles at once (a longer text makes a group of its own).
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import clear_text, documents
+from cadaspark.llm.common import clear_text, documents, stored
 from cadaspark.llm.token_counts import token_counts
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -107,9 +107,14 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
 
 
 def packed_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Documents packed by their tokens and one end token each."""
+    """Documents packed by their tokens and one end token each.
+
+    The sizes are written between counting and packing, so that a task has one Python worker at a
+    time and only as many workers as cores hold a tokenizer's tables.
+    """
     counted = token_counts(docs.select("doc_id", clear_text().alias("text")), tokenizer)
-    return best_fit(counted.select("doc_id", (F.col("n_tokens") + 1).alias("size")), "size")
+    sizes = stored(counted.select("doc_id", (F.col("n_tokens") + 1).alias("size")), "sizes")
+    return best_fit(sizes, "size")
 
 
 def op5(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:

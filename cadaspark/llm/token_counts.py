@@ -27,7 +27,7 @@ from cadaspark.llm.common import clear_text, groups
 
 LIMIT = 1024
 #: Transitions and words that a worker keeps at most; beyond it the memory is emptied and refilled.
-KEPT, KEPT_WORDS = 700_000, 300_000
+KEPT, KEPT_WORDS = 600_000, 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,6 +37,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(token: int, count: int) -> int:
+    """A cut of a state: the last token before it (-1: none) and its count relative to the end."""
+    return token + 1 << 12 | count + 2048
+
+
 class Transducer:
     """Counts the BPE tokens of a byte string; ``start`` is the initial state."""
 
@@ -52,7 +57,7 @@ class Transducer:
         self.rank = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(pairs)}
         self.prefixes = {t[:k] for t in self.ids for k in range(len(t) + 1)}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: list[tuple] = [(b"", ((-1, 0),))]
+        self.states: list[tuple] = [(b"", (packed(-1, 0),))]
         self.numbers = {self.states[0]: 0}
         self.steps: dict[int, int] = {}  # state << 8 | byte -> next state << 10 | added + 512
         self.words: dict[bytes, int] = {s.encode(): 1 for s in self.special}
@@ -86,13 +91,13 @@ class Transducer:
         for k in range(len(grown)):
             token = self.ids.get(grown[k:])
             size = len(grown) - k
-            if token is not None and size <= len(cuts) and self.valid(cuts[-size][0], token):
+            if token is not None and size <= len(cuts) and self.valid((cuts[-size] >> 12) - 1, token):
                 break
         else:
             raise ValueError("the vocabulary has no token for a byte")
-        added = cuts[-size][1] + 1
-        kept = (*cuts, (token, added))[-len(grown) - 1 :]
-        state = (grown, tuple((t, c - added) for t, c in kept))
+        added = (cuts[-size] & 4095) - 2048 + 1
+        kept = (*cuts, packed(token, added))[-len(grown) - 1 :]
+        state = (grown, tuple(c - added for c in kept))
         to = self.numbers.setdefault(state, len(self.states))
         if to == len(self.states):
             self.states.append(state)
@@ -104,7 +109,7 @@ class Transducer:
         known = self.words.get(word)
         if known is None:
             if len(self.steps) > KEPT:
-                self.states, self.steps = self.states[:1], {}
+                self.states, self.steps, self.pairs = self.states[:1], {}, {}
                 self.numbers = {self.states[0]: 0}
             if len(self.words) > KEPT_WORDS:
                 self.words = {s.encode(): 1 for s in self.special}

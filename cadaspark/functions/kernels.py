@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +38,30 @@ def as_rings(geom) -> list[np.ndarray]:
     out = []
     for polygon in geom if geom is not None else ():
         for k, ring in enumerate(polygon):
-            r = ring_array(ring)
+            r = ring if isinstance(ring, np.ndarray) and ring.ndim == 2 else ring_array(ring)
             if len(r) >= 3:
                 out.append(r if (ring_area(r) > 0) == (k == 0) else r[::-1])
     return out
 
 
+def unpacked(column: pa.Array) -> list[list[list[np.ndarray]] | None]:
+    """Polygons of rings (n, 2) of every geometry of an Arrow column, cut from its flat vertices."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    polygons = column.flatten()
+    rings = polygons.flatten()
+    vertices = rings.flatten()
+    xy = np.column_stack([vertices.field(0).to_numpy(zero_copy_only=False), vertices.field(1).to_numpy(zero_copy_only=False)]) if len(vertices) else np.zeros((0, 2))
+    cuts = [np.append(0, np.cumsum([0 if n is None else n for n in pc.list_value_length(a).to_pylist()])).tolist() for a in (column, polygons, rings)]
+
+    def open_ring(a: int, b: int) -> np.ndarray:
+        r = xy[a:b]
+        return r[:-1] if b - a > 1 and (r[0] == r[-1]).all() else r
+
+    ring = [open_ring(a, b) for a, b in zip(cuts[2], cuts[2][1:], strict=False)]
+    polygon = [ring[a:b] for a, b in zip(cuts[1], cuts[1][1:], strict=False)]
+    return [polygon[a:b] if ok else None for a, b, ok in zip(cuts[0], cuts[0][1:], column.is_valid().to_pylist(), strict=False)]
+
+
 def fan(rings: list[np.ndarray], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anticlockwise triangles from the origin: both far corners and a sign."""
     p = np.concatenate([r for r in rings]) - origin
@@ -206,16 +226,16 @@ def plain(rings: list[list[np.ndarray]]) -> list:
     return [[[{"x": float(x), "y": float(y)} for x, y in r] for r in polygon] for polygon in rings]
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+@F.arrow_udf(T.DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([overlap(x, y) for x, y in zip(unpacked(a), unpacked(b), strict=True)], pa.float64())
 
 
-@F.pandas_udf(T.BooleanType())
-def is_valid(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def is_valid(geom: pa.Array) -> pa.Array:
     """Whether every ring has three corners or more, an area, and no crossing edges."""
     ok = lambda r: len(r) >= 3 and ring_area(r) != 0 and crossings(r) is None
-    return pd.Series([g is not None and len(g) > 0 and all(ok(ring_array(r)) for p in g for r in p) for g in geom])
+    return pa.array([g is not None and len(g) > 0 and all(ok(r) for p in g for r in p) for g in unpacked(geom)], pa.bool_())
 
 
 @F.pandas_udf(GEOMETRY_TYPE)
@@ -267,9 +287,9 @@ def solidity(geom: pd.Series) -> pd.Series:
     return pd.Series([sum(map(ring_area, r)) / ring_area(hull(np.concatenate(r))) if r else None for r in rings], dtype=float)
 
 
-@F.pandas_udf(T.DoubleType())
-def boundary_offset(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([hausdorff(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+@F.arrow_udf(T.DoubleType())
+def boundary_offset(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([hausdorff(x, y) for x, y in zip(unpacked(a), unpacked(b), strict=True)], pa.float64())
 
 
 @F.pandas_udf(LINE_TYPE)

@@ -108,7 +108,7 @@ def corners(layer: DataFrame) -> DataFrame:
 
 def vertex_errors(points: DataFrame, layer: DataFrame) -> DataFrame:
     """point_id, type, error_m: distance to the nearest vertex of the layer."""
-    found = nearest(points, "point_id", corners(layer).select(F.col("id").alias("tie"), "x", "y"), 1, "tie")
+    found = nearest(points, "point_id", corners(layer).select(F.col("id").alias("tie"), "x", "y"), 1, "tie", cell=10.0)
     return found.select(F.col("a_point_id").alias("point_id"), F.col("a_type").alias("type"), F.col("distance").alias("error_m"))
 
 

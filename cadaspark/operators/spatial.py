@@ -86,8 +86,13 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, k: int, tie: str, c
         a = named(todo, "a_").withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
         a = a.withColumn("cx", F.floor(F.col("a_x") / cell) + F.col("dx")).withColumn("cy", F.floor(F.col("a_y") / cell) + F.col("dy")).drop("dx", "dy")
         pairs = a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))
-        order = W.partitionBy(f"a_{key}").orderBy("distance", f"b_{tie}")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if k == 1:  # an aggregate combines before the shuffle
+            own, rest = [c for c in pairs.columns if c.startswith("a_")], [c for c in pairs.columns if not c.startswith("a_")]
+            best = pairs.groupBy(*own).agg(F.min_by(F.struct(*rest), F.struct("distance", f"b_{tie}")).alias("best"))
+            ranked = best.select(*own, "best.*", F.lit(1).alias("rank"))
+        else:
+            order = W.partitionBy(f"a_{key}").orderBy("distance", f"b_{tie}")
+            ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         last = width * cell >= most
         if not last:
             full = ranked.filter((F.col("rank") == k) & (F.col("distance") <= width * cell)).select(F.col(f"a_{key}").alias(key))

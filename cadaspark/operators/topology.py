@@ -33,7 +33,8 @@ def looked_up(table: dict[str, str], key: Column) -> Column:
 
 def measured(parcels: DataFrame) -> DataFrame:
     """Adds ``valid``; ``geom`` becomes valid; adds ``area``, ``perimeter``, ``thinness`` and the box."""
-    out = parcels.withColumn("valid", is_valid("geom")).withColumn("geom", F.when(F.col("valid"), F.col("geom")).otherwise(make_valid("geom")))
+    checked = written(parcels.withColumn("valid", is_valid("geom")), "checked")
+    out = checked.filter("valid").unionByName(checked.filter("not valid").withColumn("geom", make_valid("geom")))  # only these need the repair
     out = out.withColumn("area", g.area(F.col("geom"))).withColumn("perimeter", g.perimeter(F.col("geom"))).withColumn("thinness", g.thinness(F.col("geom")))
     return with_bounds(out)
 

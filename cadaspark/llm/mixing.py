@@ -111,7 +111,7 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
 
 def mixture(df: DataFrame, source: str = "source", weights: DataFrame | None = None) -> DataFrame:
     """The rows of ``df``, with its columns, in the mixture's order."""
-    out = stored(mixed(df, source, weights), "mixture").repartitionByRange("__slot").sortWithinPartitions("__slot", "__place")
+    out = mixed(df, source, weights).repartitionByRange("__slot").sortWithinPartitions("__slot", "__place")
     return out.select(*df.columns)
 
 

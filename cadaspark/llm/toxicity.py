@@ -52,17 +52,16 @@ class NGrams:
 def fit(texts: list[str], label: np.ndarray) -> np.ndarray:
     """Weights (ratio times weight) and, last, the intercept."""
     grams = NGrams()
-    rows = [grams.of(t) for t in texts]
     counts = np.zeros((2, DIM), np.float32)
-    for r, y in zip(rows, label, strict=True):
-        counts[y, r] += 1
+    for t, y in zip(texts, label, strict=True):
+        counts[y, grams.of(t)] += 1
     n = np.bincount(label, minlength=2).astype(np.float32)
     if not n.all():
         return np.append(np.zeros(DIM, np.float32), 4.0 if n[1] else -4.0)
     share = [(counts[k] + SMOOTH) / (n[k] + 2 * SMOOTH) for k in (0, 1)]
     ratio = np.log(share[1] / share[0])
     ratio[counts.sum(axis=0) < LEAST_DOCS] = 0
-    rows = [r[ratio[r] != 0] for r in rows]
+    rows = [r[ratio[r] != 0] for r in map(grams.of, texts)]  # only features that count are held
     weight, square = np.zeros(DIM, np.float32), np.full(DIM, 1.0, np.float32)
     bias, bias_square = 0.0, 1.0
     order = np.random.default_rng(7)

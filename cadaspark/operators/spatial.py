@@ -52,7 +52,9 @@ def overlay(left: DataFrame, right: DataFrame, cell: float = CELL, exact: bool =
     if exact:
         from cadaspark.functions.kernels import overlap_area
 
-        pairs = pairs.withColumn("inter", overlap_area("a_geom", "b_geom"))
+        # the kernel is the costly part: pairs are few bytes but much work, so they are not coalesced by size
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
+        pairs = pairs.repartition(tasks).withColumn("inter", overlap_area("a_geom", "b_geom"))
     else:
         pairs = pairs.withColumn("inter", box_overlap("a_", "b_")).withColumn("a_area", box_area("a_")).withColumn("b_area", box_area("b_"))
     return pairs.filter("inter > 0").withColumn("iou", F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")))

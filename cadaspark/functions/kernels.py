@@ -62,35 +62,64 @@ def unpacked(column: pa.Array) -> list[list[list[np.ndarray]] | None]:
     return [polygon[a:b] if ok else None for a, b, ok in zip(cuts[0], cuts[0][1:], column.is_valid().to_pylist(), strict=False)]
 
 
-def fan(rings: list[np.ndarray], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anticlockwise triangles from the origin: both far corners and a sign."""
-    p = np.concatenate([r for r in rings]) - origin
-    q = np.concatenate([np.roll(r, -1, axis=0) for r in rings]) - origin
+def fans(geoms: list, origins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anticlockwise triangles from each geometry's origin: both far corners, a sign, the geometry's place."""
+    rings, owner, outer = [], [], []
+    for i, geom in enumerate(geoms):
+        for polygon in geom if geom is not None else ():
+            for k, ring in enumerate(polygon):
+                r = ring if isinstance(ring, np.ndarray) and ring.ndim == 2 else ring_array(ring)
+                if len(r) >= 3:
+                    rings.append(r)
+                    owner.append(i)
+                    outer.append(1.0 if k == 0 else -1.0)
+    if not rings:
+        return np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0), np.zeros(0, np.int64)
+    n = np.fromiter(map(len, rings), np.int64, len(rings))
+    first, ring = np.cumsum(n) - n, np.repeat(np.arange(len(rings)), n)
+    following = np.arange(len(ring)) + 1
+    following[first + n - 1] = first
+    place = np.array(owner)[ring]
+    p = np.concatenate(rings) - origins[place]
+    q = p[following]
     c = cross(p, q)
-    p, q = np.where((c < 0)[:, None], q, p), np.where((c < 0)[:, None], p, q)
+    sign = np.sign(c) * (np.sign(np.add.reduceat(c, first)) * np.array(outer))[ring]
+    flip = (c < 0)[:, None]
+    p, q = np.where(flip, q, p), np.where(flip, p, q)
     some = np.abs(c) > 1e-12
-    return p[some], q[some], np.sign(c[some])
-
-
-def overlap(a, b) -> float:
-    """Overlap area of two geometries."""
-    ra, rb = as_rings(a), as_rings(b)
-    if not ra or not rb:
-        return 0.0
-    origin = ra[0][0] - np.array([0.37, 0.41])
-    p, q, s = fan(ra, origin)
-    e, f, t = fan(rb, origin)
-    p, q, s, e, f, t = p[:, None], q[:, None], s[:, None], e[None], f[None], t[None]
-    p, e = np.broadcast_arrays(p, e)
-    q, f = np.broadcast_arrays(q, f)
+    return p[some], q[some], sign[some], place[some]
+
+
+def overlaps(left: list, right: list, most: int = 1_000_000) -> np.ndarray:
+    """Overlap areas of pairs of geometries; at most about ``most`` pairs of triangles at a time."""
+    out = np.zeros(len(left))
+    origins = np.array([next((np.asarray(r[0], float) if isinstance(r, np.ndarray) else ring_array(r)[0] for p in g for r in p if len(r)), np.zeros(2)) if g is not None else np.zeros(2) for g in left]).reshape(-1, 2) - np.array([0.37, 0.41])
+    p, q, s, own = fans(left, origins)
+    e, f, t, other = fans(right, origins)
+    count = np.bincount(other, minlength=len(left))
+    start = np.cumsum(count) - count
+    todo = np.cumsum(count[own]) if len(own) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(own):
+        end = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + most, "right")))
+        k = np.arange(at, end)
+        times = count[own[k]]
+        i = np.repeat(k, times)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + start[own[i]]
+        size, ok = wedge_overlap(p[i], q[i], e[j], f[j])
+        i, j = i[ok], j[ok]
+        out += np.bincount(own[i], weights=s[i] * t[j] * size, minlength=len(left))
+        at = end
+    return np.maximum(out, 0.0)
+
+
+def wedge_overlap(p: np.ndarray, q: np.ndarray, e: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap of triangles (0, p, q) and (0, e, f) where their angles meet, and the mask of those."""
     inside = lambda v, a, b: (cross(a, v) >= 0) & (cross(v, b) >= 0)
-    u = np.where(inside(p, e, f)[..., None], p, e)
-    v = np.where(inside(q, e, f)[..., None], q, f)
-    ok = (inside(p, e, f) | inside(e, p, q)) & (inside(q, e, f) | inside(f, p, q)) & (cross(u, v) > 0)
-    if not ok.any():
-        return 0.0
+    pe, qe = inside(p, e, f), inside(q, e, f)
+    u, v = np.where(pe[:, None], p, e), np.where(qe[:, None], q, f)
+    ok = (pe | inside(e, p, q)) & (qe | inside(f, p, q)) & (cross(u, v) > 0)
     p, q, e, f, u, v = p[ok], q[ok], e[ok], f[ok], u[ok], v[ok]
-    sign = np.broadcast_to(s * t, ok.shape)[ok]
     reach = lambda ray, a, b: cross(a, b - a) / cross(ray, b - a)
     with np.errstate(divide="ignore", invalid="ignore"):
         u1, u2, v1, v2 = reach(u, p, q), reach(u, e, f), reach(v, p, q), reach(v, e, f)
@@ -98,8 +127,12 @@ def overlap(a, b) -> float:
         d1, d2 = q - p, f - e
         meet = p + (cross(e - p, d2) / cross(d1, d2))[:, None] * d1
         bent = (cross(pu, meet) + cross(meet, pv)) / 2
-    size = np.where((u1 <= u2) == (v1 <= v2), cross(pu, pv) / 2, bent)
-    return max(0.0, float((sign * np.nan_to_num(size)).sum()))
+    return np.nan_to_num(np.where((u1 <= u2) == (v1 <= v2), cross(pu, pv) / 2, bent)), ok
+
+
+def overlap(a, b) -> float:
+    """Overlap area of two geometries."""
+    return float(overlaps([a], [b])[0])
 
 
 def crossings(r: np.ndarray) -> tuple[int, int, np.ndarray] | None:
@@ -228,7 +261,7 @@ def plain(rings: list[list[np.ndarray]]) -> list:
 
 @F.arrow_udf(T.DoubleType())
 def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([overlap(x, y) for x, y in zip(unpacked(a), unpacked(b), strict=True)], pa.float64())
+    return pa.array(overlaps(unpacked(a), unpacked(b)), pa.float64())
 
 
 @F.arrow_udf(T.BooleanType())

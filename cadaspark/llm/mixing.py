@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's documents are dealt into blocks.  With weights as whole numbers of slots in a period
-(``c`` of ``period``), block i of a source is released at slot floor(i * period / c) and due at
-ceil((i + 1) * period / c); in every slot the released block that is due first goes (earliest
-deadline first, ties by source), so no source is ever a whole block ahead of or behind its share.
-When a source has run out, a new phase begins in which the others keep their relative weights, so
-every row appears exactly once.  The schedule is a pure function of the sources' block counts,
-computed by one SQL expression over arrays; its size depends on the number of sources alone.
+Each source's documents are dealt into blocks.  In a fluid mixture all sources flow at rates in
+proportion to their real weights, and when one has run out the others keep their relative weights
+(a new phase).  A block is released in the slot in which the flow reaches it and due when the flow
+has passed it; in every slot the released block that is due first goes (earliest deadline first,
+ties by source).  As the flow is a fractional schedule within the same windows, so no source is ever
+a whole block ahead of or behind its share, over any number of slots, and every row appears exactly
+once.  The schedule is a pure function of the sources' block counts and weights, computed by one SQL
+expression over arrays in steps of ``PERIOD`` slots; nothing is rounded or carried from step to step
+but the sources' blocks so far.
 """
 
 from __future__ import annotations
@@ -17,69 +19,82 @@ from pyspark.sql import functions as F
 
 from cadaspark.llm.common import documents, stored
 
+#: Slots that are scheduled in one step.
 PERIOD = 1000
 BLOCK = 16
 #: Weight of a source where none is given: its number of documents to this power.
 TEMPER = 0.5
 #: Rows that the ranks of a bucket are counted over at once.
 BUCKET = 5000
+#: Rows of the plan (a row a block) that may be broadcast.
+BROADCAST_ROWS = 200_000
 
-#: One row of the sources' arrays ``n`` (blocks, all positive) and ``w`` (weights) to an array of phases.
+#: One row of ``s`` (sources with i, w, n blocks and d blocks done), ``seg`` (the flow's pieces: from slot t on the
+#: virtual time is v + (slot - t) / r, up to slot ``until``) and ``total`` slots, to an array of steps of slots.
 SCHEDULE = """
-aggregate(sequence(1, size(n)),
-  named_struct('left', n, 'at', 0L, 'phases', cast(array() as array<struct<begin:bigint, slots:bigint, c:array<int>, before:array<bigint>, order:array<int>>>)),
-  (s, k) -> if(forall(s.left, x -> x = 0), s, element_at(
-    transform(array(s),
-     s -> element_at(transform(array(
-       -- c: slots of each source in a period; one each, the rest by weight, then by the largest remainders
-       transform(array(aggregate(transform(w, (x, i) -> if(s.left[i] > 0, x, 0d)), 0d, (a, x) -> a + x)),
-         total -> transform(array(transform(w, (x, i) -> if(s.left[i] > 0, x / total * ({period} - size(filter(s.left, y -> y > 0))), 0d))),
-           share -> transform(array({period} - size(filter(s.left, y -> y > 0)) - aggregate(share, 0, (a, x) -> a + cast(floor(x) as int))),
-             spare -> transform(array(slice(array_sort(transform(share, (x, i) -> named_struct('r', floor(x) - x, 'i', i))), 1, spare)),
-               lucky -> transform(share, (x, i) -> if(s.left[i] > 0, 1 + cast(floor(x) as int) + if(exists(lucky, y -> y.i = i), 1, 0), 0)))[0])[0])[0])[0]),
-       c -> element_at(transform(array(
-         -- order: the source of each slot of a period
-         aggregate(sequence(0, {period} - 1), named_struct('done', transform(c, x -> 0), 'order', cast(array() as array<int>)),
-           (e, t) -> transform(array(array_min(transform(c, (x, i) -> if(e.done[i] < x and floor(e.done[i] * {period} / x) <= t, named_struct('due', ceil((e.done[i] + 1) * {period} / x), 'i', i), null))).i),
-             pick -> named_struct('done', transform(e.done, (y, i) -> y + if(i = pick, 1, 0)), 'order', concat(e.order, array(pick))))[0]).order),
-         order -> element_at(transform(array(
-           -- slots until the first source has run out
-           array_min(transform(c, (x, i) -> if(x > 0, {period} * ((s.left[i] - 1) div x) + 1 + element_at(filter(sequence(0, {period} - 1), t -> order[t] = i), cast((s.left[i] - 1) % x as int) + 1), null)))),
-           slots -> named_struct(
-             'left', transform(s.left, (y, i) -> y - (slots div {period}) * c[i] - size(filter(slice(order, 1, cast(slots % {period} as int)), z -> z = i))),
-             'at', s.at + slots,
-             'phases', concat(s.phases, array(named_struct('begin', s.at, 'slots', slots, 'c', c, 'before', transform(n, (y, i) -> y - s.left[i]), 'order', order))))), 1)), 1)), 1)), 1)),
-  s -> s.phases)
+aggregate(sequence(0L, (total - 1) div {step}),
+  named_struct('s', s, 'out', cast(array() as array<array<struct<i:int, block:bigint, phase:int>>>)),
+  (e, k) -> element_at(transform(array(named_struct('a', k * {step}, 'b', least((k + 1) * {step}, total))), q ->
+    element_at(transform(array(filter(seg, x -> x.until > q.a and x.t <= q.b)), near ->
+      element_at(transform(array(named_struct('first', {first}, 'last', {last})), v ->
+        -- blocks due after as many released ones as there are slots cannot go in this step
+        element_at(transform(array(if(size(e.s) <= {step}, null, get(array_sort(transform(filter(e.s, x -> x.d < x.w * v.first * (1 - 1e-12d)), x -> (x.d + 1) / x.w)), {step} - 1))), most ->
+          element_at(transform(array(
+            aggregate(sequence(q.a, q.b - 1),
+              named_struct('c', filter(e.s, x -> x.d < x.w * v.last * (1 + 1e-9d) and (most is null or (x.d + 1) / x.w <= most)), 'order', cast(array() as array<struct<i:int, block:bigint, phase:int>>)),
+              (g, t) -> element_at(transform(array(named_struct('v', {here}, 'phase', element_at(filter(near, x -> x.t <= t), -1).phase)), h ->
+                element_at(transform(array(array_min(transform(g.c, x -> if(x.d < x.n, named_struct('early', x.d >= x.w * h.v * (1 - 1e-12d), 'due', (x.d + 1) / x.w, 'i', x.i, 'd', x.d), null)))), pick ->
+                  named_struct('c', transform(g.c, x -> if(x.i = pick.i, named_struct('i', x.i, 'w', x.w, 'n', x.n, 'd', x.d + 1), x)),
+                    'order', concat(g.order, array(named_struct('i', pick.i, 'block', pick.d, 'phase', h.phase))))), 1)), 1))), g ->
+            named_struct(
+              's', concat(filter(e.s, x -> not (x.d < x.w * v.last * (1 + 1e-9d) and (most is null or (x.d + 1) / x.w <= most))), filter(g.c, x -> x.d < x.n)),
+              'out', concat(e.out, array(g.order)))), 1)), 1)), 1)), 1)), 1),
+  e -> e.out)
 """
+#: Virtual time at the end of a slot, by the last piece of the flow that begins before it.
+AT = "element_at(transform(array(element_at(filter(near, x -> x.t < {end}), -1)), y -> y.v + ({end} - y.t) / y.r), 1)"
 
 
-def schedule(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Slots of all phases: ``source``, ``phase``, ``first`` (block), ``end``, ``c``, ``begin`` (slot) and ``places``.
+def schedule(sources: DataFrame, step: int = PERIOD) -> DataFrame:
+    """A row a block: ``source``, ``block`` (of its source), ``slot`` and ``phase``.
 
-    ``sources`` has ``source``, ``blocks`` and ``weight`` (all positive), at most ``period`` rows.
+    ``sources`` has ``source``, ``blocks`` and ``weight`` (all positive), a row a source.
     """
-    one = sources.agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "weight"))).alias("s"))  # a row a source
-    one = one.select(F.expr("transform(s, x -> x.source)").alias("names"), F.expr("transform(s, x -> x.blocks)").alias("n"), F.expr("transform(s, x -> x.weight)").alias("w"))
-    phases = stored(one.filter(F.size("n") > 0).select("names", "n", F.expr(SCHEDULE.replace("{period}", str(period))).alias("phases")), "mix-phases")
-    rows = phases.select("names", "n", F.posexplode("phases").alias("phase", "p"), F.size("phases").alias("last"), "phases")
-    rows = rows.select("phase", "p", "n", F.expr("if(phase + 1 < last, phases[phase + 1].before, n)").alias("after"), F.posexplode("names").alias("i", "source"))
-    places = F.expr(f"filter(sequence(0, {period} - 1), t -> p.order[t] = i)")
-    rows = rows.select("source", "phase", F.expr("p.before[i]").alias("first"), F.expr("after[i]").alias("end"), F.expr("p.c[i]").alias("c"), F.col("p.begin").alias("begin"), places.alias("places"))
-    return rows.filter("end > first")
-
-
-def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    whole = lambda *order: W.partitionBy(F.lit(0)).orderBy(*order)  # noqa: E731  (a row a source)
+    ends = sources.withColumn("v", F.col("blocks") / F.col("weight")).withColumn("i", F.row_number().over(whole("source")))
+    ends = stored(ends, "mix-sources")
+    after = whole(F.desc("v"), F.desc("i"))
+    ends = ends.withColumn("r", F.coalesce(F.sum("weight").over(after.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    # flow between the end of the source before and this one's
+    flow = (F.col("v") - F.coalesce(F.lag("v").over(whole("v", "i")), F.lit(0.0))) * (F.col("r") + F.col("weight"))
+    pieces = ends.withColumn("flow", flow).withColumn("t", F.sum("flow").over(whole("v", "i").rowsBetween(W.unboundedPreceding, 0))).filter("r > 0").select("t", "v", "r")
+    start = ends.agg(F.lit(0.0).alias("t"), F.lit(0.0).alias("v"), F.sum("weight").alias("r")).filter("r is not null")
+    pieces = start.unionByName(pieces).groupBy("v").agg(F.max("t").alias("t"), F.min("r").alias("r"))  # sources may end together
+    pieces = pieces.withColumn("until", F.lead("t", 1, 1e300).over(whole("v"))).withColumn("phase", F.row_number().over(whole("v")) - 1)
+    seg = pieces.agg(F.array_sort(F.collect_list(F.struct("t", "v", "r", "until", "phase"))).alias("seg"))
+    one = ends.agg(F.array_sort(F.collect_list(F.struct("i", F.col("weight").alias("w"), F.col("blocks").alias("n"), F.lit(0).cast("bigint").alias("d")))).alias("s"), F.sum("blocks").alias("total"))
+    body = SCHEDULE
+    for name, end in (("{first}", "(q.a + 1)"), ("{last}", "q.b"), ("{here}", "(t + 1)")):
+        body = body.replace(name, AT.replace("{end}", end))
+    steps = one.filter("total > 0").crossJoin(seg).select(F.posexplode(F.expr(body.replace("{step}", str(step)))).alias("k", "order"))  # one row each
+    steps = stored(steps, "mix-steps")
+    blocks = steps.select("k", F.posexplode("order").alias("p", "x"))
+    blocks = blocks.select((F.col("k").cast("bigint") * step + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.block").alias("block"), F.col("x.phase").alias("phase"))
+    return blocks.join(ends.select("i", "source"), "i").select("source", "block", "slot", "phase")
+
+
+def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, digest: str | None = None) -> DataFrame:
     """``df`` with ``__slot``, ``__phase``, ``__block`` and ``__place`` (in the block): the mixture's order.
 
     ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
-    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  Weights are
-    rounded to whole slots of a period.  A null source is a source like others, named by an empty
-    key of its own.  Rows of a source follow one another by a hash of the whole row; equal rows are
-    ranked in any order.  Every row appears exactly once; an empty table gives an empty result.
-    Up to ``period`` sources can be mixed; more raise an error.
+    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  ``period`` gives
+    the slots of a step; it does not alter the order, and more sources raise an error.  A null source is a source like
+    others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
+    whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
+    row appears exactly once; an empty table gives an empty result.
     """
     keyed = df.withColumn("__source", F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))))
-    keyed = keyed.withColumn("__hash", F.xxhash64(*df.columns))
+    keyed = keyed.withColumn("__hash", F.col(digest) if digest else F.xxhash64(*df.columns))
     counts = stored(keyed.groupBy("__source").agg(F.count("*").alias("rows")), "mix-counts")
     n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most")).first()
     if n["sources"] > period:
@@ -101,12 +116,10 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
         given = given.join(named, "source", "left").withColumn("weight", F.coalesce("weight", "own"))
     else:
         given = given.withColumn("weight", F.col("own"))
-    plan = schedule(given.select("source", "blocks", "weight"), period).withColumnRenamed("source", "__source")
-    # at most period rows a phase and a phase a source: a size that the check above bounds
-    placed = ranked.join(F.broadcast(plan), "__source").filter("__block >= first and __block < end")
-    local = F.col("__block") - F.col("first")
-    slot = F.col("begin") + F.floor(local / F.col("c")) * period + F.element_at("places", (local % F.col("c") + 1).cast("int"))
-    return placed.withColumn("__slot", slot.cast("bigint")).withColumn("__phase", F.col("phase")).select(*[F.col(c) for c in df.columns], "__slot", "__phase", "__block", "__place")
+    plan = stored(schedule(given.select("source", "blocks", "weight"), period).withColumnRenamed("source", "__source"), "mix-plan")
+    plan = plan.select("__source", F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("phase").alias("__phase"))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    return ranked.join(plan, ["__source", "__block"]).select(*[F.col(c) for c in df.columns], "__slot", "__phase", "__block", "__place")
 
 
 def mixture(df: DataFrame, source: str = "source", weights: DataFrame | None = None) -> DataFrame:

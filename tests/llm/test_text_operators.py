@@ -269,6 +269,38 @@ def test_mixing(spark, empty):
         mixing.mixed(frame, period=3)
 
 
+def flow_lag(got, weights):
+    """The greatest deviation of any prefix from the fluid mixture of the given weights, in blocks."""
+    blocks = Counter(got["source"])
+    order = got.sort_values("slot")["source"].tolist()
+    ends = sorted((blocks[s] / weights[s], s) for s in blocks)
+    seen, worst, v, t, k = Counter(), 0.0, 0.0, 0, 0
+    left = sum(weights[s] for s in blocks)
+    for s in order:
+        seen[s] += 1
+        rest = 1.0  # the flow of one slot, over the ends of sources
+        while k < len(ends) and (ends[k][0] - v) * left <= rest:
+            rest -= (ends[k][0] - v) * left
+            v, left, k = ends[k][0], left - weights[ends[k][1]], k + 1
+        v += rest / left if k < len(ends) else 0
+        worst = max(worst, *(abs(seen[x] - min(weights[x] * v, blocks[x])) for x in blocks))
+    return worst
+
+
+def test_mixing_keeps_the_given_weights(spark):
+    """Every prefix of many periods is less than a block off the weights, which are no whole slots of a period."""
+    for sources in (
+        [("large", 4000, 4000**0.5), *((f"s{i:02}", 400, 400**0.5) for i in range(20))],
+        [("rare", 3, 0.0001), ("a", 3000, 0.61803), ("b", 2500, 0.38187)],
+        [("u", 700, 1.0), ("v", 700, 1.0), ("w", 350, 0.5), ("x", 1, 3.0)],
+    ):
+        weights = {s: w for s, _, w in sources}
+        got = mixing.schedule(spark.createDataFrame(sources, "source string, blocks bigint, weight double")).toPandas()
+        assert sorted(got["slot"]) == list(range(sum(n for _, n, _ in sources)))
+        assert all(sorted(got[got["source"] == s].sort_values("slot")["block"]) == got[got["source"] == s].sort_values("slot")["block"].tolist() == list(range(n)) for s, n, _ in sources)
+        assert flow_lag(got, weights) < 1 + 1e-6
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(6)
     words = [f"{a}{b}" for a in ("lo", "mi", "ta", "re") for b in ("no", "ka", "sel", "dun")]

@@ -83,12 +83,13 @@ def schedule(sources: DataFrame, step: int = PERIOD) -> DataFrame:
     return blocks.join(ends.select("i", "source"), "i").select("source", "block", "slot", "phase")
 
 
-def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, digest: str | None = None) -> DataFrame:
+def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int | None = None, digest: str | None = None) -> DataFrame:
     """``df`` with ``__slot``, ``__phase``, ``__block`` and ``__place`` (in the block): the mixture's order.
 
     ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
-    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  ``period`` gives
-    the slots of a step; it does not alter the order, and more sources raise an error.  A null source is a source like
+    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  Any number of
+    sources can be mixed.  ``period`` may give the slots of a step; it does not alter the order, and
+    one with fewer slots than there are sources raises an error.  A null source is a source like
     others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
     whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
     row appears exactly once; an empty table gives an empty result.
@@ -97,8 +98,8 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
     keyed = keyed.withColumn("__hash", F.col(digest) if digest else F.xxhash64(*df.columns))
     counts = stored(keyed.groupBy("__source").agg(F.count("*").alias("rows")), "mix-counts")
     n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most")).first()
-    if n["sources"] > period:
-        raise ValueError(f"{n['sources']} sources are more than the period's {period} slots")
+    if period is not None and n["sources"] > period:
+        raise ValueError(f"{n['sources']} sources are more than the given period's {period} slots")
     # ranks within a source: rows are bucketed by hash, counted by bucket, and ranked within buckets
     buckets = max(1, (n["most"] or 0) // BUCKET)
     keyed = keyed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
@@ -116,7 +117,7 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
         given = given.join(named, "source", "left").withColumn("weight", F.coalesce("weight", "own"))
     else:
         given = given.withColumn("weight", F.col("own"))
-    plan = stored(schedule(given.select("source", "blocks", "weight"), period).withColumnRenamed("source", "__source"), "mix-plan")
+    plan = stored(schedule(given.select("source", "blocks", "weight"), period or PERIOD).withColumnRenamed("source", "__source"), "mix-plan")
     plan = plan.select("__source", F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("phase").alias("__phase"))
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     return ranked.join(plan, ["__source", "__block"]).select(*[F.col(c) for c in df.columns], "__slot", "__phase", "__block", "__place")

@@ -301,6 +301,18 @@ def test_mixing_keeps_the_given_weights(spark):
         assert flow_lag(got, weights) < 1 + 1e-6
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than slots of a period; the steps' length does not alter the order."""
+    rows = [(i, f"t{i}", "en", f"s{i % 1500}" if i < 2400 else "s7", 1, True) for i in range(2600)]
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS), block=1).toPandas()
+    assert sorted(got["doc_id"]) == list(range(2600)) and sorted(got["__slot"]) == list(range(2600))
+    counts = Counter(got["source"])
+    assert flow_lag(got.rename(columns={"__slot": "slot"}), {s: n**0.5 for s, n in counts.items()}) < 1 + 1e-6
+    sources = spark.createDataFrame([(f"s{i:03}", 1 + i % 7, 1.0 + i % 5) for i in range(120)], "source string, blocks bigint, weight double")
+    orders = [mixing.schedule(sources, step).orderBy("slot").toPandas()["source"].tolist() for step in (10, 1000)]
+    assert orders[0] == orders[1]
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(6)
     words = [f"{a}{b}" for a in ("lo", "mi", "ta", "re") for b in ("no", "ka", "sel", "dun")]

@@ -1,7 +1,8 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-Pieces of documents are packed in windows of bounded size, where they lie: no shuffle, no group, and
-a mixture's order carries over to the bins.  In a window, pieces go longest first to the open bin
+Pieces of documents are packed in windows of bounded size, where they lie: no shuffle and no group.
+Where an order is given (the slots of a mixture), rows are dealt by ranges of it, windows are filled
+in it and bins are numbered by it: by the first of their pieces.  In a window, pieces go longest first to the open bin
 that they fill best; a piece that fits in none opens a bin of the length with the least cost for
 each token that it can be expected to hold.  All permitted lengths take part in one choice, against
 the plans that prefer one length throughout, and the plan of least cost wins; at the end every bin
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.llm.common import clear_text, documents, stored
+from cadaspark.llm.mixing import mixed
 from cadaspark.llm.token_counts import token_counts
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -65,7 +67,7 @@ def best_plan(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray,
     return min((pack(sizes, lengths, p) for p in (None, *lengths)), key=lambda plan: plan[3])
 
 
-def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int, ...] = LENGTHS, window: int = WINDOW) -> DataFrame:
+def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int, ...] = LENGTHS, window: int = WINDOW, order: tuple[str, ...] = ()) -> DataFrame:
     """A row a piece: key, piece, start (in the document), length, bin_id, offset, capacity.
 
     ``size`` names the column with a row's tokens; null and negative sizes count as 0, and a row of
@@ -73,10 +75,14 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
     pieces of that length and a rest.  Every row is packed once, repeated rows as often as they
     occur; null keys are keys like others; an empty table gives an empty result; other columns are
     not read.  Bins are full sequences of the window's partition; ``bin_id`` is unique.
+
+    ``order`` names columns to pack by: windows follow it, and bins ascend with the first row in them.
     """
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint")
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     pieces = df.select(F.col(key).alias("key"), n.alias("n")).select("key", "n", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") - 1) / most, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("bigint") * most
     pieces = pieces.select("key", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(most)).cast("bigint").alias("length"), F.spark_partition_id().alias("part"))
@@ -87,6 +93,11 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
         def flush(data: pd.DataFrame) -> pd.DataFrame:
             nonlocal made
             bins, offsets, final, _ = best_plan(data["length"].to_numpy(np.int64), lengths)
+            if order:  # number bins by their first piece
+                firsts, where = np.unique(bins, return_index=True)
+                rank = np.empty(len(firsts), np.int64)
+                rank[firsts[np.argsort(where)]] = np.arange(len(firsts))
+                bins, final = rank[bins], final[np.argsort(rank)]
             ids = (data["part"].to_numpy(np.int64) << 40) + made + bins
             made += len(final)
             return data[["key", "piece", "start", "length"]].assign(bin_id=ids, offset=offsets, capacity=final[bins])
@@ -106,15 +117,23 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
     return out.withColumnRenamed("key", key)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, mixed_by: str | None = None) -> DataFrame:
     """Documents packed by their tokens and one end token each.
 
-    The sizes are written between counting and packing, so that a task has one Python worker at a
-    time and only as many workers as cores hold a tokenizer's tables.
+    ``mixed_by`` names the column of sources by which ``docs`` were mixed.  Files do not keep an
+    order when they are read, so the slots are found again, which depend on the rows alone, and
+    windows and bins follow them.  The sizes are written between counting and packing, so that a
+    task has one Python worker at a time and only as many workers as cores hold a tokenizer's tables.
     """
-    counted = token_counts(docs.select("doc_id", clear_text().alias("text")), tokenizer)
-    sizes = stored(counted.select("doc_id", (F.col("n_tokens") + 1).alias("size")), "sizes")
-    return best_fit(sizes, "size")
+    texts = docs.select("doc_id", clear_text().alias("text"))
+    if mixed_by:
+        texts = docs.select("doc_id", F.col(mixed_by).alias("__by"), F.xxhash64(*docs.columns).alias("__digest"), clear_text().alias("text"))
+    counted = token_counts(texts, tokenizer)
+    sizes = stored(counted.select(*[c for c in texts.columns if c != "text"], (F.col("n_tokens") + 1).alias("size")), "sizes")
+    if not mixed_by:
+        return best_fit(sizes, "size")
+    slots = stored(mixed(sizes, "__by", digest="__digest").select("doc_id", "size", "__slot", "__place"), "slots")
+    return best_fit(slots, "size", order=("__slot", "__place"))
 
 
 def op5(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from cadaspark.llm import queries
+from cadaspark.llm import mixing, packing, queries
 from cadaspark.llm.common import documents, stored
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +22,33 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_packing_follows_the_mixture(spark, monkeypatch):
+    """Bins ascend with the slots, however the mixed table's files are read."""
+    monkeypatch.setattr(packing.best_fit, "__defaults__", (*packing.best_fit.__defaults__[:2], 64, ()))  # small windows
+    docs = stored(documents(spark, SF).repartition(7), "test-mixed")
+    slots = {r.doc_id: (r["__slot"], r["__place"]) for r in mixing.mixed(docs).collect()}
+    files = stored(mixing.mixture(docs).repartition(5), "test-files")  # reread in any order
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions of a small table
+    try:
+        packed = corpus_pipeline.STAGES[-1][1](spark, files, SF).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert packed["doc_id"].nunique() == len(slots)
+    packed["at"] = packed["doc_id"].map(slots)
+    firsts = packed.groupby("bin_id")["at"].min().sort_index().tolist()
+    # the bins of a window follow one another by their first rows, and windows by theirs
+    whole = packed.sort_values(["at", "piece"]).reset_index(drop=True)
+    assert len(firsts) > 64 and packed["bin_id"].map(lambda x: x >> 40).nunique() > 1
+    rank = whole["bin_id"].rank(method="dense")
+    assert all(whole["at"][i] >= firsts[int(k) - 1] for i, k in enumerate(rank))
+    parts = whole["bin_id"].map(lambda x: x >> 40)
+    assert parts.is_monotonic_increasing
+    for _, rows in whole.groupby(parts):
+        windows = [rows["bin_id"][k : k + 64] for k in range(0, len(rows), 64)]
+        assert all(a.max() < b.min() for a, b in zip(windows, windows[1:]))
+        assert all(w.drop_duplicates().is_monotonic_increasing for w in windows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_cover_the_table(spark, name):
     got = queries.queries()[name](spark, SF)

@@ -140,10 +140,13 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__media"], own]))
 
 
+def feature() -> F.Column:
+    """Number and digest of the pairs in ``times`` and ``codes``; the products are 64-bit, for texts of any length."""
+    digest = F.md5(F.concat_ws(",", F.zip_with("times", "codes", lambda t, c: t.cast("bigint") * 65536 * 4 + c).cast("array<string>")))
+    return F.concat_ws(":", F.size("codes").cast("string"), digest)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media of every document, stored as a Parquet column and read back; the feature names the pairs and their digest."""
     media = stored(media_column(documents(spark, sf_dir).select("doc_id", clear_text().alias("text"))), "media")
-    digest = F.md5(F.concat_ws(",", F.zip_with("times", "codes", lambda t, c: t * 65536 * 4 + c).cast("array<string>")))
-    return media_features(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("codes").cast("string"), digest).alias("feature"))
-
-
+    return media_features(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature().alias("feature"))

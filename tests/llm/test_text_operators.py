@@ -128,6 +128,17 @@ def test_media(docs, empty):
     assert [r.payload_bytes for r in media.media_features(broken).collect()] == [None, None]
 
 
+def test_media_of_a_long_text(spark):
+    """Frames from 8192 on give pairs like others."""
+    rnd = random.Random(5)
+    text = "".join(chr(rnd.randrange(32, 127)) for _ in range(2 << 20))
+    features = media.media_features(media.media_column(spark.createDataFrame([(1, text)], "doc_id bigint, text string")))
+    row = features.select("times", "codes", media.feature().alias("feature")).first()
+    assert max(row.times) > 8192
+    pairs = ",".join(str(t * 65536 * 4 + c) for t, c in zip(row.times, row.codes, strict=True))
+    assert row.feature == f"{len(row.codes)}:{hashlib.md5(pairs.encode()).hexdigest()}"
+
+
 def test_fingerprints_find_a_shifted_passage():
     passage = bytes(random.Random(1).randrange(256) for _ in range(128 * 40))
     a = media.peak_pairs(*media.peaks(passage))

@@ -19,6 +19,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def place(k: int) -> np.uint64:
+    """The multiplier of the word at place ``k``: one of its own for each, none of them a start value."""
+    return _PLACE[k] if k < 4 else mix(np.array([k], np.uint64) * _PLACE[0])[0] | np.uint64(1)
+
+
 def coded_words(texts: list[str], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: distinct words, each place's word, first places.
 
@@ -52,7 +57,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if not n:
         return words
     width = min(n, size)
-    total = np.full(n - width + 1, _PLACE[4] if width == size else mix(_PLACE[width : width + 1])[0], np.uint64)
+    start = _PLACE[4] if width == size else mix(np.array([_PLACE[4] if width == 4 else place(width)], np.uint64))[0]
+    total = np.full(n - width + 1, start, np.uint64)
     for k in range(width):
-        total += words[k : n - width + 1 + k] * _PLACE[k % 4] + np.uint64(k)
+        total += words[k : n - width + 1 + k] * place(k) + np.uint64(k)
     return np.unique(mix(total))

@@ -220,6 +220,17 @@ def test_signatures_estimate_the_similarity():
     assert len(shingles(words[first[0] : first[1]], 4)) == 1 and len(shingles(words[first[1] : first[2]], 4)) == 2
 
 
+def test_shingles_tell_all_places_apart():
+    for size in (5, 9):
+        words = np.random.default_rng(size).integers(0, 1 << 63, size, np.uint64)
+        for i in range(size):
+            for j in range(i):
+                swapped = words.copy()
+                swapped[[i, j]] = words[[j, i]]
+                assert shingles(words, size).tolist() != shingles(swapped, size).tolist()
+        assert len({int(shingles(words[:n], size)[0]) for n in range(1, size + 1)}) == size
+
+
 def test_packing(spark, empty):
     rng = np.random.default_rng(4)
     sizes = [None, 0, -3, 1, 4096, 4097, 20000, *rng.integers(1, 3000, 800).tolist()]

@@ -31,11 +31,19 @@ CHUNK, TAIL = 512, 64
 _LETTER, _STMD, _R, _V, _LL, _E, _NUMBER, _SPACE, _WHITE, _QUOTE, _OTHER, _EDGE, _IN = range(13)
 
 
+#: No letter or number is, in any version of Unicode, beyond this code point.
+_LAST = 0x40000
+_given: list[np.ndarray] = []
+
+
 @functools.cache
-def kinds() -> np.ndarray:
-    """The kind of each code point, by the Unicode tables of the tokenizers library itself."""
+def kind_runs() -> tuple[np.ndarray, np.ndarray]:
+    """The first code point of each run of one kind, and the kind, by the tokenizers library's own Unicode tables.
+
+    Drivers find the runs once and ship them (some kilobytes) to the workers, which call :func:`give`.
+    """
     table = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000))
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(_LAST))
     for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
         pieces = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
         for _, (first, end) in pieces:
@@ -48,7 +56,22 @@ def kinds() -> np.ndarray:
         table[ord(c)] = _STMD
     for c, k in (("r", _R), ("v", _V), ("l", _LL), ("e", _E)):
         table[ord(c)] = k
-    return table
+    first = np.flatnonzero(np.append(True, table[1:] != table[:-1]))
+    return first.astype(np.uint32), table[first]
+
+
+def give(runs: tuple[np.ndarray, np.ndarray]) -> None:
+    """Sets the kinds of this process to the runs that the driver found."""
+    if not _given:
+        first, kind = runs
+        _given.append(np.repeat(kind, np.diff(first.astype(np.int64), append=0x110000)))
+
+
+def kinds() -> np.ndarray:
+    """The kind of each code point."""
+    if not _given:
+        give(kind_runs())
+    return _given[0]
 
 
 @functools.cache

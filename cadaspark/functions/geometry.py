@@ -154,3 +154,21 @@ def box_distance(a: str, b: str) -> Column:
 
 def box_area(a: str = "") -> Column:
     return (F.col(f"{a}x1") - F.col(f"{a}x0")) * (F.col(f"{a}y1") - F.col(f"{a}y0"))
+
+
+def union_area(boxes: Column) -> Column:
+    """Area that an array of boxes (x0, y0, x1, y1) covers, counted once where they overlap.
+
+    Slab by slab between neighbouring x: the lengths of the joined y intervals of the boxes there.
+    """
+    xs = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x0"]), F.transform(boxes, lambda b: b["x1"]))))
+
+    def covered(inside: Column) -> Column:
+        spans = F.array_sort(F.transform(inside, lambda b: F.struct(b["y0"].alias("a"), b["y1"].alias("b"))))
+        start = F.struct(F.lit(float("-inf")).alias("end"), F.lit(0.0).alias("length"))
+        step = lambda s, v: F.struct(F.greatest(s["end"], v["b"]).alias("end"), (s["length"] + F.greatest(F.lit(0.0), v["b"] - F.greatest(s["end"], v["a"]))).alias("length"))
+        return F.aggregate(spans, start, step, lambda s: s["length"])
+
+    slab = lambda p, q: (q - p) * covered(F.filter(boxes, lambda b: (b["x0"] <= p) & (b["x1"] >= q)))
+    slabs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), slab)
+    return let(xs, lambda x: F.when(F.size(x) < 2, 0.0).otherwise(_sum(slabs(x))))

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from cadaspark.functions.geometry import box_area, box_overlap
 from cadaspark.functions.rules import zone_label
 from cadaspark.operators.graph import written
-from cadaspark.operators.spatial import box_pairs, overlay, within_distance
+from cadaspark.operators.spatial import box_pairs, covered_area, overlay, within_distance
 
+# --- fixed values: results must equal these, so they are stated as they are ---
 RAIL_M, WATER_M, ROAD_M, GOVERNMENT_M2 = 30.0, 15.0, 200.0, 1.0
 ENCROACH_M2, ENCROACH_DEPTH_M, CONFLICT_SHARE = 4.0, 1.0, 0.35
+#: Codes of alerts, in the order in which a building lists them.
+ALERTS = ("RAIL_BUFFER", "WATER_BUFFER", "GOVT_ENCROACH", "NO_ROAD", "UNRECORDED")
+# --- end of fixed values ---
 
-CITATIONS = {"RAIL": "safety distance to railway lines", "WATER": "protection strip along water", "GOVERNMENT": "public land", "NO_ROAD": "access to a road", "UNRECORDED": "building register"}
+#: What each rule rests on, in our words.
+CITATIONS = {"RAIL_BUFFER": "safety distance to railway lines", "WATER_BUFFER": "protection strip along water", "GOVT_ENCROACH": "public land", "NO_ROAD": "access to a mapped road", "UNRECORDED": "building register"}
 
 
 def nearest_within(buildings: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
@@ -23,9 +28,8 @@ def nearest_within(buildings: DataFrame, lines: DataFrame, reach: float) -> Data
 
 
 def government_overlap(buildings: DataFrame, government: DataFrame) -> DataFrame:
-    """id, area_m2: greatest overlap of a building with one area of government land, above 1 m2."""
-    pairs = overlay(buildings, government).groupBy(F.col("a_id").alias("id")).agg(F.max("inter").alias("area_m2"))
-    return pairs.filter(F.col("area_m2") > GOVERNMENT_M2)
+    """id, area_m2: the part of a building that government land as a whole covers, above 1 m2."""
+    return covered_area(buildings, government).filter(F.col("covered") > GOVERNMENT_M2).select("id", F.col("covered").alias("area_m2"))
 
 
 def without_road(buildings: DataFrame, roads: DataFrame) -> DataFrame:
@@ -45,9 +49,9 @@ def alerts(buildings: DataFrame, lines: DataFrame, government: DataFrame, roads:
     out = out.withColumn("new", F.lit(False)) if unrecorded is None else out.join(unrecorded.select("id", F.col("unrecorded").alias("new")), "id", "left")
     one = lambda test, kind, text, *args: F.when(test, F.struct(F.lit(kind).alias("type"), F.format_string(text, *args).alias("msg"), F.lit(CITATIONS[kind]).alias("citation")))
     found = F.array_compact(F.array(
-        one(F.col("rail").isNotNull(), "RAIL", "%.0f m from a railway line (limit 30 m)", F.coalesce("rail", F.lit(0.0))),
-        one(F.col("water").isNotNull(), "WATER", "%.0f m from water (limit 15 m)", F.coalesce("water", F.lit(0.0))),
-        one(F.col("public").isNotNull(), "GOVERNMENT", "%.0f m2 on government land", F.coalesce("public", F.lit(0.0))),
+        one(F.col("rail").isNotNull(), "RAIL_BUFFER", "%.0f m from a railway line (limit 30 m)", F.coalesce("rail", F.lit(0.0))),
+        one(F.col("water").isNotNull(), "WATER_BUFFER", "%.0f m from water (limit 15 m)", F.coalesce("water", F.lit(0.0))),
+        one(F.col("public").isNotNull(), "GOVT_ENCROACH", "%.0f m2 on government land", F.coalesce("public", F.lit(0.0))),
         one(F.coalesce("lost", F.lit(False)), "NO_ROAD", "no road within %d m", F.lit(int(ROAD_M))),
         one(F.coalesce("new", F.lit(False)), "UNRECORDED", "%s", F.lit("not in the building register")),
     ))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaspark.functions.geometry import bounds, box_area, box_distance, box_overlap
+from cadaspark.functions.geometry import bounds, box_area, box_distance, box_overlap, union_area
 
 #: Default side of a cell in metres: a few times the side of a usual parcel.
 CELL = 50.0
@@ -60,6 +60,17 @@ def overlay(left: DataFrame, right: DataFrame, cell: float = CELL, exact: bool =
     return pairs.filter("inter > 0").withColumn("iou", F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")))
 
 
+def covered_area(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """``key`` and ``covered``: the area of each box of ``left`` that the boxes of ``right`` cover together.
+
+    Boxes without an overlap have no row.  Where boxes of ``right`` overlap, the area counts once.
+    """
+    pairs = box_pairs(left.select(key, "x0", "y0", "x1", "y1"), right.select("x0", "y0", "x1", "y1"))
+    part = F.struct(F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1"))
+    parts = pairs.select(F.col(f"a_{key}").alias(key), part.alias("p")).filter("p.x0 < p.x1 and p.y0 < p.y1")
+    return parts.groupBy(key).agg(F.collect_set("p").alias("parts")).select(key, union_area(F.col("parts")).alias("covered"))
+
+
 def within_distance(left: DataFrame, right: DataFrame, reach: float, cell: float = CELL) -> DataFrame:
     """Pairs of boxes at most ``reach`` apart, with ``distance``."""
     return box_pairs(left, right, reach, cell).withColumn("distance", box_distance("a_", "b_")).filter(F.col("distance") <= reach)

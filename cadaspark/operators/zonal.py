@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaspark.functions.rules import COVER, REMAP, cover_label, land_use, looked_up, storeys
+from cadaspark.functions.rules import APP_CLASSES, COVER, REMAP, cover_label, land_use, looked_up, storeys
 
 
 def zonal_stats(cells: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def parcel_attributes(cells: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def remapped(cells: DataFrame) -> DataFrame:
     """zone, app_class, p: probabilities summed by the application's classes and renormalised."""
-    app = cells.withColumn("app_class", looked_up({k: v for k, v in REMAP.items()}, F.col("class"))).groupBy("zone", "app_class").agg(F.sum("prob").alias("s"))
+    app = cells.withColumn("app_class", looked_up({k: APP_CLASSES[v] for k, v in REMAP.items()}, F.col("class"))).groupBy("zone", "app_class").agg(F.sum("prob").alias("s"))
     total = app.groupBy("zone").agg(F.sum("s").alias("t"))
     return app.join(total, "zone").select("zone", "app_class", F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0).alias("p"))
 

@@ -8,7 +8,7 @@ from cadaspark.functions import geometry as g
 from cadaspark.functions import kernels
 from cadaspark.functions import projection as p
 from cadaspark.functions.rules import band
-from cadaspark.operators import numbering
+from cadaspark.operators import numbering, zonal
 from cadaspark.plans import fixtures as x
 from cadaspark.plans.registry import query
 from cadaspark.sources import layers
@@ -35,13 +35,18 @@ def new_ids(spark, sf_dir):
 
 
 @query(
-    """select id, status, source, confidence, (x1 - x0) * (y1 - y0) as area_m2, 2 * (x1 - x0 + y1 - y0) as perim_m, case when id % 2 = 0 then 'HOLE,OVERLAP' else '' end as issues,
-    null::varchar as prov_pin, null::varchar as landcover, null::varchar as land_use, null::varchar as rec_status, null::varchar as rec_iou from parcels"""
+    """select id as parcel_id, status, source, confidence, round((x1 - x0) * (y1 - y0), 1) as area_m2, round(2 * (x1 - x0 + y1 - y0), 1) as perim_m, case when id % 2 = 0 then 'HOLE,OVERLAP' else '' end as issues,
+    null::varchar as prov_pin, null::varchar as landcover, null::varchar as land_use, null::varchar as lu_reason, null::varchar as built_pct, null::varchar as road_front, null::varchar as front_road,
+    null::varchar as n_bldg, null::varchar as storeys, null::varchar as encroach, null::varchar as rec_status, null::varchar as rec_iou, null::varchar as rec_ref, """
+    + ", ".join(f"case when zone is not null then coalesce(c{k}, 0.0::double) end as {name}" for k, name in ((8, "lc_bldg"), (4, "lc_road"), (3, "lc_paved"), (5, "lc_tree"), (2, "lc_grass"), (7, "lc_farm"), (1, "lc_bare"), (6, "lc_water")))
+    + " from parcels left join cover_pct on id = zone",
+    cover_pct="select zone, " + ", ".join(f"case when round(100 * c{k} / n, 1) >= 1 then round(100 * c{k} / n, 1) end as c{k}" for k in range(1, 9)) + " from (select zone, count(*)::double as n, " + ", ".join(f"count(*) filter (where class = {k}) as c{k}" for k in range(1, 9)) + " from pixels group by zone)",
 )
 def export_schema(spark, sf_dir):
-    df = x.geoms(x.parcels(spark, sf_dir))
-    df = df.withColumn("area_m2", g.area(F.col("geom"))).withColumn("perimeter_m", g.perimeter(F.col("geom"))).withColumn("issues", F.when(F.col("id") % 2 == 0, F.array(F.lit("HOLE"), F.lit("OVERLAP"))).otherwise(F.array().cast("array<string>")))
-    return layers.export_columns(df)
+    """All parcels as an export gives them, with the shares of their land-cover classes."""
+    df = x.geoms(x.parcels(spark, sf_dir)).join(zonal.cover_shares(x.pixels(spark, sf_dir)).select(F.col("zone").alias("id"), F.col("percent").alias("land_cover_pct")), "id", "left")
+    df = df.withColumn("area_m2", F.round(g.area(F.col("geom")), 1)).withColumn("perimeter_m", F.round(g.perimeter(F.col("geom")), 1)).withColumn("issues", F.when(F.col("id") % 2 == 0, F.array(F.lit("HOLE"), F.lit("OVERLAP"))).otherwise(F.array().cast("array<string>")))
+    return layers.export_columns(df).drop("geom")
 
 
 @query("select id, (x1 - x0) * (y1 - y0) as area_m2, 4 as corners from parcels")
@@ -73,22 +78,34 @@ def gnss_import(spark, sf_dir):
     raw = o.select(
         F.col("o_orderkey").alias("row"), F.col("o_orderkey").cast("string").alias("Point"), F.col("o_orderstatus").alias("Code"),
         F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise((20 + F.col("o_custkey") / 1000).cast("string")).alias("Latitude"), (78 + F.col("o_orderkey") / 10000).cast("string").alias("LNG"),
-        F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise((F.col("o_custkey") % 7 / 2).cast("string")).alias("HRMS"),
+        F.when(F.col("o_orderkey") % 4 == 0, "?").otherwise((F.col("o_custkey") % 7 / 2).cast("string")).alias("Sigma"), F.lit("9").alias("pt_no"),
     )
     return layers.import_points(raw, "row")
 
 
 @query(
-    """select layer, shape, count(*) as elements from (select case p_partkey % 6 when 0 then 'building' when 1 then 'road' when 2 then 'rail' when 3 then 'water' when 4 then 'government' else 'landuse' end as layer,
-    case p_partkey % 6 when 1 then 'line' when 2 then 'line' when 4 then 'point' else 'polygon' end as shape from part) group by all"""
+    """select layer, shape, count(*) as elements, count(distinct n) as sizes, round(sum(x0), 3) as west from (select *, 78 + i % 50 * 20 / 1e5 as x0, case when closed and shape = 'polygon' then 4 when shape = 'point' then 1 when closed then 5 else 3 end as n from (
+      select i, i % 3 <> 1 as closed, unnest([
+        case when k = 0 and i % 3 <> 1 then 'buildings polygon' end, case when k in (0, 4) and i % 3 <> 1 then 'government polygon' end, case when k = 5 then 'government point' end,
+        case when k = 1 then 'roads line' end, case when k = 2 then 'railway line' end, case when k = 3 then case when i % 3 <> 1 then 'waterway polygon' else 'waterway line' end end,
+        case when k in (6, 7) and i % 3 <> 1 then 'landuse polygon' end]) as f, split_part(f, ' ', 1) as layer, split_part(f, ' ', 2) as shape
+      from (select p_partkey as i, p_partkey % 9 as k from part)) where f is not null) group by layer, shape"""
 )
 def osm_layers(spark, sf_dir):
-    k = F.col("p_partkey")
-    tags = F.element_at(F.array(*[F.create_map(F.lit(a), F.lit(b)) for a, b in (("building", "yes"), ("highway", "residential"), ("railway", "rail"), ("natural", "water"), ("amenity", "school"), ("landuse", "farmland"))]), (k % 6 + 1).cast("int"))
-    at = lambda a, b: F.struct((F.lit(20.0) + a + k * 0).cast("double").alias("lat"), (F.lit(78.0) + b + k * 0).cast("double").alias("lon"))
-    ring = F.array(at(0, 0), at(0, 1), at(1, 1), at(0, 0))
-    rows = x.table(spark, sf_dir, "part").select(F.when(k % 6 == 4, "node").otherwise("way").alias("type"), k.alias("id"), tags.alias("tags"), ring.alias("geometry"))
-    return layers.osm_layers(rows).groupBy("layer", "shape").agg(F.count("*").alias("elements"))
+    """Map elements, one a part: closed ways round a parcel's place, open ones along two sides, and nodes."""
+    i = F.col("p_partkey")
+    tags = (
+        {"building": "yes", "amenity": "school"}, {"highway": "residential"}, {"railway": "rail"}, {"natural": "water"}, {"amenity": "community_centre"},
+        {"amenity": "townhall"}, {"landuse": "farmland"}, {"natural": "scrub"}, {"amenity": "hospital", "railway": "tram"},
+    )
+    tag = F.element_at(F.array(*[F.create_map(*[F.lit(v) for kv in t.items() for v in kv]) for t in tags]), (i % len(tags) + 1).cast("int"))
+    x0, y0 = 78 + i % 50 * 20 / 1e5, 20 + F.floor(i / 50) * 20 / 1e5
+    at = lambda a, b: F.struct((y0 + b * 12 / 1e5).cast("double").alias("lat"), (x0 + a * 12 / 1e5).cast("double").alias("lon"))
+    node = i % 9 == 5
+    ring = F.when(i % 3 != 1, F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))).otherwise(F.array(at(0, 0), at(1, 0), at(1, 1)))
+    rows = x.table(spark, sf_dir, "part").select(F.when(node, "node").otherwise("way").alias("type"), i.alias("id"), tag.alias("tags"), F.when(~node, ring).alias("geometry"), F.when(node, y0.cast("double")).alias("lat"), F.when(node, x0.cast("double")).alias("lon"))
+    out = layers.osm_layers(rows).withColumn("v", layers.element_shape())
+    return out.groupBy("layer", "shape").agg(F.count("*").alias("elements"), F.countDistinct(F.size("v")).alias("sizes"), F.round(F.sum(F.array_min(F.transform("v", lambda v: v["x"]))), 3).alias("west"))
 
 
 @query("select o_orderkey as id, (floor((lon + 180) / 6) + 1)::int as zone, (case when lat >= 0 then 32600 else 32700 end + floor((lon + 180) / 6) + 1)::int as epsg from places_", places_="select o_orderkey, o_custkey % 360 - 180 as lon, o_orderkey % 160 - 80 as lat from orders")

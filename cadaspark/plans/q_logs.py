@@ -8,7 +8,7 @@ from cadaspark.functions.geometry import box_area
 from cadaspark.operators import comparison, logs, queues, siting
 from cadaspark.plans import fixtures as x
 from cadaspark.plans.q_comparison import ALL, NEAREST, _status
-from cadaspark.plans.q_rules import BR, INTER, MEET
+from cadaspark.plans.q_rules import BR, INTER, MEET, UNRECORDED
 from cadaspark.plans.registry import query
 
 CASES = ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in logs.STATUSES)
@@ -39,8 +39,7 @@ def running_visits(spark, sf_dir):
     return logs.running_visits(x.observations(spark, sf_dir))
 
 
-LATEST = """select parcel_id, verdict as field_verdict, case verdict when 'confirmed' then 'approved' when 'boundary_wrong' then 'field_check' when 'could_not_access' then 'field_check'
-    else 'rejected' end as status, on_site as field_on_site from observations qualify row_number() over (partition by parcel_id order by time desc, obs_id desc) = 1"""
+LATEST = """select parcel_id, verdict as field_verdict, case verdict when 'confirmed' then 'approved' when 'not_a_parcel' then 'rejected' else 'field_check' end as status, on_site as field_on_site from observations qualify row_number() over (partition by parcel_id order by time desc, obs_id desc) = 1"""
 
 
 @query(LATEST)
@@ -133,11 +132,12 @@ def encroachments_top12(spark, sf_dir):
 
 @query(
     f"""select id, grade, row_number() over (order by grade, id) as rank from (select id, min(grade) as grade from (select b.id, 1 as grade from buildings b join roads r on true
-    group by b.id having min({BR}) > 200 union all select id, 2 from buildings where id % 13 = 0 union all select id, 3 from buildings) group by id) order by rank limit 8"""
+    group by b.id having min({BR}) > 200 union all select id, 2 from new_buildings where unrecorded union all select id, 3 from buildings) group by id) order by rank limit 8""",
+    new_buildings=UNRECORDED,
 )
 def priority_union(spark, sf_dir):
     b = x.buildings(spark, sf_dir)
-    return queues.priority(siting.without_road(b, x.roads(spark, sf_dir)), b.filter("id % 13 = 0"), b)
+    return queues.priority(siting.without_road(b, x.roads(spark, sf_dir)), comparison.unrecorded(b, x.records(spark, sf_dir)).filter("unrecorded"), b)
 
 
 @query("select zone, class, n, rank from (select zone, class, count(*) as n, row_number() over (partition by zone order by count(*) desc, class) as rank from pixels group by zone, class) where rank <= 3")

@@ -14,30 +14,33 @@ BR, BL = DIST.format(a="b", b="r"), DIST.format(a="b", b="l")
 INTER = "(least(b.x1, {0}.x1) - greatest(b.x0, {0}.x0)) * (least(b.y1, {0}.y1) - greatest(b.y0, {0}.y0))"
 MEET = "b.x0 < {0}.x1 and {0}.x0 < b.x1 and b.y0 < {0}.y1 and {0}.y0 < b.y1"
 
+#: Square metres of a building on any government land; corners of both layers are whole metres.
+PUBLIC = f"""select id, count(*)::double as area_m2 from (select distinct b.id, cx, cy from buildings b join government g on {MEET.format("g")},
+  unnest(generate_series(greatest(b.x0, g.x0)::bigint, least(b.x1, g.x1)::bigint - 1)) as u(cx), unnest(generate_series(greatest(b.y0, g.y0)::bigint, least(b.y1, g.y1)::bigint - 1)) as v(cy)) group by id"""
 RULES = f"""
-  select b.id, case kind when 'rail' then 'RAIL' else 'WATER' end as type from buildings b join setback_lines l on {BL} <= case kind when 'rail' then 30 else 15 end group by all
-  union all select b.id, 'GOVERNMENT' from buildings b join government g on {MEET.format("g")} where {INTER.format("g")} > 1 group by all
+  select b.id, case kind when 'rail' then 'RAIL_BUFFER' else 'WATER_BUFFER' end as type from buildings b join setback_lines l on {BL} <= case kind when 'rail' then 30 else 15 end group by all
+  union all select id, 'GOVT_ENCROACH' from on_public where area_m2 > 1
   union all select b.id, 'NO_ROAD' from buildings b join roads r on true group by b.id having min({BR}) > 200"""
 
 
-@query("select id, string_agg(type, ',' order by type) as alerts from rule_hits group by id", rule_hits=RULES)
+@query("select id, string_agg(type, ',' order by type) as alerts from rule_hits group by id", on_public=PUBLIC, rule_hits=RULES)
 def setback_alerts(spark, sf_dir):
     out = siting.alerts(x.buildings(spark, sf_dir), x.setback_lines(spark, sf_dir), x.government(spark, sf_dir), x.roads(spark, sf_dir))
     return out.filter(F.size("alerts") > 0).select("id", F.array_join(F.array_sort(F.transform("alerts", lambda a: a["type"])), ",").alias("alerts"))
 
 
-@query("select count(*) as buildings, (select count(distinct id) from rule_hits) as flagged from buildings", rule_hits=RULES)
+@query("select count(*) as buildings, (select count(distinct id) from rule_hits) as flagged from buildings", on_public=PUBLIC, rule_hits=RULES)
 def alert_summary(spark, sf_dir):
     out = siting.alerts(x.buildings(spark, sf_dir), x.setback_lines(spark, sf_dir), x.government(spark, sf_dir), x.roads(spark, sf_dir))
     return out.agg(F.count("*").alias("buildings"), F.count_if(F.size("alerts") > 0).alias("flagged"))
 
 
-@query("select id from rule_hits where type = 'NO_ROAD'", rule_hits=RULES)
+@query("select id from rule_hits where type = 'NO_ROAD'", on_public=PUBLIC, rule_hits=RULES)
 def no_road_access(spark, sf_dir):
     return siting.without_road(x.buildings(spark, sf_dir), x.roads(spark, sf_dir)).select("id")
 
 
-@query(f"select b.id, round(max({INTER.format('g')}), 3) as area_m2 from buildings b join government g on {MEET.format('g')} group by b.id having max({INTER.format('g')}) > 1")
+@query("select id, round(area_m2, 3) as area_m2 from on_public where area_m2 > 1", on_public=PUBLIC)
 def government_overlap(spark, sf_dir):
     return siting.government_overlap(x.buildings(spark, sf_dir), x.government(spark, sf_dir)).select("id", F.round("area_m2", 3).alias("area_m2"))
 
@@ -67,10 +70,14 @@ def landuse_zone(spark, sf_dir):
     return siting.zoned_land_use(x.parcels(spark, sf_dir), x.zones(spark, sf_dir), x.government(spark, sf_dir), x.buildings(spark, sf_dir))
 
 
-@query(
-    f"""select b.id, round(coalesce(inside, 0) / ((x1 - x0) * (y1 - y0)), 4) as share, coalesce(inside, 0) / ((x1 - x0) * (y1 - y0)) < 0.15 as unrecorded from buildings b
-    left join (select b.id, sum({INTER.format('r')}) as inside from buildings b join records r on {MEET.format('r')} group by b.id) i on b.id = i.id"""
-)
+#: Record parcels may overlap, so tenths of a square metre are counted once; corners are tenths along x and whole along y.
+UNRECORDED = f"""select id, n / 10 / area as share, round(n / 10 / area, 9) < 0.15 as unrecorded from (select b.id, (b.x1 - b.x0) * (b.y1 - b.y0) as area, coalesce(n, 0) as n from buildings b
+    left join (select id, count(*) as n from (select distinct b.id, cx, cy from buildings b join records r on {MEET.format('r')},
+      unnest(generate_series(round(10 * greatest(b.x0, r.x0))::bigint, round(10 * least(b.x1, r.x1))::bigint - 1)) as u(cx),
+      unnest(generate_series(greatest(b.y0, r.y0)::bigint, least(b.y1, r.y1)::bigint - 1)) as v(cy)) group by id) i on b.id = i.id)"""
+
+
+@query("select id, round(share, 4) as share, unrecorded from new_buildings", new_buildings=UNRECORDED)
 def unrecorded_buildings(spark, sf_dir):
     return comparison.unrecorded(x.buildings(spark, sf_dir), x.records(spark, sf_dir)).select("id", F.round("share", 4).alias("share"), "unrecorded")
 

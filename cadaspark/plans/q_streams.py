@@ -15,8 +15,7 @@ def _stream(spark, sf_dir):
     return x.as_observations(v.source(spark, f"{sf_dir}/events.parquet*", EVENTS))
 
 
-LATEST = """select parcel_id, verdict as field_verdict, case verdict when 'confirmed' then 'approved' when 'boundary_wrong' then 'field_check' when 'could_not_access' then 'field_check'
-    else 'rejected' end as status from observations qualify row_number() over (partition by parcel_id order by time desc, obs_id desc) = 1"""
+LATEST = """select parcel_id, verdict as field_verdict, case verdict when 'confirmed' then 'approved' when 'not_a_parcel' then 'rejected' else 'field_check' end as status from observations qualify row_number() over (partition by parcel_id order by time desc, obs_id desc) = 1"""
 
 
 @query(LATEST)

@@ -81,7 +81,7 @@ def parcel_confidence(spark, sf_dir):
     return shaped.select("id", F.round(0.6 * F.col("confidence") + 0.4 * (F.col("id") % 10 / 10), 4).alias("base"), F.round(rules.confidence(*args), 4).alias("score"), F.array_join(rules.confidence_notes(*args), "; ").alias("notes"))
 
 
-APP = "select zone, ['open', 'vegetation', 'road', 'road', 'vegetation', 'water', 'vegetation', 'building'][class] as app_class, sum(prob) as s from pixels group by all"
+APP = "select zone, ['clutter', 'low vegetation', 'clutter', 'road', 'tree', 'clutter', 'low vegetation', 'building'][class] as app_class, sum(prob) as s from pixels group by all"
 
 
 @query("select zone, app_class, round(case when t > 0 then s / t else 0 end, 8) as p from (select *, sum(s) over (partition by zone) as t from app)", app=APP)

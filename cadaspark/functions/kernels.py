@@ -331,21 +331,104 @@ def simplify_line(line: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else plain([[simplified(as_array(v), t)]])[0][0] if len(v) > 2 else list(v) for v, t in zip(line, tolerance, strict=True)], dtype=object)
 
 
+def lengthened(line: np.ndarray, by: float) -> np.ndarray:
+    """A polyline whose two ends reach farther by so much."""
+    out = line.astype(float).copy()
+    for end, before in ((0, 1), (-1, -2)):
+        d = line[end] - line[before]
+        out[end] = line[end] + d * (by / max(float(np.hypot(*d)), 1e-9))
+    return out
+
+
+def met(rings: list[np.ndarray], line: np.ndarray) -> tuple[list[list[tuple]], list[tuple]]:
+    """Rings with their crossing points inserted, and the crossings (place along the line, point) in order."""
+    found, out = {}, []
+    for r in rings:
+        new: list[tuple] = []
+        for p, q in zip(r, np.roll(r, -1, axis=0), strict=True):
+            here = [(0.0, tuple(np.round(p, 6).tolist()))]
+            for i, (a, b) in enumerate(zip(line, line[1:], strict=False)):
+                d, e = b - a, q - p
+                turn = float(cross(d, e))
+                if turn == 0:
+                    continue
+                s, t = float(cross(p - a, e)) / turn, float(cross(p - a, d)) / turn
+                if -1e-9 <= s <= 1 + 1e-9 and -1e-9 <= t <= 1 + 1e-9:
+                    point = tuple(np.round(p + t * e, 6).tolist())
+                    here.append((t, point))
+                    found.setdefault(point, i + s)
+            new += [x for _, x in sorted(here)]
+        out.append([x for x, y in zip(new, [*new[1:], new[0]], strict=True) if x != y])
+    return out, sorted((s, x) for x, s in found.items())
+
+
+def inner_paths(rings: list[np.ndarray], line: np.ndarray, crossings: list[tuple]) -> list[list[tuple]]:
+    """The parts of the line that run inside from one crossing to the next."""
+    out = []
+    for (s, a), (t, b) in zip(crossings, crossings[1:], strict=False):
+        path = [a, *(tuple(np.round(line[k], 6).tolist()) for k in range(int(s) + 1, int(np.ceil(t)))), b]
+        path = [x for x, y in zip(path, [None, *path], strict=False) if x != y]
+        if len(path) > 1:
+            middle = (np.array(path[0]) + np.array(path[1])) / 2
+            if sum(within(middle, r) for r in rings) % 2:
+                out.append(path)
+    return out
+
+
+def faces(rings: list[list[tuple]], paths: list[list[tuple]]) -> list[np.ndarray]:
+    """Closed walks with the inside on their left: over rings in their sense and over paths both ways."""
+    after: dict[tuple, set] = {}
+    for ring in rings:
+        for p, q in zip(ring, [*ring[1:], ring[0]], strict=True):
+            after.setdefault(p, set()).add(q)
+    for path in paths:
+        for p, q in zip(path, path[1:], strict=False):
+            after.setdefault(p, set()).add(q)
+            after.setdefault(q, set()).add(p)
+    angle = lambda p, q: float(np.arctan2(q[1] - p[1], q[0] - p[0]))
+    unused, out = {(p, q) for p, qs in after.items() for q in qs}, []
+    while unused:
+        first = step = min(unused)
+        walk = []
+        while step in unused:
+            unused.discard(step)
+            walk.append(step[0])
+            p, q = step
+            back = angle(q, p)
+            # the next edge clockwise from the way back
+            step = (q, min(after[q], key=lambda x: (back - angle(q, x)) % (2 * np.pi) or 2 * np.pi))
+        if step == first:
+            out.append(np.array(walk))
+    return out
+
+
+def cut_polygon(polygon: list[np.ndarray], line: np.ndarray) -> list[list[np.ndarray]]:
+    """Pieces (outline and holes) of one polygon along a polyline; one piece if the line does not cross it."""
+    rings, crossings = met(polygon, line)
+    walked = faces(rings, inner_paths(polygon, line, crossings))
+    outlines, holes = [w for w in walked if ring_area(w) > 1e-9], [w for w in walked if ring_area(w) < -1e-9]
+    pieces = [[o] for o in outlines]
+    for h in holes:
+        inside = [x for x in pieces if within(h[0], x[0])]
+        if inside:
+            min(inside, key=lambda x: ring_area(x[0])).append(h)
+    return pieces
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("geom", GEOMETRY_TYPE), T.StructField("area", T.DoubleType())])))
 def split_by_line(geom: pd.Series, line: pd.Series) -> pd.Series:
-    """Both sides of the line through the first and last point of ``line``, greatest first.
+    """Pieces of a geometry along a polyline, greatest first; holes and separate sides are kept apart.
 
-    Sides of at most 0.5 square metres are no pieces.
+    The line reaches 5 m past both its ends.  Pieces of at most 0.5 square metres are left out; a
+    line that misses, or ends inside, gives one piece.
     """
     rows = []
-    for g, l in zip(geom, line, strict=True):
-        rings = as_rings(g)
-        if not rings or l is None or len(l) < 2:
+    for g, v in zip(geom, line, strict=True):
+        if g is None or v is None or len(v) < 2:
             rows.append([])
             continue
-        a = np.array([l[0]["x"], l[0]["y"]])
-        d = np.array([l[-1]["x"], l[-1]["y"]]) - a
-        pieces = [half_plane(rings[0], a, d, s) for s in (1.0, -1.0)]
-        sized = sorted(((abs(ring_area(p)), p) for p in pieces if len(p) >= 3), key=lambda x: -x[0])
-        rows.append([{"geom": plain([[p]]), "area": s} for s, p in sized if s > 0.5])
+        way = lengthened(np.array([(p["x"], p["y"]) for p in v], float), 5.0)
+        pieces = [x for polygon in g if (rings := as_rings([polygon])) for x in cut_polygon(rings, way)]
+        sized = sorted(((sum(map(ring_area, x)), x) for x in pieces), key=lambda x: -x[0])
+        rows.append([{"geom": plain([x]), "area": float(s)} for s, x in sized if s > 0.5])
     return pd.Series(rows, dtype=object)

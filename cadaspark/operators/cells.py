@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.operators.graph import components as graph_components
+from cadaspark.operators.graph import written
+from cadaspark.operators.spatial import nearest
 
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
 REACH, SPECK_CELLS = 20, 25
@@ -44,12 +46,17 @@ def majority_filter(cells: DataFrame, reach: int = 1) -> DataFrame:
     return best.join(cells.select("x", "y"), ["x", "y"], "left_semi")
 
 
-def nearest_fill(empty: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """x, y, label of the nearest seed by squared distance within ``reach`` (ties: least label)."""
-    near = offsets(seeds.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "label", "x", "y"), reach)
-    d = (F.col("ox") - F.col("sx")) ** 2 + (F.col("oy") - F.col("sy")) ** 2
-    best = near.withColumn("d", d).groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.min(F.struct("d", "label")).alias("m"))
-    return empty.select("x", "y").join(best, ["x", "y"]).select("x", "y", "m.label", F.col("m.d").alias("d2"))
+def nearest_fill(empty: DataFrame, seeds: DataFrame, cell: float = 8.0) -> DataFrame:
+    """x, y, label, d2: the nearest seed's label and squared distance (ties: least label), at any distance.
+
+    Only seeds with a neighbour that is none can be nearest, so the search runs over rims.
+    """
+    held = seeds.select("x", "y").distinct()
+    full = offsets(held, 1).groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.count("*").alias("n")).filter("n = 9").select("x", "y")
+    rims = seeds.select("x", "y", "label").join(full, ["x", "y"], "left_anti")
+    asked = empty.select("x", "y").distinct().withColumn("cell", F.struct("x", "y"))
+    found = nearest(asked, "cell", rims, 1, "label", cell)
+    return found.select(F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_label").alias("label"), ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2).alias("d2"))
 
 
 def in_tiles(cells: DataFrame, columns: list[str], work: Callable, schema: str, tile: int = 64, halo: int = 8) -> DataFrame:
@@ -80,22 +87,84 @@ def windowed(raster: np.ndarray, reach: int, pick: Callable) -> np.ndarray:
     return raster
 
 
-def ground_filter(cells: DataFrame, tile: int = 64, reaches: tuple[int, ...] = (1, 2, 4, 8), slope: float = 0.15, first: float = 0.3, most: float = 2.5, gsd: float = 1.0) -> DataFrame:
-    """x, y, ground: False where growing openings lower the surface by more than the threshold."""
+# --- fixed values of the ground filter, in metres ---
+WINDOWS, SLOPE, FIRST_DROP, MOST_DROP, SMOOTH = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 0.15, 0.3, 2.5, 3.0
+# --- end of fixed values ---
+
+
+def window_cells(metres: float, gsd: float) -> int:
+    """Cells of a window's side: odd, three at least."""
+    return max(3, round(metres / gsd) | 1)
+
+
+def extent(cells: DataFrame) -> tuple[int, int, int, int]:
+    return cells.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+
+
+def framed(pdf: pd.DataFrame, column: str, edges: tuple, tile: int, halo: int, empty: float) -> tuple[np.ndarray, int, int]:
+    """A tile with its halo, cut at the raster's own edges, as an array, and its least x and y."""
+    x0, y0 = (max(int(pdf[t].iloc[0]) * tile - halo, e) for t, e in (("tx", edges[0]), ("ty", edges[1])))
+    x1, y1 = (min((int(pdf[t].iloc[0]) + 1) * tile + halo - 1, e) for t, e in (("tx", edges[2]), ("ty", edges[3])))
+    out = np.full((y1 - y0 + 1, x1 - x0 + 1), empty)
+    out[pdf["y"] - y0, pdf["x"] - x0] = pdf[column]
+    return out, x0, y0
+
+
+def ground_filter(cells: DataFrame, gsd: float = 1.0, tile: int = 256, windows: tuple[float, ...] = WINDOWS, slope: float = SLOPE, first: float = FIRST_DROP, most: float = MOST_DROP) -> DataFrame:
+    """x, y, ground: False where an opening lowers the surface by more than its threshold.
+
+    Windows double from round to round; the first threshold is ``first``, the next ones follow the
+    window's growth in the round before.  Cells without a value (null, NaN, or no row) never lower
+    a surface, and are no ground; tiles do not show in the result.
+    """
+    reaches = [window_cells(w, gsd) // 2 for w in windows]
+    steps = [w - b for w, b in zip(windows, (0.0, *windows), strict=False)]
+    drops = [first, *(min(most, slope * step + first) for step in steps)]
+    edges, halo = extent(cells), 2 * sum(reaches)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        surface, y, x = as_raster(pdf, "value", np.nan)
-        surface = np.where(np.isnan(surface), np.nanmedian(surface), surface)
-        ground = np.ones(surface.shape, bool)
-        for k, r in enumerate(reaches):
+        surface, x0, y0 = framed(pdf, "value", edges, tile, halo, np.nan)
+        ground = np.isfinite(surface)
+        surface = np.where(ground, surface, np.inf)
+        for r, drop in zip(reaches, drops, strict=False):
             opened = windowed(windowed(surface, r, np.min), r, np.max)
-            step = (r - (reaches[k - 1] if k else 0)) * gsd
-            ground &= surface - opened <= min(most, first + slope * step)
+            with np.errstate(invalid="ignore"):
+                ground &= surface - opened <= drop
             surface = opened
-        out = pdf[["x", "y"]].assign(ground=ground[y, x])
+        out = pdf[["x", "y"]].assign(ground=ground[pdf["y"] - y0, pdf["x"] - x0])
         return out[pdf["inside"].to_numpy()]
 
-    return in_tiles(cells, ["value"], work, "x int, y int, ground boolean", tile, 2 * sum(reaches))
+    return in_tiles(cells, ["value"], work, "x int, y int, ground boolean", tile, halo)
+
+
+def terrain(cells: DataFrame, gsd: float = 1.0, tile: int = 256) -> DataFrame:
+    """x, y, dtm, ndsm of every cell of a surface: the ground below it and its height above.
+
+    Cells that are no ground take the nearest ground's height (ties: the least), heights are
+    smoothed by a square mean, mirrored at the raster's edges, and never lie above the surface.
+    Without any ground all is as low as the lowest cell.  ``ndsm`` is null where there is no value.
+    """
+    flags = written(cells.join(ground_filter(cells, gsd, tile), ["x", "y"]), "ground")
+    ground = flags.filter("ground")
+    if ground.isEmpty():
+        low = cells.agg(F.min(F.nanvl("value", F.lit(None))).alias("dtm"))
+        return cells.select("x", "y", "value").crossJoin(F.broadcast(low)).select("x", "y", "dtm", F.greatest(F.col("value") - F.col("dtm"), F.lit(0.0)).alias("ndsm"))  # one row
+    filled = nearest_fill(flags.filter("not ground"), ground.select("x", "y", F.col("value").alias("label")))
+    whole = written(ground.select("x", "y", "value", F.col("value").alias("base")).unionByName(flags.filter("not ground").select("x", "y", "value").join(filled.select("x", "y", F.col("label").alias("base")), ["x", "y"])), "terrain")
+    edges, size = extent(cells), max(3, int(SMOOTH / gsd))
+    before = size // 2
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, x0, y0 = framed(pdf, "base", edges, tile, size, np.nan)
+        for axis in (0, 1):
+            wide = np.pad(base, [(before, size - 1 - before) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            base = np.lib.stride_tricks.sliding_window_view(wide, size, axis=axis).mean(axis=-1)
+        value = pdf["value"].astype(float)
+        smooth = base[pdf["y"] - y0, pdf["x"] - x0]
+        dtm = np.where(np.isfinite(value), np.minimum(smooth, value), smooth)
+        return pdf[["x", "y"]].assign(dtm=dtm, ndsm=np.maximum(value - dtm, 0))[pdf["inside"].to_numpy()]
+
+    return in_tiles(whole, ["value", "base"], work, "x int, y int, dtm double, ndsm double", tile, size)
 
 
 def edge_strength(cells: DataFrame, tile: int = 64) -> DataFrame:

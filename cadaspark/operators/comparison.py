@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geometry import box_area
+from cadaspark.operators.graph import written
 from cadaspark.operators.spatial import CELL, box_pairs, covered_area, nearest, overlay
 
 # --- fixed values: results must equal these, so they are stated as they are ---
@@ -122,18 +123,18 @@ def outline_distance(x: str, y: str, box: str) -> Column:
 
 
 def outline_errors(points: DataFrame, layer: DataFrame, reach: float = CELL) -> DataFrame:
-    """point_id, error_m: distance to the nearest outline; the search widens until all are found."""
+    """point_id, error_m: distance to the nearest outline; the search widens, with its cells, until all are found."""
     span = layer.agg(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).first()
     found, todo = None, points
     while True:
         boxed = todo.select("point_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-        pairs = box_pairs(boxed, layer, reach).withColumn("error_m", outline_distance("a_x0", "a_y0", "b_"))
-        least = pairs.filter(F.col("error_m") <= reach).groupBy(F.col("a_point_id").alias("point_id")).agg(F.min("error_m").alias("error_m"))
+        pairs = box_pairs(boxed, layer, reach, max(CELL, reach)).withColumn("error_m", outline_distance("a_x0", "a_y0", "b_"))
+        least = written(pairs.filter(F.col("error_m") <= reach).groupBy(F.col("a_point_id").alias("point_id")).agg(F.min("error_m").alias("error_m")), "outline-errors")
         found = least if found is None else found.unionByName(least)
-        todo = todo.join(least, "point_id", "left_anti")
+        todo = written(todo.join(least, "point_id", "left_anti"), "outline-todo")
         if reach >= max(v or 0.0 for v in span) + CELL or todo.isEmpty():
             return found
-        reach *= 8
+        reach *= 4
 
 
 def point_accuracy(errors: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -5,16 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet below ``spark.checkpoint.dir`` and read back, which cuts the lineage."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the setting is absent, a session on this machine alone takes a temporary folder; a
+    session on a cluster gets an error, as executors could not read one another's folders.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write as Parquet below the shared folder and read back, which cuts the lineage; with the folder."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return write_table(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that no plan reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -23,13 +47,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Every round hands each node the least label around it and then jumps to that label's own label,
     so the number of rounds grows with the logarithm of a component's width.
     """
+    spark = nodes.sparkSession
     ways = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "ways")
-    labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
+    labels, folder = write_table(nodes.select("node", F.col("node").alias("component")), "labels")
     while True:
         around = ways.join(labels.toDF("b", "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
         pulled = labels.join(around.toDF("node", "m"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = pulled.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        now = written(pulled.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")), "labels")
-        labels = now.select("node", "component")
+        now, new_folder = write_table(pulled.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")), "labels")
+        removed(spark, folder)
+        labels, folder = now.select("node", "component"), new_folder
         if now.filter("old <> component").isEmpty():
             return labels

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geometry import bounds, box_area, box_distance, box_overlap, union_area
+from cadaspark.operators.graph import written
 
 #: Default side of a cell in metres: a few times the side of a usual parcel.
 CELL = 50.0
@@ -87,15 +88,16 @@ def containing(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataF
 def nearest(points: DataFrame, key: str, targets: DataFrame, k: int, tie: str, cell: float = CELL) -> DataFrame:
     """The ``k`` nearest targets (``x``, ``y``) of every point, with ``distance`` and ``rank``.
 
-    Cells are searched in rings of doubling width.  A point is done when it has ``k`` targets no
-    farther than the ring reaches; only the others go on, until the ring spans both layers.
+    A round looks at the nine cells around a point.  A point is done when it has ``k`` targets no
+    farther than a cell's side; only the others go on, to cells four times as wide, until a cell
+    spans both layers.  Rounds are written, so none is computed twice.
     """
-    b = named(targets, "b_").withColumn("cx", F.floor(F.col("b_x") / cell)).withColumn("cy", F.floor(F.col("b_y") / cell))
     span = points.select("x", "y").unionByName(targets.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     most = max([0.0, *(v for v in span if v is not None)])
-    found, todo, width = None, points, 1
+    found, todo = None, points
+    ring = F.sequence(F.lit(-1), F.lit(1))
     while True:
-        ring = F.sequence(F.lit(-width), F.lit(width))
+        b = named(targets, "b_").withColumn("cx", F.floor(F.col("b_x") / cell)).withColumn("cy", F.floor(F.col("b_y") / cell))
         a = named(todo, "a_").withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
         a = a.withColumn("cx", F.floor(F.col("a_x") / cell) + F.col("dx")).withColumn("cy", F.floor(F.col("a_y") / cell) + F.col("dy")).drop("dx", "dy")
         pairs = a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))
@@ -106,14 +108,15 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, k: int, tie: str, c
         else:
             order = W.partitionBy(f"a_{key}").orderBy("distance", f"b_{tie}")
             ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        last = width * cell >= most
+        last = cell >= most
+        ranked = written(ranked, "nearest")
         if not last:
-            full = ranked.filter((F.col("rank") == k) & (F.col("distance") <= width * cell)).select(F.col(f"a_{key}").alias(key))
-            ranked = ranked.join(full.withColumnRenamed(key, f"a_{key}"), f"a_{key}", "left_semi")
+            full = ranked.filter((F.col("rank") == k) & (F.col("distance") <= cell)).select(F.col(f"a_{key}").alias(key))
+            ranked = ranked.join(full.withColumnRenamed(key, f"a_{key}"), f"a_{key}", "left_semi") if k > 1 else ranked.filter(F.col("distance") <= cell)
         found = ranked if found is None else found.unionByName(ranked)
         if last:
             return found
-        todo = todo.join(full, key, "left_anti")
+        todo = written(todo.join(full, key, "left_anti"), "nearest-todo")
         if todo.isEmpty():
             return found
-        width *= 4
+        cell *= 4

@@ -24,11 +24,12 @@ def majority_filter(spark, sf_dir):
 
 @query(
     """select x, y, arg_min(label, d2 * 1000 + label) as label, min(d2)::double as d2 from (select g.x, g.y, h.label, (g.x - h.x) ** 2 + (g.y - h.y) ** 2 as d2 from grid g join grid h
-    on abs(g.x - h.x) <= 6 and abs(g.y - h.y) <= 6 and h.value > 35 where not g.mask) group by x, y"""
+    on h.value > 49 where not g.mask) group by x, y"""
 )
 def nearest_fill(spark, sf_dir):
+    """Every unset cell takes the label of the nearest seed; seeds are few, so some are far."""
     g = x.grid(spark, sf_dir)
-    return c.nearest_fill(g.filter("not mask"), g.filter("value > 35"), 6)
+    return c.nearest_fill(g.filter("not mask"), g.filter("value > 49"))
 
 
 @query(
@@ -44,7 +45,14 @@ def nearest_house_parcels(spark, sf_dir):
 
 @query()
 def ground_filter(spark, sf_dir):
-    return c.ground_filter(x.grid(spark, sf_dir))
+    """Ground of a surface with missing cells."""
+    return c.ground_filter(x.grid(spark, sf_dir).filter("label <> 3"))
+
+
+@query()
+def terrain_model(spark, sf_dir):
+    """Terrain below a surface and heights above it."""
+    return c.terrain(x.grid(spark, sf_dir).withColumn("value", F.col("value") / 10))
 
 
 @query(

@@ -6,43 +6,42 @@ stream over all available input into Parquet below the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.functions.rules import VERDICT_STATUS, looked_up
+from cadaspark.operators.graph import shared_folder
 
 LATE = "10 minutes"
 
 
-def source(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
-
-
-def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def source(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """A stream over Parquet files, ``files`` of them in a micro-batch (all that there are, if not given)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All results of a stream over the input there is now.
 
-    Append mode writes to a file sink.  In update and complete mode each micro-batch is written with
-    its number; readers take the last row of a key (see :func:`newest`).
+    Append mode writes to a file sink.  In update mode each micro-batch is written with its number;
+    readers take the last row of a key (see :func:`newest`).  In complete mode every micro-batch
+    holds the whole result, so the last one alone is read.
     """
     spark = stream.sparkSession
-    folder, state = shared(spark, name), shared(spark, f"{name}-state")
+    folder, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", folder).outputMode("append").start()
-        schema = stream.schema
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}")).start()
-        schema = None
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(folder)
+    query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/n={n}")).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(folder) if schema is not None else spark.read.parquet(folder)
+    every = spark.read.parquet(folder)
+    if mode == "complete":
+        last = every.agg(F.max("n")).first()[0]  # a partition column
+        return every.filter(F.col("n") == last)
+    return every
 
 
 def newest(results: DataFrame, *keys: str) -> DataFrame:
@@ -74,7 +73,11 @@ def on_site_share(visits: DataFrame, width: str = "1 hour", step: str = "30 minu
 
 
 def sessions(visits: DataFrame, gap: str = "2 hours", late: str = LATE) -> DataFrame:
-    """Visits of a parcel in sessions that a pause ends."""
+    """Visits of a parcel in sessions that a pause ends.
+
+    In append mode a session comes once, when the watermark has passed it, and its state goes; in
+    complete mode all sessions so far come with every micro-batch, and all state stays.
+    """
     by = visits.withWatermark("time", late).groupBy(F.session_window("time", gap).alias("w"), "parcel_id").agg(F.count("*").alias("visits"))
     return by.select("parcel_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "visits")
 

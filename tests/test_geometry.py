@@ -78,3 +78,37 @@ def test_projections(spark):
     assert back[2].u.x == pytest.approx(611200, abs=200)  # one degree east of the meridian of zone 32
     e = df.select(p.local_inverse(p.local_forward(F.col("lon"), F.col("lat"), F.lit(78.0), F.lit(17.0))["x"], p.local_forward(F.col("lon"), F.col("lat"), F.lit(78.0), F.lit(17.0))["y"], F.lit(78.0), F.lit(17.0))["lon"]).first()[0]
     assert e == pytest.approx(78.5)
+
+
+def pieces(polygon, *line):
+    rings = k.as_rings([polygon])
+    return sorted((round(sum(map(k.ring_area, p)), 6) for p in k.cut_polygon(rings, k.lengthened(np.array(line, float), 5.0))), reverse=True)
+
+
+def test_cut_of_polygons():
+    square = shape([(0, 0), (20, 0), (20, 20), (0, 20)])[0]
+    assert pieces(square, (8, -1), (8, 21)) == [240, 160]
+    assert pieces(square, (8, 1), (8, 19)) == [240, 160]  # the line reaches past its ends
+    assert pieces(square, (-30, 40), (50, 41)) == [400]  # misses
+    assert pieces(square, (-5, 10), (8, 10)) == [400]  # ends inside
+    assert pieces(square, (-5, 8), (8, 8), (8, -5)) == [336, 64]  # a bend
+    assert pieces(square, (0, 0), (20, 20)) == [200, 200]  # through corners
+    comb = shape([(0, 0), (30, 0), (30, 20), (20, 20), (20, 5), (10, 5), (10, 20), (0, 20)])[0]
+    assert pieces(comb, (-1, 10), (31, 10)) == [250, 100, 100]  # both teeth stay apart
+    ring = shape([(0, 0), (20, 0), (20, 20), (0, 20)], [(5, 5), (15, 5), (15, 15), (5, 15)])[0]
+    assert pieces(ring, (10, -1), (10, 21)) == [150, 150]
+    assert pieces(ring, (2, -1), (2, 21)) == [260, 40]  # the hole stays with its side
+    assert pieces(ring, (-1, 10), (6, 10)) == [300]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_cuts_keep_the_area(seed):
+    rng = np.random.default_rng(seed)
+    a = star(rng, 14)
+    line = np.array([(-20, rng.uniform(-4, 4)), (rng.uniform(-3, 3), rng.uniform(-4, 4)), (20, rng.uniform(-4, 4))])
+    found = k.cut_polygon(k.as_rings(a), line)
+    assert len(found) >= 2
+    assert sum(sum(map(k.ring_area, p)) for p in found) == pytest.approx(size(a), rel=1e-5)
+    for i, p in enumerate(found):
+        assert k.overlap(shape(p[0]), a) == pytest.approx(k.ring_area(p[0]), rel=1e-4, abs=1e-4)
+        assert all(k.overlap(shape(p[0]), shape(q[0])) < 1e-3 for q in found[:i])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.operators import cells as c
 from cadaspark.operators import topology as t
-from cadaspark.operators.graph import components
+from cadaspark.operators.graph import components, shared_folder
 from cadaspark.plans import fixtures as x
 from cadaspark.plans import registry
 from cadaspark.sources import layers
@@ -57,6 +57,78 @@ def test_ground_filter_is_tile_independent(spark):
     assert {(i, j) for j in range(10, 14) for i in range(20, 26)} == raised
 
 
+def test_ground_and_terrain_with_missing_cells(spark):
+    """Against the whole raster at once; tiles do not show, and missing cells are no ground."""
+    rng = np.random.default_rng(8)
+    n, m = 70, 45
+    z = np.add.outer(np.arange(n) * 0.03, np.arange(m) * 0.02) + rng.normal(0, 0.02, (n, m))
+    z[20:29, 10:18] += 5
+    z[50:53, 30:33] += 2
+    z[rng.random((n, m)) < 0.04] = np.nan
+    z[0, 0], z[22:24, 9:12] = np.nan, np.nan
+    rows = [(j, i, float(z[i, j])) for i in range(n) for j in range(m) if not (np.isnan(z[i, j]) and (i + j) % 2)]  # some as NaN, some without a row
+    cells = spark.createDataFrame(rows, "x int, y int, value double")
+    surface, want = np.where(np.isnan(z), np.nanmax(z), z), np.isfinite(z)
+    drop = 0.3
+    for w, before in zip(c.WINDOWS, (0.0, *c.WINDOWS), strict=False):
+        r = max(3, round(w) | 1) // 2
+        box = lambda a, f: np.array([[f(a[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]) for j in range(m)] for i in range(n)])  # noqa: B023, E731
+        opened = box(box(surface, np.min), np.max)
+        want &= surface - opened <= drop
+        drop, surface = min(2.5, 0.15 * (w - before) + 0.3), opened
+    for tile in (16, 256):
+        got = c.ground_filter(cells, tile=tile).collect()
+        assert len(got) == len(rows) and all(r.ground == want[r.y, r.x] for r in got)
+    assert not want[24, 14] and want[5, 40]
+    spots = [(i, j) for i in range(n) for j in range(m) if want[i, j]]
+    base = z.copy()
+    for j, i, _ in rows:
+        if not want[i, j]:
+            base[i, j] = min(((a - i) ** 2 + (b - j) ** 2, z[a, b]) for a, b in spots)[1]
+    inside = {(j, i) for j, i, _ in rows}
+    for tile in (16, 256):
+        for r in c.terrain(cells, tile=tile).collect():
+            near = [(min(max(a, 0), n - 1), min(max(b, 0), m - 1)) for a in (r.y - 1, r.y, r.y + 1) for b in (r.x - 1, r.x, r.x + 1)]
+            if all((b, a) in inside for a, b in near):
+                smooth = np.mean([base[a, b] for a, b in near])
+                low = smooth if np.isnan(z[r.y, r.x]) else min(smooth, z[r.y, r.x])
+                assert abs(r.dtm - low) < 1e-9
+                assert np.isnan(z[r.y, r.x]) or abs(r.ndsm - max(0, z[r.y, r.x] - low)) < 1e-9
+
+
+def test_nearest_fill_at_any_distance(spark):
+    seeds = [(0, 0, 3), (1, 0, 3), (0, 1, 2), (300, 4, 9)]
+    empty = [(5, 5), (150, 2), (149, 3), (900, 900), (2, 0)]
+    got = {(r.x, r.y): (r.label, r.d2) for r in c.nearest_fill(spark.createDataFrame(empty, "x int, y int"), spark.createDataFrame(seeds, "x int, y int, label int")).collect()}
+    assert got == {e: min((((e[0] - x) ** 2 + (e[1] - y) ** 2), k) for x, y, k in seeds)[::-1] for e in empty}
+
+
+def test_sessions_over_micro_batches(spark, tmp_path):
+    """A session that goes on in the next micro-batch is one session."""
+    rows = [(1, 7, "2024-01-01 10:00:00"), (2, 8, "2024-01-01 10:30:00"), (3, 7, "2024-01-01 11:00:00")]
+    df = spark.createDataFrame(rows, "obs_id bigint, parcel_id bigint, time string").withColumn("time", F.to_timestamp("time"))
+    for part in (df.filter("obs_id <= 2"), df.filter("obs_id = 3")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = v.source(spark, str(tmp_path / "in"), df.schema, 1)
+    got = sorted((r.parcel_id, r.visits) for r in v.run(v.sessions(stream), "sessions", "complete").collect())
+    assert got == [(7, 2), (8, 1)]
+
+
+def test_clusters_need_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    try:
+        shared_folder(Session(), "x")
+    except ValueError:
+        return
+    raise AssertionError("a cluster's executors cannot share a local folder")
+
+
 def test_auto_fix_leaves_no_overlap_and_keeps_the_ground(spark):
     boxes = x.parcels(spark, SF).unionByName(x.parcels(spark, SF).filter("id % 50 = 0").withColumn("id", F.col("id") + 10_000))
     fixed, log = t.auto_fix(boxes)

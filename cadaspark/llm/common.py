@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +68,20 @@ def groups(batch: pa.RecordBatch, text: str = "text", most: int = GROUP_BYTES) -
         total += int(n)
     if first < batch.num_rows:
         yield batch.slice(first)
+
+
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at its end the worker gives its free memory back to the system.
+
+    Workers wait for their next task for a while, beside executors that need the memory by then.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole

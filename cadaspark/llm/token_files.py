@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadaspark.llm import pretokens
-from cadaspark.llm.common import clear_text, documents, groups, shared_dir
+from cadaspark.llm.common import clear_text, documents, freed, groups, shared_dir
+from cadaspark.llm.token_counts import byte_letters
 
 SEQUENCE = 1024
 BATCH_ROWS = 1024
@@ -43,23 +44,34 @@ class Encoder:
     """Ids by the tokenizers library; each distinct pre-token is encoded once and remembered.
 
     Byte-level BPE never joins over the borders of pre-tokens, so a text's ids are those of its
-    pre-tokens one after another.
+    pre-tokens one after another; the library's model encodes them, without the steps around it.
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[bytes, bytes] = {}
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        added = library.get_added_tokens_decoder()
+        self.special = tuple(t.content for t in added.values())
+        self.own = {t.content.encode(): np.array([i], np.uint32).tobytes() for i, t in added.items()}
+        self.known = dict(self.own)
+
+    def encode_word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each pre-token as unsigned 32-bit integers."""
         if len(self.known) > KEPT:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        made = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        own = {w: array("I", x.ids).tobytes() for w, x in zip(new, made, strict=True)}
-        self.known.update((w, x) for w, x in own.items() if len(w) <= 64)
-        return [own[w] if w in own else self.known[w] for w in words]
+            self.known = dict(self.own)
+        known, out = self.known, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = self.encode_word(w)
+                if len(w) <= 64:
+                    known[w] = ids
+            out.append(ids)
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end_id``, and the texts' counts."""
@@ -137,7 +149,11 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, doc_id: str =
     rows = df.select(df[doc_id].cast("bigint").alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
+    runs = pretokens.kind_runs()
+
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pretokens.give(runs)
         writer, shard = None, 0
         for batch in batches:
             for part in groups(batch):
@@ -172,6 +188,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a shard
     placed = manifest.select("name", before.alias("before"), "n_tokens").repartition(spark.sparkContext.defaultParallelism * 4, "name")
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():

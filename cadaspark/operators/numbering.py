@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.operators.graph import written
+from cadaspark.operators.ranks import counts_below
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], out: str, block: Column) -> DataFrame:
@@ -28,8 +29,38 @@ def with_defaults(parcels: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     return parcels.withColumn("status", F.when(F.col("status").isin(*statuses), F.col("status")).otherwise("draft")).withColumn("source", F.coalesce("source", F.lit("manual")))
 
 
+def padded(number: Column, width: int) -> Column:
+    """The number with leading zeros; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def provisional_pin(survey: Column, number: Column) -> Column:
-    return F.concat_ws("-", F.upper(survey), F.lpad(number.cast("string"), 4, "0"))
+    return F.concat_ws("-", F.upper(survey), padded(number, 4))
+
+
+def by_length(df: DataFrame, key: str, length: str, out: str) -> DataFrame:
+    """Adds ``out``: 1 for the longest row (ties: least key)."""
+    return ranked(df.withColumn("__all", F.lit(1)), "__all", [F.desc(length), F.col(key)], out, -F.floor(length)).drop("__all")
+
+
+def compacted(df: DataFrame, key: str, out: str) -> DataFrame:
+    """The distinct values of ``key`` with their numbers from 1, in order."""
+    return ranked(df.select(key).distinct().withColumn("__all", F.lit(1)), "__all", [F.col(key)], out, F.floor(F.col(key) / 10_000)).select(key, F.col(out).cast("bigint").alias(out))
+
+
+def sequenced(df: DataFrame, prefix: str, order: list[Column], block: Column, width: int = 3) -> DataFrame:
+    """Adds ``point_id``: the prefix with the row's number among its prefix's rows."""
+    out = ranked(df, prefix, order, "__number", block)
+    return out.withColumn("point_id", F.concat_ws("-", F.col(prefix), padded(F.col("__number"), width))).drop("__number")
+
+
+def split_at(df: DataFrame, column: str, share: float) -> DataFrame:
+    """One row: the first value of ``column`` up to which at least ``share`` of the rows lie, and that share."""
+    counts = counts_below(df.groupBy(column).agg(F.count("*").alias("n")), column, "n")
+    total = counts.agg(F.sum("n").alias("total"))
+    upto = (F.col("below") + F.col("n")) / F.col("total")
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", upto).filter(F.col("share") >= share).groupBy().agg(F.min(F.struct(column, "share")).alias("s")).select("s.*")  # one row
 
 
 def with_new_ids(df: DataFrame, wanting: str, key: str = "id") -> DataFrame:

@@ -49,3 +49,8 @@ def priority(landlocked: DataFrame, unrecorded: DataFrame, everything: DataFrame
 
 def top_per_group(df: DataFrame, group: str, *order: Column, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("bigint")).filter(F.col("rank") <= n)
+
+
+def most_alerts(buildings: DataFrame, n: int = 8) -> DataFrame:
+    """Buildings with the most alerts first (ties: least id)."""
+    return ranked(buildings, F.size("alerts").desc(), F.col("id"), n=n)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadaspark.operators.graph import written
+from cadaspark.operators.ranks import counts_below, quantiles
+
 FOUND_IOU, VOTES, SOLO_SCORE, LEAST_CELLS = 0.5, 2, 0.85, 20
 
 
@@ -78,8 +80,7 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: list[floa
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: auc, from counts by distinct score (ties count half), so no sort of all rows in one task."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a distinct score
-    return by.withColumn("below", below).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return counts_below(by, "s", "n").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def match_rates(best: DataFrame) -> DataFrame:
@@ -90,9 +91,8 @@ def match_rates(best: DataFrame) -> DataFrame:
 
 def geo_split(df: DataFrame, x: str, share: float, buffer: float) -> DataFrame:
     """Adds ``fold``: test east of the quantile of ``x``, train west of the buffer strip, else dropped."""
-    line = df.agg(F.percentile(x, F.lit(1 - share)).alias("__line"))
-    fold = F.when(F.col(x) > F.col("__line"), "test").when(F.col(x) < F.col("__line") - buffer, "train").otherwise("buffer")
-    return df.crossJoin(F.broadcast(line)).withColumn("fold", fold).drop("__line")  # one row
+    (line,) = quantiles(df, F.col(x), [1 - share])
+    return df.withColumn("fold", F.when(F.col(x) > F.lit(line), "test").when(F.col(x) < F.lit(line) - buffer, "train").otherwise("buffer"))
 
 
 def boundary_f(pred: DataFrame, truth: DataFrame, reach: int = 1) -> DataFrame:
@@ -118,7 +118,9 @@ def voted(items: DataFrame, members: int) -> DataFrame:
 def packed_labels(masks: DataFrame, least: int = LEAST_CELLS) -> DataFrame:
     """One label a cell from overlapping masks: the best score wins; small remains go."""
     won = masks.groupBy("x", "y").agg(F.max_by("mask", F.struct("score", -F.col("mask"))).alias("label"))
-    return won.withColumn("n", F.count("*").over(W.partitionBy("label"))).filter(F.col("n") >= least).drop("n")
+    won = written(won, "packed-labels")
+    big = won.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label")
+    return won.join(big, "label", "left_semi").select("x", "y", "label")
 
 
 def label_votes(tiles: DataFrame) -> DataFrame:

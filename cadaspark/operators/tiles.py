@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.operators.cells import SIDES, offsets
 from cadaspark.operators.graph import written
+from cadaspark.operators.ranks import quantiles
 from cadaspark.operators.topology import box_cells
 
 
@@ -98,3 +99,9 @@ def cell_classifier(df: DataFrame, features: list[str], label: str, folds: int =
         scored = model.transform(ready.filter(F.col("fold") == k))
         rows.append((k, scored.count(), float(BinaryClassificationEvaluator().evaluate(scored))))
     return df.sparkSession.createDataFrame(rows, "fold int, rows bigint, auc double")
+
+
+def area_profile(df: DataFrame, area: Column, large: float) -> DataFrame:
+    """One row: the 10th, 50th, 90th and 99th percentile of areas, and how many exceed ``large``."""
+    values = quantiles(df, area, [0.1, 0.5, 0.9, 0.99])
+    return df.agg(*[F.lit(v).cast("double").alias(f"p{k}") for k, v in zip((10, 50, 90, 99), values, strict=True)], F.count_if(area > large).alias("large"))

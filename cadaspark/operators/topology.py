@@ -15,15 +15,16 @@ OVERLAP_M2, GAP_LEAST_M2, GAP_MOST_M2 = 0.5, 1.0, 400.0
 SLIVER_THINNESS, SLIVER_M2, LEAST_M2, DUPLICATE_IOU = 0.12, 60.0, 12.0, 0.95
 
 SEVERITY = {"INVALID": "high", "OVERLAP": "high", "DUPLICATE": "high", "HOLE": "medium", "MULTIPART": "medium", "TOO_SMALL": "medium", "SLIVER": "medium", "GAP": "medium"}
+#: What our repair does about each type.
 FIXES = {
-    "INVALID": "cut the outline at its crossings and keep the largest part",
-    "HOLE": "fill the enclosed area or split the parcel around it",
-    "MULTIPART": "keep the largest piece and merge the others into their neighbours",
-    "TOO_SMALL": "merge into the neighbour with the longest shared border",
-    "SLIVER": "merge into the neighbour with the longest shared border",
-    "OVERLAP": "give the shared area to one of the parcels",
-    "DUPLICATE": "delete one of the two",
-    "GAP": "give the area to the neighbour with the longest shared border",
+    "INVALID": "outlines are cut at their crossings",
+    "HOLE": "looked at by hand: the repair leaves holes",
+    "MULTIPART": "looked at by hand: the repair leaves parts",
+    "TOO_SMALL": "its cells go to the parcel that they border most",
+    "SLIVER": "looked at by hand unless it is too small as well",
+    "OVERLAP": "contested cells go to the parcel of higher confidence, then area, then the lesser id",
+    "DUPLICATE": "the parcel of lower rank is dropped",
+    "GAP": "looked at by hand: the repair leaves gaps",
 }
 
 
@@ -68,11 +69,17 @@ def overlap_pairs(layer: DataFrame, exact: bool = False) -> DataFrame:
     return pairs.select("a_id", "b_id", "inter", "iou", (100 * F.col("inter") / F.least("a_area", "b_area")).alias("pct_of_smaller"), kind.alias("type"))
 
 
-def issues(parcels: DataFrame) -> DataFrame:
-    """All issues but gaps of a parcel layer (``id``, ``geom``): type, severity, parcel_ids, amount, suggested_fix."""
+def issues(parcels: DataFrame, gap_cell: float | None = None) -> DataFrame:
+    """All issues of a parcel layer (``id``, ``geom``): type, severity, parcel_ids, amount, suggested_fix.
+
+    Gaps are found on cells of ``gap_cell`` metres, and left out where none is given.
+    """
     layer = written(measured(parcels), "measured")
-    pairs = overlap_pairs(layer, exact=True).select("type", F.array("a_id", "b_id").alias("parcel_ids"), F.col("inter").alias("amount"))
-    return shape_issues(layer).unionByName(pairs).select("type", looked_up(SEVERITY, F.col("type")).alias("severity"), "parcel_ids", "amount", looked_up(FIXES, F.col("type")).alias("suggested_fix"))
+    found = shape_issues(layer).unionByName(overlap_pairs(layer, exact=True).select("type", F.array("a_id", "b_id").alias("parcel_ids"), F.col("inter").alias("amount")))
+    if gap_cell:
+        gaps = gaps_between(polygon_cells(layer, gap_cell), gap_cell)
+        found = found.unionByName(gaps.select(F.lit("GAP").alias("type"), F.col("neighbours").alias("parcel_ids"), F.col("area_m2").alias("amount")))
+    return found.select("type", looked_up(SEVERITY, F.col("type")).alias("severity"), "parcel_ids", "amount", looked_up(FIXES, F.col("type")).alias("suggested_fix"))
 
 
 def issue_types(found: DataFrame) -> DataFrame:
@@ -125,14 +132,28 @@ def box_cells(boxes: DataFrame, size: float = 1.0) -> DataFrame:
     return ok.withColumn("cx", F.explode(F.sequence(first("x0"), last("x1")))).withColumn("cy", F.explode(F.sequence(first("y0"), last("y1")))).select("id", "cx", "cy")
 
 
+def polygon_cells(layer: DataFrame, size: float = 1.0) -> DataFrame:
+    """``id``, ``cx``, ``cy`` of the grid cells whose centres lie in a polygon (``geom``, with its box)."""
+    boxed = box_cells(layer.select("id", "x0", "y0", "x1", "y1"), size)
+    inside = g.contains_point(F.col("geom"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)
+    plain = (g.area(F.col("geom")) >= (1 - 1e-9) * g.box_area()) & (F.size("geom") == 1)  # boxes need no test
+    marked = layer.select("id", "geom", plain.alias("plain"))
+    whole = boxed.join(marked.filter("plain").select("id"), "id", "left_semi")
+    return whole.unionByName(boxed.join(marked.filter("not plain").select("id", "geom"), "id").filter(inside).select("id", "cx", "cy"))
+
+
 def coverage_gaps(boxes: DataFrame, size: float = 1.0) -> DataFrame:
+    """Gaps of a layer of boxes (see :func:`gaps_between`)."""
+    return gaps_between(box_cells(boxes, size), size)
+
+
+def gaps_between(covered: DataFrame, size: float = 1.0) -> DataFrame:
     """Enclosed areas that no parcel covers, of more than 1 and at most 400 square metres.
 
     Works on cells: free cells near a parcel form components, and a component is a gap if it is small
     and none of its cells has a neighbour outside the examined margin.  Returns ``gap`` (its least
     cell), ``area_m2`` and ``neighbours`` (ids of parcels at its sides).
     """
-    covered = box_cells(boxes, size)
     taken = covered.select("cx", "cy").distinct()
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     side = int(GAP_MOST_M2**0.5 / size)  # a gap reaches a parcel within this many cells

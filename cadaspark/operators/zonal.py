@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaspark.functions.rules import APP_CLASSES, COVER, REMAP, cover_label, land_use, looked_up, storeys
+from cadaspark.operators.ranks import quantiles
 
 
 def zonal_stats(cells: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def parcel_attributes(cells: DataFrame, evidence: DataFrame) -> DataFrame:
     share = lambda name: F.coalesce(F.element_at("shares", F.lit(name)), F.lit(0.0))
     green = F.col("green") / F.col("cells")
     cover = F.col("built") / F.col("cells")
-    return joined.select("zone", "cells", cover.alias("cover"), "height_m", "storeys", "percent", cover_label(cover, F.col("shares")).alias("landcover"), land_use(F.col("buildings"), F.col("largest_m2"), cover, F.col("frontage_m"), F.col("height_m"), F.col("area_m2"), share("water"), green).alias("land_use"))
+    return joined.select("zone", "cells", cover.alias("cover"), "height_m", "storeys", "percent", cover_label(cover, F.col("shares")).alias("landcover"), land_use(F.col("buildings"), F.col("largest_m2"), cover, F.col("frontage_m"), F.col("height_m"), F.col("area_m2"), share("water"), green)["use"].alias("land_use"))
 
 
 def remapped(cells: DataFrame) -> DataFrame:
@@ -65,6 +66,6 @@ def majority_owner(cells: DataFrame) -> DataFrame:
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
     """Adds ``scaled``: 0 at the 2nd and 1 at the 98th percentile, clipped."""
-    p = df.agg(F.percentile(column, F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    span = F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(1e-9))
-    return df.crossJoin(F.broadcast(p)).withColumn("scaled", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(column) - F.col("p")[0]) / span))).drop("p")  # one row
+    low, high = quantiles(df, F.col(column), [0.02, 0.98])
+    span = max((high or 0.0) - (low or 0.0), 1e-9)
+    return df.withColumn("scaled", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(column) - F.lit(low)) / span)))

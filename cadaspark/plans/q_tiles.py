@@ -87,9 +87,7 @@ def layer_extent(spark, sf_dir):
     from (select (x1 - x0) * (y1 - y0) as a from parcels)"""
 )
 def area_profile(spark, sf_dir):
-    q = F.percentile(box_area(), F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.99)))).alias("q")
-    out = x.parcels(spark, sf_dir).agg(q, F.count_if(box_area() > 300).alias("large"))
-    return out.select(F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"), F.round(F.col("q")[3], 4).alias("p99"), "large")
+    return tiles.area_profile(x.parcels(spark, sf_dir), box_area(), 300).withColumn("p99", F.round("p99", 4))
 
 
 @query("select id, greatest(x0, 100) as x0, greatest(y0, 50) as y0, least(x1, 700) as x1, least(y1, 600) as y1 from parcels where x0 < 700 and x1 > 100 and y0 < 600 and y1 > 50")

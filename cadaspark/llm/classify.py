@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import clear_text, groups, id_remainder, stored
+from cadaspark.llm.common import clear_text, freed, groups, id_remainder, stored
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
@@ -34,6 +34,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
 def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], np.ndarray]) -> np.ndarray:
     """The weights that ``fit`` makes of the sample, in one task; the result has a fixed size."""
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = pd.concat([*batches, pd.DataFrame({"doc_id": [], "text": [], "label": []})]).sort_values("doc_id")
         weights = fit(data["text"].tolist(), data["label"].to_numpy(np.int64))
@@ -49,6 +50,7 @@ def scored(docs: DataFrame, weights: np.ndarray, score: Callable[[list[str], np.
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_remainder("doc_id", modulus) == held).alias("held_out"), clear_text().alias("text"))
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import BLANKS, documents, stored
+from cadaspark.llm.common import BLANKS, documents, freed, stored
 
 #: Low bits of a fingerprint that a run keeps.
 REMAINDER_BITS = 44
@@ -82,6 +82,7 @@ def repeated_prints(prints: DataFrame, ranges: int) -> DataFrame:
     """Fingerprints (column ``__print``, signed) that occur more than once, with their counts."""
     bits = max(1, int(ranges - 1).bit_length())
 
+    @freed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[CountingQuotientFilter] = []
         for batch in batches:

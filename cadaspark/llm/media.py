@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import clear_text, documents, groups, stored
+from cadaspark.llm.common import clear_text, documents, freed, groups, stored
 
 RATE, UNIT = 8000, 64
 WINDOW, HOP = 256, 128
@@ -94,6 +94,7 @@ def media_column(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in (text, "n_bytes", "media")]
     rows = df.select(*[df[c] for c in kept], F.coalesce(df[text], F.lit("")).alias("__text"))
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch, "__text"):
@@ -129,6 +130,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch, "__media"):

@@ -83,19 +83,14 @@ def schedule(sources: DataFrame, step: int = PERIOD) -> DataFrame:
     return blocks.join(ends.select("i", "source"), "i").select("source", "block", "slot", "phase")
 
 
-def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int | None = None, digest: str | None = None) -> DataFrame:
-    """``df`` with ``__slot``, ``__phase``, ``__block`` and ``__place`` (in the block): the mixture's order.
-
-    ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
-    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  Any number of
-    sources can be mixed.  ``period`` may give the slots of a step; it does not alter the order, and
-    one with fewer slots than there are sources raises an error.  A null source is a source like
-    others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
-    whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
-    row appears exactly once; an empty table gives an empty result.
-    """
-    keyed = df.withColumn("__source", F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))))
-    keyed = keyed.withColumn("__hash", F.col(digest) if digest else F.xxhash64(*df.columns))
+def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int, period: int | None, digest: str | None) -> tuple[DataFrame, int]:
+    """What :func:`mixed` returns, and the number of slots."""
+    own = ("__slot", "__phase", "__block", "__place")
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    column = dict(zip(df.columns, inner, strict=True))
+    key = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+    keyed = df.toDF(*inner).withColumn("__source", key(column[source]))
+    keyed = keyed.withColumn("__hash", F.col(column[digest]) if digest else F.xxhash64(*inner))
     counts = stored(keyed.groupBy("__source").agg(F.count("*").alias("rows")), "mix-counts")
     n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most")).first()
     if period is not None and n["sources"] > period:
@@ -113,20 +108,43 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
 
     given = counts.select(F.col("__source").alias("source"), F.ceil(F.col("rows") / block).alias("blocks"), F.pow(F.col("rows").cast("double"), F.lit(TEMPER)).alias("own"))
     if weights is not None:
-        named = weights.select(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))).alias("source"), F.col("weight").cast("double").alias("weight")).filter("weight > 0")
+        named = weights.select(key("source").alias("source"), F.col("weight").cast("double").alias("weight")).filter("weight > 0")
         given = given.join(named, "source", "left").withColumn("weight", F.coalesce("weight", "own"))
     else:
         given = given.withColumn("weight", F.col("own"))
     plan = stored(schedule(given.select("source", "blocks", "weight"), period or PERIOD).withColumnRenamed("source", "__source"), "mix-plan")
-    plan = plan.select("__source", F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("phase").alias("__phase"))
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    return ranked.join(plan, ["__source", "__block"]).select(*[F.col(c) for c in df.columns], "__slot", "__phase", "__block", "__place")
+    plan, slots = plan.select("__source", F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("phase").alias("__phase")), plan.count()
+    plan = F.broadcast(plan) if slots <= BROADCAST_ROWS else plan
+    return ranked.join(plan, ["__source", "__block"]).select(*[F.col(i).alias(c) for c, i in column.items() if c not in own], *own), slots
+
+
+def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int | None = None, digest: str | None = None) -> DataFrame:
+    """``df`` with ``__slot``, ``__phase``, ``__block`` and ``__place`` (in the block): the mixture's order.
+
+    ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
+    one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  Any number of
+    sources can be mixed.  ``period`` may give the slots of a step; it does not alter the order, and
+    one with fewer slots than there are sources raises an error.  A null source is a source like
+    others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
+    whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
+    row appears exactly once; an empty table gives an empty result.  Columns of ``df`` may have any
+    names; those named like one of the four new ones are replaced.
+    """
+    return arranged(df, source, weights, block, period, digest)[0]
 
 
 def mixture(df: DataFrame, source: str = "source", weights: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df``, with its columns, in the mixture's order."""
-    out = mixed(df, source, weights).repartitionByRange("__slot").sortWithinPartitions("__slot", "__place")
-    return out.select(*df.columns)
+    """The rows of ``df``, with its columns, in the mixture's order: partitions are ranges of slots.
+
+    Slots have no gaps, so the ranges follow from their number and no sample of the rows is drawn.
+    Nulls, repeated rows, clashing names and empty tables are treated as :func:`mixed` says.
+    """
+    inner = [f"d{i}" for i in range(len(df.columns))]
+    column = dict(zip(df.columns, inner, strict=True))
+    placed, slots = arranged(df.toDF(*inner), column[source], weights, BLOCK, None, None)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("__slot") * parts / F.lit(max(1, slots))).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("__slot", "__place").select(*inner).toDF(*df.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

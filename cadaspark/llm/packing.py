@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import clear_text, documents, stored
+from cadaspark.llm.common import clear_text, documents, freed, stored
 from cadaspark.llm.mixing import mixed
 from cadaspark.llm.token_counts import token_counts
 
@@ -87,6 +87,7 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
     start = F.col("piece").cast("bigint") * most
     pieces = pieces.select("key", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(most)).cast("bigint").alias("length"), F.spark_partition_id().alias("part"))
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count, made = [], 0, 0
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaspark.llm import pretokens
-from cadaspark.llm.common import clear_text, groups
+from cadaspark.llm.common import clear_text, freed, groups
 
 LIMIT = 1024
 #: Transitions that a worker keeps before a walk; beyond it the machine is emptied and compiled anew.
@@ -267,6 +267,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
 
     runs = pretokens.kind_runs()
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokens.give(runs)
         machine = transducer(tokenizer)

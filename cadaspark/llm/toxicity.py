@@ -7,12 +7,14 @@ the scaled features, and the product of ratio and weight is the feature's share
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadaspark.llm.classify import fitted, scored, sigmoid, training_rows
-from cadaspark.llm.common import documents, labels
+from cadaspark.llm.common import documents, freed, groups, labels
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -97,17 +99,23 @@ def toxicity(docs: DataFrame, labelled: DataFrame, label: str = "toxic", modulus
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text scores below 0.5, with all their columns."""
+    """The rows of ``docs`` whose text scores below 0.5, with all their columns, whatever their names.
+
+    Null texts count as empty; empty texts get the intercept's score.  Repeated rows stay or go
+    together; an empty table gives an empty result; without usable labels of one class all rows get
+    the same score, so all stay or all go.  Rows pass through in groups of bounded size.
+    """
     weights = fitted(training_rows(docs, labelled, "toxic", MODULUS, HELD, MOST), fit)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def of_text(texts):
-        import pandas as pd
-
-        return pd.Series(score(["" if t is None else t for t in texts], shared.value))
+    @freed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch):
+                clean = score([t or "" for t in part.column("text").to_pylist()], shared.value) < 0.5
+                yield part.filter(pa.array(clean))
 
-    return docs.filter(of_text(F.col("text")) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

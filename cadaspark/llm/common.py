@@ -4,29 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadaspark.operators.graph import shared_folder
+
 #: Characters that count as white space in texts: ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes that a task handles at once (a longer text makes a group of its own).
 GROUP_BYTES = 1 << 20
+#: A key that occurs so often is common: at least this often, and more often than one in ``SHARE`` of all rows,
+#: so there are fewer than ``SHARE`` common keys in any table.
+OFTEN, SHARE = 1000, 2000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is absent (local tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
+    return shared_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -85,3 +82,15 @@ def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
             libc.malloc_trim(0)
 
     return whole
+
+
+def joined_by_count(left: DataFrame, right: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``left`` (a stored table) with the rows of ``right``, which has a row a key and the key's ``count`` in ``left``.
+
+    The common keys, fewer than ``SHARE``, are joined by broadcast, so no task gets all rows of one;
+    the others are shuffled.
+    """
+    common = F.col(count) > F.lit(max(OFTEN, left.count() // SHARE))
+    often, rare = right.filter(common).drop(count), right.filter(~common).drop(count)
+    rest = left.join(F.broadcast(often.select(*key)), key, "left_anti")
+    return left.join(F.broadcast(often), key).unionByName(rest.join(rare, key))

@@ -1,66 +1,113 @@
-"""Repeated multi-line chunks with content-defined boundaries, in DataFrame functions only.
-
-A text's lines are hashed; a rolling hash over the hashes of two neighbouring lines ends a chunk
-where it is divisible by ``DIVISOR``, so boundaries depend on nearby lines alone and are found again
-when a passage stands elsewhere.  Chunks of two lines or more that occur more than once, after a
-comparison of their bytes, stay at their first place (least doc_id, then chunk) and go elsewhere.
+"""Repeated multi-line passages by chunks with content-defined boundaries, in DataFrame functions only.
+
+A text's lines are hashed; a rolling hash over the hashes of two neighbouring lines is divisible by
+``DIVISOR`` at some lines, and a chunk ends at the first line of each run of such lines.  Boundaries
+so depend on three lines alone and are found again when a passage stands elsewhere, and a chunk has
+two lines or more, but for the last one of a text.  (A boundary in the first two lines of a passage
+may hang on the lines before it.)  Chunks of two lines or more that occur more than
+once, after a comparison of their bytes, stay at their first place and go elsewhere.  The chunks at
+both ends of a passage also hold foreign lines, so a removed chunk grows, line by line, over the
+lines around it that equal those around its first place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import documents, stored
+from cadaspark.llm.common import documents, joined_by_count, stored
 
 DIVISOR = 3
 #: Rows of at most 24 bytes that may be broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def chunked(text: F.Column) -> F.Column:
-    """The text's chunks, in order: array of arrays of lines."""
-    lines = F.split(text, "\n", -1)
-    hashes = lambda ls: F.transform(ls, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
-    # (lines, hashes) -> last line of each chunk
-    paired = F.transform(F.array(F.struct(lines.alias("l"), hashes(lines).alias("h"))), lambda p: F.struct(
-        p["l"].alias("l"),
-        F.filter(F.sequence(F.lit(1), F.size(p["l"])), lambda i: (i == F.size(p["l"])) | ((i > 1) & ((F.element_at(p["h"], i) + 31 * F.element_at(p["h"], F.greatest(i - 1, F.lit(1)))) % DIVISOR == 0))).alias("e")))
-    return F.flatten(F.transform(paired, lambda p: F.transform(p["e"], lambda e, k: F.slice(p["l"], F.when(k > 0, F.element_at(p["e"], F.greatest(k, F.lit(1)))).otherwise(0) + 1, e - F.when(k > 0, F.element_at(p["e"], F.greatest(k, F.lit(1)))).otherwise(0)))))
+def split_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def chunk_ends(lines: Column) -> Column:
+    """Number of the last line of each chunk, in order."""
+    hashed = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
+
+    def ends(h: Column) -> Column:
+        hit = lambda i: (F.element_at(h, i) + 31 * F.element_at(h, F.greatest(i - 1, F.lit(1)))) % DIVISOR == 0
+        before = lambda i: F.greatest(i - 1, F.lit(1))
+        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | ((i > 2) & hit(i) & ~hit(before(i))) | ((i == 2) & hit(i)))
+
+    return F.element_at(F.transform(F.array(hashed), ends), 1)
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """A row a chunk of ``__text``: ``chunk`` (its number), ``start`` (lines before it), ``end``, ``ends`` (all of them)."""
+    marked = rows.withColumn("lines", split_lines(F.col("__text"))).withColumn("ends", chunk_ends(F.col("lines")))
+    out = marked.select(*[c for c in marked.columns], F.posexplode("ends").alias("chunk", "end"))
+    return out.withColumn("start", F.when(F.col("chunk") > 0, F.element_at("ends", F.greatest("chunk", F.lit(1)))).otherwise(0))
+
+
+def lines_between(start: Column, end: Column) -> Column:
+    return F.slice("lines", start + 1, end - start)
 
 
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def removed_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``__id``, ``__row`` (hash of id and text) and ``gone``: numbers of the chunks to remove."""
+def alike(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))  # the shorter one is filled with nulls
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def later_places(places: DataFrame) -> DataFrame:
+    """Places of repeated chunks but the first one of each, with ``first``: what stands there and around it."""
+    order = F.struct("__id", "__row", "chunk", "before", "after")
+    groups = places.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    both = joined_by_count(places, stored(groups, "line-groups"), ["hash", "bytes"], "n")
+    place = lambda c: F.struct(*[F.col(f"{c}{k}").alias(k) for k in ("__id", "__row", "chunk")])
+    return both.filter(~place("").eqNullSafe(place("first.")))
+
+
+def kept_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``__id``, ``__row`` (hash of id and text), ``keep`` (ranges of lines) and ``rest`` (lines from there on stay)."""
     rows = df.select(df[doc_id].alias("__id"), F.coalesce(df[text], F.lit("")).alias("__text")).withColumn("__row", F.xxhash64("__id", "__text"))
-    chunks = rows.select("__id", "__row", F.posexplode(chunked(F.col("__text"))).alias("chunk", "lines")).filter(F.size("lines") > 1)
-    chunks = chunks.select("__id", "__row", "chunk", F.array_join("lines", "\n").alias("bytes")).withColumn("hash", F.xxhash64("bytes"))
-    twice = stored(chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "line-hashes")
-    places = stored(chunks.join(small(twice), "hash", "left_semi"), "line-chunks")
-    first = places.groupBy("hash", "bytes").agg(F.min(F.struct("__id", "chunk")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = places.join(first.drop("n"), ["hash", "bytes"]).filter(~F.struct("__id", "chunk").eqNullSafe(F.col("first")))
-    return later.groupBy("__id", "__row").agg(F.array_sort(F.collect_set("chunk")).alias("gone"))
+    wide = chunks_of(rows).filter(F.col("end") - F.col("start") > 1)
+    wide = wide.withColumn("bytes", F.array_join(lines_between(F.col("start"), F.col("end")), "\n")).withColumn("hash", F.xxhash64("bytes"))
+    twice = stored(wide.select("hash").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "line-hashes")
+    end_before = F.when(F.col("chunk") > 2, F.element_at("ends", F.greatest(F.col("chunk") - 2, F.lit(1)))).otherwise(0)
+    end_after = F.element_at("ends", F.least(F.col("chunk") + 2, F.size("ends")))
+    around = [F.reverse(lines_between(end_before, F.col("start"))).alias("before"), lines_between(F.col("end"), end_after).alias("after")]
+    places = wide.join(small(twice), "hash", "left_semi").select("__id", "__row", "chunk", "start", "end", "hash", "bytes", *around)
+    later = later_places(stored(places, "line-chunks"))
+    gone = later.select("__id", "__row", (F.col("start") - alike(F.col("before"), F.col("first.before"))).alias("a"), (F.col("end") + alike(F.col("after"), F.col("first.after"))).alias("b"))
+    row = W.partitionBy("__id", "__row").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)  # a row a removed chunk of one text
+    gaps = gone.distinct().withColumn("upto", F.coalesce(F.max("b").over(row), F.lit(0)))
+    gap = F.when(F.col("a") > F.col("upto"), F.struct(F.col("upto").alias("a"), F.col("a").alias("b")))
+    return gaps.groupBy("__id", "__row").agg(F.array_sort(F.collect_list(gap)).alias("keep"), F.max("b").alias("rest"))
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with repeated chunks removed from ``text``; adds ``n_lines``, ``n_removed_lines``.
+    """``df`` with repeated passages removed from ``text``; adds ``n_lines``, ``n_removed_lines``.
 
     Lines end at ``\\n``.  Of equal chunks of two lines or more the one with the least doc_id (null
-    first), then chunk number stays; repeated rows with one id and text are treated alike.  Null and
-    empty texts have one empty line and stay as they are; an empty table gives an empty result;
-    columns of ``df`` stay, those named like a new one are replaced.
+    first), then hash of id and text, then chunk number stays, so rows with one id and different
+    texts keep a chunk once; repeated rows with one id and text are treated alike.  The others go with
+    the equal lines around them, as far as the two chunks before and the chunk after reach.  Null and empty texts have
+    one empty line and stay as they are; very long texts cost in proportion to their lines; an empty
+    table gives an empty result; columns of ``df`` stay, those named like a new one are replaced.
+    Passages of few lines whose every chunk also holds foreign lines stay, as single repeated lines do,
+    and runs of one and the same line, which have no boundary inside.
     """
-    gone = stored(removed_chunks(df, doc_id, text), "line-gone")
+    gone = stored(kept_lines(df, doc_id, text), "line-gone")
     marked = df.drop("n_lines", "n_removed_lines").withColumn("__hash", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
     joined = marked.join(small(gone), (marked["__hash"] == gone["__row"]) & marked[doc_id].eqNullSafe(gone["__id"]), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    stay = F.filter(chunked(whole), lambda c, i: ~F.array_contains(F.col("gone"), i))
-    lines = F.when(F.col("gone").isNull(), F.size(F.split(whole, "\n", -1))).otherwise(F.size(F.flatten(stay)))
-    new_text = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(stay), "\n"))
-    out = joined.withColumn("n_lines", F.size(F.split(whole, "\n", -1))).withColumn("n_removed_lines", F.col("n_lines") - lines).withColumn(text, new_text)
+    lines = split_lines(F.coalesce(F.col(text), F.lit("")))
+    stay = lambda x: F.concat(F.flatten(F.transform("keep", lambda k: F.slice(x, k["a"] + 1, k["b"] - k["a"]))), F.slice(x, F.col("rest") + 1, F.greatest(F.size(x) - F.col("rest"), F.lit(0))))
+    left = F.when(F.col("rest").isNotNull(), F.element_at(F.transform(F.array(lines), stay), 1))
+    out = joined.withColumn("__left", left).withColumn("n_lines", F.size(lines)).withColumn("n_removed_lines", F.when(F.col("__left").isNull(), 0).otherwise(F.col("n_lines") - F.size("__left")))
+    out = out.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n")))
     return out.select(*[c for c in df.columns if c not in ("n_lines", "n_removed_lines")], "n_lines", "n_removed_lines")
 
 
@@ -74,11 +121,21 @@ with l as (
   select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line, len(string_split(coalesce(text, ''), chr(10))) as n
   from documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as u(i)),
 h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
-e as (select *, i = n or (i > 1 and (h + 31 * lag(h) over (partition by doc_id order by i)) % {DIVISOR} = 0) as ends from h),
+t as (select *, coalesce((h + 31 * lag(h) over (partition by doc_id order by i)) % {DIVISOR} = 0, false) as hit from h),
+e as (select *, i = n or (hit and not coalesce(lag(hit) over (partition by doc_id order by i), false)) as ends from t),
 c as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk from e),
-k as (select doc_id, chunk, count(*) as lines, string_agg(line, chr(10) order by i) as bytes from c group by doc_id, chunk),
-g as (select *, lines > 1 and row_number() over (partition by bytes, lines > 1 order by doc_id, chunk) > 1 as gone from k)
-select doc_id, sum(lines)::int as n_lines, coalesce(sum(lines) filter (where gone), 0)::int as n_removed_lines,
-       md5(coalesce(string_agg(bytes, chr(10) order by chunk) filter (where not gone), '')) as text_md5
-from g group by doc_id
+k as (select doc_id, chunk, min(i) - 1 as a, max(i) as b, list(line order by i) as lines, string_agg(line, chr(10) order by i) as bytes from c group by doc_id, chunk),
+p as (select *, list_concat(coalesce(list_reverse(lag(lines) over d), []), coalesce(list_reverse(lag(lines, 2) over d), [])) as before, coalesce(lead(lines) over d, []) as after from k window d as (partition by doc_id order by chunk)),
+r as (select *, row_number() over w as place, first_value(before) over w as before_1, first_value(after) over w as after_1
+  from p where b - a > 1 window w as (partition by bytes order by doc_id, chunk)),
+g as (select doc_id, a - alike(before, before_1) as a, b + alike(after, after_1) as b from r where place > 1),
+m as (select l.doc_id, l.i, l.line, exists (select 1 from g where g.doc_id = l.doc_id and l.i > g.a and l.i <= g.b) as gone from l)
+select doc_id, count(*)::int as n_lines, count(*) filter (where gone)::int as n_removed_lines,
+       md5(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as text_md5
+from m group by doc_id
 """
+for x in ("before", "after"):  # DuckDB has no functions within one statement
+    OP9_SQL = OP9_SQL.replace(
+        f"alike({x}, {x}_1)",
+        f"coalesce(nullif(list_position(list_transform(range(1, least(len({x}), len({x}_1)) + 1), lambda j: {x}[j] = {x}_1[j]), false), 0) - 1, least(len({x}), len({x}_1)))",
+    )

@@ -8,7 +8,9 @@ ties by source).  As the flow is a fractional schedule within the same windows,
 a whole block ahead of or behind its share, over any number of slots, and every row appears exactly
 once.  The schedule is a pure function of the sources' block counts and weights, computed by one SQL
 expression over arrays in steps of ``PERIOD`` slots; nothing is rounded or carried from step to step
-but the sources' blocks so far.
+but the sources' blocks so far.  Each step needs the one before, so the schedule runs in one task:
+blocks grow with the table, and the plan has about ``MOST_BLOCKS`` of them and a last one a source
+at most, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from cadaspark.llm.common import documents, stored
 
 #: Slots that are scheduled in one step.
 PERIOD = 1000
-BLOCK = 16
+#: Least rows of a block, and blocks of whole rows that a plan has at most.
+BLOCK, MOST_BLOCKS = 16, 1 << 19
 #: Weight of a source where none is given: its number of documents to this power.
 TEMPER = 0.5
 #: Rows that the ranks of a bucket are counted over at once.
@@ -85,14 +88,15 @@ def schedule(sources: DataFrame, step: int = PERIOD) -> DataFrame:
 
 def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int, period: int | None, digest: str | None) -> tuple[DataFrame, int]:
     """What :func:`mixed` returns, and the number of slots."""
-    own = ("__slot", "__phase", "__block", "__place")
+    own = ("__slot", "__phase", "__block", "__place")  # and __size
     inner = [f"c{i}" for i in range(len(df.columns))]
     column = dict(zip(df.columns, inner, strict=True))
     key = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
     keyed = df.toDF(*inner).withColumn("__source", key(column[source]))
     keyed = keyed.withColumn("__hash", F.col(column[digest]) if digest else F.xxhash64(*inner))
     counts = stored(keyed.groupBy("__source").agg(F.count("*").alias("rows")), "mix-counts")
-    n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most")).first()
+    n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most"), F.coalesce(F.sum("rows"), F.lit(0)).alias("all")).first()
+    block = max(block, -(-n["all"] // MOST_BLOCKS))
     if period is not None and n["sources"] > period:
         raise ValueError(f"{n['sources']} sources are more than the given period's {period} slots")
     # ranks within a source: rows are bucketed by hash, counted by bucket, and ranked within buckets
@@ -115,11 +119,11 @@ def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int,
     plan = stored(schedule(given.select("source", "blocks", "weight"), period or PERIOD).withColumnRenamed("source", "__source"), "mix-plan")
     plan, slots = plan.select("__source", F.col("block").alias("__block"), F.col("slot").alias("__slot"), F.col("phase").alias("__phase")), plan.count()
     plan = F.broadcast(plan) if slots <= BROADCAST_ROWS else plan
-    return ranked.join(plan, ["__source", "__block"]).select(*[F.col(i).alias(c) for c, i in column.items() if c not in own], *own), slots
+    return ranked.join(plan, ["__source", "__block"]).select(*[F.col(i).alias(c) for c, i in column.items() if c not in (*own, "__size")], *own, F.lit(block).alias("__size")), slots
 
 
 def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int | None = None, digest: str | None = None) -> DataFrame:
-    """``df`` with ``__slot``, ``__phase``, ``__block`` and ``__place`` (in the block): the mixture's order.
+    """``df`` with ``__slot``, ``__phase``, ``__block``, ``__place`` (in the block) and ``__size`` (rows of a full block).
 
     ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
     one, and all if there is none, weigh their number of rows to the power ``TEMPER``.  Any number of
@@ -127,8 +131,9 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
     one with fewer slots than there are sources raises an error.  A null source is a source like
     others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
     whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
-    row appears exactly once; an empty table gives an empty result.  Columns of ``df`` may have any
-    names; those named like one of the four new ones are replaced.
+    row appears exactly once; an empty table gives an empty result.  ``block`` is the least number of
+    rows of a block; tables of more than ``MOST_BLOCKS`` such blocks get larger ones.  Columns of
+    ``df`` may have any names; those named like one of the five new ones are replaced.
     """
     return arranged(df, source, weights, block, period, digest)[0]
 
@@ -154,4 +159,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = documents(spark, sf_dir).select("doc_id", "source")
     out = mixed(docs)
-    return out.select("doc_id", "source", F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__block").cast("bigint").alias("block"), (F.col("__slot") * BLOCK + F.col("__place")).alias("position"))
+    return out.select("doc_id", "source", F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__block").cast("bigint").alias("block"), (F.col("__slot") * F.col("__size") + F.col("__place")).alias("position"))

@@ -264,6 +264,38 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.without_repeats(empty).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """A passage with a chunk of its own goes to its first and last line, in every later copy, and no other line goes."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    passages = {size: [[f"{word()} {word()}" for _ in range(size)] for _ in range(12)] for size in (2, 3, 12, 40)}
+    texts = ["\n".join(x for p in rnd.sample(passages[size], 12) for x in [*p, *(word() for _ in range(3))]) for size in passages for _ in range(4)]
+    got = line_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    left = Counter(x for r in got for x in r.text.split("\n"))
+    alone = Counter(x for t in texts for x in t.split("\n"))
+    assert all(left[x] == 1 for x, n in alone.items() if n == 1) and all(left[x] >= 1 for x in alone)
+    whole = {size: sum(all(left[x] == 1 for x in p) for p in ps) for size, ps in passages.items()}
+    assert whole[12] >= 10 and whole[40] == 12, whole
+
+
+def test_line_dedup_odd_rows(spark):
+    """One id with two texts keeps a passage once; equal rows are treated alike; very long texts and clashing names pass."""
+    shared = "\n".join(f"line {i} of the passage {i * 7919 % 1000}" for i in range(29))
+    removed = {}
+    for ids in ((1, 1), (1, 2)):
+        frame = spark.createDataFrame([(ids[0], shared + "\nfirst end", 3), (ids[1], shared + "\nother end", 3)], "doc_id bigint, text string, hash int")
+        out = line_dedup.without_repeats(frame)
+        assert out.columns == ["doc_id", "text", "hash", "n_lines", "n_removed_lines"]
+        removed[ids] = sorted(r.n_removed_lines for r in out.collect())
+    assert removed[1, 1] == removed[1, 2] and removed[1, 2][0] == 0 and removed[1, 2][1] >= 29
+    same = spark.createDataFrame([(1, shared), (1, shared)], "doc_id bigint, text string")
+    assert [r.n_removed_lines for r in line_dedup.without_repeats(same).collect()] == [0, 0]
+    long = "\n".join(f"{i} {i * 31 % 1009}" for i in range(60000))
+    rows = spark.createDataFrame([(1, long), (2, "x\n" + long), (None, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed_lines) for r in line_dedup.without_repeats(rows).collect()}
+    assert got[1] == (60000, 0) and got[None] == (1, 0) and got[2][0] == 60001 and got[2][1] >= 59990
+
+
 def lags(order, counts, weights, period):
     """The greatest deviation of a phase's prefix from its shares, in blocks."""
     seen, worst = Counter(), 0.0
@@ -335,6 +367,19 @@ def test_mixing_of_many_sources(spark):
     assert orders[0] == orders[1]
 
 
+def test_mixing_plans_stay_small(spark, empty, monkeypatch):
+    """Blocks grow with the table; equal rows, null sources and clashing names pass, and the order holds."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    rows = [(i % 50, "same", None if i % 7 == 0 else f"s{i % 3}", 5) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __slot int")
+    got = mixing.mixed(frame).toPandas()
+    assert len(got) == 900 and got["__size"].unique().tolist() == [45] and got["__slot"].nunique() <= 24
+    assert got.groupby(["__slot", "__place"]).size().max() == 1 and got.groupby("__slot")["source"].nunique(dropna=False).max() == 1
+    out = mixing.mixture(frame)
+    assert out.columns == frame.columns and out.exceptAll(frame).isEmpty() and out.count() == 900
+    assert mixing.mixture(empty).count() == 0
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(6)
     words = [f"{a}{b}" for a in ("lo", "mi", "ta", "re") for b in ("no", "ka", "sel", "dun")]

@@ -432,3 +432,44 @@ def split_by_line(geom: pd.Series, line: pd.Series) -> pd.Series:
         sized = sorted(((sum(map(ring_area, x)), x) for x in pieces), key=lambda x: -x[0])
         rows.append([{"geom": plain([x]), "area": float(s)} for s, x in sized if s > 0.5])
     return pd.Series(rows, dtype=object)
+
+
+def left_over(box: tuple[float, float, float, float], others: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float, float, float]]]:
+    """The connected parts of a box outside other boxes, each as the rectangles of the grid of all sides."""
+    x0, y0, x1, y1 = box
+    xs = sorted({x0, x1, *(min(max(v, x0), x1) for o in others for v in (o[0], o[2]))})
+    ys = sorted({y0, y1, *(min(max(v, y0), y1) for o in others for v in (o[1], o[3]))})
+    free = {
+        (i, j)
+        for i in range(len(xs) - 1)
+        for j in range(len(ys) - 1)
+        if not any(o[0] <= xs[i] and xs[i + 1] <= o[2] and o[1] <= ys[j] and ys[j + 1] <= o[3] for o in others)
+    }
+    out = []
+    while free:
+        todo = [min(free)]
+        free.discard(todo[0])
+        part = []
+        while todo:
+            i, j = todo.pop()
+            part.append((xs[i], ys[j], xs[i + 1], ys[j + 1]))
+            for near in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if near in free:
+                    free.discard(near)
+                    todo.append(near)
+        out.append(part)
+    return out
+
+
+BOXES_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("area", T.DoubleType()), T.StructField("boxes", BOXES_TYPE)])))
+def uncovered_parts(box: pd.DataFrame, others: pd.Series) -> pd.Series:
+    """Parts of a box (struct x0, y0, x1, y1) that other boxes leave, greatest first, each as touching boxes."""
+    rows = []
+    for own, near in zip(box[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None), others, strict=True):
+        parts = left_over(own, [(o["x0"], o["y0"], o["x1"], o["y1"]) for o in near])
+        sized = sorted(((sum((c - a) * (d - b) for a, b, c, d in p), p) for p in parts), key=lambda v: -v[0])
+        rows.append([{"area": float(s), "boxes": [dict(zip(("x0", "y0", "x1", "y1"), q, strict=True)) for q in sorted(p)]} for s, p in sized])
+    return pd.Series(rows, dtype=object)

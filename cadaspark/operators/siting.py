@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadaspark.functions.geometry import box_area, box_overlap
-from cadaspark.functions.rules import zone_label
-from cadaspark.operators.graph import written
+from cadaspark.functions.geometry import box_area
+from cadaspark.functions.kernels import uncovered_parts
+from cadaspark.functions.rules import width_class, zone_label
+from cadaspark.operators.layout import nearest_box
 from cadaspark.operators.spatial import box_pairs, covered_area, overlay, within_distance
 
 # --- fixed values: results must equal these, so they are stated as they are ---
 RAIL_M, WATER_M, ROAD_M, GOVERNMENT_M2 = 30.0, 15.0, 200.0, 1.0
 ENCROACH_M2, ENCROACH_DEPTH_M, CONFLICT_SHARE = 4.0, 1.0, 0.35
+LEAST_FOOTPRINT_M2, SEAM_M, LEAST_ADDED_M2 = 4.0, 0.5, 12.0
 #: Codes of alerts, in the order in which a building lists them.
 ALERTS = ("RAIL_BUFFER", "WATER_BUFFER", "GOVT_ENCROACH", "NO_ROAD", "UNRECORDED")
 # --- end of fixed values ---
@@ -88,12 +90,24 @@ def zoned_land_use(parcels: DataFrame, zones: DataFrame, government: DataFrame,
     return out.select("id", zone_label(F.coalesce("public", F.lit(False)), F.col("best.b_label"), F.col("best.inter"), F.col("area"), F.coalesce("built", F.lit(False))).alias("landuse"))
 
 
-def merged_sources(first: DataFrame, second: DataFrame, least_m2: float = 4.0) -> DataFrame:
-    """All boxes of the first source, and those of the second that touch none of them: source, id."""
-    own = first.filter(box_area() > least_m2)
-    rest = second.filter(box_area() > least_m2)
-    met = overlay(rest, own).select(F.col("a_id").alias("id")).distinct()
-    return own.select(F.lit("a").alias("source"), F.col("id").cast("string").alias("id")).unionByName(rest.join(met, "id", "left_anti").select(F.lit("b").alias("source"), F.col("id").cast("string").alias("id")))
+def merged_sources(first: DataFrame, second: DataFrame) -> DataFrame:
+    """source, id, part, area_m2: all boxes of the first source, and of the second what the first does not cover.
+
+    Boxes of 4 square metres or less do not count.  A box of the second source that meets none of the
+    first stays whole; of the others the parts outside a seam of half a metre stay, if they have 12
+    square metres or more (often the neighbours that the first source missed).
+    """
+    own, rest = (d.filter(box_area() > LEAST_FOOTPRINT_M2).select("id", "x0", "y0", "x1", "y1") for d in (first, second))
+    box = lambda p, grow=0.0: F.struct(*[(F.col(f"{p}{c}") + (-grow if c.endswith("0") else grow)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    met = box_pairs(rest, own).groupBy(F.col("a_id").alias("id")).agg(F.first(box("a_")).alias("box"), F.collect_list(box("b_", SEAM_M)).alias("near"))
+    parts = met.select("id", F.posexplode(uncovered_parts("box", "near")).alias("part", "p")).filter(F.col("p.area") >= LEAST_ADDED_M2)
+    whole = rest.join(met.select("id"), "id", "left_anti")
+    key = F.col("id").cast("string").alias("id")
+    return (
+        own.select(F.lit("a").alias("source"), key, F.lit(0).alias("part"), box_area().alias("area_m2"))
+        .unionByName(whole.select(F.lit("b").alias("source"), key, F.lit(0).alias("part"), box_area().alias("area_m2")))
+        .unionByName(parts.select(F.lit("b").alias("source"), key, "part", F.col("p.area").alias("area_m2")))
+    )
 
 
 def hole_contents(parcels: DataFrame, holes: DataFrame, grow: float = 0.05) -> DataFrame:
@@ -103,11 +117,13 @@ def hole_contents(parcels: DataFrame, holes: DataFrame, grow: float = 0.05) -> D
     return pairs.filter(inside).select(F.col("a_id").alias("hole_id"), F.col("b_id").alias("id"))
 
 
-def nearest_attribute(layer: DataFrame, others: DataFrame, attribute: str, reach: float) -> DataFrame:
-    """``attribute`` of the nearest other box within ``reach`` (ties: least id)."""
-    pairs = written(within_distance(layer, others, reach), "near")
-    return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min_by(f"b_{attribute}", F.struct("distance", "b_id")).alias(attribute), F.min("distance").alias("distance"))
+def nearest_attribute(layer: DataFrame, others: DataFrame, attribute: str) -> DataFrame:
+    """id, ``attribute`` and distance of the nearest other box (ties: least id), at any distance."""
+    found = nearest_box(layer, others)
+    return found.join(others.select(F.col("id").alias("other"), attribute), "other").select("id", attribute, "distance")
 
 
-def overlap_share(a: str, b: str) -> F.Column:
-    return box_overlap(a, b) / box_area(a)
+def lengths_by_class(segments: DataFrame) -> DataFrame:
+    """class, roads, length_m, median_width_m and narrow_m (length below 3 m) of road segments by width."""
+    out = segments.withColumn("class", width_class(F.col("width_m")))
+    return out.groupBy("class").agg(F.count("*").alias("roads"), F.sum("length_m").alias("length_m"), F.median("width_m").alias("median_width_m"), F.sum(F.when(F.col("width_m") < 3, F.col("length_m")).otherwise(0)).alias("narrow_m"))

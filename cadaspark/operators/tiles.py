@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cadaspark.operators.cells import SIDES, offsets
 from cadaspark.operators.graph import written
 from cadaspark.operators.ranks import quantiles
+from cadaspark.operators.regions import regions
 from cadaspark.operators.topology import box_cells
 
 
@@ -105,3 +106,21 @@ def area_profile(df: DataFrame, area: Column, large: float) -> DataFrame:
     """One row: the 10th, 50th, 90th and 99th percentile of areas, and how many exceed ``large``."""
     values = quantiles(df, area, [0.1, 0.5, 0.9, 0.99])
     return df.agg(*[F.lit(v).cast("double").alias(f"p{k}") for k, v in zip((10, 50, 90, 99), values, strict=True)], F.count_if(area > large).alias("large"))
+
+
+def aligned(cells: DataFrame, factor: int) -> DataFrame:
+    """x, y, value, coverage on a coarser grid: the mean of the cells with a value, and their share of the new cell."""
+    fine = cells.groupBy(F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y"))
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None))
+    return fine.agg(F.avg(value).alias("value"), (F.count(value) / factor**2).alias("coverage"))
+
+
+def survey_mask(cells: DataFrame) -> DataFrame:
+    """x, y, valid: cells with a value, and cells without one that no chain of such cells joins to the raster's edge."""
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None))
+    west, north, east, south = cells.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    empty = cells.filter(value.isNull()).select("x", "y", F.lit(0).alias("label"))
+    named = written(regions(empty), "no-data")
+    outer = named.filter(F.col("x").isin(west, east) | F.col("y").isin(north, south)).select("region").distinct()
+    outside = named.join(outer, "region", "left_semi").select("x", "y", F.lit(True).alias("out"))
+    return cells.join(outside, ["x", "y"], "left").select("x", "y", F.col("out").isNull().alias("valid"))

@@ -254,3 +254,14 @@ def merged(layer: DataFrame, groups: DataFrame) -> DataFrame:
     kind = dict(groups.dtypes)["group"]
     out = alone.select("group", "px", "py", "qx", "qy").groupBy("group").applyInPandas(chain, f"group {kind}, rings array<array<struct<x:double,y:double>>>")
     return out.withColumn("area", F.abs(F.aggregate(F.transform("rings", g.signed_ring_area), F.lit(0.0), lambda a, v: a + v)))
+
+
+def merged_parcels(layer: DataFrame, groups: DataFrame) -> DataFrame:
+    """group, id, rings, area of merged parcels; the largest member's id stays (ties: least id).
+
+    Groups whose members do not join to one outline are refused and have no row.
+    """
+    out = merged(layer, groups)
+    outer = F.size(F.filter("rings", lambda r: g.signed_ring_area(r) > 0))
+    sized = layer.join(groups, "id").groupBy("group").agg(F.max_by("id", F.struct(g.area(F.col("geom")), -F.col("id"))).alias("id"))
+    return out.filter(outer == 1).join(sized, "group").select("group", "id", "rings", "area")

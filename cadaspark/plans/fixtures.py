@@ -113,7 +113,12 @@ ZONES = ("Residential", "Agricultural", "Industrial", "Forest")
 
 def gnss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surveyed points: point_id, type, x, y."""
-    o = _with_count(spark, sf_dir, table(spark, sf_dir, "orders")).withColumn("id", F.col("o_orderkey") % F.col("n_part"))
+    return as_gnss(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def as_gnss(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Surveyed points of a table or stream of orders."""
+    o = _with_count(spark, sf_dir, orders).withColumn("id", F.col("o_orderkey") % F.col("n_part"))
     own = o.join(parcels(spark, sf_dir).select("id", "x0", "y0"), "id")
     off = (F.col("o_custkey") % 7 - 3) * 0.1
     kind = F.when(F.col("o_orderpriority") == "5-LOW", "control").otherwise("corner")

@@ -82,14 +82,19 @@ def unrecorded_buildings(spark, sf_dir):
     return comparison.unrecorded(x.buildings(spark, sf_dir), x.records(spark, sf_dir)).select("id", F.round("share", 4).alias("share"), "unrecorded")
 
 
+MOVED = "select id, x0 + 6 as x0, y0, x1 + 6 as x1, y1 from parcels"
+
+
 @query(
-    f"""select 'a' as source, id::varchar as id from parcels where id % 3 <> 0 union all select 'b', ref_id from records b
-    where not exists (select 1 from parcels p where p.id % 3 <> 0 and {MEET.format('p')})"""
+    """select 'a' as source, id::varchar as id, (x1 - x0) * (y1 - y0) as area_m2 from parcels union all
+    select 'b', id::varchar, count(*) / 4 from (select m.id, cx, cy from moved m, unnest(generate_series((2 * x0)::bigint, (2 * x1)::bigint - 1)) as u(cx), unnest(generate_series((2 * y0)::bigint, (2 * y1)::bigint - 1)) as v(cy)
+    where not exists (select 1 from parcels p where p.x0 <= m.x1 and m.x0 <= p.x1 and p.y0 <= m.y1 and m.y0 <= p.y1 and cx / 2 >= p.x0 - 0.5 and cx / 2 + 0.5 <= p.x1 + 0.5 and cy / 2 >= p.y0 - 0.5 and cy / 2 + 0.5 <= p.y1 + 0.5)) group by id having count(*) / 4 >= 12""",
+    moved=MOVED,
 )
 def source_merge(spark, sf_dir):
-    a = x.parcels(spark, sf_dir).filter("id % 3 <> 0").select("id", "x0", "y0", "x1", "y1")
-    b = x.records(spark, sf_dir).select(F.col("ref_id").alias("id"), "x0", "y0", "x1", "y1")
-    return siting.merged_sources(a, b)
+    """Parcels, and what they leave of the same boxes six metres farther east."""
+    p = x.parcels(spark, sf_dir).select("id", "x0", "y0", "x1", "y1")
+    return siting.merged_sources(p, p.withColumn("x0", F.col("x0") + 6).withColumn("x1", F.col("x1") + 6)).select("source", "id", "area_m2")
 
 
 @query(
@@ -100,22 +105,26 @@ def hole_containment(spark, sf_dir):
 
 
 @query(
-    f"""select b.id, arg_min(r.width_m, {BR} * 1e6 + r.id) as width_m, round(min({BR}), 3) as distance from buildings b join roads r on {BR} <= 60 group by b.id"""
+    f"""select b.id, arg_min(r.width_m, {BR} * 1e6 + r.id) as width_m, round(min({BR}), 3) as distance from buildings b join roads r on true group by b.id"""
 )
 def nearest_road_width(spark, sf_dir):
-    out = siting.nearest_attribute(x.buildings(spark, sf_dir), x.roads(spark, sf_dir), "width_m", 60.0)
+    out = siting.nearest_attribute(x.buildings(spark, sf_dir), x.roads(spark, sf_dir), "width_m")
     return out.select("id", "width_m", F.round("distance", 3).alias("distance"))
 
 
+SEGMENTS = "select p_partkey as id, 1 + p_size % 10 as width_m, p_size as length_m from part"
+
+
 @query(
-    """select case when width_m < 3 then 'lane' when width_m < 8 then 'street' else 'main road' end as class, count(*) as roads, sum(x1 - x0) as length_m,
-    median(width_m) as median_width_m from roads group by 1"""
+    """select case when width_m < 3 then 'lane' when width_m < 8 then 'street' else 'main road' end as class, count(*) as roads, sum(length_m)::bigint as length_m, median(width_m) as median_width_m,
+    sum(case when width_m < 3 then length_m else 0 end)::bigint as narrow_m from segments group by 1""",
+    segments=SEGMENTS,
 )
 def road_length_by_class(spark, sf_dir):
-    from cadaspark.functions.rules import width_class
-
-    out = x.roads(spark, sf_dir).withColumn("class", width_class(F.col("width_m")))
-    return out.groupBy("class").agg(F.count("*").alias("roads"), F.sum(F.col("x1") - F.col("x0")).alias("length_m"), F.median("width_m").alias("median_width_m"))
+    """Road segments by class of width, with the length of narrow lanes."""
+    size = F.col("p_size")
+    segments = x.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (1 + size % 10).alias("width_m"), size.alias("length_m"))
+    return siting.lengths_by_class(segments)
 
 
 @query("select label, count(*) as zones, sum((x1 - x0) * (y1 - y0)) as area_m2 from zones group by label")

@@ -92,10 +92,10 @@ def geo_split(spark, sf_dir):
 
 @query(
     """select site, votes, round(mean * least(1, votes / 3), 5) as score from (select site, count(*) as votes, avg(score) as mean from (
-    select l_partkey as site, l_linenumber as member, max(l_discount * 10) as score from lineitem where l_quantity > 45 group by all) group by site) where votes >= 2 or mean >= 0.85"""
+    select l_partkey as site, l_linenumber as member, max(l_discount * 10) as score from lineitem group by all) group by site) where votes >= 2 or mean >= 0.85"""
 )
 def vote_fusion(spark, sf_dir):
-    items = x.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("site"), F.col("l_linenumber").alias("member"), (F.col("l_discount") * 10).alias("score"))
+    items = x.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("site"), F.col("l_linenumber").alias("member"), (F.col("l_discount") * 10).alias("score"))
     return s.voted(items, 7).withColumn("score", F.round("score", 5))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadaspark.plans import fixtures as x
+from cadaspark.plans.q_comparison import NEAREST
 from cadaspark.plans.registry import query
 from cadaspark.streaming import visits as v
 
@@ -61,3 +62,17 @@ def stream_enriched(spark, sf_dir):
 def stream_edit_windows(spark, sf_dir):
     e = v.source(spark, f"{sf_dir}/events.parquet*", EVENTS).select(F.col("ts").alias("t"))
     return v.newest(v.run(v.edit_windows(e), "edits", "update"), "start")
+
+
+@query(
+    """select count(*) as points, count(e) as corner_points, round(avg(e), 4) as mean_m, round(sqrt(avg(e * e)), 4) as rmse_m, round(quantile_cont(e, 0.9), 4) as ce90_m,
+    round(max(e), 4) as max_m, round(100 * avg((e <= 1)::int), 3) as within_pct from (select case when type = 'corner' then error_m end as e from errors)""",
+    errors=NEAREST,
+)
+def stream_corner_accuracy(spark, sf_dir):
+    """Accuracy after the last corner that a stream recorded."""
+    orders = v.source(spark, f"{sf_dir}/orders.parquet*", spark.read.parquet(f"{sf_dir}/orders.parquet").schema)
+    out = v.running_accuracy(x.as_gnss(spark, sf_dir, orders), x.parcels(spark, sf_dir))
+    last = out.agg(F.max("batch").alias("batch"))
+    out = out.join(F.broadcast(last), "batch")  # one row
+    return out.select("points", "corner_points", *[F.round(k, 4).alias(k) for k in ("mean_m", "rmse_m", "ce90_m", "max_m")], F.round("within_pct", 3).alias("within_pct"))

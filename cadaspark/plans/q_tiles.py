@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geometry import box_area
-from cadaspark.operators import scoring, tiles
+from cadaspark.operators import scoring, tiles, topology
 from cadaspark.operators.spatial import overlay
 from cadaspark.plans import fixtures as x
 from cadaspark.plans.registry import query
@@ -64,9 +64,38 @@ def middle_frames(spark, sf_dir):
     return tiles.middle_items(x.table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
 
 
-@query("select x, y, value from (select a.x, b.y from unnest(generate_series(5, 14)) a(x), unnest(generate_series(-2, 3)) b(y)) t left join grid using (x, y)")
+@query("select x, y, value from (select a.x, b.y from (select unnest(generate_series(min(x) - 2, max(x) + 2)) as x from grid) a, (select unnest(generate_series(min(y) - 2, max(y) + 2)) as y from grid) b) t left join grid using (x, y)")
 def tile_mosaic(spark, sf_dir):
-    return tiles.tiles_of_box(x.grid(spark, sf_dir).select("x", "y", "value"), 5, -2, 14, 3).select("x", "y", "value")
+    """The mosaic of all tiles and a margin of two, missing ones as nulls."""
+    g = x.grid(spark, sf_dir).select("x", "y", "value")
+    west, north, east, south = g.agg(F.min("x") - 2, F.min("y") - 2, F.max("x") + 2, F.max("y") + 2).first()
+    return tiles.tiles_of_box(g, west, north, east, south).select("x", "y", "value")
+
+
+@query("select x // 3 as x, y // 3 as y, round(avg(case when label <> 0 then value end), 5) as value, round(count(*) filter (where label <> 0) / 9, 5) as coverage from grid group by 1, 2")
+def aligned_raster(spark, sf_dir):
+    """A raster on a grid three times as coarse; missing cells do not count."""
+    g = x.grid(spark, sf_dir).select("x", "y", F.when(F.col("label") != 0, F.col("value")).alias("value"))
+    return tiles.aligned(g, 3).withColumn("value", F.round("value", 5)).withColumn("coverage", F.round("coverage", 5))
+
+
+@query()
+def survey_mask(spark, sf_dir):
+    """Cells of a survey: no-data inside it counts, no-data at its edge does not."""
+    return tiles.survey_mask(x.grid(spark, sf_dir).select("x", "y", F.when(F.col("mask"), F.col("value")).alias("value")))
+
+
+ROWS = "select p_partkey // 3 as g, count(distinct p_partkey // 50) as lines, min(p_partkey) as id, count(*) as n from part group by 1"
+
+
+@query("select g as grp, id, n * 400.0::double as area_m2 from row_groups where lines = 1", row_groups=ROWS)
+def merge_parcels(spark, sf_dir):
+    """Parcels merged by threes; groups that do not share a border are refused, the largest parcel's id stays."""
+    k = F.col("p_partkey")
+    base = x.table(spark, sf_dir, "part").select(k.alias("id"), (k % 50 * 20).cast("double").alias("x0"), (F.floor(k / 50) * 20).cast("double").alias("y0"))
+    layer = x.geoms(base.withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 20))
+    out = topology.merged_parcels(layer, base.select("id", F.floor(F.col("id") / 3).alias("group")))
+    return out.select(F.col("group").alias("grp"), "id", F.col("area").alias("area_m2"))
 
 
 @query()
@@ -106,11 +135,11 @@ def found_contrast(spark, sf_dir):
 
 
 @query(
-    """select count(*) as truths, count(*) filter (where hit) as hit from (select b.id, exists (select 1 from parcels p where p.id % 3 = 0 and b.x0 < p.x1 and p.x0 < b.x1 and b.y0 < p.y1 and p.y0 < b.y1) as hit from buildings b)"""
+    """select count(*) as truths, count(*) filter (where hit) as hit from (select b.id, exists (select 1 from parcels p where p.confidence >= 0.3 and b.x0 < p.x1 and p.x0 < b.x1 and b.y0 < p.y1 and p.y0 < b.y1) as hit from buildings b)"""
 )
 def hit_recall(spark, sf_dir):
     b = x.buildings(spark, sf_dir)
-    hits = overlay(b, x.parcels(spark, sf_dir).filter("id % 3 = 0").select("id", "x0", "y0", "x1", "y1")).select(F.col("a_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    hits = overlay(b, x.parcels(spark, sf_dir).filter("confidence >= 0.3").select("id", "x0", "y0", "x1", "y1")).select(F.col("a_id").alias("id")).distinct().withColumn("hit", F.lit(True))
     return b.join(hits, "id", "left").agg(F.count("*").alias("truths"), F.count("hit").alias("hit"))
 
 

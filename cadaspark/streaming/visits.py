@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.functions.rules import VERDICT_STATUS, looked_up
+from cadaspark.operators.comparison import point_accuracy, vertex_errors
 from cadaspark.operators.graph import shared_folder
 
 LATE = "10 minutes"
@@ -90,3 +91,20 @@ def enriched(visits: DataFrame, parcels: DataFrame) -> DataFrame:
 def edit_windows(edits: DataFrame, width: str = "1 day", late: str = LATE) -> DataFrame:
     by = edits.withWatermark("t", late).groupBy(F.window("t", width).alias("w")).agg(F.count("*").alias("edits"))
     return by.select(F.col("w.start").alias("start"), "edits")
+
+
+def running_accuracy(corners: DataFrame, layer: DataFrame, name: str = "corners") -> DataFrame:
+    """Accuracy after every micro-batch of recorded corners: batch, points and the accuracy so far.
+
+    Each micro-batch's errors are written once under its number, so a repeated one counts once.
+    """
+    spark = corners.sparkSession
+    folder, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
+
+    def add(df: DataFrame, n: int) -> None:
+        vertex_errors(df, layer).write.mode("overwrite").parquet(f"{folder}/errors/n={n}")
+        every = spark.read.parquet(f"{folder}/errors").filter(F.col("n") <= n)
+        point_accuracy(every).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/accuracy/n={n}")
+
+    corners.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/accuracy").drop("n")

@@ -1,9 +1,14 @@
 """Regions, votes and nearest boxes against plain loops."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadaspark.operators import layout, ranks, regions, voting
+from cadaspark.functions.kernels import left_over
+from cadaspark.operators import layout, ranks, regions, saving, siting, tiles, voting
+from cadaspark.sources import layers
+from cadaspark.streaming import visits
 
 
 def parts(label):
@@ -145,3 +150,50 @@ def test_quantiles_by_ranges(spark, monkeypatch):
     by = df.groupBy("v").count().filter("v is not null")
     got = {r.v: r.below for r in ranks.counts_below(by, "v", "count").collect()}
     assert all(got[v] == (values < v).sum() for v in got)
+
+
+def test_left_over_parts():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        others = [(a, b, a + c, b + d) for a, b, c, d in rng.integers([0, 0, 1, 1], [14, 14, 9, 9], (5, 4)).tolist()]
+        free = {(i, j): 1 for i in range(2, 14) for j in range(3, 15) if not any(o[0] <= i and i + 1 <= o[2] and o[1] <= j and j + 1 <= o[3] for o in others)}
+        got = [{(i, j) for a, b, c, d in p for i in range(a, c) for j in range(b, d)} for p in left_over((2, 3, 14, 15), others)]
+        assert sorted(map(sorted, got)) == sorted(map(sorted, parts(free)))
+
+
+def test_rest_of_a_footprint_stays(spark):
+    box = "id bigint, x0 double, y0 double, x1 double, y1 double"
+    first = spark.createDataFrame([(1, 10.0, 0.0, 14.0, 10.0), (2, 50.0, 0.0, 51.0, 2.0)], box)
+    second = spark.createDataFrame([(5, 0.0, 0.0, 30.0, 10.0), (6, 11.0, 1.0, 13.0, 9.0), (7, 100.0, 0.0, 101.0, 5.0), (8, 13.0, 0.0, 15.5, 10.0)], box)
+    got = sorted((r.source, r.id, round(r.area_m2, 6)) for r in siting.merged_sources(first, second).collect())
+    assert got == [("a", "1", 40.0), ("b", "5", 95.0), ("b", "5", 155.0), ("b", "7", 5.0)]
+
+
+def test_survey_mask(spark):
+    hidden = {(0, 0), (0, 1), (5, 5), (5, 6), (9, 3), (8, 3), (7, 7)}
+    cells = spark.createDataFrame([(i, j, None if (i, j) in hidden and (i + j) % 2 else float("nan") if (i, j) in hidden else 1.0) for i in range(10) for j in range(10)], "x int, y int, value double")
+    assert {(r.x, r.y) for r in tiles.survey_mask(cells).filter("not valid").collect()} == {(0, 0), (0, 1), (9, 3), (8, 3)}
+
+
+def test_hand_labels(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"crop{k}.json").write_text(json.dumps({"name": f"crop{k}", "y0": 20, "x0": 80, "size": 266, "lines": [[[1.5, 2], [3, 4]], [[5, 6], [7, 8], [9, 10]]][:k]}, indent=1))
+    got = sorted((r.name, r.x0, r.size, r.line, len(r.vertices), r.vertices[0].x) for r in layers.hand_labels(spark, str(tmp_path / "*.json")).select("name", "x0", F.col("size").alias("size"), "line", "vertices").collect())
+    assert got == [("crop1", 80, 266, 0, 2, 1.5), ("crop2", 80, 266, 0, 2, 1.5), ("crop2", 80, 266, 1, 3, 5.0)]
+
+
+def test_summaries_and_removed_records(spark):
+    one = spark.createDataFrame([(3, 0.5)], "parcels bigint, share double")
+    assert json.loads(saving.as_summary(one).first()["json"]) == {"parcels": 3, "share": 0.5}
+    layer = spark.createDataFrame([(1, "MATCH", 0.9, "R1")], "id bigint, record_status string, record_iou double, record_ref_id string")
+    assert saving.without_record(layer).columns == ["id"]
+
+
+def test_running_accuracy_over_micro_batches(spark, tmp_path):
+    layer = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], "id bigint, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, "corner", 0.5, 0.0), (2, "corner", 10.0, 11.5)], "point_id bigint, type string, x double, y double")
+    for k in (1, 2):
+        points.filter(f"point_id = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = visits.source(spark, str(tmp_path / "in"), points.schema, 1)
+    got = sorted((r.batch, r.points, round(r.mean_m, 9)) for r in visits.running_accuracy(stream, layer).collect())
+    assert [g[:2] for g in got] == [(0, 1), (1, 2)] and got[1][2] == 1.0

@@ -144,7 +144,9 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all columns of ``df`` (see :func:`exact_groups`).
 
-    Of rows that share both id and text the least in the order of all columns stays.
+    Of rows that share both id and text the least in the order of all columns stays, so repeated rows
+    leave one.  Null texts are equal to empty ones.  Columns may have any names but ``__norm``,
+    ``__sha``, ``__print``, ``__id`` and ``__key``; an empty table gives an empty result.
     """
     rows = stored(exact_groups(df, doc_id, text).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept", "group_size"), "exact-rows")
     gone = rows.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__key")).distinct()

@@ -89,7 +89,9 @@ def peak_pairs(at: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def media_column(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with ``n_bytes`` and ``media``: its UTF-8 bytes as an 8-bit WAV file.
 
-    Bytes 0 fill the payload up to a positive multiple of 64.  Null counts as empty.
+    Bytes 0 fill the payload up to a positive multiple of 64.  Null counts as empty; repeated rows
+    give equal files as often as they occur; very long texts are one file each; an empty table gives
+    an empty result.  Other columns stay, those named ``n_bytes`` or ``media`` are replaced.
     """
     kept = [c for c in df.columns if c not in (text, "n_bytes", "media")]
     rows = df.select(*[df[c] for c in kept], F.coalesce(df[text], F.lit("")).alias("__text"))
@@ -111,7 +113,8 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
 
     New columns: ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (last 64 samples),
     ``media_bytes``, ``media_sha256``, ``times`` and ``codes`` (the time-coded fingerprint).  Bytes
-    that are no WAV file, and null, give nulls and empty arrays.
+    that are no WAV file, and null, give nulls and empty arrays.  Other columns stay, those named like
+    a new one are replaced; an empty table gives an empty result.
     """
     new = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes")
     kept = [c for c in df.columns if c not in (*new, media)]

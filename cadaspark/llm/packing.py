@@ -125,6 +125,9 @@ def packed_documents(docs: DataFrame, tokenizer: str, mixed_by: str | None = Non
     order when they are read, so the slots are found again, which depend on the rows alone, and
     windows and bins follow them.  The sizes are written between counting and packing, so that a
     task has one Python worker at a time and only as many workers as cores hold a tokenizer's tables.
+    Null texts count as empty; repeated rows are packed as often as they occur; very long texts are
+    cut into pieces; an empty table gives an empty result; other columns are not read but for the
+    mixture's order.
     """
     texts = docs.select("doc_id", clear_text().alias("text"))
     if mixed_by:

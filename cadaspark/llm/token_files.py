@@ -183,7 +183,11 @@ def sequence_at(folder: str, name: str, row: int) -> tuple[np.ndarray, np.ndarra
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A row a document, from the files: doc_id, start in the whole data set, n_tokens, ids_crc32."""
+    """A row a document, from the files: doc_id, start in the whole data set, n_tokens, ids_crc32.
+
+    Repeated rows of the written table are rows of their own, null ids stay null; an empty data set
+    gives an empty result.  Only the manifest's shards are read.
+    """
     manifest = spark.read.parquet(f"{folder}/manifest")
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a shard
     placed = manifest.select("name", before.alias("before"), "n_tokens").repartition(spark.sparkContext.defaultParallelism * 4, "name")

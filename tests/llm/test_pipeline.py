@@ -49,6 +49,35 @@ def test_packing_follows_the_mixture(spark, monkeypatch):
         assert all(w.drop_duplicates().is_monotonic_increasing for w in windows)
 
 
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, slot int, n_tokens bigint, media string, score double"
+
+
+def test_stages_on_odd_tables(spark):
+    """Every stage takes an empty table, and nulls, empties, ties, repeats, a long text and clashing names."""
+    long = " ".join(f"w{i} it's" for i in range(60000))
+    texts = [None, "", " \t\n", "a", "a", "same words in both of these two rows here", "same words in both of these two rows here", long, long + " x"]
+    rows = [(i, t, "en", f"s{i % 2}" if i % 3 else None, 7, True, 1, 2, "m", 0.5) for i, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "s1", 7, True, 1, 2, "m", 0.5), (None, "no id", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    for docs in (spark.createDataFrame([], ODD), spark.createDataFrame(rows, ODD)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stored(stage(spark, docs, SF), "test-odd")
+            assert left.columns == docs.columns and left.exceptAll(docs).isEmpty(), name
+            assert (left.count() == n) if name == "mixing" else left.count() <= n, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        pieces = packed.collect()
+        assert sum(r.piece == 0 for r in pieces) == n and all(r.offset + r.length <= r.capacity for r in pieces)
+    empties = [r for r in pieces if r.doc_id in (0, 1)]
+    assert [r.length for r in empties] == [1, 1]
+
+
+def test_packing_keeps_repeated_rows(spark):
+    frame = spark.createDataFrame([(7, 900)] * 40 + [(8, 5000)] * 3, "doc_id bigint, size bigint")
+    got = packing.best_fit(frame, "size").toPandas()
+    assert got["length"].sum() == 40 * 900 + 3 * 5000 and (got["doc_id"] == 8).sum() == 6
+    assert (got.groupby("bin_id")["length"].sum() <= got.groupby("bin_id")["capacity"].first()).all()
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_cover_the_table(spark, name):
     got = queries.queries()[name](spark, SF)

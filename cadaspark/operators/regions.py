@@ -101,7 +101,7 @@ def merged_by_roofs(cells: DataFrame, cell_m2: float) -> DataFrame:
 def outlines(cells: DataFrame, size: float) -> DataFrame:
     """label, rings, area of every label: edges that two of its cells share cancel, the rest are chained."""
     x0, y0 = F.col("x") * F.lit(size), F.col("y") * F.lit(size)
-    boxes = cells.filter("label > 0").select(F.struct("x", "y").alias("id"), "label", box_geometry(x0, y0, x0 + size, y0 + size).alias("geom"))
+    boxes = cells.filter("label is not null").select(F.struct("x", "y").alias("id"), "label", box_geometry(x0, y0, x0 + size, y0 + size).alias("geom"))
     return merged(boxes.select("id", "geom"), boxes.select("id", F.col("label").alias("group"))).withColumnRenamed("group", "label")
 
 

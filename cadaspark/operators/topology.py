@@ -147,12 +147,13 @@ def coverage_gaps(boxes: DataFrame, size: float = 1.0) -> DataFrame:
     return gaps_between(box_cells(boxes, size), size)
 
 
-def gaps_between(covered: DataFrame, size: float = 1.0) -> DataFrame:
+def enclosed_areas(covered: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     """Enclosed areas that no parcel covers, of more than 1 and at most 400 square metres.
 
     Works on cells: free cells near a parcel form components, and a component is a gap if it is small
     and none of its cells has a neighbour outside the examined margin.  Returns ``gap`` (its least
-    cell), ``area_m2`` and ``neighbours`` (ids of parcels at its sides).
+    cell), ``area_m2``, ``neighbours`` (ids of parcels at its sides) and ``into`` (the one with the
+    longest border), and the cells of all free components.
     """
     taken = covered.select("cx", "cy").distinct()
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
@@ -178,9 +179,22 @@ def gaps_between(covered: DataFrame, size: float = 1.0) -> DataFrame:
     placed = written(own.join(parts, "node"), "free-parts")
     sized = placed.groupBy("component").agg((F.count("*") * size * size).alias("area_m2")).filter((F.col("area_m2") > GAP_LEAST_M2) & (F.col("area_m2") <= GAP_MOST_M2))
     borders = steps.join(nodes.withColumnRenamed("node", "b"), "b", "left_anti").join(placed.select(F.col("cell").alias("a"), "component"), "a").join(sized.select("component"), "component", "left_semi")
-    sides = borders.join(covered.select("id", key(F.col("cx"), F.col("cy")).alias("b")), "b", "left")
-    closed = sides.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("neighbours"), F.count_if(F.col("id").isNull()).alias("open")).filter("open = 0")
-    return sized.join(closed, "component").select(F.col("component").alias("gap"), "area_m2", "neighbours")
+    sides = borders.join(covered.select("id", key(F.col("cx"), F.col("cy")).alias("b")), "b", "left").groupBy("component", "id").agg(F.count("*").alias("m"))
+    into = F.max_by("id", F.struct("m", -F.col("id")))
+    closed = sides.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("neighbours"), into.alias("into"), F.count_if(F.col("id").isNull()).alias("open")).filter("open = 0").drop("open")
+    gaps = sized.join(closed, "component").withColumnRenamed("component", "gap")
+    return gaps, placed.select(F.col("component").alias("gap"), F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"))
+
+
+def gaps_between(covered: DataFrame, size: float = 1.0) -> DataFrame:
+    """Enclosed areas that no parcel covers: gap, area_m2, neighbours (see :func:`enclosed_areas`)."""
+    return enclosed_areas(covered, size)[0].select("gap", "area_m2", "neighbours")
+
+
+def gap_cells(covered: DataFrame, size: float = 1.0) -> DataFrame:
+    """The cells of all gaps: gap, cx, cy, into (the parcel with the longest border; ties: least id), area_m2."""
+    gaps, cells = enclosed_areas(covered, size)
+    return cells.join(gaps.select("gap", "into", "area_m2"), "gap")
 
 
 def auto_fix(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -52,7 +52,7 @@ def fused_labels(spark, sf_dir):
 )
 def cell_outlines(spark, sf_dir):
     """Outlines of label cells: area and length of the rings."""
-    out = regions.outlines(x.grid(spark, sf_dir).select("x", "y", "label"), 2.0)
+    out = regions.outlines(x.grid(spark, sf_dir).filter("label > 0").select("x", "y", "label"), 2.0)
     return out.select("label", F.col("area").alias("area_m2"), F.aggregate(F.transform("rings", ring_length), F.lit(0.0), lambda a, v: a + v).alias("perimeter_m"))
 
 

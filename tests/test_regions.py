@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadaspark.functions.kernels import left_over
-from cadaspark.operators import layout, ranks, regions, saving, siting, tiles, voting
+from cadaspark.operators import layout, ranks, regions, repair, saving, siting, tiles, voting
 from cadaspark.sources import layers
 from cadaspark.streaming import visits
 
@@ -197,3 +197,39 @@ def test_running_accuracy_over_micro_batches(spark, tmp_path):
     stream = visits.source(spark, str(tmp_path / "in"), points.schema, 1)
     got = sorted((r.batch, r.points, round(r.mean_m, 9)) for r in visits.running_accuracy(stream, layer).collect())
     assert [g[:2] for g in got] == [(0, 1), (1, 2)] and got[1][2] == 1.0
+
+
+def test_repair_of_free_polygons(spark):
+    """Bow-ties, parts, holes with parcels inside, duplicates, overlaps, slivers, small parcels and gaps."""
+
+    def ring(*v):
+        return [{"x": float(a), "y": float(b)} for a, b in v]
+
+    def box(a, b, c, d):
+        return ring((a, b), (c, b), (c, d), (a, d))
+
+    rows = [
+        (1, [[box(0, 0, 20, 20)]], 0.9),
+        (2, [[box(15, 0, 40, 20)]], 0.5),  # overlaps 1 by 5 x 20
+        (3, [[box(0, 0, 20, 20.2)]], 0.1),  # doubles 1
+        (4, [[box(0, 20, 40, 21)]], 0.5),  # a sliver beside 1 and 2
+        (5, [[box(0, 21, 15, 40)]], 0.5),
+        (6, [[box(25, 21, 40, 40)]], 0.5),
+        (7, [[box(15, 30, 25, 40)]], 0.5),  # with 4, 5 and 6 around a gap of 10 x 9
+        (8, [[box(100, 0, 140, 40), box(110, 10, 120, 20), box(125, 25, 130, 30)]], 0.5),  # two holes
+        (9, [[box(111, 11, 119, 19)]], 0.2),  # inside the first hole, of lower rank
+        (10, [[box(126, 26, 129, 29)]], 0.8),  # inside the second, of higher rank but too small
+        (11, [[ring((200, 0), (220, 20), (220, 0), (200, 20))]], 0.5),
+        (12, [[box(300, 0, 320, 20)], [box(330, 0, 334, 4)]], None),
+    ]
+    parcels = spark.createDataFrame(rows, "id bigint, geom array<array<array<struct<x:double,y:double>>>>, confidence double")
+    layer, log = repair.repaired(parcels)
+    areas = {r.id: r.area_m2 for r in layer.collect()}
+    done = sorted((r.action, tuple(r.parcel_ids), r.area_m2) for r in log.collect())
+    assert ("removed duplicate", (3,), None) in done and ("overlap assigned", (1, 2), 100.0) in done
+    assert ("enclosed, merged", (9, 8), None) in done and ("holes filled", (8,), None) in done and ("made valid", (11,), None) in done and ("kept largest part", (12,), None) in done
+    assert [d[1][0] for d in done if d[0] == "merged"] == [4] and sorted((d[1], d[2]) for d in done if d[0] == "gap filled")[-1] == ((8,), 16.0)
+    assert sorted(d[2] for d in done if d[0] == "gap filled") == [16.0, 90.0]
+    assert set(areas) == {1, 2, 5, 6, 7, 8, 10, 11, 12}
+    assert areas[1] + areas[2] + areas[5] + areas[6] + areas[7] == 40 * 40 and areas[8] == 1600 - 25 + 16 and areas[10] == 9 and areas[12] == 400
+    assert abs(areas[11] - 100) <= 10

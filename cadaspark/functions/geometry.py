@@ -117,6 +117,24 @@ def contains_point(geom: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.flatten(F.transform(F.flatten(geom), edges)), F.lit(0), lambda a, e: a + hits(e)) % 2 == 1
 
 
+def inside_point(geom: Column, share: Column) -> Column:
+    """A point within the geometry: the middle of its widest span at a share of its height (ties: the first span)."""
+    box = bounds(geom)
+    level = lambda b: b["y0"] + share * (b["y1"] - b["y0"])
+
+    def at(y: Column) -> Column:
+        hits = F.filter(F.flatten(F.transform(F.flatten(geom), edges)), lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
+        xs = F.array_sort(F.transform(hits, lambda e: e["p"]["x"] + (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) * (e["q"]["x"] - e["p"]["x"])))
+
+        def middle(v: Column) -> Column:
+            spans = F.transform(F.sequence(F.lit(1), F.size(v) - 1, F.lit(2)), lambda i: F.struct((F.element_at(v, i) - F.element_at(v, i + 1)).alias("k"), F.element_at(v, i).alias("a"), F.element_at(v, i + 1).alias("b")))
+            return let(F.array_min(spans), lambda s: point((s["a"] + s["b"]) / 2, y))
+
+        return let(xs, lambda v: F.when(F.size(v) > 1, middle(v)))
+
+    return let(box, lambda b: let(level(b), at))
+
+
 def segment_distance(x: Column, y: Column, e: Column) -> Column:
     """Distance of a point to an edge by clamped projection."""
     dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]

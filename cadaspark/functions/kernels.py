@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -313,6 +314,15 @@ def rotated_rectangle(geom: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rect", "short_m", "long_m", "share"])
 
 
+#: Share of its least rectangle above which a roof is drawn as that rectangle (fixed value).
+RECTANGULAR = 0.82
+
+
+def squared(geom: Column, rectangle_of: Column) -> Column:
+    """The geometry, or its least rotated rectangle (a struct of :func:`rotated_rectangle`) where it nearly fills it."""
+    return F.when(F.round(rectangle_of["share"], 9) >= RECTANGULAR, rectangle_of["rect"]).otherwise(geom)
+
+
 @F.pandas_udf(T.DoubleType())
 def solidity(geom: pd.Series) -> pd.Series:
     """Area over the area of the convex hull."""

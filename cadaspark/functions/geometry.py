@@ -117,6 +117,14 @@ def contains_point(geom: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.flatten(F.transform(F.flatten(geom), edges)), F.lit(0), lambda a, e: a + hits(e)) % 2 == 1
 
 
+def is_box(geom: Column) -> Column:
+    """Whether the geometry is one axis-aligned box: four corners that enclose all of its bounds."""
+    corners = F.size(F.flatten(F.flatten(geom)))
+    one = (F.size(geom) == 1) & (F.size(F.flatten(geom)) == 1) & corners.isin(4, 5)
+    full = let(bounds(geom), lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
+    return F.coalesce(one & (full > 0) & (area(geom) >= full * (1 - 1e-12)), F.lit(False))
+
+
 def inside_point(geom: Column, share: Column) -> Column:
     """A point within the geometry: the middle of its widest span at a share of its height (ties: the first span)."""
     box = bounds(geom)

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions import geometry as g
-from cadaspark.functions.kernels import is_valid, make_valid
+from cadaspark.functions.kernels import is_valid, make_valid, overlap_area
 from cadaspark.operators.graph import components, written
-from cadaspark.operators.spatial import overlay, with_bounds
+from cadaspark.operators.spatial import box_pairs, overlay, with_bounds
 
 OVERLAP_M2, GAP_LEAST_M2, GAP_MOST_M2 = 0.5, 1.0, 400.0
 SLIVER_THINNESS, SLIVER_M2, LEAST_M2, DUPLICATE_IOU = 0.12, 60.0, 12.0, 0.95
@@ -33,9 +33,14 @@ def looked_up(table: dict[str, str], key: Column) -> Column:
 
 
 def measured(parcels: DataFrame) -> DataFrame:
-    """Adds ``valid``; ``geom`` becomes valid; adds ``area``, ``perimeter``, ``thinness`` and the box."""
-    checked = written(parcels.withColumn("valid", is_valid("geom")), "checked")
-    out = checked.filter("valid").unionByName(checked.filter("not valid").withColumn("geom", make_valid("geom")))  # only these need the repair
+    """Adds ``valid``; ``geom`` becomes valid; adds ``area``, ``perimeter``, ``thinness``, ``plain`` (a box) and the box.
+
+    Boxes are valid as they are; only other shapes go through the kernels, and of them only those
+    that need it through the repair.
+    """
+    marked = parcels.withColumn("plain", g.is_box(F.col("geom")))
+    checked = written(marked.filter("not plain").withColumn("valid", is_valid("geom")), "checked")
+    out = marked.filter("plain").withColumn("valid", F.lit(True)).unionByName(checked.filter("valid")).unionByName(checked.filter("not valid").withColumn("geom", make_valid("geom")))
     out = out.withColumn("area", g.area(F.col("geom"))).withColumn("perimeter", g.perimeter(F.col("geom"))).withColumn("thinness", g.thinness(F.col("geom")))
     return with_bounds(out)
 
@@ -62,9 +67,26 @@ def shape_issues(layer: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(layer: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs of parcels that share more than 0.5 square metres: OVERLAP, or DUPLICATE at IoU 0.95."""
-    columns = ["id", "x0", "y0", "x1", "y1", *(["geom", "area"] if exact else [])]
-    pairs = overlay(layer.select(*columns), layer.select(*columns), exact=exact, extra=F.col("a_id") < F.col("b_id")).filter(F.col("inter") > OVERLAP_M2)
+    """Pairs of parcels that share more than 0.5 square metres: OVERLAP, or DUPLICATE at IoU 0.95.
+
+    With ``exact`` the layer has ``geom`` and ``area``: pairs of boxes are decided by their corners,
+    and only the ids of the other pairs fetch their shapes for the kernel.
+    """
+    each = F.col("a_id") < F.col("b_id")
+    if exact:
+        plain = F.col("plain") if "plain" in layer.columns else g.is_box(F.col("geom"))
+        slim = layer.select("id", "x0", "y0", "x1", "y1", "area", plain.alias("plain"))
+        near = written(box_pairs(slim, slim, extra=each).select("a_id", "b_id", "a_area", "b_area", g.box_overlap("a_", "b_").alias("inter"), (F.col("a_plain") & F.col("b_plain")).alias("plain")).filter("inter > 0"), "near-pairs")
+        shapes = layer.select("id", "geom")
+        rest = near.filter("not plain").drop("inter").join(shapes.toDF("a_id", "a_geom"), "a_id").join(shapes.toDF("b_id", "b_geom"), "b_id")
+        # the kernel is the costly part: pairs are few bytes but much work, so they are not coalesced by size
+        tasks = max(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), layer.sparkSession.sparkContext.defaultParallelism)
+        rest = rest.repartition(tasks).withColumn("inter", overlap_area("a_geom", "b_geom")).drop("a_geom", "b_geom")
+        pairs = near.filter("plain").unionByName(rest).withColumn("iou", F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")))
+    else:
+        slim = layer.select("id", "x0", "y0", "x1", "y1")
+        pairs = overlay(slim, slim, extra=each)
+    pairs = pairs.filter(F.col("inter") > OVERLAP_M2)
     kind = F.when(F.col("iou") >= DUPLICATE_IOU, "DUPLICATE").otherwise("OVERLAP")
     return pairs.select("a_id", "b_id", "inter", "iou", (100 * F.col("inter") / F.least("a_area", "b_area")).alias("pct_of_smaller"), kind.alias("type"))
 
@@ -136,8 +158,7 @@ def polygon_cells(layer: DataFrame, size: float = 1.0) -> DataFrame:
     """``id``, ``cx``, ``cy`` of the grid cells whose centres lie in a polygon (``geom``, with its box)."""
     boxed = box_cells(layer.select("id", "x0", "y0", "x1", "y1"), size)
     inside = g.contains_point(F.col("geom"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)
-    plain = (g.area(F.col("geom")) >= (1 - 1e-9) * g.box_area()) & (F.size("geom") == 1)  # boxes need no test
-    marked = layer.select("id", "geom", plain.alias("plain"))
+    marked = layer.select("id", "geom", g.is_box(F.col("geom")).alias("plain"))  # boxes need no test
     whole = boxed.join(marked.filter("plain").select("id"), "id", "left_semi")
     return whole.unionByName(boxed.join(marked.filter("not plain").select("id", "geom"), "id").filter(inside).select("id", "cx", "cy"))
 

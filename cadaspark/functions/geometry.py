@@ -198,3 +198,12 @@ def union_area(boxes: Column) -> Column:
     slab = lambda p, q: (q - p) * covered(F.filter(boxes, lambda b: (b["x0"] <= p) & (b["x1"] >= q)))
     slabs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), slab)
     return let(xs, lambda x: F.when(F.size(x) < 2, 0.0).otherwise(_sum(slabs(x))))
+
+
+def box_relation(a: str, b: str) -> Column:
+    """How two boxes lie: equal, within, contains, overlaps, touches (borders alone) or apart."""
+    at = lambda p, c: F.col(f"{p}{c}")
+    inside = lambda p, q: (at(p, "x0") >= at(q, "x0")) & (at(p, "y0") >= at(q, "y0")) & (at(p, "x1") <= at(q, "x1")) & (at(p, "y1") <= at(q, "y1"))
+    w = F.least(at(a, "x1"), at(b, "x1")) - F.greatest(at(a, "x0"), at(b, "x0"))
+    h = F.least(at(a, "y1"), at(b, "y1")) - F.greatest(at(a, "y0"), at(b, "y0"))
+    return F.when((w < 0) | (h < 0), "apart").when((w == 0) | (h == 0), "touches").when(inside(a, b) & inside(b, a), "equal").when(inside(a, b), "within").when(inside(b, a), "contains").otherwise("overlaps")

@@ -103,3 +103,8 @@ def lonlat_ring_area(ring: Column) -> Column:
 
     k = 111320 * 110574 * F.cos(F.radians(F.element_at(ring, 1)["y"]))
     return F.abs(signed_ring_area(ring)) * k
+
+
+def area_km2(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Square kilometres of a box in degrees, at 111.32 km a degree."""
+    return (east - west) * 111.32 * F.cos(F.radians((south + north) / 2)) * (north - south) * 111.32

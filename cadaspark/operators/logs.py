@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaspark.functions.rules import VERDICT_STATUS, looked_up
+from cadaspark.functions.rules import VERDICT_STATUS, cleaned, looked_up
 
 STATUSES = ("draft", "approved", "rejected", "field_check")
 KEPT_VERSIONS, LATEST = 50, 200
@@ -81,3 +81,23 @@ def latest_entries(edits: DataFrame, n: int = LATEST) -> DataFrame:
 def without(layer: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """The layer without deleted rows."""
     return layer.join(gone.select(key), key, "left_anti")
+
+
+def soft_deleted(layer: DataFrame, gone: DataFrame, at: Column, key: str = "id") -> DataFrame:
+    """The layer with ``deleted_at`` on the rows that go; they can be restored by clearing it."""
+    marks = gone.select(key).distinct().withColumn("__gone", F.lit(True))
+    before = F.col("deleted_at") if "deleted_at" in layer.columns else F.lit(None).cast("timestamp")
+    return layer.withColumn("deleted_at", before).join(marks, key, "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("__gone"), at))).drop("__gone")
+
+
+def current(layer: DataFrame) -> DataFrame:
+    """What a layer shows: rows that are not deleted."""
+    return layer.filter("deleted_at is null").drop("deleted_at")
+
+
+def renamed(surveys: DataFrame, names: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Surveys (id, name) with their new names, and the log entries; empty names are refused and change nothing."""
+    wanted = names.select("id", cleaned(F.col("name"), 120).alias("__new")).filter(F.col("__new") != "")
+    out = surveys.join(wanted, "id", "left")
+    log = out.filter("__new is not null").select("id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("t"), F.concat(F.lit("renamed from '"), F.col("name"), F.lit("' to '"), F.col("__new"), F.lit("'")).alias("action"))
+    return out.withColumn("name", F.coalesce("__new", "name")).drop("__new"), log

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cadaspark.operators.graph import written
 from cadaspark.operators.ranks import counts_below, quantiles
+from cadaspark.operators.spatial import containing
 
-FOUND_IOU, VOTES, SOLO_SCORE, LEAST_CELLS = 0.5, 2, 0.85, 20
+FOUND_IOU, VOTES, SOLO_SCORE, LEAST_CELLS, ON_LABEL = 0.5, 2, 0.85, 20, 0.3
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -44,15 +45,19 @@ def neighbour_pairs(cells: DataFrame, reach: int = 3) -> DataFrame:
     return moved.join(own.withColumnRenamed("truth", "b"), ["tile", "x", "y"]).filter("a < b").select("tile", "a", "b").distinct()
 
 
-def instance_scores(cells: DataFrame) -> DataFrame:
-    """A row a tile: total, found (best IoU 0.5), iou_sum, shapes, extra, pairs, merged, pix_i, pix_u."""
+def instance_scores(cells: DataFrame, partial: bool = False) -> DataFrame:
+    """A row a tile: total, found (best IoU 0.5), iou_sum, shapes, extra, pairs, merged, pix_i, pix_u.
+
+    In ``partial`` tiles a shape that lies mostly on unlabelled ground may be a real one and is no extra.
+    """
     pairs = contingency(cells)
     truths = cells.filter("truth > 0").select("tile", "truth").distinct()
     preds = cells.filter("pred > 0").select("tile", "pred").distinct()
     best = pairs.groupBy("tile", "truth").agg(F.max("iou").alias("iou"), F.max_by("pred", F.struct("inter", -F.col("pred"))).alias("main"))
-    reached = pairs.groupBy("tile", "pred").agg(F.max("iou").alias("iou"))
+    reached = pairs.groupBy("tile", "pred").agg(F.max("iou").alias("iou"), (F.sum("inter") / F.first("p")).alias("on_label"))
+    counts = F.coalesce(F.col("on_label") > ON_LABEL, F.lit(False)) if partial else F.lit(True)
     t = truths.join(best, ["tile", "truth"], "left").groupBy("tile").agg(F.count("*").alias("total"), F.count_if(F.col("iou") >= FOUND_IOU).alias("found"), F.sum(F.when(F.col("iou") >= FOUND_IOU, F.col("iou")).otherwise(0.0)).alias("iou_sum"))
-    p = preds.join(reached, ["tile", "pred"], "left").groupBy("tile").agg(F.count("*").alias("shapes"), F.count_if(F.coalesce("iou", F.lit(0.0)) < FOUND_IOU).alias("extra"))
+    p = preds.join(reached, ["tile", "pred"], "left").groupBy("tile").agg(F.count("*").alias("shapes"), F.count_if((F.coalesce("iou", F.lit(0.0)) < FOUND_IOU) & counts).alias("extra"))
     near = neighbour_pairs(cells).join(best.select("tile", F.col("truth").alias("a"), F.col("main").alias("ma")), ["tile", "a"], "left").join(best.select("tile", F.col("truth").alias("b"), F.col("main").alias("mb")), ["tile", "b"], "left")
     near = near.groupBy("tile").agg(F.count("*").alias("pairs"), F.count_if(F.col("ma") == F.col("mb")).alias("merged"))
     pix = cells.groupBy("tile").agg(F.count_if((F.col("truth") > 0) & (F.col("pred") > 0)).alias("pix_i"), F.count_if((F.col("truth") > 0) | (F.col("pred") > 0)).alias("pix_u"))
@@ -143,3 +148,22 @@ def rebalanced(df: DataFrame, kind: str, small: str) -> DataFrame:
 
 def contrast(df: DataFrame, found: str, value: Column) -> DataFrame:
     return df.agg(F.avg(F.when(F.col(found), value)).alias("found_mean"), F.avg(F.when(~F.col(found), value)).alias("missed_mean"))
+
+
+def evaluated(layer: DataFrame, buildings: DataFrame, inner: tuple[float, float, float, float]) -> DataFrame:
+    """The boxes of ``layer`` that hold the middle of a building and have their own in the inner box."""
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    x, y = middle("x0", "x1"), middle("y0", "y1")
+    west, south, east, north = inner
+    own = layer.filter((x > west) & (x < east) & (y > south) & (y < north))
+    held = containing(buildings.select(x.alias("x"), y.alias("y")), own.select("id", "x0", "y0", "x1", "y1")).select(F.col("b_id").alias("id")).distinct()
+    return own.join(held, "id", "left_semi")
+
+
+def pixel_scores(cells: DataFrame, ignored: int = 255) -> DataFrame:
+    """One row: precision, recall, f1 and iou of set cells; cells whose truth is ``ignored`` do not count."""
+    of = lambda t, p: F.count_if((F.col("truth") > 0 if t else F.col("truth") == 0) & (F.col("pred") > 0 if p else F.col("pred") == 0))
+    n = cells.filter(F.col("truth") != ignored).agg(of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(1, 0).alias("fn"))
+    over = lambda a, b: a / F.greatest(F.lit(1), b)
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
+    return n.select(over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), over(tp, tp + fp + fn).alias("iou"))

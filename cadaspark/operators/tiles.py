@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadaspark.functions.projection import area_km2
 from cadaspark.operators.cells import SIDES, offsets
 from cadaspark.operators.graph import written
 from cadaspark.operators.ranks import quantiles
@@ -124,3 +127,52 @@ def survey_mask(cells: DataFrame) -> DataFrame:
     outer = named.filter(F.col("x").isin(west, east) | F.col("y").isin(north, south)).select("region").distinct()
     outside = named.join(outer, "region", "left_semi").select("x", "y", F.lit(True).alias("out"))
     return cells.join(outside, ["x", "y"], "left").select("x", "y", F.col("out").isNull().alias("valid"))
+
+
+def clipped(boxes: DataFrame, extent: tuple[float, float, float, float]) -> DataFrame:
+    """Boxes cut to an extent (west, south, east, north); those outside are refused."""
+    lit = lambda v: F.lit(float(v))
+    west, south, east, north = extent
+    out = boxes.filter((F.col("x0") < east) & (F.col("x1") > west) & (F.col("y0") < north) & (F.col("y1") > south))
+    return out.withColumn("x0", F.greatest("x0", lit(west))).withColumn("y0", F.greatest("y0", lit(south))).withColumn("x1", F.least("x1", lit(east))).withColumn("y1", F.least("y1", lit(north)))
+
+
+#: Largest area of one survey in square kilometres (fixed value).
+MOST_KM2 = 0.35
+
+
+def area_requests(boxes: DataFrame, most_km2: float = MOST_KM2) -> DataFrame:
+    """Adds ``km2`` and ``refused`` (too large, or empty) to boxes in degrees (west, south, east, north)."""
+    km2 = area_km2(*map(F.col, ("west", "south", "east", "north")))
+    return boxes.withColumn("km2", km2).withColumn("refused", F.coalesce((F.col("km2") > most_km2) | (F.col("east") <= F.col("west")) | (F.col("north") <= F.col("south")), F.lit(True)))
+
+
+def layer_extent(boxes: DataFrame, margin: float) -> DataFrame:
+    """One row: the extent of a layer with a margin, and the mean of its centres."""
+    middle = lambda a, b: F.avg((F.col(a) + F.col(b)) / 2)
+    return boxes.agg((F.min("x0") - margin).alias("west"), (F.min("y0") - margin).alias("south"), (F.max("x1") + margin).alias("east"), (F.max("y1") + margin).alias("north"), middle("x0", "x1").alias("mid_x"), middle("y0", "y1").alias("mid_y"))
+
+
+def tile_weight(kind: str, i: Column, crop: int) -> Column:
+    """Weight of a tile's cell along one axis: flat, ramp (cells to the nearer edge) or hann."""
+    if kind == "ramp":
+        return F.least(i + 1, crop - i).cast("double")
+    return F.lit(1.0) if kind == "flat" else 0.5 - 0.5 * F.cos(2 * pi * (i + 0.5) / crop)
+
+
+def weighted(tiles: DataFrame, crop: int, kind: str = "ramp") -> DataFrame:
+    """Adds the weight ``w`` of each cell (i, j in its tile): the lesser ramp of both axes, else the product."""
+    a, b = tile_weight(kind, F.col("i"), crop), tile_weight(kind, F.col("j"), crop)
+    return tiles.withColumn("w", F.least(a, b) if kind == "ramp" else a * b)
+
+
+def crop_split(crops: DataFrame, line: float, size: int, buffer: int, coverage: float = 0.9) -> DataFrame:
+    """Adds ``fold`` to covered crops: train west of the buffer before the line, test east of it; crops that straddle go."""
+    fold = F.when(F.col("x") >= line, "test").when(F.col("x") + size <= line - buffer, "train")
+    return crops.filter(F.col("coverage") >= coverage).withColumn("fold", fold).filter("fold is not null")
+
+
+def region_cells(boxes: DataFrame, size: float, reach: int = 2) -> DataFrame:
+    """cx, cy of the cells within two steps, also diagonal ones, of approved parcels' cells."""
+    cells = box_cells(boxes.filter("status = 'approved'"), size).select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    return offsets(cells, reach).select(F.col("ox").alias("cx"), F.col("oy").alias("cy")).distinct()

@@ -177,9 +177,28 @@ def tile_pyramid(spark, sf_dir):
     return layers.tile_pyramid(x.grid(spark, sf_dir), 18, 6).withColumn("value", F.round("value", 4))
 
 
-@query("select (x // 10)::bigint as patch_x, (y // 10)::bigint as patch_y, round(avg(mask::int), 4) as share, avg(mask::int) >= 0.8 or (x // 10 * 31 + y // 10 * 17) % 7 = 0 as kept from grid group by x // 10, y // 10")
+@query(
+    """select u.p as patch_x, v.p as patch_y, round(avg((value > 48)::int), 4) as share, avg((value > 48)::int) >= 0.005 or (u.p * 7919 + v.p * 104729) % 1000 < 150 as kept
+    from grid, (select unnest([0, 6, 12, 18, 24, 30, 36, 42]) as p) u, (select distinct unnest(list_append(generate_series(0, h - 8, 6), h - 8)) as p from (select max(y) + 1 as h from grid)) v
+    where x between u.p and u.p + 7 and y between v.p and v.p + 7 group by u.p, v.p"""
+)
 def patch_cutting(spark, sf_dir):
-    return layers.patches(x.grid(spark, sf_dir), 10, 0.8, 7).withColumn("share", F.round("share", 4))
+    """Patches of 8 cells on a grid of 6, the last ones flush with the edges; a few empty ones stay."""
+    g = x.grid(spark, sf_dir).select("x", "y", (F.col("value") > 48).alias("mask"))
+    height = g.agg(F.max("y") + 1).first()[0]
+    return layers.patches(g, 50, height, 8, 6).withColumn("share", F.round("share", 4))
+
+
+@query(
+    """select o_orderkey::varchar as point_id, case when o_orderkey % 5 = 0 then 'corner' else lower(o_orderstatus) end as type, 20 + o_custkey / 1e5 as lat, 78 + o_orderkey % 1000 / 1e5 as lon, case when o_orderkey % 4 <> 0 then o_custkey % 7 / 2 end as accuracy_m
+    from orders where o_orderkey % 3 <> 0 and 78 + o_orderkey % 1000 / 1e5 < 78.005 + 0.0005 and 20 + o_custkey / 1e5 > 20.0001 - 0.0005 and 20 + o_custkey / 1e5 < 20.02 + 0.0005"""
+)
+def point_feature_import(spark, sf_dir):
+    """Points of a GeoJSON collection inside a survey's box and its margin."""
+    k = F.col("o_orderkey")
+    attrs = F.create_map(F.lit("id"), k.cast("string"), F.lit("type"), F.when(k % 5 != 0, F.concat(F.lit(" "), F.col("o_orderstatus"))), F.lit("accuracy"), F.when(k % 4 == 0, "?").otherwise((F.col("o_custkey") % 7 / 2).cast("string")))
+    rows = x.table(spark, sf_dir, "orders").select(k.alias("row"), attrs.alias("attrs"), F.when(k % 3 == 0, "Polygon").otherwise("Point").alias("kind"), (78 + k % 1000 / 1e5).alias("lon"), (20 + F.col("o_custkey") / 1e5).alias("lat"))
+    return layers.within_survey(layers.import_point_features(rows), (78.0, 20.0001, 78.005, 20.02))
 
 
 @query(

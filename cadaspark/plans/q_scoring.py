@@ -139,3 +139,36 @@ def boundary_score(spark, sf_dir):
 
     out = s.boundary_f(rim("pred"), rim("truth"))
     return out.select(F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall"))
+
+
+@query(
+    """select tile, count(*) as shapes, count(*) filter (where coalesce(iou, 0) < 0.5 and coalesce(hit, 0) / n > 0.3) as extra from (select tile, pred, sum(inter) as n from cells_n where pred > 0 group by all)
+    left join (select tile, pred, max(iou) as iou, sum(inter) as hit from cont group by all) using (tile, pred) group by tile""",
+    cells_n=N,
+    cont=CONT,
+)
+def partial_label_extras(spark, sf_dir):
+    """Shapes that match no label, in tiles that are labelled in part."""
+    return s.instance_scores(x.instances(spark, sf_dir), partial=True).filter("shapes > 0").select("tile", "shapes", "extra")
+
+
+HELD = "select p.id from parcels p where (x0 + x1) / 2 > 100 and (x0 + x1) / 2 < 900 and (y0 + y1) / 2 > 20 and exists (select 1 from buildings b where (b.x0 + b.x1) / 2 >= p.x0 and (b.x0 + b.x1) / 2 < p.x1 and (b.y0 + b.y1) / 2 >= p.y0 and (b.y0 + b.y1) / 2 < p.y1)"
+
+
+@query("select count(*) as n, round(avg(iou), 5) as mean_iou, round(100 * avg((iou >= 0.5)::int), 4) as pct_50, round(100 * avg((iou >= 0.75)::int), 4) as pct_75 from (select h.id, coalesce(max(iou), 0) as iou from held h left join rec_pairs r on r.id = h.id group by h.id)", held=HELD, **ALL)
+def private_plot_rates(spark, sf_dir):
+    """Match rates of the parcels that hold a building, away from the survey's edge."""
+    own = s.evaluated(x.parcels(spark, sf_dir), x.buildings(spark, sf_dir), (100, 20, 900, 1e9))
+    best = own.select("id").join(_pairs(spark, sf_dir).groupBy("id").agg(F.max("iou").alias("iou")), "id", "left").fillna(0.0, ["iou"])
+    out = s.match_rates(best)
+    return out.select("n", F.round("mean_iou", 5).alias("mean_iou"), F.round("pct_50", 4).alias("pct_50"), F.round("pct_75", 4).alias("pct_75"))
+
+
+@query(
+    """select round(tp / (tp + fp), 5) as precision, round(tp / (tp + fn), 5) as recall, round(2 * tp / (2 * tp + fp + fn), 5) as f1, round(tp / (tp + fp + fn), 5) as iou from (select count(*) filter (where truth > 0 and pred > 0) as tp,
+    count(*) filter (where truth = 0 and pred > 0) as fp, count(*) filter (where truth > 0 and pred = 0) as fn from instances where (x + y) % 11 <> 0)"""
+)
+def pixel_scores(spark, sf_dir):
+    """Cell scores of a prediction; unlabelled cells do not count."""
+    cells = x.instances(spark, sf_dir).withColumn("truth", F.when((F.col("x") + F.col("y")) % 11 == 0, 255).otherwise((F.col("truth") > 0).cast("int")))
+    return s.pixel_scores(cells).select(*[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1", "iou")])

@@ -106,9 +106,8 @@ def road_classifier(spark, sf_dir):
 
 @query("select min(x0) - 30 as west, min(y0) - 30 as south, max(x1) + 30 as east, max(y1) + 30 as north, round(avg((x0 + x1) / 2), 4) as mid_x, round(avg((y0 + y1) / 2), 4) as mid_y from parcels")
 def layer_extent(spark, sf_dir):
-    p = x.parcels(spark, sf_dir)
-    middle = lambda a, b: F.round(F.avg((F.col(a) + F.col(b)) / 2), 4)
-    return p.agg((F.min("x0") - 30).alias("west"), (F.min("y0") - 30).alias("south"), (F.max("x1") + 30).alias("east"), (F.max("y1") + 30).alias("north"), middle("x0", "x1").alias("mid_x"), middle("y0", "y1").alias("mid_y"))
+    out = tiles.layer_extent(x.parcels(spark, sf_dir), 30)
+    return out.withColumn("mid_x", F.round("mid_x", 4)).withColumn("mid_y", F.round("mid_y", 4))
 
 
 @query(
@@ -122,9 +121,7 @@ def area_profile(spark, sf_dir):
 @query("select id, greatest(x0, 100) as x0, greatest(y0, 50) as y0, least(x1, 700) as x1, least(y1, 600) as y1 from parcels where x0 < 700 and x1 > 100 and y0 < 600 and y1 > 50")
 def clipped_to_extent(spark, sf_dir):
     """Boxes cut to a survey's extent; what lies outside is refused."""
-    out = x.parcels(spark, sf_dir).filter("x0 < 700 and x1 > 100 and y0 < 600 and y1 > 50")
-    lit = lambda v: F.lit(float(v))
-    return out.select("id", F.greatest("x0", lit(100)).alias("x0"), F.greatest("y0", lit(50)).alias("y0"), F.least("x1", lit(700)).alias("x1"), F.least("y1", lit(600)).alias("y1"))
+    return tiles.clipped(x.parcels(spark, sf_dir).select("id", "x0", "y0", "x1", "y1"), (100, 50, 700, 600))
 
 
 @query("select round(avg(l_quantity) filter (where l_discount >= 0.05), 4) as found_mean, round(avg(l_quantity) filter (where l_discount < 0.05), 4) as missed_mean from lineitem")
@@ -152,3 +149,46 @@ def tag_probe(spark, sf_dir):
     df = x.table(spark, sf_dir, "part").select(F.col("p_brand").alias("area"), tags.alias("tags"))
     has = lambda k: F.count_if(F.map_contains_key("tags", k))
     return df.groupBy("area").agg(has("building").alias("buildings"), has("highway").alias("roads"), has("water").alias("water"))
+
+
+@query(
+    """select id, round(km2, 6) as km2, round(km2, 6) > 0.35 as refused from (select o_orderkey as id, o_custkey % 90 / 1e4 * 111.32 * cos(radians(20 + o_orderkey % 50 / 2e4)) * (o_orderkey % 50 / 1e4) * 111.32 as km2 from orders where o_custkey % 90 > 0 and o_orderkey % 50 > 0)"""
+)
+def area_limits(spark, sf_dir):
+    """Areas that someone asked for, and whether they are too large."""
+    o = x.table(spark, sf_dir, "orders").filter("o_custkey % 90 > 0 and o_orderkey % 50 > 0")
+    boxes = o.select(F.col("o_orderkey").alias("id"), F.lit(78.0).alias("west"), F.lit(20.0).alias("south"), (78 + F.col("o_custkey") % 90 / 1e4).alias("east"), (20 + F.col("o_orderkey") % 50 / 1e4).alias("north"))
+    out = tiles.area_requests(boxes).withColumn("km2", F.round("km2", 6))
+    return out.select("id", "km2", (F.col("refused") & (F.col("km2") > 0.35)).alias("refused"))
+
+
+BLEND = """select x, y, least(least(i + 1, 16 - i), least(j + 1, 16 - j))::double as w, (value * (1 + tx + ty) % 10) / 10 as p from (select x, y, value, tx, ty, x - 8 * tx as i, y - 8 * ty as j from grid, unnest(generate_series(x // 8 - 1, x // 8)) a(tx), unnest(generate_series(y // 8 - 1, y // 8)) b(ty))"""
+
+
+@query("select x, y, round(sum(w * p) / sum(w), 6) as score from blend group by x, y", blend=BLEND)
+def blended_tiles(spark, sf_dir):
+    """Scores of overlapping tiles, weighted by the distance to a tile's edge."""
+    from cadaspark.operators.zonal import blended
+
+    g = x.grid(spark, sf_dir).select("x", "y", "value")
+    at = lambda c: F.explode(F.sequence(F.floor(F.col(c) / 8) - 1, F.floor(F.col(c) / 8)))
+    t = g.withColumn("tx", at("x")).withColumn("ty", at("y")).withColumn("i", F.col("x") - 8 * F.col("tx")).withColumn("j", F.col("y") - 8 * F.col("ty"))
+    t = tiles.weighted(t, 16).select(F.struct("x", "y").alias("cell"), "w", (F.col("value") * (1 + F.col("tx") + F.col("ty")) % 10 / 10).alias("p"))
+    return blended(t).select("cell.x", "cell.y", F.round("score", 6).alias("score"))
+
+
+@query("select id, x, case when x >= 600 then 'test' else 'train' end as fold from (select p_partkey as id, p_partkey % 50 * 20 as x, p_size % 20 / 20 as c from part) where c >= 0.9 and (x >= 600 or x + 64 <= 560)")
+def crop_split(spark, sf_dir):
+    """Covered crops on either side of a line; those that straddle it go."""
+    k = F.col("p_partkey")
+    crops = x.table(spark, sf_dir, "part").select(k.alias("id"), (k % 50 * 20).alias("x"), (F.col("p_size") % 20 / 20).alias("coverage"))
+    return tiles.crop_split(crops, 600, 64, 40).select("id", "x", "fold")
+
+
+@query(
+    """select count(*) as cells from (select distinct cx + dx, cy + dy from owned, range(-2, 3) a(dx), range(-2, 3) b(dy))""",
+    owned=CELLS,
+)
+def training_region(spark, sf_dir):
+    """Cells around approved parcels that a training crop takes in."""
+    return tiles.region_cells(x.parcels(spark, sf_dir), 2.0).agg(F.count("*").alias("cells"))

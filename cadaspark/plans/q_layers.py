@@ -179,7 +179,7 @@ def tile_pyramid(spark, sf_dir):
 
 @query(
     """select u.p as patch_x, v.p as patch_y, round(avg((value > 48)::int), 4) as share, avg((value > 48)::int) >= 0.005 or (u.p * 7919 + v.p * 104729) % 1000 < 150 as kept
-    from grid, (select unnest([0, 6, 12, 18, 24, 30, 36, 42]) as p) u, (select distinct unnest(list_append(generate_series(0, h - 8, 6), h - 8)) as p from (select max(y) + 1 as h from grid)) v
+    from grid, (select unnest([0, 6, 12, 18, 24, 30, 36, 42]) as p) u, (select distinct unnest(list_append(generate_series(0, greatest(h - 8, 0), 6), greatest(h - 8, 0))) as p from (select max(y) + 1 as h from grid)) v
     where x between u.p and u.p + 7 and y between v.p and v.p + 7 group by u.p, v.p"""
 )
 def patch_cutting(spark, sf_dir):

@@ -87,8 +87,9 @@ MOVED = "select id, x0 + 6 as x0, y0, x1 + 6 as x1, y1 from parcels"
 
 @query(
     """select 'a' as source, id::varchar as id, (x1 - x0) * (y1 - y0) as area_m2 from parcels union all
-    select 'b', id::varchar, count(*) / 4 from (select m.id, cx, cy from moved m, unnest(generate_series((2 * x0)::bigint, (2 * x1)::bigint - 1)) as u(cx), unnest(generate_series((2 * y0)::bigint, (2 * y1)::bigint - 1)) as v(cy)
-    where not exists (select 1 from parcels p where p.x0 <= m.x1 and m.x0 <= p.x1 and p.y0 <= m.y1 and m.y0 <= p.y1 and cx / 2 >= p.x0 - 0.5 and cx / 2 + 0.5 <= p.x1 + 0.5 and cy / 2 >= p.y0 - 0.5 and cy / 2 + 0.5 <= p.y1 + 0.5)) group by id having count(*) / 4 >= 12""",
+    select 'b', id::varchar, count(*) / 4 from (select id, cx, cy from moved, unnest(generate_series((2 * x0)::bigint, (2 * x1)::bigint - 1)) as u(cx), unnest(generate_series((2 * y0)::bigint, (2 * y1)::bigint - 1)) as v(cy))
+    anti join (select distinct cx, cy from parcels, unnest(generate_series((2 * x0)::bigint - 1, (2 * x1)::bigint)) as u(cx), unnest(generate_series((2 * y0)::bigint - 1, (2 * y1)::bigint)) as v(cy)) using (cx, cy)
+    group by id having count(*) / 4 >= 12""",
     moved=MOVED,
 )
 def source_merge(spark, sf_dir):

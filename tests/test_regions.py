@@ -233,3 +233,21 @@ def test_repair_of_free_polygons(spark):
     assert set(areas) == {1, 2, 5, 6, 7, 8, 10, 11, 12}
     assert areas[1] + areas[2] + areas[5] + areas[6] + areas[7] == 40 * 40 and areas[8] == 1600 - 25 + 16 and areas[10] == 9 and areas[12] == 400
     assert abs(areas[11] - 100) <= 10
+
+
+def test_layers_and_catalogues(spark, tmp_path):
+    layer = spark.createDataFrame([("s1", 1), ("s2", 2), ("s2", 3)], "survey_id string, id bigint")
+    layers.write_layer(layer, str(tmp_path / "layer"))
+    one = spark.read.parquet(str(tmp_path / "layer")).filter("survey_id = 's2'")
+    assert sorted(r.id for r in one.collect()) == [2, 3] and "PartitionFilters: [isnotnull(survey_id" in one._jdf.queryExecution().toString()
+    for k in ("b", "a"):
+        (tmp_path / "surveys" / k).mkdir(parents=True)
+        (tmp_path / "surveys" / k / "meta.json").write_text(json.dumps({"name": f"survey {k}", "gsd": 0.1}, indent=1))
+    got = [(r.folder, r.name) for r in layers.catalogue(spark, str(tmp_path / "surveys/*/meta.json"), "name string, gsd double").select("folder", F.col("name").alias("name")).collect()]
+    assert got == [("a", "survey a"), ("b", "survey b")]
+
+
+def test_survey_margins_and_renames(spark):
+    points = spark.createDataFrame([(1, 10.0004, 5.0), (2, 10.0006, 5.0), (3, 9.0, 4.9996)], "id bigint, lon double, lat double")
+    assert [r.id for r in layers.within_survey(points, (9.0, 5.0, 10.0, 6.0)).collect()] == [1, 3]
+    assert layers.patch_starts(50, 8, 6) == [0, 6, 12, 18, 24, 30, 36, 42] and layers.patch_starts(51, 8, 6)[-2:] == [42, 43] and layers.patch_starts(5, 8, 6) == [0]

@@ -16,6 +16,7 @@ from cadaspark.operators.graph import shared_folder
 BLANKS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes that a task handles at once (a longer text makes a group of its own).
 GROUP_BYTES = 1 << 20
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: A key that occurs so often is common: at least this often, and more often than one in ``SHARE`` of all rows,
 #: so there are fewer than ``SHARE`` common keys in any table.
 OFTEN, SHARE = 1000, 2000
@@ -26,8 +27,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return shared_folder(spark, name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send at most ``ARROW_ROWS`` rows to a Python worker at once.
+
+    Executors and workers hold whole Arrow batches, and rows of texts are long.
+    """
+    if int(spark.conf.get(ARROW_BATCH)) > ARROW_ROWS:
+        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

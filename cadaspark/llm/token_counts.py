@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadaspark.llm import pretokens
-from cadaspark.llm.common import clear_text, freed, groups
+from cadaspark.llm.common import clear_text, freed, groups, small_batches
 
 LIMIT = 1024
 #: Transitions that a worker keeps before a walk; beyond it the machine is emptied and compiled anew.
@@ -265,6 +265,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     whole = text not in new
     source = df.select(*[df[c] for c in kept], *([df[text]] if whole else []), F.coalesce(df[text], F.lit("")).alias("__text"))
 
+    small_batches(df.sparkSession)
     runs = pretokens.kind_runs()
 
     @freed

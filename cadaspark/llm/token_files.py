@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadaspark.llm import pretokens
-from cadaspark.llm.common import clear_text, documents, freed, groups, shared_dir
+from cadaspark.llm.common import clear_text, documents, freed, groups, shared_dir, small_batches
 from cadaspark.llm.token_counts import byte_letters
 
 SEQUENCE = 1024
@@ -149,6 +149,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, doc_id: str =
     rows = df.select(df[doc_id].cast("bigint").alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
+    small_batches(df.sparkSession)
     runs = pretokens.kind_runs()
 
     @freed

@@ -95,13 +95,15 @@ def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return whole
 
 
-def joined_by_count(left: DataFrame, right: DataFrame, key: list[str], count: str) -> DataFrame:
+def joined_by_count(left: DataFrame, right: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
     """``left`` (a stored table) with the rows of ``right``, which has a row a key and the key's ``count`` in ``left``.
 
+    ``how`` is inner or left; key columns have no nulls.
+
     The common keys, fewer than ``SHARE``, are joined by broadcast, so no task gets all rows of one;
     the others are shuffled.
     """
     common = F.col(count) > F.lit(max(OFTEN, left.count() // SHARE))
     often, rare = right.filter(common).drop(count), right.filter(~common).drop(count)
     rest = left.join(F.broadcast(often.select(*key)), key, "left_anti")
-    return left.join(F.broadcast(often), key).unionByName(rest.join(rare, key))
+    return left.join(F.broadcast(often), key).unionByName(rest.join(rare, key, how))

@@ -29,16 +29,17 @@ def numbered_issues(found: DataFrame) -> DataFrame:
     return out.drop("__all", "__first")
 
 
-def saved(parcels: DataFrame, survey: str, action: str, at: Column, cell: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def saved(parcels: DataFrame, survey: str, action: str, at: Column, corridors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What a save makes of ``parcels`` (id, geom, status, source): layer, issues, review counts and log entry.
 
     Unknown statuses become drafts, missing sources are by hand, missing PINs follow from survey and
-    id, areas and perimeters are measured, and each parcel lists the types of its issues.
+    id, areas and perimeters are measured, and each parcel lists the types of its issues.  ``corridors``
+    (geom and box) are no gaps.
     """
     layer = with_defaults(parcels if "prov_pin" in parcels.columns else parcels.withColumn("prov_pin", F.lit(None).cast("string")), STATUSES)
     pin = F.coalesce(F.nullif("prov_pin", F.lit("")), provisional_pin(F.lit(survey), F.col("id")))
     layer = layer.withColumn("prov_pin", pin).withColumn("area_m2", F.round(g.area(F.col("geom")), 1)).withColumn("perimeter_m", F.round(g.perimeter(F.col("geom")), 1))
-    issues = written(numbered_issues(topology.issues(parcels.select("id", "geom"), gap_cell=cell)), "issues")
+    issues = written(numbered_issues(topology.issues(parcels.select("id", "geom"), corridors)), "issues")
     marked = layer.drop("issues").join(topology.issue_types(issues), "id", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
     counts = status_counts(marked)
     by_type = issues.groupBy("type").agg(F.count("*").alias("n")).agg(F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))), F.create_map().cast("map<string,bigint>")).alias("issues"))  # a row a type

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions import geometry as g
-from cadaspark.functions.kernels import is_valid, make_valid, overlap_area
-from cadaspark.operators.graph import components, written
+from cadaspark.functions.clipping import merged_shapes
+from cadaspark.functions.kernels import is_valid, make_valid, overlap_area, split_by_line
+from cadaspark.operators.coverage import gaps
+from cadaspark.operators.graph import written
+from cadaspark.operators.numbering import ranked
 from cadaspark.operators.spatial import box_pairs, overlay, with_bounds
 
 OVERLAP_M2, GAP_LEAST_M2, GAP_MOST_M2 = 0.5, 1.0, 400.0
@@ -18,13 +20,13 @@ SEVERITY = {"INVALID": "high", "OVERLAP": "high", "DUPLICATE": "high", "HOLE": "
 #: What our repair does about each type.
 FIXES = {
     "INVALID": "outlines are cut at their crossings",
-    "HOLE": "looked at by hand: the repair leaves holes",
-    "MULTIPART": "looked at by hand: the repair leaves parts",
-    "TOO_SMALL": "its cells go to the parcel that they border most",
-    "SLIVER": "looked at by hand unless it is too small as well",
-    "OVERLAP": "contested cells go to the parcel of higher confidence, then area, then the lesser id",
+    "HOLE": "filled, unless a parcel of higher confidence lies inside",
+    "MULTIPART": "the largest part stays",
+    "TOO_SMALL": "it goes to the parcel that it borders most",
+    "SLIVER": "it goes to the parcel that it borders most",
+    "OVERLAP": "shared land goes to the parcel of higher confidence, then area, then the lesser id",
     "DUPLICATE": "the parcel of lower rank is dropped",
-    "GAP": "looked at by hand: the repair leaves gaps",
+    "GAP": "it goes to the parcel with the longest border",
 }
 
 
@@ -91,16 +93,15 @@ def overlap_pairs(layer: DataFrame, exact: bool = False) -> DataFrame:
     return pairs.select("a_id", "b_id", "inter", "iou", (100 * F.col("inter") / F.least("a_area", "b_area")).alias("pct_of_smaller"), kind.alias("type"))
 
 
-def issues(parcels: DataFrame, gap_cell: float | None = None) -> DataFrame:
+def issues(parcels: DataFrame, corridors: DataFrame | None = None) -> DataFrame:
     """All issues of a parcel layer (``id``, ``geom``): type, severity, parcel_ids, amount, suggested_fix.
 
-    Gaps are found on cells of ``gap_cell`` metres, and left out where none is given.
+    ``corridors`` (``geom`` and its box), such as roads, may lie between parcels without being a gap.
     """
     layer = written(measured(parcels), "measured")
     found = shape_issues(layer).unionByName(overlap_pairs(layer, exact=True).select("type", F.array("a_id", "b_id").alias("parcel_ids"), F.col("inter").alias("amount")))
-    if gap_cell:
-        gaps = gaps_between(polygon_cells(layer, gap_cell), gap_cell)
-        found = found.unionByName(gaps.select(F.lit("GAP").alias("type"), F.col("neighbours").alias("parcel_ids"), F.col("area_m2").alias("amount")))
+    open_land = gaps(layer.filter(F.size("geom") > 0), GAP_LEAST_M2, GAP_MOST_M2, corridors)
+    found = found.unionByName(open_land.select(F.lit("GAP").alias("type"), F.col("neighbours").alias("parcel_ids"), F.col("area_m2").alias("amount")))
     return found.select("type", looked_up(SEVERITY, F.col("type")).alias("severity"), "parcel_ids", "amount", looked_up(FIXES, F.col("type")).alias("suggested_fix"))
 
 
@@ -154,70 +155,6 @@ def box_cells(boxes: DataFrame, size: float = 1.0) -> DataFrame:
     return ok.withColumn("cx", F.explode(F.sequence(first("x0"), last("x1")))).withColumn("cy", F.explode(F.sequence(first("y0"), last("y1")))).select("id", "cx", "cy")
 
 
-def polygon_cells(layer: DataFrame, size: float = 1.0) -> DataFrame:
-    """``id``, ``cx``, ``cy`` of the grid cells whose centres lie in a polygon (``geom``, with its box)."""
-    boxed = box_cells(layer.select("id", "x0", "y0", "x1", "y1"), size)
-    inside = g.contains_point(F.col("geom"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)
-    marked = layer.select("id", "geom", g.is_box(F.col("geom")).alias("plain"))  # boxes need no test
-    whole = boxed.join(marked.filter("plain").select("id"), "id", "left_semi")
-    return whole.unionByName(boxed.join(marked.filter("not plain").select("id", "geom"), "id").filter(inside).select("id", "cx", "cy"))
-
-
-def coverage_gaps(boxes: DataFrame, size: float = 1.0) -> DataFrame:
-    """Gaps of a layer of boxes (see :func:`gaps_between`)."""
-    return gaps_between(box_cells(boxes, size), size)
-
-
-def enclosed_areas(covered: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
-    """Enclosed areas that no parcel covers, of more than 1 and at most 400 square metres.
-
-    Works on cells: free cells near a parcel form components, and a component is a gap if it is small
-    and none of its cells has a neighbour outside the examined margin.  Returns ``gap`` (its least
-    cell), ``area_m2``, ``neighbours`` (ids of parcels at its sides) and ``into`` (the one with the
-    longest border), and the cells of all free components.
-    """
-    taken = covered.select("cx", "cy").distinct()
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    side = int(GAP_MOST_M2**0.5 / size)  # a gap reaches a parcel within this many cells
-    margin = F.sequence(F.lit(-side), F.lit(side), F.lit(side))
-    key = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    blocks = taken.select(F.floor(F.col("cx") / side).alias("bx"), F.floor(F.col("cy") / side).alias("by")).distinct()
-    blocks = blocks.withColumn("dx", F.explode(margin)).withColumn("dy", F.explode(margin)).select((F.col("bx") + F.col("dx") / side).cast("bigint").alias("bx"), (F.col("by") + F.col("dy") / side).cast("bigint").alias("by")).distinct()
-    inner = F.sequence(F.lit(0), F.lit(side - 1))
-    cells = blocks.withColumn("ix", F.explode(inner)).withColumn("iy", F.explode(inner)).select((F.col("bx") * side + F.col("ix")).alias("cx"), (F.col("by") * side + F.col("iy")).alias("cy"))
-    free = written(cells.join(taken, ["cx", "cy"], "left_anti"), "free-cells")
-    steps = free.select("cx", "cy", F.explode(around).alias("d")).select(key(F.col("cx"), F.col("cy")).alias("a"), key(F.col("cx") + F.col("d.dx"), F.col("cy") + F.col("d.dy")).alias("b"))
-    nodes = free.select(key(F.col("cx"), F.col("cy")).alias("node"))
-    inside = steps.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    # runs along a row are joined first, so that the iteration works on few nodes
-    run = F.sum(F.when(F.col("cx") - F.lag("cx").over(W.partitionBy("cy").orderBy("cx")) == 1, 0).otherwise(1)).over(W.partitionBy("cy").orderBy("cx"))
-    runs = written(free.withColumn("run", run), "free-runs")
-    heads = runs.groupBy("cy", "run").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi")).withColumn("node", key(F.col("lo"), F.col("cy")))
-    links = inside.filter(F.col("a.y") != F.col("b.y"))
-    own = runs.join(heads.select("cy", "run", "node"), ["cy", "run"]).select(key(F.col("cx"), F.col("cy")).alias("cell"), "node")
-    links = links.join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
-    parts = components(heads.select("node"), links)
-    placed = written(own.join(parts, "node"), "free-parts")
-    sized = placed.groupBy("component").agg((F.count("*") * size * size).alias("area_m2")).filter((F.col("area_m2") > GAP_LEAST_M2) & (F.col("area_m2") <= GAP_MOST_M2))
-    borders = steps.join(nodes.withColumnRenamed("node", "b"), "b", "left_anti").join(placed.select(F.col("cell").alias("a"), "component"), "a").join(sized.select("component"), "component", "left_semi")
-    sides = borders.join(covered.select("id", key(F.col("cx"), F.col("cy")).alias("b")), "b", "left").groupBy("component", "id").agg(F.count("*").alias("m"))
-    into = F.max_by("id", F.struct("m", -F.col("id")))
-    closed = sides.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("neighbours"), into.alias("into"), F.count_if(F.col("id").isNull()).alias("open")).filter("open = 0").drop("open")
-    gaps = sized.join(closed, "component").withColumnRenamed("component", "gap")
-    return gaps, placed.select(F.col("component").alias("gap"), F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"))
-
-
-def gaps_between(covered: DataFrame, size: float = 1.0) -> DataFrame:
-    """Enclosed areas that no parcel covers: gap, area_m2, neighbours (see :func:`enclosed_areas`)."""
-    return enclosed_areas(covered, size)[0].select("gap", "area_m2", "neighbours")
-
-
-def gap_cells(covered: DataFrame, size: float = 1.0) -> DataFrame:
-    """The cells of all gaps: gap, cx, cy, into (the parcel with the longest border; ties: least id), area_m2."""
-    gaps, cells = enclosed_areas(covered, size)
-    return cells.join(gaps.select("gap", "into", "area_m2"), "gap")
-
-
 def auto_fix(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repair a layer of boxes; returns its cells (``id``, ``cx``, ``cy``) and the change log.
 
@@ -292,11 +229,43 @@ def merged(layer: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def merged_parcels(layer: DataFrame, groups: DataFrame) -> DataFrame:
-    """group, id, rings, area of merged parcels; the largest member's id stays (ties: least id).
+    """group, id, geom, area of merged parcels; the largest member's id stays (ties: least id).
+
+    Hairline gaps of up to 2 cm between members are closed, and enclosed open land of at most 400
+    square metres is taken in.  Groups of one parcel, and groups whose members do not join to one
+    polygon, are refused and have no row.
+    """
+    members = layer.join(groups, "id").withColumn("__area", g.area(F.col("geom")))
+    order = F.struct((-F.col("__area")).alias("k"), F.col("id"), F.col("geom"))
+    sized = members.groupBy("group").agg(F.array_sort(F.collect_list(order)).alias("m")).filter(F.size("m") > 1)
+    out = sized.select("group", F.col("m")[0]["id"].alias("id"), merged_shapes(F.transform("m", lambda v: v["geom"])).alias("geom"))
+    return out.filter(F.size("geom") == 1).withColumn("area", g.area(F.col("geom")))
+
+
+def split_parcels(layer: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces of parcels cut along lines (``id``, ``line``), and the cuts that are refused (``id``, ``reason``).
 
-    Groups whose members do not join to one outline are refused and have no row.
+    A line reaches 5 m past its ends.  The largest piece keeps its parcel's id (ties: the westernmost
+    corner first), the others get numbers after the greatest id of the layer, in the order of their
+    parcels and sizes.  All pieces are drafts by hand (``source`` edited) without confidence, but for
+    the largest one's; other columns are the parcel's own.
     """
-    out = merged(layer, groups)
-    outer = F.size(F.filter("rings", lambda r: g.signed_ring_area(r) > 0))
-    sized = layer.join(groups, "id").groupBy("group").agg(F.max_by("id", F.struct(g.area(F.col("geom")), -F.col("id"))).alias("id"))
-    return out.filter(outer == 1).join(sized, "group").select("group", "id", "rings", "area")
+    known = lines.filter(F.size("line") >= 2)
+    wrong = lines.filter(F.coalesce(F.size("line"), F.lit(0)) < 2).select("id", F.lit("a line has two points or more").alias("reason"))
+    missing = known.join(layer.select("id"), "id", "left_anti").select("id", F.lit("no such parcel").alias("reason"))
+    cut = written(layer.join(known, "id").withColumn("pieces", split_by_line("geom", "line")).drop("line"), "split-pieces")
+    few, least = F.size("pieces") < 2, F.array_min(F.transform("pieces", lambda p: p["area"])) < LEAST_M2
+    reason = F.when(few, "the line does not cross the parcel").when(least, "a piece is too small to be a parcel")
+    refused = wrong.unionByName(missing).unionByName(cut.select("id", reason.alias("reason")).filter("reason is not null"))
+    parts = cut.filter(~few & ~least).select("*", F.posexplode("pieces").alias("piece", "p"))
+    out = parts.withColumn("geom", F.col("p.geom")).withColumn("area", F.col("p.area")).withColumn("parent", F.col("id")).drop("pieces", "p")
+    most = layer.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__most"))
+    rest = ranked(out.filter("piece > 0").withColumn("__all", F.lit(0)), "__all", [F.col("parent"), F.col("piece")], "__k", F.floor(F.col("parent") / 100_000))
+    rest = rest.crossJoin(F.broadcast(most)).withColumn("id", (F.col("__most") + F.col("__k")).cast(dict(layer.dtypes)["id"]))  # one row
+    if "confidence" in layer.columns:
+        rest = rest.withColumn("confidence", F.lit(None).cast(dict(layer.dtypes)["confidence"]))
+    whole = out.filter("piece = 0").unionByName(rest.select(*out.columns))
+    for column, value in (("status", "draft"), ("source", "edited")):
+        if column in layer.columns:
+            whole = whole.withColumn(column, F.lit(value))
+    return whole, refused

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadaspark.operators import topology as t
+from cadaspark.operators.coverage import gaps
 from cadaspark.operators.graph import written
+from cadaspark.operators.spatial import with_bounds
 from cadaspark.plans import fixtures as x
 from cadaspark.plans.registry import query
 
@@ -21,6 +23,8 @@ SHAPES = """
   union all select id, 'TOO_SMALL', (x1 - x0) * (y1 - y0) from dirty_all where (x1 - x0) * (y1 - y0) < 12
   union all select id, 'SLIVER', 4 * pi() * (x1 - x0) * (y1 - y0) / (4 * (x1 - x0 + y1 - y0) ** 2) from dirty_all
     where (x1 - x0) * (y1 - y0) between 12 and 60 and 4 * pi() * (x1 - x0) * (y1 - y0) / (4 * (x1 - x0 + y1 - y0) ** 2) < 0.12"""
+#: The holes of parcels are enclosed land; those of two parcels with one outline are one gap.
+GAPS = "select id, 'GAP' as type from {0} where holed and not bow and (x1 - x0 - 8) * (y1 - y0 - 8) between 1 and 400"
 #: Bow-ties and holed parcels overlap with their own duplicates alone, over their whole areas.
 PAIRS = OVERLAPS.replace("{0}", "dirty_all")
 KIND = "case when iou >= 0.95 then 'DUPLICATE' else 'OVERLAP' end"
@@ -38,13 +42,13 @@ def duplicate_parcels(spark, sf_dir):
     return t.overlap_pairs(layer, exact=True).filter("type = 'DUPLICATE'").select("a_id", "b_id")
 
 
-@query(f"select type, count(*) as issues from (select type from shapes union all select {KIND} from pairs) group by type", pairs=PAIRS, shapes=SHAPES)
+@query(f"select type, count(*) as issues from (select type from shapes union all select {KIND} from pairs union all select type from ({GAPS.format('dirty')})) group by type", pairs=PAIRS, shapes=SHAPES)
 def issue_counts(spark, sf_dir):
     return t.issues(x.parcels_dirty(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("issues"))
 
 
 @query(
-    f"""select id, string_agg(distinct type, ',' order by type) as issues from (select id, type from shapes
+    f"""select id, string_agg(distinct type, ',' order by type) as issues from (select id, type from shapes union all {GAPS.format('dirty_all')}
     union all select a_id, {KIND} from pairs union all select b_id, {KIND} from pairs) group by id""",
     pairs=PAIRS,
     shapes=SHAPES,
@@ -94,8 +98,9 @@ TILES = """select p_partkey as id, (p_partkey % 50)::int as i, (p_partkey // 50)
 def coverage_gaps(spark, sf_dir):
     p = F.col("p_partkey")
     base = x.table(spark, sf_dir, "part").filter(F.col("p_size") % 7 != 0).select(p.alias("id"), (p % 50 * 20).cast("double").alias("x0"), (F.floor(p / 50) * 20).cast("double").alias("y0"))
-    out = t.coverage_gaps(base.withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 20), size=4.0)
-    return out.select(F.col("gap.x").alias("x"), F.col("gap.y").alias("y"), "area_m2")
+    layer = with_bounds(x.geoms(base.withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 20)))
+    out = gaps(layer, t.GAP_LEAST_M2, t.GAP_MOST_M2)
+    return out.select((F.col("gap.x") / 4).cast("bigint").alias("x"), (F.col("gap.y") / 4).cast("bigint").alias("y"), "area_m2")
 
 
 @query()

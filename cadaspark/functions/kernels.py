@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 LINE_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 GEOMETRY_TYPE = T.ArrayType(T.ArrayType(LINE_TYPE))
@@ -63,6 +64,19 @@ def unpacked(column: pa.Array) -> list[list[list[np.ndarray]] | None]:
     return [polygon[a:b] if ok else None for a, b, ok in zip(cuts[0], cuts[0][1:], column.is_valid().to_pylist(), strict=False)]
 
 
+def unpacked_lists(column: pa.Array) -> list[list]:
+    """The geometries of every row of an Arrow column of arrays of geometries (null: none)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    geoms = unpacked(column.flatten())
+    cuts = np.append(0, np.cumsum([0 if n is None else n for n in pc.list_value_length(column).to_pylist()])).tolist()
+    return [geoms[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def as_arrow(rows: list, kind: T.DataType) -> pa.Array:
+    """Plain Python rows as an Arrow column; rings of unlike length are no matter here."""
+    return pa.array(rows, to_arrow_type(kind))
+
+
 def fans(geoms: list, origins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anticlockwise triangles from each geometry's origin: both far corners, a sign, the geometry's place."""
     rings, owner, outer = [], [], []
@@ -272,8 +286,8 @@ def is_valid(geom: pa.Array) -> pa.Array:
     return pa.array([g is not None and len(g) > 0 and all(ok(r) for p in g for r in p) for g in unpacked(geom)], pa.bool_())
 
 
-@F.pandas_udf(GEOMETRY_TYPE)
-def make_valid(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(GEOMETRY_TYPE)
+def make_valid(geom: pa.Array) -> pa.Array:
     """Outlines cut at their crossings; holes stay with the part that holds their first corner."""
 
     def fix(g):
@@ -281,8 +295,8 @@ def make_valid(geom: pd.Series) -> pd.Series:
             return None
         out = []
         for polygon in g:
-            shells = [[s] for s in untangle(ring_array(polygon[0]))]
-            for hole in (h for ring in polygon[1:] for h in untangle(ring_array(ring))):
+            shells = [[s] for s in untangle(polygon[0])]
+            for hole in (h for ring in polygon[1:] for h in untangle(ring)):
                 for shell in shells:
                     if within(hole[0], shell[0]):
                         shell.append(hole)
@@ -290,7 +304,7 @@ def make_valid(geom: pd.Series) -> pd.Series:
             out += shells
         return plain(out)
 
-    return pd.Series([fix(g) for g in geom], dtype=object)
+    return as_arrow([fix(g) for g in unpacked(geom)], GEOMETRY_TYPE)
 
 
 def within(p: np.ndarray, r: np.ndarray) -> bool:
@@ -300,18 +314,21 @@ def within(p: np.ndarray, r: np.ndarray) -> bool:
     return bool((((a[:, 1] > p[1]) != (b[:, 1] > p[1])) & (p[0] < x)).sum() % 2)
 
 
-@F.pandas_udf(T.StructType([T.StructField("rect", GEOMETRY_TYPE), *(T.StructField(c, T.DoubleType()) for c in ("short_m", "long_m", "share"))]))
-def rotated_rectangle(geom: pd.Series) -> pd.DataFrame:
+RECTANGLE_TYPE = T.StructType([T.StructField("rect", GEOMETRY_TYPE), *(T.StructField(c, T.DoubleType()) for c in ("short_m", "long_m", "share"))])
+
+
+@F.arrow_udf(RECTANGLE_TYPE)
+def rotated_rectangle(geom: pa.Array) -> pa.Array:
     """Least rotated rectangle of the outlines and the share of it that the geometry fills."""
     rows = []
-    for g in geom:
+    for g in unpacked(geom):
         rings = as_rings(g)
         if not rings:
-            rows.append((None, None, None, None))
+            rows.append({"rect": None, "short_m": None, "long_m": None, "share": None})
             continue
         corners, short, long = rectangle(np.concatenate(rings))
-        rows.append((plain([[corners]]), short, long, sum(map(ring_area, rings)) / (short * long) if short * long else 0.0))
-    return pd.DataFrame(rows, columns=["rect", "short_m", "long_m", "share"])
+        rows.append({"rect": plain([[corners]]), "short_m": short, "long_m": long, "share": sum(map(ring_area, rings)) / (short * long) if short * long else 0.0})
+    return as_arrow(rows, RECTANGLE_TYPE)
 
 
 #: Share of its least rectangle above which a roof is drawn as that rectangle (fixed value).
@@ -323,11 +340,11 @@ def squared(geom: Column, rectangle_of: Column) -> Column:
     return F.when(F.round(rectangle_of["share"], 9) >= RECTANGULAR, rectangle_of["rect"]).otherwise(geom)
 
 
-@F.pandas_udf(T.DoubleType())
-def solidity(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def solidity(geom: pa.Array) -> pa.Array:
     """Area over the area of the convex hull."""
-    rings = [as_rings(g) for g in geom]
-    return pd.Series([sum(map(ring_area, r)) / ring_area(hull(np.concatenate(r))) if r else None for r in rings], dtype=float)
+    rings = [as_rings(g) for g in unpacked(geom)]
+    return pa.array([sum(map(ring_area, r)) / ring_area(hull(np.concatenate(r))) if r else None for r in rings], pa.float64())
 
 
 @F.arrow_udf(T.DoubleType())
@@ -425,23 +442,26 @@ def cut_polygon(polygon: list[np.ndarray], line: np.ndarray) -> list[list[np.nda
     return pieces
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("geom", GEOMETRY_TYPE), T.StructField("area", T.DoubleType())])))
-def split_by_line(geom: pd.Series, line: pd.Series) -> pd.Series:
+PIECES_TYPE = T.ArrayType(T.StructType([T.StructField("geom", GEOMETRY_TYPE), T.StructField("area", T.DoubleType())]))
+
+
+@F.arrow_udf(PIECES_TYPE)
+def split_by_line(geom: pa.Array, line: pa.Array) -> pa.Array:
     """Pieces of a geometry along a polyline, greatest first; holes and separate sides are kept apart.
 
     The line reaches 5 m past both its ends.  Pieces of at most 0.5 square metres are left out; a
     line that misses, or ends inside, gives one piece.
     """
     rows = []
-    for g, v in zip(geom, line, strict=True):
+    for g, v in zip(unpacked(geom), line.to_pylist(), strict=True):
         if g is None or v is None or len(v) < 2:
             rows.append([])
             continue
         way = lengthened(np.array([(p["x"], p["y"]) for p in v], float), 5.0)
         pieces = [x for polygon in g if (rings := as_rings([polygon])) for x in cut_polygon(rings, way)]
-        sized = sorted(((sum(map(ring_area, x)), x) for x in pieces), key=lambda x: -x[0])
+        sized = sorted(((sum(map(ring_area, x)), x) for x in pieces), key=lambda x: (-x[0], tuple(x[1][0].min(axis=0))))
         rows.append([{"geom": plain([x]), "area": float(s)} for s, x in sized if s > 0.5])
-    return pd.Series(rows, dtype=object)
+    return as_arrow(rows, PIECES_TYPE)
 
 
 def left_over(box: tuple[float, float, float, float], others: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float, float, float]]]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadaspark.functions.kernels import LINE_TYPE, as_rings, cross, point_line, simplified
+from cadaspark.functions.kernels import LINE_TYPE, as_arrow, as_rings, cross, point_line, rectangle, simplified, unpacked, unpacked_lists
 
 # --- fixed values: results must equal these, so they are stated as they are ---
 SIMPLIFY_M, CHORD_M, ANGLE_DEG, LEAST_SEGMENT_M, CUT_M = 1.2, 2.0, 25.0, 1.5, 0.5
@@ -102,23 +103,21 @@ def middle_of(line: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["x", "y", "bends"])
 
 
-@F.pandas_udf(LINE_TYPE)
-def straight_line(line: pd.Series, direction: pd.Series, houses: pd.Series) -> pd.Series:
+@F.arrow_udf(LINE_TYPE)
+def straight_line(line: pa.Array, direction: pa.Array, houses: pa.Array) -> pa.Array:
     """Each border line straightened; ``houses`` are the geometries near it."""
     rows = []
-    for v, d, near in zip(line, direction, houses, strict=True):
-        shapes = [r for h in (near if near is not None else ()) if (r := as_rings(h))]
-        rows.append(as_points(straightened(as_line(v), None if d is None or d != d else float(d), shapes)))
-    return pd.Series(rows, dtype=object)
+    for v, d, near in zip(line.to_pylist(), direction.to_pylist(), unpacked_lists(houses), strict=True):
+        shapes = [r for h in near if (r := as_rings(h))]
+        rows.append(as_points(straightened(as_line(v), d, shapes)))
+    return as_arrow(rows, LINE_TYPE)
 
 
-@F.pandas_udf(T.DoubleType())
-def wall_direction(geom: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def wall_direction(geom: pa.Array) -> pa.Array:
     """The direction (0 to pi) of the longer sides of the least rectangle around a building."""
-    from cadaspark.functions.kernels import rectangle
-
     out = []
-    for g in geom:
+    for g in unpacked(geom):
         rings = as_rings(g)
         corners = rectangle(np.concatenate(rings))[0] if rings else np.zeros((0, 2))
         if len(corners) < 4:
@@ -127,7 +126,7 @@ def wall_direction(geom: pd.Series) -> pd.Series:
         sides = np.diff(corners[:3], axis=0)
         d = sides[0] if np.hypot(*sides[0]) >= np.hypot(*sides[1]) else sides[1]
         out.append(float(np.arctan2(d[1], d[0]) % np.pi))
-    return pd.Series(out, dtype=float)
+    return pa.array(out, pa.float64())
 
 
 @F.pandas_udf(LINE_TYPE)

@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadaspark.operators.graph import components as graph_components
 from cadaspark.operators.graph import written
+from cadaspark.operators.numbering import compacted, ranked
 from cadaspark.operators.spatial import nearest
 
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -25,18 +24,10 @@ def offsets(df: DataFrame, reach: int) -> DataFrame:
 
 
 def label_components(cells: DataFrame) -> DataFrame:
-    """x, y, component of set cells by their four sides; the name is the least (y, x) as y * 2^32 + x.
+    """x, y, component of set cells by their four sides; the name is the least (y, x) as y * 2^32 + x."""
+    from cadaspark.operators.regions import regions
 
-    Cells of a row are joined to runs first, so the search works on runs.
-    """
-    row = W.partitionBy("y").orderBy("x")
-    run = F.sum(F.when(F.col("x") - F.lag("x").over(row) == 1, 0).otherwise(1)).over(row)
-    own = cells.select("x", "y").withColumn("run", run)
-    runs = own.groupBy("y", "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("node", F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("lo"))
-    named = own.join(runs.select("y", "run", "node"), ["y", "run"])
-    below = named.select("x", (F.col("y") + 1).alias("y"), F.col("node").alias("b"))
-    links = named.select("x", "y", F.col("node").alias("a")).join(below, ["x", "y"]).select("a", "b").distinct()
-    return named.join(graph_components(runs.select("node"), links), "node").select("x", "y", "component")
+    return regions(cells.select("x", "y", F.lit(1).alias("label"))).select("x", "y", F.col("region").alias("component"))
 
 
 def majority_filter(cells: DataFrame, reach: int = 1) -> DataFrame:
@@ -180,19 +171,171 @@ def edge_strength(cells: DataFrame, tile: int = 64) -> DataFrame:
     return in_tiles(cells, ["value"], work, "x int, y int, edge double", tile, 1)
 
 
+#: Excess of green over red and blue, as a share of full brightness, from which land is green (fixed value).
+GREEN = 0.08
+
+
+def green_excess(r: Column, g: Column, b: Column) -> Column:
+    """How much greener than red and blue a colour of 0 to 255 is: -2 to 2."""
+    return (2 * g - r - b) / 255.0
+
+
+def texture(cells: DataFrame, reach: int = 2, tile: int = 128) -> DataFrame:
+    """x, y, texture: standard deviation of ``value`` in the square window around each cell, over the cells there are.
+
+    A tile's windows come from running sums, so a window's size does not matter.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, y, x = as_raster(pdf, "value", np.nan)
+        some = np.isfinite(v)
+        middle = v[some].mean() if some.any() else 0.0
+        v = np.where(some, v - middle, 0.0)
+
+        def sums(a: np.ndarray) -> np.ndarray:
+            for axis in (0, 1):
+                wide = np.pad(a, [(reach + 1, reach) if k == axis else (0, 0) for k in (0, 1)])
+                run = np.cumsum(wide, axis=axis)
+                size = 2 * reach + 1
+                a = run[size:] - run[:-size] if axis == 0 else run[:, size:] - run[:, :-size]
+            return a
+
+        n, total, square = sums(some.astype(float)), sums(v), sums(v * v)
+        n = np.maximum(n, 1)
+        out = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0))
+        return pdf[["x", "y"]].assign(texture=out[y, x])[pdf["inside"].to_numpy()]
+
+    return in_tiles(cells, ["value"], work, "x int, y int, texture double", tile, reach)
+
+
+def boundary_evidence(cells: DataFrame, reach: int = 2) -> DataFrame:
+    """x, y, edge, texture, green of cells with r, g, b (0 to 255): gradient of brightness, its spread, and green land."""
+    grey = cells.withColumn("value", (F.col("r") + F.col("g") + F.col("b")) / 3)
+    out = cells.select("x", "y", green_excess(F.col("r"), F.col("g"), F.col("b")).alias("excess"))
+    out = out.join(edge_strength(grey), ["x", "y"]).join(texture(grey, reach), ["x", "y"])
+    return out.select("x", "y", "edge", "texture", "excess", (F.col("excess") > GREEN).alias("green"))
+
+
 def house_parcels(block: DataFrame, houses: DataFrame, reach: int = REACH, least: int = SPECK_CELLS) -> DataFrame:
     """x, y, parcel: cells of a block go to the nearest house by chessboard distance within ``reach``.
 
     Ties go to the lesser house; parcels of fewer than ``least`` cells are dropped.
     """
-    steps = offsets(houses.select(F.col("x").alias("hx"), F.col("y").alias("hy"), "house", "x", "y"), reach)
-    d = F.greatest(F.abs(F.col("ox") - F.col("hx")), F.abs(F.col("oy") - F.col("hy")))
-    best = steps.withColumn("d", d).groupBy(F.col("ox").alias("x"), F.col("oy").alias("y")).agg(F.min(F.struct("d", "house")).alias("m"))
-    own = block.select("x", "y").join(best, ["x", "y"]).select("x", "y", F.col("m.house").alias("parcel"))
+    cells = block.select("x", "y").join(houses.select("x", "y", "house"), ["x", "y"], "full").select("x", "y", "house")
+    inner = written(cells.join(block.select("x", "y").withColumn("land", F.lit(True)), ["x", "y"], "left").withColumn("block", F.lit(0).cast("bigint")), "block-cells")
+    own = nearest_houses(inner.select("x", "y", "block", "house", "land"), reach).filter("land").select("x", "y", "parcel")
     big = own.groupBy("parcel").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return own.join(big.select("parcel"), "parcel", "left_semi")
 
 
+def nearest_houses(cells: DataFrame, reach: float, frames: DataFrame | None = None, tile: int = 64) -> DataFrame:
+    """x, y, land, parcel: the nearest house of the cell's own block within ``reach`` cells (ties: the lesser house).
+
+    ``cells`` has block, house (null: none) and land.  The distance is the greater of the two ways along
+    the block's axes; ``frames`` (block, angle) gives their direction, else rows and columns.  A tile
+    looks at the houses' outer cells in its halo, so no cell is copied for each place in reach.
+    """
+    angled = cells.withColumn("angle", F.lit(0.0)) if frames is None else cells.join(frames, "block", "left").withColumn("angle", F.coalesce("angle", F.lit(0.0)))
+    halo = int(np.ceil(reach * (1.0 if frames is None else np.sqrt(2))))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, own in pdf.groupby("block"):
+            asked = own[own["inside"] & own["land"].fillna(False).astype(bool)]
+            house = own[own["house"].notna()]
+            if not len(asked) or not len(house):
+                continue
+            a = float(own["angle"].iloc[0])
+            turn = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+            p, names = asked[["x", "y"]].to_numpy(float) @ turn, house["house"].to_numpy(np.int64)
+            held = house[["x", "y"]].to_numpy(np.int64)
+            outer = outer_cells(held, names)
+            q, names = held[outer].astype(float) @ turn, names[outer]
+            order = np.argsort(names, kind="stable")
+            q, names = q[order], names[order]
+            best, who = np.full(len(p), np.inf), np.full(len(p), -1)
+            for at in range(0, len(q), 256):  # houses ascend, so a tie keeps the lesser one
+                d = np.abs(p[:, None] - q[None, at : at + 256]).max(axis=2).round(9)
+                k = d.argmin(axis=1)
+                near = d[np.arange(len(p)), k]
+                new = near < best
+                best[new], who[new] = near[new], names[at + k[new]]
+            own_house = asked["house"].notna().to_numpy()
+            who = np.where(own_house, asked["house"].fillna(-1).to_numpy(), who).astype(np.int64)
+            ok = own_house | (best <= reach)
+            parts.append(asked[["x", "y", "land"]].assign(parcel=who)[ok])
+        return pd.concat(parts) if parts else pd.DataFrame({"x": [], "y": [], "land": [], "parcel": []}).astype({"x": int, "y": int, "land": bool, "parcel": int})
+
+    return in_tiles(angled, ["block", "house", "land", "angle"], work, "x int, y int, land boolean, parcel bigint", tile, halo)
+
+
+def outer_cells(held: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which cells of houses have a side neighbour that is not of the same house."""
+    span = held.max(axis=0) - held.min(axis=0) + 3
+    grid = np.full(span, -1, np.int64)
+    at = held - held.min(axis=0) + 1
+    grid[at[:, 0], at[:, 1]] = names
+    full = np.ones(len(held), bool)
+    for dx, dy in SIDES:
+        full &= grid[at[:, 0] + dx, at[:, 1] + dy] == names
+    return ~full
+
+
+# --- fixed values of parcels around houses, in metres and square metres ---
+OUTBUILDING_M2, SPECK_M2, OPEN_REACH_M = 30.0, 25.0, 20.0
+# --- end of fixed values ---
+
+
+def block_frames(cells: DataFrame) -> DataFrame:
+    """block, angle: the direction of the longer side of the least rectangle around each block's cells.
+
+    Only the first and last cell of each row can be corners of the hull, so a block is as many points as it has rows.
+    """
+    from cadaspark.functions.kernels import rectangle
+
+    ends = cells.groupBy("block", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+
+    def angle(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = rectangle(np.concatenate([pdf[["a", "y"]].to_numpy(float), pdf[["b", "y"]].to_numpy(float)]))[0]
+        sides = np.diff(corners[:3], axis=0) if len(corners) > 3 else np.zeros((2, 2))
+        d = sides[0] if np.hypot(*sides[0]) >= np.hypot(*sides[1]) else sides[1]
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "angle": [float(np.arctan2(d[1], d[0]))]})
+
+    return ends.groupBy("block").applyInPandas(angle, "block bigint, angle double")
+
+
+def parcels_by_block(cells: DataFrame, gsd: float, turned: bool = True) -> DataFrame:
+    """x, y, parcel of the land of a raster: plots around houses, and open land by piece.
+
+    ``cells`` has x, y, land (no road, and within the survey) and house (0 or null: none).  Blocks are
+    connected pieces of land.  In a block each cell goes to the nearest house of 30 square metres or
+    more within 20 m, measured along the block's own axes (along rows and columns, if not
+    ``turned``); other land is open, a parcel a piece.  Plots that share a house become one; parcels
+    below 25 square metres are dropped; parcels are numbered from 1, plots in the order of their
+    houses, then open land in the order of its first cells.
+    """
+    from cadaspark.operators.regions import merged_by_roofs, regions
+
+    land = cells.filter("land")
+    named = written(regions(land.select("x", "y", F.lit(1).alias("label"))).select("x", "y", F.col("region").alias("block")), "blocks")
+    big = cells.filter("house > 0").groupBy("house").agg(F.count("*").alias("n")).filter(F.col("n") * gsd * gsd >= OUTBUILDING_M2).select("house")
+    roofs = land.select("x", "y", "house").filter("house > 0")
+    own = written(named.join(roofs.join(big, "house", "left_semi"), ["x", "y"], "left").withColumn("land", F.lit(True)), "block-houses")
+    frames = written(block_frames(named), "block-frames") if turned else None
+    plots = nearest_houses(own.withColumn("house", F.col("house").cast("bigint")), OPEN_REACH_M / gsd, frames).select("x", "y", "parcel")
+    plots = written(plots, "plots")
+    most = plots.agg(F.coalesce(F.max("parcel"), F.lit(0)).alias("most"))
+    rest = regions(named.join(plots, ["x", "y"], "left_anti").select("x", "y", F.lit(1).alias("label")))
+    heads = ranked(rest.select("region").distinct().withColumn("all", F.lit(0)), "all", [F.col("region")], "k", F.shiftright("region", 32))
+    heads = heads.crossJoin(F.broadcast(most)).select("region", (F.col("most") + F.col("k")).alias("parcel"))  # one row
+    every = written(plots.unionByName(rest.join(heads, "region").select("x", "y", "parcel")), "all-parcels")
+    shared = every.join(roofs.select("x", "y", F.col("house").alias("roof")), ["x", "y"], "left").select("parcel", F.coalesce("roof", F.lit(0)).cast("bigint").alias("roof"))
+    whole = every.join(merged_by_roofs(shared, gsd * gsd), "parcel").select("x", "y", F.col("merged").alias("parcel"))
+    size = whole.groupBy("parcel").agg(F.count("*").alias("n")).filter(F.col("n") * gsd * gsd >= SPECK_M2)
+    numbers = compacted(size, "parcel", "number")
+    return whole.join(numbers, "parcel").select("x", "y", F.col("number").alias("parcel"))
+
+
 def contact_mask(cells: DataFrame, reach: int = 1) -> DataFrame:
     """x, y, kind: contact where two instances are within ``reach``, boundary at a rim, else interior."""
     near = offsets(cells.filter("label > 0").select("x", "y", F.col("label").alias("other")), reach).select(F.col("ox").alias("x"), F.col("oy").alias("y"), "other")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions.geometry import box_geometry
-from cadaspark.operators.cells import SIDES
+from cadaspark.operators.cells import SIDES, in_tiles
+from cadaspark.operators.coverage import followed, ring_names
 from cadaspark.operators.graph import components as graph_components
 from cadaspark.operators.graph import written
+from cadaspark.operators.numbering import ranked
 from cadaspark.operators.topology import merged
 
 # --- fixed values: results must equal these, so they are stated as they are ---
@@ -18,10 +22,12 @@ CORRIDOR_M2, CORRIDOR_M, ELONGATION = 60.0, 10.0, 3.0
 ROOF_SHARE, ROOF_MOST_M2 = 0.85, 250.0
 FUSED_SCORE, FUSED_CELLS = 0.5, 80
 KNOWN_CELLS = 10
+ENCLOSURE_ROUNDS = 6
+PAVED_LOT_M = 10.0
 # --- end of fixed values ---
 
-#: Cells of a row that one task numbers at once.
-STRETCH = 4096
+#: Cells of a row that one task numbers at once; length of a cell's side where rims are chained.
+STRETCH, STEP = 4096, 5000
 
 
 def beside(cells: DataFrame, *columns: str) -> DataFrame:
@@ -73,13 +79,131 @@ def enclosures_absorbed(cells: DataFrame, cell_m2: float, most_m2: float = ABSOR
     return named.join(shut, "region", "left").select("x", "y", F.coalesce("into", "label").alias("label"))
 
 
+def hole_rings(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """label, ring, cells, row of every hole of a label, and the upright edges (ring, x, y) around each.
+
+    A hole is land that the label's cells cut off from the outside, a step over a corner being none;
+    ``row`` is the mean y of its cells.  Found from the label's rim alone: edges between its cells and
+    others are chained to closed walks, and a walk with other land inside it is a hole.
+    """
+    own = cells.select("x", "y", "label")
+    near = beside(own.select("x", "y", "label", F.col("x").alias("ox"), F.col("y").alias("oy")), "label", "ox", "oy")
+    rim = near.join(own.withColumnRenamed("label", "other"), ["x", "y"], "left").filter(~F.col("label").eqNullSafe(F.col("other")))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    corner = lambda right, up: F.struct((F.col("ox") + right).cast("bigint").alias("cx"), (F.col("oy") + up).cast("bigint").alias("cy"), ((F.col("ox") + right) * STEP).cast("bigint").alias("x"), ((F.col("oy") + up) * STEP).cast("bigint").alias("y"), F.col("label"))
+    # directed so that the other land lies on the left
+    u = F.when(dx == 1, corner(1, 1)).when(dx == -1, corner(0, 0)).when(dy == 1, corner(0, 1)).otherwise(corner(1, 0))
+    v = F.when(dx == 1, corner(1, 0)).when(dx == -1, corner(0, 1)).when(dy == 1, corner(1, 1)).otherwise(corner(0, 0))
+    edges = written(rim.select(F.monotonically_increasing_id().alias("key"), u.alias("u"), v.alias("v")), "rim-edges")
+    walks = written(followed(edges), "rim-walks")
+    named = written(walks.join(ring_names(walks), "key").select("ring", "u", "v"), "rim-rings")
+    turn = F.col("u.cx") * F.col("v.cy") - F.col("v.cx") * F.col("u.cy")
+    moment = F.when(F.col("u.cx") == F.col("v.cx"), F.col("u.cx") * (F.col("v.cy") * F.col("v.cy") - F.col("u.cy") * F.col("u.cy"))).otherwise(0)
+    sized = named.groupBy("ring").agg(F.first("u.label").alias("label"), (F.sum(turn) / 2).cast("bigint").alias("cells"), F.sum(moment).alias("moment")).filter("cells > 0")
+    sized = written(sized.select("label", "ring", "cells", F.floor((F.col("moment") - F.col("cells")) / 2 / F.col("cells")).cast("bigint").alias("row")), "holes")
+    upright = named.filter("u.cx = v.cx").select("ring", F.col("u.cx").alias("x"), F.least("u.cy", "v.cy").alias("y"))
+    return sized, upright.join(sized.select("ring"), "ring", "left_semi")
+
+
+def hole_cells(upright: DataFrame) -> DataFrame:
+    """ring, x, y: the cells inside each ring, row by row between its upright edges."""
+    rows = upright.groupBy("ring", "y").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda i: F.sequence(F.element_at("xs", i), F.element_at("xs", i + 1) - 1))
+    return rows.select("ring", F.explode(F.flatten(spans)).alias("x"), "y")
+
+
+def enclosures_resolved(cells: DataFrame, cell_m2: float, corridor: int | None = None, most_m2: float = ABSORB_M2, rounds: int = ENCLOSURE_ROUNDS) -> DataFrame:
+    """x, y, label after no label encloses other land; 0 and null are no label, ``corridor`` may enclose anything.
+
+    What a hole of at most ``most_m2`` holds takes the label around it (of several such holes the
+    largest counts).  A larger one that holds labelled land stays, and the label around it is cut along
+    the hole's middle row: its greatest piece keeps the label (ties: the first in rows from below),
+    the others get numbers after the greatest label in the order of labels and first cells, and each
+    cell of the cut takes the label of the cell in the row before it, unless that is none or the
+    corridor.  Rounds end when nothing changes.  All labels are looked at as they stand when a round
+    begins.
+    """
+    now = written(cells.select("x", "y", F.coalesce(F.col("label"), F.lit(0)).cast("bigint").alias("label")), "enclosures")
+    for _ in range(rounds):
+        around = now.filter((F.col("label") > 0) & ~F.col("label").eqNullSafe(corridor))
+        holes, upright = hole_rings(around)
+        if holes.isEmpty():
+            break
+        inside = hole_cells(upright).join(holes, "ring").join(now.filter("label > 0").select("x", "y", F.col("label").alias("held")), ["x", "y"])
+        inside = written(inside, "hole-cells")
+        small = F.col("cells") * cell_m2 <= most_m2
+        taken = inside.filter(small).groupBy("x", "y").agg(F.max_by("label", F.struct("cells", -F.col("label"))).alias("into"))
+        cuts = inside.filter(~small).select("label", "row").distinct()
+        after = written(now.join(taken, ["x", "y"], "left").select("x", "y", F.coalesce("into", "label").alias("label"), F.col("into").isNotNull().alias("new")), "absorbed")
+        cut = after.filter("not new").join(cuts.withColumnRenamed("row", "y"), ["label", "y"], "left_semi").select("x", "y", "label")
+        split = after.filter("not new").join(cuts.select("label").distinct(), "label", "left_semi").join(cut.select("x", "y"), ["x", "y"], "left_anti")
+        pieces = written(regions(split), "cut-pieces")
+        sizes = pieces.groupBy("label", "region").agg(F.count("*").alias("n"))
+        kept = sizes.groupBy("label").agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("region"), F.count("*").alias("pieces"))
+        rest = sizes.join(kept.select("region"), "region", "left_anti").select("label", "region")
+        most = now.agg(F.coalesce(F.max("label"), F.lit(0)).alias("most"))
+        fresh = ranked(rest.withColumn("all", F.lit(0)), "all", [F.col("label"), F.col("region")], "k", F.col("label")).crossJoin(F.broadcast(most)).select("region", (F.col("most") + F.col("k")).alias("fresh"))  # one row
+        renamed = pieces.join(fresh, "region").select("x", "y", "fresh")
+        apart = kept.filter("pieces > 1").select("label")
+        line = cut.join(apart, "label", "left_semi")
+        put = after.join(renamed, ["x", "y"], "left").select("x", "y", F.coalesce("fresh", "label").alias("label"))
+        put = written(put, "cut-labels")
+        above = put.select("x", (F.col("y") + 1).alias("y"), F.col("label").alias("above"))
+        joined = line.join(above, ["x", "y"], "left")
+        ok = (F.coalesce("above", F.lit(0)) > 0) & ~F.col("above").eqNullSafe(corridor)
+        line = joined.select("x", "y", F.when(ok, F.col("above")).otherwise(F.col("label")).alias("over"))
+        new = written(put.join(line, ["x", "y"], "left").select("x", "y", F.coalesce("over", "label").alias("label")), "enclosures")
+        if taken.isEmpty() and apart.isEmpty():
+            break
+        now = new
+    return now
+
+
+def corridor_cells(cells: DataFrame, gsd: float, tile: int = 256) -> DataFrame:
+    """x, y of road cells (``road``) with lanes of paved ground (``paved``), after an opening by one cell.
+
+    Paved ground that is ``PAVED_LOT_M`` wide all round is a lot and no lane.
+    """
+    r = max(1, round(PAVED_LOT_M / gsd / 2))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pdf["y"] - pdf["y"].min()).to_numpy() + r + 2, (pdf["x"] - pdf["x"].min()).to_numpy() + r + 2
+        road, paved = (np.zeros((y.max() + r + 3, x.max() + r + 3), bool) for _ in range(2))
+        road[y, x], paved[y, x] = pdf["road"], pdf["paved"]
+        disc = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i * i + j * j <= r * r]
+        lanes = road | (paved & ~opened(road | paved, disc))
+        return pdf.loc[opened(lanes, [(0, 0), *SIDES])[y, x] & pdf["inside"].to_numpy(), ["x", "y"]]
+
+    return in_tiles(cells, ["road", "paved"], work, "x int, y int", tile, 2 * r + 2)
+
+
+def opened(mask: np.ndarray, shape: list[tuple[int, int]]) -> np.ndarray:
+    """Erosion by a shape, then dilation; what lies beyond the array is empty."""
+
+    def moved(m: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = np.zeros_like(m)
+        h, w = m.shape
+        out[max(0, -a) : h - max(0, a), max(0, -b) : w - max(0, b)] = m[max(0, a) : h - max(0, -a), max(0, b) : w - max(0, -b)]
+        return out
+
+    core = np.logical_and.reduce([moved(mask, a, b) for a, b in shape])
+    return np.logical_or.reduce([moved(core, -a, -b) for a, b in shape])
+
+
 def strips(cells: DataFrame, gsd: float) -> DataFrame:
     """region, area_m2, length_m, width_m of strip-like regions: long for their mean width and no yards.
 
-    A region's length is the longer side of its extent.
+    A region's length is that of its middle line, found from its rim: a strip of length l and width w
+    has a rim of 2 (l + w) and an area of l w, and so have its bends, crossings and rings but for the
+    corners.  (A ragged rim makes a region longer; an opening, as in :func:`corridor_cells`, smooths it.)
     """
-    by = regions(cells).groupBy("region").agg((F.count("*") * gsd * gsd).alias("area_m2"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * gsd + gsd).alias("length_m"))
-    out = by.withColumn("width_m", F.col("area_m2") / F.col("length_m"))
+    named = written(regions(cells), "regions")
+    sides = beside(named, "region").join(named.select("x", "y", F.col("region").alias("other")), ["x", "y"], "left").filter("other is null or region <> other").groupBy("region").agg(F.count("*").alias("rim"))
+    by = named.groupBy("region").agg(F.count("*").alias("n")).join(sides, "region")
+    rim = F.col("rim").cast("double")
+    length = (rim + F.sqrt(F.greatest(rim * rim - 16 * F.col("n"), F.lit(0.0)))) / 4
+    out = by.select("region", (F.col("n") * gsd * gsd).alias("area_m2"), (length * gsd).alias("length_m"))
+    out = out.withColumn("width_m", F.col("area_m2") / F.col("length_m"))
     return out.filter((F.col("area_m2") >= CORRIDOR_M2) & (F.col("length_m") >= CORRIDOR_M) & (F.col("length_m") >= ELONGATION * F.col("width_m")))
 
 
@@ -115,7 +239,7 @@ def fused(first: DataFrame, scores: DataFrame) -> DataFrame:
     named = written(regions(free.select("x", "y", F.lit(1).alias("label"))), "fused")
     big = named.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") >= FUSED_CELLS).select("region")
     most = first.agg(F.coalesce(F.max("label"), F.lit(0)).cast("bigint").alias("most"))
-    numbers = big.withColumn("k", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("region"))).crossJoin(F.broadcast(most)).select("region", (F.col("most") + F.col("k")).alias("label"))  # a row a new region
+    numbers = ranked(big.withColumn("all", F.lit(0)), "all", [F.col("region")], "k", F.shiftright("region", 32)).crossJoin(F.broadcast(most)).select("region", (F.col("most") + F.col("k")).alias("label"))  # one row
     return first.filter("label > 0").select("x", "y", F.col("label").cast("bigint").alias("label")).unionByName(named.drop("label").join(numbers, "region").select("x", "y", "label"))
 
 

@@ -260,8 +260,8 @@ def split_parcels(layer: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     parts = cut.filter(~few & ~least).select("*", F.posexplode("pieces").alias("piece", "p"))
     out = parts.withColumn("geom", F.col("p.geom")).withColumn("area", F.col("p.area")).withColumn("parent", F.col("id")).drop("pieces", "p")
     most = layer.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__most"))
-    rest = ranked(out.filter("piece > 0").withColumn("__all", F.lit(0)), "__all", [F.col("parent"), F.col("piece")], "__k", F.floor(F.col("parent") / 100_000))
-    rest = rest.crossJoin(F.broadcast(most)).withColumn("id", (F.col("__most") + F.col("__k")).cast(dict(layer.dtypes)["id"]))  # one row
+    rest = ranked(out.filter("piece > 0").withColumn("__all", F.lit(0)), "__all", [F.col("parent"), F.col("piece")], "__number", F.floor(F.col("parent") / 100_000))
+    rest = rest.crossJoin(F.broadcast(most)).withColumn("id", (F.col("__most") + F.col("__number")).cast(dict(layer.dtypes)["id"]))  # one row
     if "confidence" in layer.columns:
         rest = rest.withColumn("confidence", F.lit(None).cast(dict(layer.dtypes)["confidence"]))
     whole = out.filter("piece = 0").unionByName(rest.select(*out.columns))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadaspark.functions.kernels import left_over
+from cadaspark.operators import cells as raster_cells
 from cadaspark.operators import layout, ranks, regions, repair, saving, siting, tiles, voting
 from cadaspark.sources import layers
 from cadaspark.streaming import visits
@@ -251,3 +252,127 @@ def test_survey_margins_and_renames(spark):
     points = spark.createDataFrame([(1, 10.0004, 5.0), (2, 10.0006, 5.0), (3, 9.0, 4.9996)], "id bigint, lon double, lat double")
     assert [r.id for r in layers.within_survey(points, (9.0, 5.0, 10.0, 6.0)).collect()] == [1, 3]
     assert layers.patch_starts(50, 8, 6) == [0, 6, 12, 18, 24, 30, 36, 42] and layers.patch_starts(51, 8, 6)[-2:] == [42, 43] and layers.patch_starts(5, 8, 6) == [0]
+
+
+def test_strips_of_any_shape(spark):
+    """A ring road and a crossing are strips, a courtyard and a thick block are none."""
+    ring = {(i, j) for i in range(12) for j in range(12) if min(i, j, 11 - i, 11 - j) < 2}
+    cross = {(100 + i, 10 + j) for i in range(30) for j in range(2)} | {(114 + i, j) for i in range(2) for j in range(30)}
+    court = {(200 + i, j) for i in range(12) for j in range(12)}
+    block = {(300 + i, j) for i in range(30) for j in range(14)}
+    got = {r.region: r for r in regions.strips(frame(spark, dict.fromkeys(ring | cross | court | block, 1)), 1.5).collect()}
+    assert set(got) == {0, 114}
+    assert abs(got[0].length_m - 60) < 4 and abs(got[114].length_m - 58 * 1.5) < 1
+
+
+def test_corridors_with_lanes(spark):
+    """A paved lane joins the road, a lot does not; single cells go with the opening."""
+    road = {(i, j) for i in range(60) for j in range(4)} | {(70, 70)}
+    lane, lot = {(20 + i, 4 + j) for i in range(3) for j in range(30)}, {(60 + i, 20 + j) for i in range(20) for j in range(20)}
+    cells = [(*c, c in road, c in lane or c in lot) for c in road | lane | lot]
+    got = {(r.x, r.y) for r in regions.corridor_cells(spark.createDataFrame(cells, "x int, y int, road boolean, paved boolean"), 1.0, 32).collect()}
+    assert {(21, 20), (30, 1), (0, 1)} <= got and (70, 70) not in got and (70, 30) not in got
+    assert len(got & lane) > 80 and len(got & lot) < 12
+
+
+def holes_of(cells, label):
+    """Pieces of land that a label's cells cut off from the outside, by a flood from beyond the raster."""
+    own = {c for c, v in cells.items() if v == label}
+    lo, hi = [min(c[k] for c in own) - 1 for k in (0, 1)], [max(c[k] for c in own) + 1 for k in (0, 1)]
+    free = {(i, j): 0 for i in range(lo[0], hi[0] + 1) for j in range(lo[1], hi[1] + 1) if (i, j) not in own}
+    return [p for p in parts(free) if all(lo[0] < a < hi[0] and lo[1] < b < hi[1] for a, b in p)]
+
+
+def resolved(cells, m2, corridor, most, rounds=6):
+    """The rules of enclosures by plain loops."""
+    now = dict(cells)
+    for _ in range(rounds):
+        taken, cuts = {}, {}
+        for label in sorted({v for v in now.values() if v and v > 0 and v != corridor}):
+            for hole in holes_of(now, label):
+                held = [c for c in hole if (now.get(c) or 0) > 0]
+                if len(hole) * m2 <= most:
+                    for c in held:
+                        taken[c] = max(taken.get(c, (0, 0)), (len(hole), -label))
+                elif held:
+                    cuts.setdefault(label, set()).add(sum(b for _, b in hole) // len(hole))
+        after = now | {c: -v[1] for c, v in taken.items()}
+        fresh, changed, line = max(v or 0 for v in now.values()), bool(taken), {}
+        put = dict(after)
+        for label in sorted(cuts):
+            own = {c: 1 for c, v in after.items() if v == label and c not in taken}
+            pieces = sorted(parts({c: 1 for c in own if c[1] not in cuts[label]}), key=lambda p: min((b, a) for a, b in p))
+            if len(pieces) > 1:
+                changed = True
+                kept = max(pieces, key=len)
+                for p in pieces:
+                    if p is not kept:
+                        fresh += 1
+                        put |= dict.fromkeys(p, fresh)
+                line |= {c: label for c in own if c[1] in cuts[label]}
+        over = {}
+        for (a, b), label in line.items():
+            above = put.get((a, b - 1)) or 0
+            over[a, b] = above if above > 0 and above != corridor else label
+        if not changed:
+            return now
+        now = put | over
+    return now
+
+
+def test_enclosures_resolved(spark):
+    """Two labels in one hole, a hole at a corner, an enclosed plot that splits its parcel, a corridor around land."""
+    label = {(i, j): 1 for i in range(20) for j in range(20)}
+    label |= {(3, 3): 2, (4, 3): 3, (8, 8): 4, (9, 9): 4}
+    label |= {(12 + i, 11 + j): 5 for i in range(5) for j in range(6)}
+    label |= {(30 + i, j): 9 for i in range(6) for j in range(6)} | {(31 + i, 1 + j): 6 for i in range(4) for j in range(4)}
+    got = cells_of(regions.enclosures_resolved(frame(spark, label), 4.0, corridor=9))
+    assert got == resolved(label, 4.0, 9, 60.0)
+    assert got[3, 3] == got[4, 3] == got[8, 8] == got[9, 9] and got[31, 1] == 6 and got[13, 12] == 5
+    assert len({v for c, v in got.items() if c[0] < 20}) == 3
+
+
+def test_enclosures_on_random_rasters(spark):
+    for seed in (11, 12):
+        label = raster(seed, [1, 1, 1, 1, 2, 2, 3, 0], 0.97, 16)
+        got = cells_of(regions.enclosures_resolved(frame(spark, label), 10.0, corridor=3))
+        assert got == resolved(label, 10.0, 3, 60.0)
+
+
+def test_parcels_by_block(spark):
+    """Two walled blocks: no plot reaches over the wall, far land is open, sheds take no land."""
+    land = {(i, j) for i in range(60) for j in range(20) if i != 20}
+    house = {(17 + i, 8 + j): 3 for i in range(3) for j in range(4)} | {(24 + i, 8 + j): 5 for i in range(3) for j in range(4)} | {(33 + i, 3 + j): 7 for i in range(4) for j in range(4)} | {(10, 2): 8}
+    cells = spark.createDataFrame([(i, j, (i, j) in land, house.get((i, j), 0)) for i in range(60) for j in range(20)], "x int, y int, land boolean, house int")
+    got = {(r.x, r.y): r.parcel for r in raster_cells.parcels_by_block(cells, 2.0, turned=False).collect()}
+    want = {}
+    for c in land:
+        near = [(max(abs(c[0] - a), abs(c[1] - b)), h) for (a, b), h in house.items() if h != 8 and (a < 20) == (c[0] < 20)]
+        d, h = min(near)
+        want[c] = h if d <= 10 else 100 + (c[0] > 20)
+    names = {v: k + 1 for k, v in enumerate(sorted(set(want.values())))}
+    assert got == {c: names[v] for c, v in want.items()}
+
+
+def test_block_axes(spark):
+    """In a slanted block plots are parted square to its long side."""
+    turn = np.array([[np.cos(0.5), np.sin(0.5)], [-np.sin(0.5), np.cos(0.5)]])
+    inside = lambda p: 0 <= p[0] < 60 and 0 <= p[1] < 16
+    at = lambda i, j: np.array([i, j]) @ turn.T
+    rows = [(i, j, True, 1 if 8 <= p[0] < 16 and 4 <= p[1] < 12 else 2 if 30 <= p[0] < 38 and 4 <= p[1] < 12 else 0) for i in range(-20, 70) for j in range(-20, 70) if inside(p := at(i, j))]
+    got = {(r.x, r.y): r.parcel for r in raster_cells.parcels_by_block(spark.createDataFrame(rows, "x int, y int, land boolean, house int"), 1.0).collect()}
+    middle = [p for (i, j), v in got.items() if 17 <= (p := at(i, j))[0] <= 29]
+    assert len(middle) > 100
+    wrong = [1 for (i, j), v in got.items() if 4 <= (p := at(i, j))[0] <= 42 and v != (1 if p[0] < 22.7 else 2)]
+    assert len(wrong) < 40
+
+
+def test_texture_and_green(spark):
+    rng = np.random.default_rng(8)
+    v = {(i, j): rng.integers(0, 255, 3).tolist() for i in range(30) for j in range(25) if rng.random() < 0.95}
+    cells = spark.createDataFrame([(*c, *map(int, rgb)) for c, rgb in v.items()], "x int, y int, r int, g int, b int")
+    got = {(r.x, r.y): r for r in raster_cells.boundary_evidence(cells).collect()}
+    assert len(got) == len(v)
+    for (i, j), (r, gr, b) in v.items():
+        near = [sum(v[c]) / 3 for a in range(-2, 3) for e in range(-2, 3) if (c := (i + a, j + e)) in v]
+        assert abs(got[i, j].texture - np.std(near)) < 1e-6 and got[i, j].green == ((2 * gr - r - b) / 255 > 0.08)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import BLANKS, documents, freed, stored
+from cadaspark.llm.common import BLANKS, documents, freed, joined_by_count, stored
 
 #: Low bits of a fingerprint that a run keeps.
 REMAINDER_BITS = 44
@@ -130,7 +130,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     verified = stored(verified.filter("group_size > 1"), "exact-groups")
 
     keep = -F.col("minus_id")
-    joined = light.join(verified, ["__print", "__sha"], "left")
+    joined = joined_by_count(light, verified.withColumn("copies", F.col("group_size")), ["__print", "__sha"], "copies", "left")
     keep_id = F.when(F.col("minus_id").isNull(), F.col("doc_id")).when(keep == NULL_ID, F.lit(None)).otherwise(keep)
     return joined.select(
         "doc_id",
@@ -145,21 +145,22 @@ def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row of each group of equal texts, with all columns of ``df`` (see :func:`exact_groups`).
 
     Of rows that share both id and text the least in the order of all columns stays, so repeated rows
-    leave one.  Null texts are equal to empty ones.  Columns may have any names but ``__norm``,
-    ``__sha``, ``__print``, ``__id`` and ``__key``; an empty table gives an empty result.
+    leave one.  Null texts are equal to empty ones.  Columns may have any names; an empty table
+    gives an empty result.
     """
     rows = stored(exact_groups(df, doc_id, text).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept", "group_size"), "exact-rows")
     gone = rows.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__key")).distinct()
     twins = rows.filter("kept and group_size > 1").groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__key")).count().filter("count > 1").drop("count")
     gone, twins = small(gone), small(stored(twins, "exact-twins"))
-    same = lambda left, right: left[doc_id].eqNullSafe(right["__id"]) & (left["__sha"] == right["__key"])
-    named = fingerprints(df, text).drop("__norm", "__print")
+    inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    same = lambda left, right: left[inner[doc_id]].eqNullSafe(right["__id"]) & (left["__sha"] == right["__key"])
+    named = fingerprints(df.toDF(*inner.values()), inner[text]).drop("__norm", "__print")
     stay = named.join(gone, same(named, gone), "left_anti")
     if twins.isEmpty():
-        return stay.select(*df.columns)
-    single = stay.join(twins, same(stay, twins), "left_anti").select(*df.columns)
-    least = stay.join(twins, same(stay, twins), "left_semi").groupBy(doc_id, "__sha").agg(F.min(F.struct(*df.columns)).alias("row"))
-    return single.unionByName(least.select("row.*"))
+        return stay.select(*inner.values()).toDF(*df.columns)
+    single = stay.join(twins, same(stay, twins), "left_anti").select(*inner.values())
+    least = stay.join(twins, same(stay, twins), "left_semi").groupBy(inner[doc_id], "__sha").agg(F.min(F.struct(*inner.values())).alias("row"))
+    return single.unionByName(least.select("row.*")).toDF(*df.columns)
 
 
 def small(df: DataFrame) -> DataFrame:

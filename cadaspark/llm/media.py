@@ -91,10 +91,10 @@ def media_column(df: DataFrame, text: str = "text") -> DataFrame:
 
     Bytes 0 fill the payload up to a positive multiple of 64.  Null counts as empty; repeated rows
     give equal files as often as they occur; very long texts are one file each; an empty table gives
-    an empty result.  Other columns stay, those named ``n_bytes`` or ``media`` are replaced.
+    an empty result.  Other columns stay, whatever their names; those named ``n_bytes`` or ``media`` are replaced.
     """
     kept = [c for c in df.columns if c not in (text, "n_bytes", "media")]
-    rows = df.select(*[df[c] for c in kept], F.coalesce(df[text], F.lit("")).alias("__text"))
+    rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(df[text], F.lit("")).alias("__text"))
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def media_column(df: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(d) for d in data], pa.int64()), pa.array([wav_bytes(padded(d)) for d in data], pa.binary())], names=[*[c for c in part.schema.names if c != "__text"], "n_bytes", "media"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"], "n_bytes bigint, media binary"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*kept, "n_bytes", "media")
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
@@ -113,12 +113,12 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
 
     New columns: ``payload_bytes``, ``payload_sha256``, ``tail_crc32`` (last 64 samples),
     ``media_bytes``, ``media_sha256``, ``times`` and ``codes`` (the time-coded fingerprint).  Bytes
-    that are no WAV file, and null, give nulls and empty arrays.  Other columns stay, those named like
+    that are no WAV file, and null, give nulls and empty arrays.  Other columns stay, whatever their names; those named like
     a new one are replaced; an empty table gives an empty result.
     """
     new = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes")
     kept = [c for c in df.columns if c not in (*new, media)]
-    rows = df.select(*[df[c] for c in kept], df[media].alias("__media"))
+    rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(kept)], df[media].alias("__media"))
 
     def of(data: bytes | None) -> dict:
         if data is None:
@@ -142,7 +142,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array([m[c] for m in made], k) for c, k in zip(new, kinds, strict=True)]], names=[*[c for c in part.schema.names if c != "__media"], *new])
 
     own = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, times array<int>, codes array<int>"
-    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__media"], own]))
+    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__media"], own])).toDF(*kept, *new)
 
 
 def feature() -> F.Column:

@@ -256,14 +256,14 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     ``tokenizer`` is the path of a byte-level BPE file that every executor has.  Special strings in
     a text count as one token each, as the file's library does by default; no begin, end or padding
     tokens are counted.  Null and empty texts have 0 bytes and 0 tokens.  Columns of ``df`` stay,
-    those named like a new one are replaced; repeated rows stay repeated; an empty table gives an
+    whatever their names; those named like a new one are replaced; repeated rows stay repeated; an empty table gives an
     empty result.  Rows stay where they are (no shuffle) and texts are read whole, in groups of
     bounded size.
     """
     new = ("n_bytes", "n_tokens", "over_limit")
-    kept = [c for c in df.columns if c not in (*new, text)]
-    whole = text not in new
-    source = df.select(*[df[c] for c in kept], *([df[text]] if whole else []), F.coalesce(df[text], F.lit("")).alias("__text"))
+    kept = [c for c in df.columns if c not in (*new, text)] + ([text] if text not in new else [])
+    inner = {c: f"c{i}" for i, c in enumerate(kept)}
+    source = df.select(*[df[c].alias(i) for c, i in inner.items()], F.coalesce(df[text], F.lit("")).alias("__text"))
 
     small_batches(df.sparkSession)
     runs = pretokens.kind_runs()
@@ -277,12 +277,12 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
                 texts = part.column("__text").to_pylist()
                 n = machine.counts(texts)
                 sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-                columns = [part.column(c) for c in part.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*columns, sizes, pa.array(n, pa.int64()), pa.array(n > limit)], names=[*[c for c in part.schema.names if c != "__text"], *new])
+                names = [c for c in part.schema.names if c != "__text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], sizes, pa.array(n, pa.int64()), pa.array(n > limit)], names=[*names, *new])
 
     fields = [f for f in source.schema.fields if f.name != "__text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_bytes bigint, n_tokens bigint, over_limit boolean"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *new)
 
 
 def op6(spark, sf_dir: str, tokenizer: str) -> DataFrame:

@@ -312,3 +312,71 @@ def test_products_beyond_64_bits(spark):
 
 def test_phrases_of_an_empty_table(spark):
     assert phrases.phrase_table(spark.createDataFrame([], TEXT_ROWS)).collect() == []
+
+
+# ---- column names and short passages
+
+NAMES = ("keep", "rest", "__sha", "__norm", "__text", "__hash", "__row", "__id", "__key", "__print", "c0", "bytes", "n", "a", "lines")
+
+
+def named_table(spark, texts):
+    rows = [(i, t, *(f"{c} {i}" for c in NAMES)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in NAMES))
+
+
+@pytest.mark.parametrize("name", ["exact", "lines", "tokens", "media", "features"])
+def test_columns_of_any_name_stay(spark, name):
+    import public_tokenizers
+
+    from cadaspark.llm import exact_dedup, line_dedup, media, token_counts
+
+    frame = named_table(spark, ["one\ntwo\nthree", "other text", None, "zero\none\ntwo\nthree"])
+    run = {
+        "exact": lambda: exact_dedup.drop_exact_copies(frame.unionByName(frame.filter("doc_id = 1"))),
+        "lines": lambda: line_dedup.without_repeats(frame),
+        "tokens": lambda: token_counts.token_counts(frame, public_tokenizers.path("byte_bpe_50k.json")),
+        "media": lambda: media.media_column(frame),
+        "features": lambda: media.media_features(media.media_column(frame)),
+    }[name]
+    rows = run().collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert all(r[c] == f"{c} {r.doc_id}" for c in NAMES)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from cadaspark.llm.common import documents, stored
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, "/root/testdata/sf0.001")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in NAMES])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, "/root/testdata/sf0.001"), "named-stage")
+    rows = docs.collect()
+    assert len(rows) > 100 and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in NAMES)
+
+
+def test_short_passages_go(spark):
+    """Every later copy of a passage of 2, 3 or 12 lines goes, blank lines inside it included; other lines stay."""
+    from cadaspark.llm import line_dedup
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    passages = [[f"{word()} {word()}" for _ in range(size)] for size in (2, 3, 12) for _ in range(10)] + [[word(), "", word()] for _ in range(5)]
+    texts = ["\n".join(x for p in rnd.sample(passages, len(passages)) for x in [word(), *p, word()]) for _ in range(4)]
+    got = line_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    left = Counter(x for r in got for x in r.text.split("\n") if x)
+    assert all(n == 1 for n in left.values()) and set(left) == {x for t in texts for x in t.split("\n") if x}
+    licence = "Permission is granted\nto use this text\nfor any purpose"
+    docs = [(i, f"start {i}\n{licence}\nend {i}") for i in range(200)]
+    out = line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).agg({"n_removed_lines": "sum"}).first()
+    assert out[0] == 597
+
+
+def test_a_line_repeated_in_one_text(spark):
+    from cadaspark.llm import line_dedup
+
+    rows = spark.createDataFrame([(1, "\n".join(["again and again"] * 90)), (2, "x\nagain and again\ny")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(rows).collect()}
+    assert got == {1: "again and again\nagain and again", 2: "x\nagain and again\ny"}

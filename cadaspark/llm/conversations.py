@@ -304,8 +304,7 @@ def audited(ordered: DataFrame, costs: EditCosts) -> DataFrame:
         cost = to_go[b.first[:-1], entry, 0] - np.where(last, 0, exits[np.arange(b.count), ends & 3])
 
         place, state, edit = node >> 2, node & 3, letter[node]
-        row = np.minimum(place - path, len(b.n) - 1)  # the row after the position
-        row = np.where(np.isin(place, b.ends), row - 1, row)  # after the last row of its block
+        row = place - path - np.isin(place, b.ends)  # the row after the position, at a block's end the one before
         times = np.where(edit == INSERT, 1, b.n[row])
         text = np.full(int(times.sum()), LETTERS[DELETE])
         text[np.cumsum(times) - times] = LETTERS[edit]

@@ -23,7 +23,7 @@ def query(oracle: str | None = None, **views: str) -> Callable:
 
 
 def _load() -> None:
-    from cadaspark.plans import q_cells, q_comparison, q_coverage, q_evidence, q_layers, q_logs, q_regions, q_rules, q_saving, q_scoring, q_shapes, q_streams, q_tiles, q_topology, q_zonal  # noqa: F401
+    from cadaspark.plans import q_blocks, q_cells, q_comparison, q_coverage, q_evidence, q_layers, q_logs, q_regions, q_rules, q_saving, q_scoring, q_shapes, q_streams, q_tiles, q_topology, q_zonal  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -194,3 +194,34 @@ def test_merges_with_ids(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 4)], "id bigint, group bigint")
     got = {r.group: (r.id, r.area) for r in topology.merged_parcels(layer(spark, rows), groups).collect()}
     assert got.keys() == {1, 2} and got[1] == (1, pytest.approx(160, abs=0.1)) and got[2] == (3, pytest.approx(925, abs=0.1))
+
+
+def test_block_parcels_of_free_shapes(spark):
+    """Two slanted houses, a bent road, a pond, a field: plots and open land tile the blocks, and nothing lies on a road."""
+    from cadaspark.operators import blocks
+
+    point = "array<struct<x:double,y:double>>"
+    houses = layer(spark, [(1, box(60, 20, 70, 30, 0.2)), (2, box(82, 20, 92, 30, 0.2)), (3, [[[(150, 60), (170, 60), (170, 66), (156, 66), (156, 80), (150, 80)]]])])
+    lines = spark.createDataFrame([(1, "road", [(-10.0, 5.0), (60.0, 8.0), (210.0, 50.0)]), (2, "rail", [(120.0, -10.0), (120.0, 110.0)])], f"id bigint, kind string, line {point}")
+    pond, none = layer(spark, [(9, box(20, 60, 50, 90))]), layer(spark, [])
+    zones = layer(spark, [(5, box(0, 55, 112, 100))]).withColumn("label", F.lit("Agricultural"))
+    area = (0.0, 0.0, 200.0, 100.0)
+    got = blocks.block_parcels(blocks.Layers(houses, lines, pond, none, zones), area)
+    rows = got.collect()
+    by = {r.building: r for r in rows if r.building}
+    assert set(by) == {1, 2, 3} and [r.id for r in sorted(rows, key=lambda r: r.id)] == list(range(len(rows)))
+    bars = blocks.barriers(blocks.Layers(houses, lines, pond, none, zones), area)
+    own = with_bounds(got.select("id", "geom")).withColumn("area", g.area(F.col("geom")))
+    assert topology.overlap_pairs(own, exact=True).isEmpty()
+    from cadaspark.operators.spatial import overlay
+
+    wide = bars.withColumn("area", g.area(F.col("geom")))
+    assert overlay(own, wide, exact=True).filter("inter > 0.05").isEmpty()
+    fields = [r for r in rows if r.landuse == "Agricultural"]
+    assert fields and all(r.area_m2 <= 90 * 90 for r in fields)
+    free = sum(r.area_m2 for r in rows)
+    land = coverage.gaps(bars, 25.0, 1e18)
+    assert abs(free - sum(r.area_m2 for r in blocks.inside(land, area).collect())) < 60
+    assert by[1].road_connected and by[1].road_distance_m >= 4 - 0.01
+    split = (by[1].x + by[2].x) / 2
+    assert by[1].x < split < by[2].x and by[3].area_m2 > 12 * 20

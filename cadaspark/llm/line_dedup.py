@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import BLANKS, documents, joined_by_count, stored
+from cadaspark.llm.common import documents, joined_by_count, stored
 
 DIVISOR = 3
+#: What a line with text holds.
+INK = r"[^\x20\x09-\x0D]"
 #: Rows of at most 24 bytes that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -112,14 +114,13 @@ def pair_ranges(rows: DataFrame, left: DataFrame) -> DataFrame:
 
     A pair that overlaps its own first place (in a run of one line) stays.
     """
-    lines = split_lines(F.col("__text"))
-    marked = with_left(rows, left).withColumn("lines", lines)
-    full = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.trim(F.element_at("lines", i), F.lit(BLANKS)) != "")
-    marked = marked.withColumn("full", full).filter(F.size("full") > 1)
-    pairs = F.zip_with(F.slice("full", 1, F.size("full") - 1), F.slice("full", 2, F.size("full") - 1), lambda i, j: F.struct((i - 1).alias("a"), j.alias("b")))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (computed once a row)
+    full = lambda x: F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.element_at(x, i).rlike(INK))
+    pairs = lambda f: F.zip_with(F.slice(f, 1, F.greatest(F.size(f) - 1, F.lit(0))), F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), lambda i, j: F.struct((i - 1).alias("a"), j.alias("b")))
     stays = lambda p: F.col("rest").isNull() | (p["a"] >= F.col("rest")) | F.exists("keep", lambda k: (k["a"] <= p["a"]) & (p["b"] <= k["b"]))
-    told = F.transform(F.filter(pairs, stays), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_join(F.slice("lines", p["a"] + 1, p["b"] - p["a"]), "\n").alias("bytes")))
-    wide = marked.select("__id", "__row", F.explode(told).alias("p")).select("__id", "__row", "p.*")
+    shown = lambda x, p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_join(F.slice(x, p["a"] + 1, p["b"] - p["a"]), "\n").alias("bytes"))
+    told = let(split_lines(F.col("__text")), lambda x: let(full(x), lambda f: F.transform(F.filter(pairs(f), stays), lambda p: shown(x, p))))
+    wide = with_left(rows, left).select("__id", "__row", F.explode(told).alias("p")).select("__id", "__row", "p.*")
     places = stored(places_of(wide, "pair-hashes"), "line-pairs")
     groups = places.groupBy("hash", "bytes").agg(F.min(F.struct("__id", "__row", "a", "b")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     both = joined_by_count(places, stored(groups, "pair-groups"), ["hash", "bytes"], "n")

@@ -286,6 +286,31 @@ def is_valid(geom: pa.Array) -> pa.Array:
     return pa.array([g is not None and len(g) > 0 and all(ok(r) for p in g for r in p) for g in unpacked(geom)], pa.bool_())
 
 
+@F.arrow_udf(T.BooleanType())
+def meets_box(geom: pa.Array, box: pa.Array) -> pa.Array:
+    """Whether a geometry and a box (another geometry) have a point in common, borders included."""
+    out = []
+    for g, b in zip(unpacked(geom), unpacked(box), strict=True):
+        rings, frame = as_rings(g), as_rings(b)
+        if not rings or not frame:
+            out.append(False)
+            continue
+        corners = frame[0]
+        low, high = corners.min(axis=0), corners.max(axis=0)
+        points = np.concatenate(rings)
+        found = bool(((points >= low) & (points <= high)).all(axis=1).any()) or bool(sum(within(corners[0], r) for r in rings) % 2)
+        p, q = points, np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+        for s, t in zip(corners, np.roll(corners, -1, axis=0), strict=True):
+            if found:
+                break
+            turn = cross(q - p, (t - s)[None])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                x, y = cross(s - p, (t - s)[None]) / turn, cross(s - p, q - p) / turn
+            found = bool(((turn != 0) & (x >= 0) & (x <= 1) & (y >= 0) & (y <= 1)).any())
+        out.append(found)
+    return pa.array(out, pa.bool_())
+
+
 @F.arrow_udf(GEOMETRY_TYPE)
 def make_valid(geom: pa.Array) -> pa.Array:
     """Outlines cut at their crossings; holes stay with the part that holds their first corner."""

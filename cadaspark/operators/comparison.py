@@ -140,9 +140,14 @@ def outline_errors(points: DataFrame, layer: DataFrame, reach: float = CELL) ->
         reach *= 4
 
 
+def corner_error() -> Column:
+    """The error of corner points (points without a type are corners), null for others."""
+    return F.when(F.coalesce("type", F.lit("corner")).isin(*CORNER_TYPES), F.col("error_m"))
+
+
 def point_accuracy(errors: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """One row over corner points: n, mean, RMSE, CE90, max and % within the tolerance."""
-    e = F.when(F.coalesce("type", F.lit("corner")).isin(*CORNER_TYPES), F.col("error_m"))
+    e = corner_error()
     errors = written(errors, "point-errors")
     (ce90,) = quantiles(errors, e, [0.9])
     return errors.agg(

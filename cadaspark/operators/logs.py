@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadaspark.functions.rules import VERDICT_STATUS, cleaned, looked_up
+from cadaspark.operators.numbering import coarse, ranked
 
 STATUSES = ("draft", "approved", "rejected", "field_check")
 KEPT_VERSIONS, LATEST = 50, 200
@@ -40,8 +40,8 @@ def field_summary(visits: DataFrame) -> DataFrame:
 
 def running_visits(visits: DataFrame) -> DataFrame:
     """Each visit with the number of visits of its parcel so far."""
-    order = W.partitionBy("parcel_id").orderBy("time", "obs_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return visits.select("obs_id", "parcel_id", F.count("*").over(order).alias("field_visits"))
+    own = visits.select("obs_id", "parcel_id", "time")
+    return ranked(own, "parcel_id", [F.col("time"), F.col("obs_id")], "field_visits", coarse(own, "time")).select("obs_id", "parcel_id", "field_visits")
 
 
 def latest_status(visits: DataFrame) -> DataFrame:
@@ -52,7 +52,12 @@ def latest_status(visits: DataFrame) -> DataFrame:
 
 def version_rank(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds ``age``: 1 for a key's newest version."""
-    return versions.withColumn("age", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order])).cast("bigint"))
+    first = order[0]
+    marked = versions.withColumn("__coarse", coarse(versions, first))
+    sizes = marked.groupBy(key).agg(F.count("*").alias("__size"))
+    back = ranked(marked, key, [F.col(c) for c in order], "__from_old", F.col("__coarse"))
+    both = back.join(sizes.withColumnRenamed(key, "__key"), back[key].eqNullSafe(F.col("__key")))
+    return both.withColumn("age", (F.col("__size") + 1 - F.col("__from_old")).cast("bigint")).drop("__coarse", "__size", "__from_old", "__key")
 
 
 def last_versions(versions: DataFrame, key: str, order: list[str], kept: int = KEPT_VERSIONS) -> DataFrame:

@@ -19,9 +19,20 @@ def ranked(df: DataFrame, group: str, order: list[Column], out: str, block: Colu
     marked = df.withColumn("__block", block)
     counts = written(marked.groupBy(group, "__block").agg(F.count("*").alias("__n")), "blocks")
     before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(group, "__block", before.alias("__before"))
+    starts = counts.select(F.col(group).alias("__group"), F.col("__block").alias("__start"), before.alias("__before"))
     numbered = marked.withColumn("__k", F.row_number().over(W.partitionBy(group, "__block").orderBy(*order)))
-    return numbered.join(starts, [group, "__block"]).withColumn(out, F.col("__before") + F.col("__k")).drop("__block", "__k", "__before")
+    same = numbered[group].eqNullSafe(starts["__group"]) & numbered["__block"].eqNullSafe(starts["__start"])
+    return numbered.join(starts, same).withColumn(out, F.col("__before") + F.col("__k")).drop("__block", "__k", "__before", "__group", "__start")
+
+
+def coarse(df: DataFrame, column: str) -> Column:
+    """A coarse value of a sort key that rises with it: a thousand of a number, the day of a time, the beginning of a text."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.to_date(column)
+    if kind == "string":
+        return F.left(column, F.lit(4))
+    return F.col(column) if kind == "date" else F.floor(F.col(column) / 1000)
 
 
 def with_defaults(parcels: DataFrame, statuses: tuple[str, ...]) -> DataFrame:

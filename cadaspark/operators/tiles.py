@@ -13,6 +13,7 @@ from cadaspark.operators.cells import SIDES, offsets
 from cadaspark.operators.graph import written
 from cadaspark.operators.ranks import quantiles
 from cadaspark.operators.regions import regions
+from cadaspark.operators.numbering import coarse, ranked
 from cadaspark.operators.topology import box_cells
 
 
@@ -71,9 +72,10 @@ def leak_free(train: DataFrame, test: DataFrame, source: str) -> DataFrame:
 
 def middle_items(items: DataFrame, sequence: str, order: str, n: int) -> DataFrame:
     """The middle item of each sequence, shortest sequences first: the first ``n``."""
-    w = W.partitionBy(sequence)
-    marked = items.withColumn("size", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(order)))
-    return marked.filter(F.col("k") == F.floor(F.col("size") / 2) + 1).orderBy("size", sequence).limit(n).drop("k")
+    sizes = items.groupBy(sequence).agg(F.count("*").alias("size")).withColumnRenamed(sequence, "__sequence")
+    marked = ranked(items, sequence, [F.col(order)], "__rank", coarse(items, order))
+    both = marked.join(sizes, marked[sequence].eqNullSafe(F.col("__sequence"))).filter(F.col("__rank") == F.floor(F.col("size") / 2) + 1)
+    return both.orderBy("size", sequence).limit(n).drop("__rank", "__sequence")
 
 
 def tiles_of_box(tiles: DataFrame, west: int, north: int, east: int, south: int) -> DataFrame:

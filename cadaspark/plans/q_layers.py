@@ -64,7 +64,12 @@ RECORDS = "select id, id % 7 = 0 as empty, id % 211 = 0 as bow, x0, y0, x1, y1 f
 
 @query("select count(*) as read, count(*) filter (where not empty and x0 <= 500 and y0 <= 400 and y1 >= 0) as used, count(*) - count(*) filter (where not empty and x0 <= 500 and y0 <= 400 and y1 >= 0) as skipped from recs", recs=RECORDS)
 def record_import_report(spark, sf_dir):
-    df = x.geoms(x.parcels(spark, sf_dir)).select(F.col("id").alias("row"), F.create_map(F.lit("khasra"), F.col("id").cast("string")).alias("attrs"), F.when(F.col("id") % 7 != 0, F.col("geom")).alias("geom"))
+    """Records of boxes, bow-ties, multipolygons with a part far away and empty geometries."""
+    i, corner = F.col("id"), lambda k: F.col("geom")[0][0][k]
+    crossed = F.array(F.array(F.array(corner(0), corner(2), corner(1), corner(3))))
+    far = F.transform("geom", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: g.point(v["x"] + 1e6, v["y"]))))
+    shape = F.when(i % 7 == 0, None).when(i % 211 == 0, crossed).when(i % 13 == 0, F.concat("geom", far)).otherwise(F.col("geom"))
+    df = x.geoms(x.parcels(spark, sf_dir)).select(i.alias("row"), F.create_map(F.lit("khasra"), i.cast("string")).alias("attrs"), shape.alias("geom"))
     return layers.import_report(df, layers.import_records(df, (0.0, 0.0, 500.0, 400.0), "khasra"))
 
 

@@ -6,12 +6,15 @@ stream over all available input into Parquet below the shared folder.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.functions.rules import VERDICT_STATUS, looked_up
-from cadaspark.operators.comparison import point_accuracy, vertex_errors
-from cadaspark.operators.graph import shared_folder
+from cadaspark.operators.comparison import corner_error, vertex_errors
+from cadaspark.operators.graph import removed, shared_folder
+from cadaspark.operators.ranks import counts_below
 
 LATE = "10 minutes"
 
@@ -93,18 +96,62 @@ def edit_windows(edits: DataFrame, width: str = "1 day", late: str = LATE) -> Da
     return by.select(F.col("w.start").alias("start"), "edits")
 
 
+#: Parts of a metre in which errors are counted.
+PARTS = 1_000_000
+
+
+def error_counts(errors: DataFrame) -> DataFrame:
+    """part (null: no corner point), n, total, squares, most: errors counted by millionths of a metre.
+
+    Two such tables add up row by row, so a stream's errors need not be kept.
+    """
+    e = corner_error()
+    by = errors.groupBy(F.floor(e * PARTS).alias("part")).agg(F.count("*").alias("n"), F.sum(e).alias("total"), F.sum(e * e).alias("squares"), F.max(e).alias("most"))
+    return by.fillna(0.0, ["total", "squares"])
+
+
+def added(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("part").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("most").alias("most"))
+
+
+def accuracy_of(counts: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """The row of :func:`comparison.point_accuracy` from counted errors; CE90 is exact to a millionth of a metre."""
+    corner = counts.filter("part is not null")
+    n, least = corner.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("part")).first()
+    ce90 = None
+    if n:
+        at = 0.9 * (n - 1)
+        below = counts_below(corner.select("part", "n", (F.col("total") / F.col("n")).alias("e")), "part", "n")
+        wanted = F.array(*[F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("e"))) for k in (math.floor(at), math.ceil(at))])
+        low, high = below.agg(wanted.alias("v")).first()["v"]
+        ce90 = low + (high - low) * (at - math.floor(at))
+    sums = counts.agg(
+        F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.col("part").isNotNull(), F.col("n"))), F.lit(0)).alias("corner_points"),
+        F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("most").alias("max_m"),
+        F.sum(F.when(F.col("most") <= tolerance, F.col("n"))).alias("within"),
+    )
+    c = F.nullif("corner_points", F.lit(0))
+    return sums.select("points", "corner_points", (F.col("total") / c).alias("mean_m"), F.sqrt(F.col("squares") / c).alias("rmse_m"), F.lit(ce90).cast("double").alias("ce90_m"), "max_m", (100 * F.coalesce("within", F.lit(0)) / c).alias("within_pct"))
+
+
 def running_accuracy(corners: DataFrame, layer: DataFrame, name: str = "corners") -> DataFrame:
     """Accuracy after every micro-batch of recorded corners: batch, points and the accuracy so far.
 
-    Each micro-batch's errors are written once under its number, so a repeated one counts once.
+    A micro-batch reads its own rows and the counts that the one before left, and writes new counts
+    under its number; a repeated micro-batch begins from the same counts, so it counts once.  Counts
+    have a row a distinct millionth of a metre, whatever the number of corners.
     """
     spark = corners.sparkSession
     folder, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
 
     def add(df: DataFrame, n: int) -> None:
-        vertex_errors(df, layer).write.mode("overwrite").parquet(f"{folder}/errors/n={n}")
-        every = spark.read.parquet(f"{folder}/errors").filter(F.col("n") <= n)
-        point_accuracy(every).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/accuracy/n={n}")
+        own = error_counts(vertex_errors(df, layer))
+        whole = own if n == 0 else added(own.unionByName(spark.read.parquet(f"{folder}/counts/n={n - 1}")))
+        whole.write.mode("overwrite").parquet(f"{folder}/counts/n={n}")
+        now = spark.read.parquet(f"{folder}/counts/n={n}")
+        accuracy_of(now).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/accuracy/n={n}")
+        if n > 1:
+            removed(spark, f"{folder}/counts/n={n - 2}")
 
     corners.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
     return spark.read.parquet(f"{folder}/accuracy").drop("n")

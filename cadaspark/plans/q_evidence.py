@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadaspark.operators import evidence as e
-from cadaspark.operators import queues, saving, siting
+from cadaspark.operators import logs, queues, report, saving, siting, topology
 from cadaspark.plans import fixtures as x
 from cadaspark.plans.q_rules import BR, INTER, MEET, PUBLIC, RULES
+from cadaspark.plans.q_topology import KIND, PAIRS
 from cadaspark.plans.q_zonal import SHARES, STATS, TOP
 from cadaspark.plans.registry import query
 
@@ -88,3 +89,55 @@ def baked_alerts(spark, sf_dir):
     out = saving.baked(x.buildings(spark, sf_dir), _alerts(spark, sf_dir))
     kinds = F.array_join(F.transform(F.filter(F.split("note", "\n"), lambda v: v != ""), lambda v: F.regexp_extract(v, r"^\d+\. ([A-Z_]+):", 1)), ",")
     return out.select("id", F.size("alerts").cast("bigint").alias("alerts"), kinds.alias("note_lines"))
+
+
+TOP_ROADS = "select id, round(ov, 1) as m2 from on_road where kind = 'encroachment' order by ov desc, id limit 12"
+OVER = f"select a_id, b_id, {KIND} as type from pairs order by type, [a_id, b_id]::varchar limit 15"
+CELLS = "select class::varchar as kind, count(*) / sum(count(*)) over ()::double as share from pixels group by class"
+
+
+@query(
+    """select (select count(*) from parcels) as parcels, (select count(*) from buildings) as buildings, (select round(sum(x1 - x0), 0) from roads) as road_m, (select round(sum((x1 - x0) * (y1 - y0)) / 1e6, 3) from parcels) as area_km2,
+    (select count(*) from pairs) as topology_problems, (select count(*) from on_road where kind = 'encroachment') as encroachments, (select round(100.0 * count(*) filter (where status <> 'draft') / count(*), 0) from parcels) as reviewed_pct,
+    (select string_agg(u || '=' || n, ';' order by k) from (select use_of as u, count(*) as n, min(k) as k from (select split_part(use_reason, '|', 1) as use_of from uses) join (select unnest({uses}) as use_of, unnest(generate_series(1, {n})) as k) using (use_of) group by use_of)) as land_use,
+    (select string_agg(kind || '=' || round(share, 4), ';' order by share desc, kind) from cells_of where share >= 0.005) as land_cover,
+    (select string_agg(c || '=' || round(coalesce(m, 0), 1), ';' order by k) from (select unnest(['lane', 'street', 'main road']) as c, unnest([1, 2, 3]) as k) left join (select case when width_m < 3 then 'lane' when width_m < 8 then 'street' else 'main road' end as c, sum(x1 - x0) as m from roads group by 1) using (c)) as roads,
+    (select string_agg(id || '=' || m2, ';' order by m2 desc, id) from top_roads) as largest, (select string_agg(type || [a_id, b_id]::varchar, ';' order by type, [a_id, b_id]::varchar) from over_) as issues,
+    (select string_agg(status || '=' || n, ';' order by status) from (select status, count(*) as n from parcels group by status)) as review""".replace("{uses}", repr(list(e.LAND_USES))).replace("{n}", str(len(e.LAND_USES))),
+    **V,
+    pairs=PAIRS.replace("dirty_all", "parcels"),
+    top_roads=TOP_ROADS,
+    over_=OVER,
+    cells_of=CELLS,
+)
+def report_tables(spark, sf_dir):
+    """A survey's report as one nested row, its tables shown as text."""
+    parcels, buildings, roads = x.parcels(spark, sf_dir), x.buildings(spark, sf_dir), x.roads(spark, sf_dir)
+    rows = _rows(spark, sf_dir).select("id", "area_m2", "land_use").join(parcels.select("id", "status"), "id")
+    issues = topology.overlap_pairs(parcels).select("type", F.array("a_id", "b_id").alias("parcel_ids"))
+    segments = roads.select("width_m", (F.col("x1") - F.col("x0")).alias("length_m"))
+    out = report.survey_report(rows, buildings, siting.road_encroachment(buildings, roads), issues, segments, x.pixels(spark, sf_dir))
+    text = lambda column, show: F.array_join(F.transform(column, show), ";")
+    pair = lambda a, b: F.concat(a, F.lit("="), b.cast("string"))
+    review = F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"review.{s}").alias("n")) for s in sorted(logs.STATUSES)])
+    return out.select(
+        *[F.col(f"kpis.{k}").alias(k) for k in ("parcels", "buildings", "road_m", "area_km2", "topology_problems", "encroachments", "reviewed_pct")],
+        text("land_use", lambda u: pair(u["use"], u["parcels"])).alias("land_use"), text("land_cover", lambda c: pair(c["kind"], F.round(c["share"], 4))).alias("land_cover"),
+        text("roads", lambda r: pair(r["class"], r["length_m"])).alias("roads"), text("encroachments", lambda b: pair(b["id"].cast("string"), b["area_m2"])).alias("largest"),
+        text("issues", lambda i: F.concat(i["type"], i["parcel_ids"].cast("string"))).alias("issues"), text(F.filter(review, lambda r: r["n"] > 0), lambda r: pair(r["s"], r["n"])).alias("review"),
+    )
+
+
+@query(
+    """select (select count(*) from uses) as parcels, (select count(*) from on_road where kind = 'encroachment') as encroachments, (select sum(x1 - x0) from roads) as length_m, (select median(width_m) from roads) as median_width_m,
+    (select coalesce(sum(x1 - x0) filter (where width_m < 3), 0) from roads) as narrow_m, (select string_agg(kind || '=' || round(share, 3), ';' order by kind) from cells_of) as class_fraction, 0.5::double as area_km2""",
+    **V,
+    cells_of=CELLS,
+)
+def survey_statistics(spark, sf_dir):
+    """A survey's statistics with road lengths and shares of classes."""
+    buildings, roads = x.buildings(spark, sf_dir), x.roads(spark, sf_dir)
+    segments = roads.select("width_m", (F.col("x1") - F.col("x0")).alias("length_m"))
+    out = report.survey_statistics(_rows(spark, sf_dir), buildings, siting.road_encroachment(buildings, roads), segments, x.pixels(spark, sf_dir), 500_000.0)
+    shares = F.array_join(F.transform(F.array_sort(F.map_entries("class_fraction")), lambda f: F.concat(f["key"], F.lit("="), f["value"].cast("string"))), ";")
+    return out.select("parcels", "encroachments", "length_m", "median_width_m", "narrow_m", shares.alias("class_fraction"), "area_km2")

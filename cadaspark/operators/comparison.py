@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadaspark.functions import geometry as g
 from cadaspark.functions.geometry import box_area
+from cadaspark.functions.kernels import rotated_rectangle, solidity
 from cadaspark.operators.graph import written
 from cadaspark.operators.ranks import quantiles
 from cadaspark.operators.spatial import CELL, box_pairs, covered_area, nearest, overlay
@@ -165,3 +167,32 @@ def dense_cluster(points: DataFrame, k: int = 3, reach: float = 30.0) -> DataFra
     """Points whose k-th other neighbour is nearer than ``reach``: id, distance_m."""
     found = nearest(points, "id", points, k + 1, "id")  # the point itself is its first neighbour
     return found.filter((F.col("rank") == k + 1) & (F.col("distance") < reach)).select(F.col("a_id").alias("id"), F.col("distance").alias("distance_m"))
+
+
+#: A visit this near to its parcel is on site (fixed value).
+ON_SITE_M = 30.0
+
+
+def visit_distances(visits: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Visits (batch or stream) with distance_m to their parcel's polygon (0 inside) and on_site (30 m or less).
+
+    ``visits`` has parcel_id, x and y, ``parcels`` id and geom.  A visit without a position, or of no
+    known parcel, has no distance and is neither on site nor off it.
+    """
+    own = visits.join(parcels.select(F.col("id").alias("parcel_id"), F.col("geom").alias("__geom")), "parcel_id", "left")
+    distance = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("__geom").isNotNull(), g.point_distance(F.col("__geom"), F.col("x"), F.col("y")))
+    return own.withColumn("distance_m", distance).withColumn("on_site", F.col("distance_m") <= ON_SITE_M).drop("__geom")
+
+
+# --- fixed values of shapes that fill in missed roofs: square metres, share of the hull, metres ---
+FILL_M2, FILL_SOLIDITY, FILL_WIDTH_M = 20.0, 0.75, 3.5
+# --- end of fixed values ---
+
+
+def plausible_fills(layer: DataFrame) -> DataFrame:
+    """The shapes (id, geom) that may be a missed roof: large, full and wide enough.
+
+    Width is the short side of the least rectangle around the shape.
+    """
+    full = layer.filter(g.area(F.col("geom")) >= FILL_M2).withColumn("__s", solidity("geom")).withColumn("__r", rotated_rectangle("geom"))
+    return full.filter((F.round("__s", 9) >= FILL_SOLIDITY) & (F.round(F.col("__r.short_m"), 9) >= FILL_WIDTH_M)).drop("__s", "__r")

@@ -10,6 +10,8 @@ from cadaspark.operators.ranks import counts_below, quantiles
 from cadaspark.operators.spatial import containing
 
 FOUND_IOU, VOTES, SOLO_SCORE, LEAST_CELLS, ON_LABEL = 0.5, 2, 0.85, 20, 0.3
+#: Footprints from this size on count for the merge rate.
+SCORED_M2 = 12.0
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -39,7 +41,11 @@ def contingency(cells: DataFrame, by: tuple[str, ...] = ("tile",)) -> DataFrame:
 def neighbour_pairs(cells: DataFrame, reach: int = 3) -> DataFrame:
     """Pairs of truth instances with cells at most ``reach`` apart on both axes: tile, a, b."""
     own = cells.filter("truth > 0").select("tile", "x", "y", "truth")
-    # only cells at an instance's rim can be nearest to another; offsets are a fixed small set
+    # of two cells of different instances so near, two cells at the rims are as near: only those are moved about
+    sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    beside = own.select("tile", "truth", F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(sides).alias("d")).select("tile", "truth", "ox", "oy", (F.col("ox") + F.col("d.dx")).alias("x"), (F.col("oy") + F.col("d.dy")).alias("y"))
+    inner = beside.join(own, ["tile", "x", "y", "truth"]).groupBy("tile", "ox", "oy").agg(F.count("*").alias("n")).filter("n = 4").select("tile", F.col("ox").alias("x"), F.col("oy").alias("y"))
+    own = own.join(inner, ["tile", "x", "y"], "left_anti")
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     moved = own.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("tile", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), F.col("truth").alias("a"))
     return moved.join(own.withColumnRenamed("truth", "b"), ["tile", "x", "y"]).filter("a < b").select("tile", "a", "b").distinct()
@@ -167,3 +173,27 @@ def pixel_scores(cells: DataFrame, ignored: int = 255) -> DataFrame:
     over = lambda a, b: a / F.greatest(F.lit(1), b)
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
     return n.select(over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), over(tp, tp + fp + fn).alias("iou"))
+
+
+def merge_rate(cells: DataFrame, cell_m2: float, least_m2: float = SCORED_M2) -> DataFrame:
+    """One row: footprints scored, those merged with another, their share, and the predicted components.
+
+    ``cells`` has tile, x, y, truth and pred (0: none) of whole tiles.  A footprint of ``least_m2`` or
+    more is scored where one connected predicted component covers half of it, and it is merged where
+    that component covers half of another one as well.
+    """
+    from cadaspark.operators.regions import regions
+
+    # tiles are set apart, so that components do not run from one into the next
+    span = cells.agg(F.min("x").alias("lo"), (F.max("x") - F.min("x") + 2).alias("width"), F.min("tile").alias("first"))
+    placed = cells.crossJoin(F.broadcast(span)).withColumn("x", F.col("x") - F.col("lo") + (F.col("tile") - F.col("first")) * F.col("width"))  # one row
+    placed = written(placed.select("x", "y", "tile", "truth", "pred"), "merge-cells")
+    named = written(regions(placed.filter("pred > 0").select("x", "y", F.lit(1).alias("label"))).select("x", "y", "region"), "merge-regions")
+    both = placed.filter("truth > 0").join(named, ["x", "y"], "left")
+    size = both.groupBy("tile", "truth").agg(F.count("*").alias("size")).filter(F.col("size") * cell_m2 >= least_m2)
+    shares = both.filter("region is not null").groupBy("tile", "truth", "region").agg(F.count("*").alias("n"))
+    best = shares.groupBy("tile", "truth").agg(F.max_by(F.struct("region", "n"), F.struct("n", -F.col("region"))).alias("b"))
+    owned = size.join(best, ["tile", "truth"]).filter(F.col("b.n") >= 0.5 * F.col("size")).select(F.col("b.region").alias("region"))
+    each = owned.groupBy("region").agg(F.count("*").alias("n"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("merged"))
+    return out.withColumn("merge_rate", F.round(F.col("merged") / F.greatest("scored", F.lit(1)), 4)).crossJoin(named.agg(F.countDistinct("region").alias("components")))  # one row each

@@ -59,6 +59,17 @@ def weak_labels(cells: DataFrame, reach: int = 1) -> DataFrame:
     return out.select("x", "y", kind.alias("kind"))
 
 
+def labels_with_roads(cells: DataFrame, reach: int = 1) -> DataFrame:
+    """:func:`weak_labels` with roads: x, y, kind; ``cells`` has road and valid besides the footprints' label.
+
+    A road off the footprints is a road, one on a footprint contradicts it and is ignored, as is what
+    the survey does not cover.
+    """
+    marked = weak_labels(cells, reach).join(cells.select("x", "y", (F.col("label") > 0).alias("inside"), "road", "valid"), ["x", "y"])
+    kind = F.when(~F.col("valid"), "ignore").when(F.col("road") & F.col("inside"), "ignore").when(F.col("road"), "road").otherwise(F.col("kind"))
+    return marked.select("x", "y", kind.alias("kind"))
+
+
 def footprint_recall(cells: DataFrame) -> DataFrame:
     """One row: footprints and those with half of their cells predicted or more."""
     each = cells.filter("truth > 0").groupBy("truth").agg(F.avg((F.col("pred") > 0).cast("int")).alias("share"))
@@ -91,7 +102,11 @@ def balanced(df: DataFrame, label: str, key: list[str], ratio: int = 6) -> DataF
     return df.filter((F.col(label) == 1) | (F.pmod(F.xxhash64(*key), F.lit(1_000_000)) < int(share * 1_000_000)))
 
 
-def cell_classifier(df: DataFrame, features: list[str], label: str, folds: int = 2, trees: int = 20, depth: int = 8) -> DataFrame:
+#: Trees of the road classifier and their depth (fixed values).
+TREES, DEPTH = 80, 14
+
+
+def cell_classifier(df: DataFrame, features: list[str], label: str, folds: int = 2, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """A random forest of cells, cross-validated by ``fold``: fold, rows, auc."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator

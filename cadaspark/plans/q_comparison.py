@@ -166,8 +166,8 @@ def visit_distance(spark, sf_dir):
     p = x.parcels(spark, sf_dir)
     visits = x.observations(spark, sf_dir).drop("on_site").join(p, F.col("parcel_id") == F.col("id"))
     visits = visits.withColumn("vx", F.col("x0") + F.col("distance_m") - 15).withColumn("vy", F.col("y0") + 5)
-    d = g.point_distance(F.col("geom"), F.col("vx"), F.col("vy"))
-    return x.geoms(visits).withColumn("d", d).select("obs_id", F.round("d", 2).alias("distance_m"), (F.col("d") <= 30).alias("on_site"))
+    sent = visits.select("obs_id", "parcel_id", F.col("vx").alias("x"), F.col("vy").alias("y"))
+    return c.visit_distances(sent, x.geoms(p)).select("obs_id", F.round("distance_m", 2).alias("distance_m"), "on_site")
 
 
 @query(
@@ -181,3 +181,11 @@ def boundary_offsets(spark, sf_dir):
     p, r = x.geoms(x.parcels(spark, sf_dir)).select("id", F.col("geom").alias("ga")), x.geoms(x.records(spark, sf_dir)).select("ref_id", F.col("geom").alias("gb"))
     both = good.join(p, "id").join(r, "ref_id")
     return both.select("id", (F.round(100 * (F.col("area") - F.col("ref_area")) / F.col("ref_area"), 1) + F.lit(0.0)).alias("area_diff_pct"), F.round(boundary_offset("ga", "gb"), 2).alias("boundary_offset_m"))
+
+
+@query("select id from (select *, (x1 - x0) * 4 + 8 * (y1 - y0 - 4) as m2, (x1 - x0) * (y1 - y0) as hull from parcels) where m2 >= 20 and round(m2 / hull, 9) >= 0.75")
+def plausible_fills(spark, sf_dir):
+    """Horseshoes that are full enough to be a missed roof."""
+    x0, y0, x1, y1 = (F.col(k) for k in ("x0", "y0", "x1", "y1"))
+    ring = F.array(g.point(x0, y0), g.point(x1, y0), g.point(x1, y1), g.point(x1 - 4, y1), g.point(x1 - 4, y0 + 4), g.point(x0 + 4, y0 + 4), g.point(x0 + 4, y1), g.point(x0, y1))
+    return c.plausible_fills(x.parcels(spark, sf_dir).select("id", F.array(F.array(ring)).alias("geom"))).select("id")

@@ -214,3 +214,17 @@ def annotation_labels(spark, sf_dir):
     k = F.col("p_partkey")
     boxes = x.table(spark, sf_dir, "part").select((k % 10).cast("int").alias("image_id"), k.alias("ann_id"), (k % 37).alias("x"), (F.col("p_size") % 29).cast("bigint").alias("y"), F.lit(4).alias("w"), F.lit(3).alias("h"))
     return layers.coco_labels(boxes)
+
+
+@query("select id as bldg_id, round((x1 - x0) * (y1 - y0), 1) as area_m2, round(x0, 2) as x, round(y0, 2) as y, 2 as layers from buildings")
+def exported_buildings(spark, sf_dir):
+    """The building layer of an export in metres, from shapes in degrees; the empty road layer is left out."""
+    def degrees(layer):
+        back = lambda v: p.utm_inverse(500000 + v["x"], 2_200_000 + v["y"], F.lit(44), F.lit(True))
+        move = lambda v: g.point(back(v)["lon"], back(v)["lat"])
+        return layer.withColumn("geom", F.transform("geom", lambda q: F.transform(q, lambda r: F.transform(r, move))))
+
+    buildings = degrees(x.geoms(x.buildings(spark, sf_dir).withColumn("area_m2", F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 1))))
+    out = layers.export_layers(degrees(x.geoms(x.parcels(spark, sf_dir)).select("id", "status", "geom")), buildings, buildings.filter("false"))
+    first = F.col("geom")[0][0][0]
+    return out["buildings"].select("bldg_id", "area_m2", F.round(first["x"] - 500000, 2).alias("x"), F.round(first["y"] - 2_200_000, 2).alias("y"), F.lit(len(out)).alias("layers"))

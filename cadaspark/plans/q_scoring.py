@@ -172,3 +172,9 @@ def pixel_scores(spark, sf_dir):
     """Cell scores of a prediction; unlabelled cells do not count."""
     cells = x.instances(spark, sf_dir).withColumn("truth", F.when((F.col("x") + F.col("y")) % 11 == 0, 255).otherwise((F.col("truth") > 0).cast("int")))
     return s.pixel_scores(cells).select(*[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1", "iou")])
+
+
+@query()
+def merge_rates(spark, sf_dir):
+    """Footprints that one predicted component joins."""
+    return s.merge_rate(x.instances(spark, sf_dir), 4.0)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadaspark.operators.comparison import visit_distances
 from cadaspark.plans import fixtures as x
-from cadaspark.plans.q_comparison import NEAREST
+from cadaspark.plans.q_comparison import NEAREST, VISITS
 from cadaspark.plans.registry import query
 from cadaspark.streaming import visits as v
 
@@ -58,6 +59,16 @@ def stream_enriched(spark, sf_dir):
     return v.run(out.select("obs_id", "parcel_id", "parcel_status", "on_site"), "enriched")
 
 
+@query("select obs_id, round(greatest(0, x0 - vx, vx - x1), 2) as distance_m, greatest(0, x0 - vx, vx - x1) <= 30 as on_site from visits", visits=VISITS)
+def stream_visit_distance(spark, sf_dir):
+    """A stream's visits with their distance to the parcel, by a join with the layer."""
+    p = x.parcels(spark, sf_dir)
+    at = p.select(F.col("id").alias("parcel_id"), "x0", "y0")
+    sent = _stream(spark, sf_dir).drop("on_site").join(at, "parcel_id").select("obs_id", "parcel_id", (F.col("x0") + F.col("distance_m") - 15).alias("x"), (F.col("y0") + 5).alias("y"))
+    out = visit_distances(sent, x.geoms(p)).select("obs_id", F.round("distance_m", 2).alias("distance_m"), "on_site")
+    return v.run(out, "distances")
+
+
 @query("select date_trunc('day', t) as start, count(*) as edits from edits group by 1")
 def stream_edit_windows(spark, sf_dir):
     e = v.source(spark, f"{sf_dir}/events.parquet*", EVENTS).select(F.col("ts").alias("t"))

@@ -45,6 +45,16 @@ def weak_labels(spark, sf_dir):
     return tiles.weak_labels(g)
 
 
+@query(
+    """select g.x, g.y, case when g.value = 1 then 'ignore' when g.y % 7 = 3 and g.label > 2 then 'ignore' when g.y % 7 = 3 then 'road' when count(h.x) = 0 then 'ground' when min(h.label) <> max(h.label) then 'seam' when count(h.x) = 9 then 'core' else 'ignore' end as kind from grid g
+    left join grid h on abs(g.x - h.x) <= 1 and abs(g.y - h.y) <= 1 and h.label > 2 group by g.x, g.y, g.label, g.value"""
+)
+def labels_with_roads(spark, sf_dir):
+    """Weak labels of footprints and roads; where they contradict one another nothing is taught."""
+    g = x.grid(spark, sf_dir).withColumn("label", F.when(F.col("label") > 2, F.col("label")).otherwise(0))
+    return tiles.labels_with_roads(g.withColumn("road", F.col("y") % 7 == 3).withColumn("valid", F.col("value") != 1))
+
+
 @query("select count(*) as footprints, count(*) filter (where s >= 0.5) as found from (select truth, avg((pred > 0)::int) as s from instances where truth > 0 group by truth)")
 def footprint_recall(spark, sf_dir):
     return tiles.footprint_recall(x.instances(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadaspark.functions.kernels import left_over
 from cadaspark.operators import cells as raster_cells
+from cadaspark.operators import comparison, scoring
 from cadaspark.operators import layout, ranks, regions, repair, saving, siting, tiles, voting
 from cadaspark.sources import layers
 from cadaspark.streaming import visits
@@ -376,3 +377,39 @@ def test_texture_and_green(spark):
     for (i, j), (r, gr, b) in v.items():
         near = [sum(v[c]) / 3 for a in range(-2, 3) for e in range(-2, 3) if (c := (i + a, j + e)) in v]
         assert abs(got[i, j].texture - np.std(near)) < 1e-6 and got[i, j].green == ((2 * gr - r - b) / 255 > 0.08)
+
+
+def test_merge_rate(spark):
+    """Two houses under one component, one alone, one hardly covered, a small one; components end with their tile."""
+    house = lambda t, a, b, k, n=4: {(t, a + i, b + j): k for i in range(n) for j in range(4)}
+    truth = house(0, 0, 0, 1) | house(0, 6, 0, 2) | house(0, 20, 0, 3) | house(1, 0, 0, 1) | house(0, 30, 0, 5, 2)
+    pred = {(0, i, j) for i in range(10) for j in range(4)} | {(0, 20, j) for j in range(4)} | {(1, i, j) for i in range(3) for j in range(4)} | {(0, 30, j) for j in range(4)}
+    cells = [(*c, truth.get(c, 0), int(c in pred)) for c in sorted(set(truth) | pred)]
+    out = scoring.merge_rate(spark.createDataFrame(cells, "tile int, x int, y int, truth bigint, pred bigint"), 1.0).first()
+    assert (out.scored, out.merged, out.merge_rate, out.components) == (3, 2, 0.6667, 4)
+
+
+def test_neighbours_by_rims(spark):
+    rng = np.random.default_rng(3)
+    label = {(0, i, j): int(v) for i in range(30) for j in range(30) if (v := (i // 7 + 1) * 10 + j // 9 if rng.random() < 0.9 and i % 7 < 5 else 0)}
+    want = set()
+    for (_, a, b), v in label.items():
+        for (_, c, d), w in label.items():
+            if v < w and max(abs(a - c), abs(b - d)) <= 3:
+                want.add((v, w))
+    cells = spark.createDataFrame([(*c, v) for c, v in label.items()], "tile int, x int, y int, truth bigint")
+    assert {(r.a, r.b) for r in scoring.neighbour_pairs(cells).collect()} == want
+
+
+def test_visits_without_a_place(spark):
+    visits = spark.createDataFrame([(1, 7, 5.0, 50.0), (2, 7, None, 1.0), (3, 8, 1.0, 1.0), (4, None, 1.0, 1.0), (5, 7, 5.0, 5.0)], "obs_id int, parcel_id bigint, x double, y double")
+    parcel = spark.createDataFrame([(7, [[[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]]])], "id bigint, geom array<array<array<struct<x:double,y:double>>>>")
+    got = {r.obs_id: (r.distance_m, r.on_site) for r in comparison.visit_distances(visits, parcel).collect()}
+    assert got == {1: (40.0, False), 2: (None, None), 3: (None, None), 4: (None, None), 5: (0.0, True)}
+
+
+def test_records_by_their_polygons(spark):
+    """A record whose extent crosses the survey's corner lies outside; one that only touches it lies inside."""
+    shapes = [[[[(9.0, 12.0), (12.0, 9.0), (12.0, 12.0)]]], [[[(5.0, 10.0), (7.0, 12.0), (3.0, 12.0)]]], [[[(-5.0, -5.0), (15.0, -5.0), (15.0, 15.0), (-5.0, 16.0)]]], None, []]
+    rows = spark.createDataFrame([(i, {"k": str(i)}, s) for i, s in enumerate(shapes)], "row bigint, attrs map<string,string>, geom array<array<array<struct<x:double,y:double>>>>")
+    assert sorted(r.row for r in layers.import_records(rows, (0.0, 0.0, 10.0, 10.0)).collect()) == [1, 2]

@@ -102,7 +102,7 @@ CELLS = "select class::varchar as kind, count(*) / sum(count(*)) over ()::double
     (select string_agg(u || '=' || n, ';' order by k) from (select use_of as u, count(*) as n, min(k) as k from (select split_part(use_reason, '|', 1) as use_of from uses) join (select unnest({uses}) as use_of, unnest(generate_series(1, {n})) as k) using (use_of) group by use_of)) as land_use,
     (select string_agg(kind || '=' || round(share, 4), ';' order by share desc, kind) from cells_of where share >= 0.005) as land_cover,
     (select string_agg(c || '=' || round(coalesce(m, 0), 1), ';' order by k) from (select unnest(['lane', 'street', 'main road']) as c, unnest([1, 2, 3]) as k) left join (select case when width_m < 3 then 'lane' when width_m < 8 then 'street' else 'main road' end as c, sum(x1 - x0) as m from roads group by 1) using (c)) as roads,
-    (select string_agg(id || '=' || m2, ';' order by m2 desc, id) from top_roads) as largest, (select string_agg(type || [a_id, b_id]::varchar, ';' order by type, [a_id, b_id]::varchar) from over_) as issues,
+    coalesce((select string_agg(id || '=' || m2, ';' order by m2 desc, id) from top_roads), '') as largest, coalesce((select string_agg(type || [a_id, b_id]::varchar, ';' order by type, [a_id, b_id]::varchar) from over_), '') as issues,
     (select string_agg(status || '=' || n, ';' order by status) from (select status, count(*) as n from parcels group by status)) as review""".replace("{uses}", repr(list(e.LAND_USES))).replace("{n}", str(len(e.LAND_USES))),
     **V,
     pairs=PAIRS.replace("dirty_all", "parcels"),

@@ -206,6 +206,33 @@ def test_residual_families_are_compared_in_blocks(spark, monkeypatch):
     assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(str, brute_components(plain(frame), 4, 80)))
 
 
+@pytest.mark.parametrize("most", [200_000, 150])
+def test_components_of_a_path_a_star_and_random_edges(spark, monkeypatch, most):
+    """Edges of one task are contracted at once; those of several need rounds of stars."""
+    monkeypatch.setattr(near_dedup, "EDGES_A_TASK", most)
+    rnd = random.Random(most)
+    edges = [(i, i + 1) for i in range(-300, 0)] + [(1000, 1000 + k) for k in range(1, 400)] + [(rnd.randrange(5000, 5600), rnd.randrange(5000, 5600)) for _ in range(260)]
+    rnd.shuffle(edges)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, seen = {}, set()
+    for start in sorted(near):
+        if start in seen:
+            continue
+        todo, seen = [start], seen | {start}
+        while todo:
+            node = todo.pop()
+            want[node] = start
+            todo += near[node] - seen
+            seen |= near[node]
+    got = near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()
+    alone = {n for n in near if near[n] == {n}}
+    assert {r.node: r.component for r in got} == {n: c for n, c in want.items() if n not in alone} and len(got) == len(want) - len(alone)
+    assert near_dedup.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     for n in (6, 60, 2000):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,17 @@ def packed(token: int, count: int) -> int:
     return token + 1 << 12 | count + 2048
 
 
+def sealed(suffix: bytes, cuts: list[int] | tuple[int, ...]) -> bytes:
+    """A state as one byte string, a fraction of what its objects take: the cuts, the suffix, and the number of cuts."""
+    return struct.pack(f"<{len(cuts)}q", *cuts) + suffix + struct.pack("<H", len(cuts))
+
+
+def opened(state: bytes) -> tuple[bytes, tuple[int, ...]]:
+    """The suffix and the cuts of a state."""
+    n = struct.unpack_from("<H", state, len(state) - 2)[0]
+    return state[8 * n : -2], struct.unpack_from(f"<{n}q", state)
+
+
 class Transitions:
     """Transitions by number, ``state << 8 | byte``, in arrays that many words are looked up in at once."""
 
@@ -107,8 +119,8 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: list[tuple] = [(b"", (packed(-1, 0),))]
+        self.pairs: dict[int, bool] = {}  # left + 1 << 32 | right -> whether the pair is valid
+        self.states: list[bytes] = [sealed(b"", (packed(-1, 0),))]
         self.numbers = {self.states[0]: 0}
         self.steps = Transitions()  # state << 8 | byte -> next state << 10 | added + 512
         self.single: dict[int, int] = {}  # those of them that long words went through
@@ -134,7 +146,8 @@ class Transducer:
         Both grow side by side, the lesser merge first; they stay apart if the merge over the border
         is never the least of all.
         """
-        known = self.pairs.get((left, right))
+        pair = left + 1 << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             (b, known) = self.growth(right)
             if known and left >= 0:
@@ -152,12 +165,12 @@ class Transducer:
                         j += 1
                     else:
                         break
-            self.pairs[left, right] = known
+            self.pairs[pair] = known
         return known
 
     def compile(self, number: int, byte: int) -> int:
         """The transition of a state on a byte."""
-        suffix, cuts = self.states[number]
+        suffix, cuts = opened(self.states[number])
         grown = suffix + bytes((byte,))
         while grown not in self.prefixes:
             grown = grown[1:]
@@ -169,7 +182,7 @@ class Transducer:
         else:
             raise ValueError("the vocabulary has no token for a byte")
         added = (cuts[k - size] & 4095) - 2048 + 1
-        state = (grown, tuple([c - added for c in cuts[-size:]] + [packed(token, 0)]))
+        state = sealed(grown, [c - added for c in cuts[-size:]] + [packed(token, 0)])
         to = self.numbers.setdefault(state, len(self.states))
         if to == len(self.states):
             self.states.append(state)

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import wave
 import zlib
 from collections import Counter
@@ -407,6 +408,19 @@ def test_mixing_plans_stay_small(spark, empty, monkeypatch):
     assert mixing.mixture(empty).count() == 0
 
 
+def test_token_counter_stays_small():
+    """A state and its pairs take less than 250 bytes: a worker holds hundreds of thousands of them."""
+    machine, rng = token_counts.Transducer(TOKENIZER), np.random.default_rng(3)
+    words = [rng.integers(97, 123, k).astype(np.uint8).tobytes() for k in rng.integers(3, 12, 4000)]
+    tracemalloc.start()
+    machine.walk(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words[:-1])]), np.array([len(w) for w in words]))
+    machine.edges = {}
+    snapshot = tracemalloc.take_snapshot().filter_traces([tracemalloc.Filter(True, token_counts.__file__)])
+    tracemalloc.stop()
+    held = sum(x.size for x in snapshot.statistics("filename")) - machine.steps.keys.nbytes - machine.steps.values.nbytes
+    assert len(machine.states) > 5000 and held < 250 * len(machine.states)
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(6)
     words = [f"{a}{b}" for a in ("lo", "mi", "ta", "re") for b in ("no", "ka", "sel", "dun")]

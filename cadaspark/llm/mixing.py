@@ -8,9 +8,12 @@ ties by source).  As the flow is a fractional schedule within the same windows,
 a whole block ahead of or behind its share, over any number of slots, and every row appears exactly
 once.  The schedule is a pure function of the sources' block counts and weights, computed by one SQL
 expression over arrays in steps of ``PERIOD`` slots; nothing is rounded or carried from step to step
-but the sources' blocks so far.  Each step needs the one before, so the schedule runs in one task:
-blocks grow with the table, and the plan has about ``MOST_BLOCKS`` of them and a last one a source
-at most, whatever the size of the corpus.
+but the sources' blocks so far.  Each step needs the one before, but a source is never more than a
+block off the flow, so what is done at a slot is known but for one block a source.  Frames of
+``FRAME`` slots therefore run side by side, each from the state that the flow lets expect; a frame
+whose state is not the one in which the frame before ended runs again from that one, until all
+follow from one another.  The order is that of one run from the first slot to the last, whatever the
+size of the table and of the frames.
 """
 
 from __future__ import annotations
@@ -23,19 +26,24 @@ from cadaspark.llm.common import documents, stored
 
 #: Slots that are scheduled in one step.
 PERIOD = 1000
-#: Least rows of a block, and blocks of whole rows that a plan has at most.
+#: Slots that are scheduled in a row by one task (or as many as there are sources, if they are more).
+FRAME = 1 << 16
+#: Rows of a block, and blocks of whole rows that a plan has at most where no number of rows is given.
 BLOCK, MOST_BLOCKS = 16, 1 << 19
 #: Weight of a source where none is given: its number of documents to this power.
 TEMPER = 0.5
-#: Rows that the ranks of a bucket are counted over at once.
+#: Rows, about, that the ranks of a bucket are counted over at once.
 BUCKET = 5000
 #: Rows of the plan (a row a block) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
-#: One row of ``s`` (sources with i, w, n blocks and d blocks done), ``seg`` (the flow's pieces: from slot t on the
-#: virtual time is v + (slot - t) / r, up to slot ``until``) and ``total`` slots, to an array of steps of slots.
+#: Tasks that frames are dealt to at most.
+MOST_TASKS = 512
+#: A row a frame (steps ``first`` to ``last``) of ``s`` (unfinished sources with i, w, n blocks and d blocks done), ``seg``
+#: (the flow's pieces: from slot t on the virtual time is v + (slot - t) / r, up to slot ``until``) and ``total`` slots, to
+#: the sources after the frame and an array of steps of slots.
 SCHEDULE = """
-aggregate(sequence(0L, (total - 1) div {step}),
+aggregate(sequence(first, last),
   named_struct('s', s, 'out', cast(array() as array<array<struct<i:int, block:bigint, phase:int>>>)),
   (e, k) -> element_at(transform(array(named_struct('a', k * {step}, 'b', least((k + 1) * {step}, total))), q ->
     element_at(transform(array(filter(seg, x -> x.until > q.a and x.t <= q.b)), near ->
@@ -52,7 +60,17 @@ aggregate(sequence(0L, (total - 1) div {step}),
             named_struct(
               's', concat(filter(e.s, x -> not (x.d < x.w * v.last * (1 + 1e-9d) and (most is null or (x.d + 1) / x.w <= most))), filter(g.c, x -> x.d < x.n)),
               'out', concat(e.out, array(g.order)))), 1)), 1)), 1)), 1)), 1),
-  e -> e.out)
+  e -> named_struct('s', array_sort(e.s), 'out', e.out))
+"""
+#: The unfinished sources that the flow lets expect at slot ``at``: blocks due by then are done, and of those released by
+#: then as many, due first, as make up the slots.
+EXPECTED = """
+element_at(transform(array(filter(seg, x -> x.t < at)), near ->
+  element_at(transform(array({here}), v ->
+    element_at(transform(array(transform(s, x -> named_struct('i', x.i, 'w', x.w, 'n', x.n, 'd', least(x.n, cast(floor(x.w * v * (1 + 1e-12d)) as bigint))))), due ->
+      element_at(transform(array(array_sort(transform(filter(due, x -> x.d < x.n and x.d < x.w * v * (1 - 1e-12d)), x -> named_struct('due', (x.d + 1) / x.w, 'i', x.i)))), free ->
+        element_at(transform(array(get(free, cast(at - aggregate(due, 0L, (n, x) -> n + x.d) as int) - 1)), most ->
+          array_sort(filter(transform(due, x -> if(x.d < x.w * v * (1 - 1e-12d) and named_struct('due', (x.d + 1) / x.w, 'i', x.i) <= most, named_struct('i', x.i, 'w', x.w, 'n', x.n, 'd', x.d + 1), x)), x -> x.d < x.n))), 1)), 1)), 1)), 1)), 1)
 """
 #: Virtual time at the end of a slot, by the last piece of the flow that begins before it.
 AT = "element_at(transform(array(element_at(filter(near, x -> x.t < {end}), -1)), y -> y.v + ({end} - y.t) / y.r), 1)"
@@ -76,17 +94,36 @@ def schedule(sources: DataFrame, step: int = PERIOD) -> DataFrame:
     pieces = pieces.withColumn("until", F.lead("t", 1, 1e300).over(whole("v"))).withColumn("phase", F.row_number().over(whole("v")) - 1)
     seg = pieces.agg(F.array_sort(F.collect_list(F.struct("t", "v", "r", "until", "phase"))).alias("seg"))
     one = ends.agg(F.array_sort(F.collect_list(F.struct("i", F.col("weight").alias("w"), F.col("blocks").alias("n"), F.lit(0).cast("bigint").alias("d")))).alias("s"), F.sum("blocks").alias("total"))
-    body = SCHEDULE
+    size = one.select("total", F.size("s").alias("sources")).first()
+    frame = max(1, max(FRAME, size["sources"]) // step)  # steps of a frame
+    body, expected = SCHEDULE.replace("{step}", str(step)), EXPECTED.replace("{here}", AT.replace("{end}", "at"))
     for name, end in (("{first}", "(q.a + 1)"), ("{last}", "q.b"), ("{here}", "(t + 1)")):
         body = body.replace(name, AT.replace("{end}", end))
-    steps = one.filter("total > 0").crossJoin(seg).select(F.posexplode(F.expr(body.replace("{step}", str(step)))).alias("k", "order"))  # one row each
-    steps = stored(steps, "mix-steps")
-    blocks = steps.select("k", F.posexplode("order").alias("p", "x"))
-    blocks = blocks.select((F.col("k").cast("bigint") * step + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.block").alias("block"), F.col("x.phase").alias("phase"))
+    one = stored(one.filter("total > 0").crossJoin(seg), "mix-one")  # one row each
+    count = -(-(size["total"] or 0) // (frame * step))
+    parts = max(1, min(count, MOST_TASKS))
+
+    def run(states: DataFrame) -> DataFrame:
+        """``frame``, ``s``, and what :data:`SCHEDULE` makes of it, for the frames with ``frame`` and ``s``."""
+        rows = states.crossJoin(one.drop("s")).repartitionById(parts, (F.col("frame") % parts).cast("int"))
+        rows = rows.withColumn("first", F.col("frame") * frame).withColumn("last", F.least(F.col("first") + frame - 1, F.expr(f"(total - 1) div {step}")))
+        return stored(rows.select("frame", "s", F.expr(body).alias("x")).select("frame", "s", F.col("x.s").alias("end"), F.col("x.out").alias("out")), "mix-frames")
+
+    at = one.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, count - 1)).cast("bigint")))).withColumn("at", F.col("frame") * frame * step)
+    frames = run(at.select("frame", F.when(F.col("frame") > 0, F.expr(expected)).otherwise(F.col("s")).alias("s")))
+    while count > 1:
+        before = frames.select((F.col("frame") + 1).alias("frame"), F.col("end").alias("s"))
+        wrong = stored(frames.select("frame", F.col("s").alias("expected")).join(before, "frame").filter("s <> expected").drop("expected"), "mix-wrong")
+        if wrong.isEmpty():
+            break
+        frames = stored(frames.join(wrong.select("frame"), "frame", "left_anti").unionByName(run(wrong)), "mix-frames")
+    steps = frames.select("frame", F.posexplode("out").alias("k", "order"))
+    blocks = steps.select("frame", "k", F.posexplode("order").alias("p", "x"))
+    blocks = blocks.select(((F.col("frame") * frame + F.col("k")) * step + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.block").alias("block"), F.col("x.phase").alias("phase"))
     return blocks.join(ends.select("i", "source"), "i").select("source", "block", "slot", "phase")
 
 
-def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int, period: int | None, digest: str | None) -> tuple[DataFrame, int]:
+def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int | None, period: int | None, digest: str | None) -> tuple[DataFrame, int]:
     """What :func:`mixed` returns, and the number of slots."""
     own = ("__slot", "__phase", "__block", "__place")  # and __size
     inner = [f"c{i}" for i in range(len(df.columns))]
@@ -96,12 +133,13 @@ def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int,
     keyed = keyed.withColumn("__hash", F.col(column[digest]) if digest else F.xxhash64(*inner))
     counts = stored(keyed.groupBy("__source").agg(F.count("*").alias("rows")), "mix-counts")
     n = counts.agg(F.count("*").alias("sources"), F.max("rows").alias("most"), F.coalesce(F.sum("rows"), F.lit(0)).alias("all")).first()
-    block = max(block, -(-n["all"] // MOST_BLOCKS))
+    block = block or max(BLOCK, -(-n["all"] // MOST_BLOCKS))
     if period is not None and n["sources"] > period:
         raise ValueError(f"{n['sources']} sources are more than the given period's {period} slots")
-    # ranks within a source: rows are bucketed by hash, counted by bucket, and ranked within buckets
-    buckets = max(1, (n["most"] or 0) // BUCKET)
-    keyed = keyed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
+    # ranks within a source are those of the hashes, whatever the number of buckets: rows are bucketed by ranges of
+    # hashes, counted by bucket, and ranked within buckets
+    bits = ((n["most"] or 0) // BUCKET).bit_length()
+    keyed = keyed.withColumn("__bucket", F.shiftright("__hash", 64 - bits) if bits else F.lit(0).cast("bigint"))
     sizes = keyed.groupBy("__source", "__bucket").agg(F.count("*").alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__source", "__bucket", before.alias("__before"))
@@ -122,7 +160,7 @@ def arranged(df: DataFrame, source: str, weights: DataFrame | None, block: int,
     return ranked.join(plan, ["__source", "__block"]).select(*[F.col(i).alias(c) for c, i in column.items() if c not in (*own, "__size")], *own, F.lit(block).alias("__size")), slots
 
 
-def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int = BLOCK, period: int | None = None, digest: str | None = None) -> DataFrame:
+def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = None, block: int | None = None, period: int | None = None, digest: str | None = None) -> DataFrame:
     """``df`` with ``__slot``, ``__phase``, ``__block``, ``__place`` (in the block) and ``__size`` (rows of a full block).
 
     ``weights`` (columns ``source``, ``weight``) may give target weights; sources without a positive
@@ -131,9 +169,9 @@ def mixed(df: DataFrame, source: str = "source", weights: DataFrame | None = Non
     one with fewer slots than there are sources raises an error.  A null source is a source like
     others, named by an empty key of its own.  Rows of a source follow one another by a hash of the
     whole row (``digest`` may name a column that has it); equal rows are ranked in any order.  Every
-    row appears exactly once; an empty table gives an empty result.  ``block`` is the least number of
-    rows of a block; tables of more than ``MOST_BLOCKS`` such blocks get larger ones.  Columns of
-    ``df`` may have any names; those named like one of the five new ones are replaced.
+    row appears exactly once; an empty table gives an empty result.  ``block`` gives the rows of
+    a block, for tables of any size; without it blocks have ``BLOCK`` rows, and more where a table has
+    more than ``MOST_BLOCKS`` of them.  Columns of ``df`` may have any names; those named like one of the five new ones are replaced.
     """
     return arranged(df, source, weights, block, period, digest)[0]
 
@@ -142,7 +180,7 @@ def mixture(df: DataFrame, source: str = "source", weights: DataFrame | None = N
     """The rows of ``df``, with its columns, in the mixture's order: partitions are ranges of slots.
 
     Slots have no gaps, so the ranges follow from their number and no sample of the rows is drawn.
-    Nulls, repeated rows, clashing names and empty tables are treated as :func:`mixed` says.
+    Blocks have ``BLOCK`` rows.  Nulls, repeated rows, clashing names and empty tables are treated as :func:`mixed` says.
     """
     inner = [f"d{i}" for i in range(len(df.columns))]
     column = dict(zip(df.columns, inner, strict=True))
@@ -158,5 +196,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``position`` orders the documents; it has gaps where a source's last block is not full.
     """
     docs = documents(spark, sf_dir).select("doc_id", "source")
-    out = mixed(docs)
+    out = mixed(docs, block=BLOCK)
     return out.select("doc_id", "source", F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__block").cast("bigint").alias("block"), (F.col("__slot") * F.col("__size") + F.col("__place")).alias("position"))

@@ -156,6 +156,19 @@ def test_schedule_equals_a_plain_loop(spark):
         assert got == edf(sources)
 
 
+def test_schedule_runs_frames_side_by_side(spark, monkeypatch):
+    """Frames that begin in expected states, many of them wrong at first, give the order of one run."""
+    monkeypatch.setattr(mixing, "FRAME", 12)
+    for sources in (
+        [("a", 40, 0.5), ("b", 25, 0.25), ("c", 9, 0.125), ("d", 2, 1.0)],
+        [(f"s{i}", 3 + 5 * i % 17, float(1 + i * i % 7)) for i in range(11)],
+    ):
+        frame = spark.createDataFrame(sources, "source string, blocks bigint, weight double")
+        rows = mixing.schedule(frame, 4).orderBy("slot").collect()
+        assert [r.slot for r in rows] == list(range(sum(n for _, n, _ in sources)))
+        assert [r.source for r in rows] == edf(sources)
+
+
 def best_fit(sizes, lengths, prefer):
     """Best fit, bin by bin: longest pieces first, each to the bin that it leaves least room in."""
     bins, place, rest = [], {}, sum(sizes)

@@ -1,5 +1,7 @@
 """The pipeline's stages and the thin queries on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -49,6 +51,17 @@ def test_packing_follows_the_mixture(spark, monkeypatch):
         assert all(w.drop_duplicates().is_monotonic_increasing for w in windows)
 
 
+def test_mixing_has_no_switch_by_size(spark, monkeypatch, tmp_path):
+    """op7's order does not depend on how many blocks or bucketed rows count as many."""
+    spark.createDataFrame([(i, f"s{i % 7 % 3}") for i in range(900)], "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda: sorted(map(tuple, mixing.op7(spark, str(tmp_path)).collect()))
+    want = rows()
+    assert len(want) == 900 and max(Counter(r[3] for r in want).values()) == 16
+    for name, value in (("MOST_BLOCKS", 20), ("BUCKET", 50)):
+        monkeypatch.setattr(mixing, name, value)
+        assert rows() == want, name
+
+
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, slot int, n_tokens bigint, media string, score double"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadaspark.llm.common import documents, stored
+from cadaspark.llm.common import documents, shared_dir, stored
 
 #: Slots that are scheduled in one step.
 PERIOD = 1000
@@ -39,6 +39,9 @@ BROADCAST_ROWS = 200_000
 
 #: Tasks that frames are dealt to at most.
 MOST_TASKS = 512
+#: Key of the metadata by which a mixture's source column names the table of the mixture's order.
+ORDER = "mixture order"
+
 #: A row a frame (steps ``first`` to ``last``) of ``s`` (unfinished sources with i, w, n blocks and d blocks done), ``seg``
 #: (the flow's pieces: from slot t on the virtual time is v + (slot - t) / r, up to slot ``until``) and ``total`` slots, to
 #: the sources after the frame and an array of steps of slots.
@@ -180,14 +183,37 @@ def mixture(df: DataFrame, source: str = "source", weights: DataFrame | None = N
     """The rows of ``df``, with its columns, in the mixture's order: partitions are ranges of slots.
 
     Slots have no gaps, so the ranges follow from their number and no sample of the rows is drawn.
-    Blocks have ``BLOCK`` rows.  Nulls, repeated rows, clashing names and empty tables are treated as :func:`mixed` says.
+    Files do not keep an order when they are read, so the order is written beside the rows, and the
+    metadata of the source column name its table: :func:`order_of` finds it, also after the rows
+    were written and read again.  Blocks have ``BLOCK`` rows.  Nulls, repeated rows, clashing names and empty tables are treated as :func:`mixed` says.
     """
     inner = [f"d{i}" for i in range(len(df.columns))]
     column = dict(zip(df.columns, inner, strict=True))
-    placed, slots = arranged(df.toDF(*inner), column[source], weights, BLOCK, None, None)
+    marked = df.toDF(*inner).withColumn("digest", F.xxhash64(*inner))
+    placed, slots = arranged(marked, column[source], weights, BLOCK, None, "digest")
+    order = shared_dir(df.sparkSession, "mixture-order")
+    placed.select("digest", "__slot", "__place").write.parquet(order)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.floor(F.col("__slot") * parts / F.lit(max(1, slots))).cast("int")
-    return placed.repartitionById(parts, part).sortWithinPartitions("__slot", "__place").select(*inner).toDF(*df.columns)
+    return placed.repartitionById(parts, part).sortWithinPartitions("__slot", "__place").select(*inner).toDF(*df.columns).withMetadata(source, {**df.schema[source].metadata, ORDER: order})
+
+
+def order_of(df: DataFrame) -> DataFrame | None:
+    """``digest`` (of all columns), ``__slot`` and ``__place`` of the rows of the :func:`mixture` that ``df`` is or was; else None."""
+    paths = [f.metadata[ORDER] for f in df.schema.fields if ORDER in f.metadata]
+    return df.sparkSession.read.parquet(paths[-1]) if paths else None
+
+
+def in_order(df: DataFrame, order: DataFrame, digest: str) -> DataFrame:
+    """``df`` with ``__slot`` and ``__place`` of :func:`order_of`, by the column that has the digests.
+
+    Equal rows take the places of such rows in any order; rows that the mixture did not have stay,
+    with nulls.
+    """
+    nth = lambda *by: F.row_number().over(W.partitionBy("digest").orderBy(*by))
+    places = order.withColumn("__nth", nth("__slot", "__place"))
+    rows = df.withColumnRenamed(digest, "digest").withColumn("__nth", nth("digest"))
+    return rows.join(places, ["digest", "__nth"], "left").drop("__nth").withColumnRenamed("digest", digest)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

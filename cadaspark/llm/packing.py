@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadaspark.llm.common import clear_text, documents, freed, stored
-from cadaspark.llm.mixing import mixed
+from cadaspark.llm.mixing import in_order, order_of
 from cadaspark.llm.token_counts import token_counts
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -118,25 +118,24 @@ def best_fit(df: DataFrame, size: str, key: str = "doc_id", lengths: tuple[int,
     return out.withColumnRenamed("key", key)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, mixed_by: str | None = None) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Documents packed by their tokens and one end token each.
 
-    ``mixed_by`` names the column of sources by which ``docs`` were mixed.  Files do not keep an
-    order when they are read, so the slots are found again, which depend on the rows alone, and
-    windows and bins follow them.  The sizes are written between counting and packing, so that a
+    Where ``docs`` come from a mixture (:func:`cadaspark.llm.mixing.mixture`), windows and bins
+    follow the order that it wrote, however the files of ``docs`` are read; else rows are packed
+    where they lie.  The sizes are written between counting and packing, so that a
     task has one Python worker at a time and only as many workers as cores hold a tokenizer's tables.
     Null texts count as empty; repeated rows are packed as often as they occur; very long texts are
-    cut into pieces; an empty table gives an empty result; other columns are not read but for the
-    mixture's order.
+    cut into pieces; an empty table gives an empty result; other columns are not read but to find a
+    row in the mixture's order.
     """
-    texts = docs.select("doc_id", clear_text().alias("text"))
-    if mixed_by:
-        texts = docs.select("doc_id", F.col(mixed_by).alias("__by"), F.xxhash64(*docs.columns).alias("__digest"), clear_text().alias("text"))
+    order = order_of(docs)
+    texts = docs.select("doc_id", *([] if order is None else [F.xxhash64(*docs.columns).alias("__digest")]), clear_text().alias("text"))
     counted = token_counts(texts, tokenizer)
     sizes = stored(counted.select(*[c for c in texts.columns if c != "text"], (F.col("n_tokens") + 1).alias("size")), "sizes")
-    if not mixed_by:
+    if order is None:
         return best_fit(sizes, "size")
-    slots = stored(mixed(sizes, "__by", digest="__digest").select("doc_id", "size", "__slot", "__place"), "slots")
+    slots = stored(in_order(sizes, order, "__digest").select("doc_id", "size", "__slot", "__place"), "slots")
     return best_fit(slots, "size", order=("__slot", "__place"))
 
 

@@ -51,6 +51,24 @@ def test_packing_follows_the_mixture(spark, monkeypatch):
         assert all(w.drop_duplicates().is_monotonic_increasing for w in windows)
 
 
+def test_packing_has_the_order_that_mixing_gave(spark, monkeypatch):
+    """Other weights of the mixture give other bins; without a mixture rows are packed where they lie."""
+    monkeypatch.setattr(packing.best_fit, "__defaults__", (*packing.best_fit.__defaults__[:2], 64, ()))  # small windows
+    rows = [(i, f"text {i}", "one" if i % 2 else "two") for i in range(400)] + [(7, "text 7", "one")] * 3
+    docs = stored(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "test-rows")
+    weights = spark.createDataFrame([("one", 1000.0), ("two", 1.0)], "source string, weight double")
+    files = stored(mixing.mixture(docs, weights=weights).repartition(3), "test-files")
+    got = corpus_pipeline.pack(spark, files, SF).toPandas()
+    slots = {r.doc_id: r["__slot"] for r in mixing.mixed(docs, weights=weights).collect() if r.doc_id != 7}
+    assert len(got) == 403 and (got["doc_id"] == 7).sum() == 4
+    got = got[got["doc_id"] != 7].sort_values(["bin_id", "offset"])
+    bins = got.assign(slot=got["doc_id"].map(slots)).groupby("bin_id")["slot"].min()
+    assert bins.is_monotonic_increasing
+    odd = got.groupby("bin_id", sort=True)["doc_id"].apply(lambda x: (x % 2).mean()).tolist()
+    assert odd[0] == 1.0 and odd[-1] == 0.0
+    assert mixing.order_of(docs) is None and corpus_pipeline.pack(spark, docs, SF).count() == 403
+
+
 def test_mixing_has_no_switch_by_size(spark, monkeypatch, tmp_path):
     """op7's order does not depend on how many blocks or bucketed rows count as many."""
     spark.createDataFrame([(i, f"s{i % 7 % 3}") for i in range(900)], "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -43,10 +43,13 @@ def cuts(segments: DataFrame) -> DataFrame:
     low = lambda c: F.least(f"a.{c}", f"b.{c}")
     high = lambda c: F.greatest(f"a.{c}", f"b.{c}")
     own = segments.select("a", "b", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
-    pairs = box_pairs(own, own, NEAR, CELL, (F.col("a_a") != F.col("b_a")) | (F.col("a_b") != F.col("b_b")))
     p, q, r, s = F.col("a_a"), F.col("a_b"), F.col("b_a"), F.col("b_b")
     dx, dy = q["x"] - p["x"], q["y"] - p["y"]
     length = F.sqrt((dx * dx + dy * dy).cast("double"))
+    # two segments from one point cut one another only where they run along one line: most pairs of a layer end here
+    joined = (p == r) | (p == s) | (q == r) | (q == s)
+    along_one = F.abs(dx * (s["y"] - r["y"]) - dy * (s["x"] - r["x"])) <= (NEAR + 1) * length
+    pairs = box_pairs(own, own, NEAR, CELL, ((p != r) | (q != s)) & (~joined | along_one))
 
     def on(v: Column) -> Column:
         """The point, where it lies on the first segment and is none of its ends."""

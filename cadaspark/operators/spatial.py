@@ -40,7 +40,8 @@ def box_pairs(left: DataFrame, right: DataFrame, reach: float = 0.0, cell: float
     near = (F.col("a_x0") - reach <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1") + reach) & (F.col("a_y0") - reach <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1") + reach)
     once = (F.col("cx") == F.greatest("a_cx", "b_cx")) & (F.col("cy") == F.greatest("a_cy", "b_cy"))
     keep = near & once if extra is None else near & once & extra
-    return a.join(b, ["cx", "cy"]).filter(keep).drop("cx", "cy", "a_cx", "a_cy", "b_cx", "b_cy")
+    # rows for each cell are many more than a table's size lets expect, so they are never broadcast
+    return a.join(b.hint("merge"), ["cx", "cy"]).filter(keep).drop("cx", "cy", "a_cx", "a_cy", "b_cx", "b_cy")
 
 
 def overlay(left: DataFrame, right: DataFrame, cell: float = CELL, exact: bool = False, extra: Column | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def containing(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataF
     p = named(points, "a_").withColumn("cx", F.floor(F.col("a_x") / cell)).withColumn("cy", F.floor(F.col("a_y") / cell))
     b = celled(named(boxes, "b_"), "b_", cell)
     inside = (F.col("a_x") >= F.col("b_x0")) & (F.col("a_x") < F.col("b_x1")) & (F.col("a_y") >= F.col("b_y0")) & (F.col("a_y") < F.col("b_y1"))
-    return p.join(b, ["cx", "cy"]).filter(inside).drop("cx", "cy", "b_cx", "b_cy")
+    return p.join(b.hint("merge"), ["cx", "cy"]).filter(inside).drop("cx", "cy", "b_cx", "b_cy")
 
 
 def nearest(points: DataFrame, key: str, targets: DataFrame, k: int, tie: str, cell: float = CELL) -> DataFrame:
@@ -100,7 +101,7 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, k: int, tie: str, c
         b = named(targets, "b_").withColumn("cx", F.floor(F.col("b_x") / cell)).withColumn("cy", F.floor(F.col("b_y") / cell))
         a = named(todo, "a_").withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
         a = a.withColumn("cx", F.floor(F.col("a_x") / cell) + F.col("dx")).withColumn("cy", F.floor(F.col("a_y") / cell) + F.col("dy")).drop("dx", "dy")
-        pairs = a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))
+        pairs = a.join(b.hint("merge"), ["cx", "cy"]).drop("cx", "cy").withColumn("distance", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")))
         if k == 1:  # an aggregate combines before the shuffle
             own, rest = [c for c in pairs.columns if c.startswith("a_")], [c for c in pairs.columns if not c.startswith("a_")]
             best = pairs.groupBy(*own).agg(F.min_by(F.struct(*rest), F.struct("distance", f"b_{tie}")).alias("best"))

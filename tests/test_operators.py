@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cadaspark.operators import cells as c
+from cadaspark.operators import graph
 from cadaspark.operators import topology as t
 from cadaspark.operators.graph import components, shared_folder
 from cadaspark.plans import fixtures as x
@@ -175,3 +177,16 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90
+
+
+@pytest.mark.parametrize("most", [200_000, 300])
+def test_rounds_of_components_do_not_grow_with_the_width(spark, monkeypatch, most):
+    """A chain of 2,000 nodes with names in no order, whose edges fill one task or several."""
+    monkeypatch.setattr(graph, "EDGES_A_TASK", most)
+    tables, write = [], graph.write_table
+    monkeypatch.setattr(graph, "write_table", lambda df, name: tables.append(name) or write(df, name))
+    names = np.random.default_rng(7).permutation(2000).tolist()
+    links = spark.createDataFrame([*zip(names, names[1:]), (3000, 3001)], "a bigint, b bigint").repartition(4)
+    got = {r.node: r.component for r in components(spark.range(3003).toDF("node").filter("node < 2000 or node >= 3000"), links).collect()}
+    assert got == {**dict.fromkeys(range(2000), 0), 3000: 3000, 3001: 3000, 3002: 3002}
+    assert len(tables) <= 12

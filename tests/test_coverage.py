@@ -158,6 +158,15 @@ def test_repair_leaves_sound_outlines_alone(spark):
     assert sorted((r.action, tuple(r.parcel_ids)) for r in log.collect()) == [("merged", (4, 1)), ("overlap assigned", (3, 2))]
 
 
+def test_equal_parcels_lose_contested_land_by_id(spark):
+    """Turned boxes of one size whose computed areas differ in the last digits: the lesser id keeps the land."""
+    turned = lambda x, y: [[[(0.8 * a - 0.6 * b, 0.6 * a + 0.8 * b) for a, b in ((x, y), (x + 21, y), (x + 21, y + 15), (x, y + 15))]]]
+    parcels = layer(spark, [(138, turned(760.0, 40.0), 0.5), (139, turned(780.0, 40.0), 0.5)], ", confidence double")
+    assert len({r.a for r in parcels.select(g.area(F.col("geom")).alias("a")).collect()}) == 2
+    fixed, _ = repair.repaired(parcels)
+    assert {r.id: round(r.area_m2, 3) for r in fixed.collect()} == {138: 315.0, 139: 300.0}
+
+
 def test_fixed_layer_has_no_issues(spark):
     rng = np.random.default_rng(5)
     rows = []

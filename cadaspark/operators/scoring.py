@@ -41,14 +41,15 @@ def contingency(cells: DataFrame, by: tuple[str, ...] = ("tile",)) -> DataFrame:
 def neighbour_pairs(cells: DataFrame, reach: int = 3) -> DataFrame:
     """Pairs of truth instances with cells at most ``reach`` apart on both axes: tile, a, b."""
     own = cells.filter("truth > 0").select("tile", "x", "y", "truth")
+    # every cell is moved many times, so that sizes of tables say nothing about the rows: no broadcast
     # of two cells of different instances so near, two cells at the rims are as near: only those are moved about
     sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     beside = own.select("tile", "truth", F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(sides).alias("d")).select("tile", "truth", "ox", "oy", (F.col("ox") + F.col("d.dx")).alias("x"), (F.col("oy") + F.col("d.dy")).alias("y"))
-    inner = beside.join(own, ["tile", "x", "y", "truth"]).groupBy("tile", "ox", "oy").agg(F.count("*").alias("n")).filter("n = 4").select("tile", F.col("ox").alias("x"), F.col("oy").alias("y"))
-    own = own.join(inner, ["tile", "x", "y"], "left_anti")
+    inner = beside.join(own.hint("merge"), ["tile", "x", "y", "truth"]).groupBy("tile", "ox", "oy").agg(F.count("*").alias("n")).filter("n = 4").select("tile", F.col("ox").alias("x"), F.col("oy").alias("y"))
+    own = own.join(inner.hint("merge"), ["tile", "x", "y"], "left_anti")
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     moved = own.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select("tile", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), F.col("truth").alias("a"))
-    return moved.join(own.withColumnRenamed("truth", "b"), ["tile", "x", "y"]).filter("a < b").select("tile", "a", "b").distinct()
+    return moved.join(own.withColumnRenamed("truth", "b").hint("merge"), ["tile", "x", "y"]).filter("a < b").select("tile", "a", "b").distinct()
 
 
 def instance_scores(cells: DataFrame, partial: bool = False) -> DataFrame:

@@ -3,15 +3,20 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadaspark.functions.kernels import left_over
 from cadaspark.operators import cells as raster_cells
 from cadaspark.operators import comparison, scoring
 from cadaspark.operators import layout, ranks, regions, repair, saving, siting, tiles, voting
+from cadaspark.operators.spatial import box_pairs
+from cadaspark.plans import fixtures as x
 from cadaspark.sources import layers
 from cadaspark.streaming import visits
 
+SF = "/root/testdata/sf0.001"
+
 
 def parts(label):
     """Connected cells of one label, by a flood over a dict of cells."""
@@ -413,3 +418,29 @@ def test_records_by_their_polygons(spark):
     shapes = [[[[(9.0, 12.0), (12.0, 9.0), (12.0, 12.0)]]], [[[(5.0, 10.0), (7.0, 12.0), (3.0, 12.0)]]], [[[(-5.0, -5.0), (15.0, -5.0), (15.0, 15.0), (-5.0, 16.0)]]], None, []]
     rows = spark.createDataFrame([(i, {"k": str(i)}, s) for i, s in enumerate(shapes)], "row bigint, attrs map<string,string>, geom array<array<array<struct<x:double,y:double>>>>")
     assert sorted(r.row for r in layers.import_records(rows, (0.0, 0.0, 10.0, 10.0)).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("size", [5, 50, 51, 30_000])
+def test_patches_that_hold_a_place(spark, size):
+    """As many patches as there are: their starts are no literals of the plan."""
+    patch, stride = 8, 6
+    at = layers.patches_at(F.col("id"), size, patch, stride)
+    got = spark.range(-3, size + 3).filter("id < 60 or id > 29900").select("id", F.sort_array(at).alias("at"))
+    starts = layers.patch_starts(size, patch, stride)
+    assert {r.id: r["at"] for r in got.collect()} == {v: [s for s in starts if s <= v < s + patch] for v in range(-3, size + 3) if v < 60 or v > 29900}
+    cells = spark.createDataFrame([(0, size - 1, True)], "x int, y int, mask boolean")
+    assert len(layers.patches(cells, 5, size, patch, stride)._jdf.queryExecution().toString()) < 40_000
+    assert {(r.patch_x, r.patch_y) for r in layers.patches(cells, 5, size, patch, stride).collect()} == {(0, s) for s in starts if s <= size - 1 < s + patch}
+
+
+def joins_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_never_broadcast(spark):
+    """Joins of cells that an explode makes: a table's size says nothing about their number."""
+    cells = x.instances(spark, SF)
+    masks = spark.range(40).select((F.col("id") % 2).alias("item"), F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(30))))
+    frames = [scoring.neighbour_pairs(cells), tiles.training_cells(x.parcels(spark, SF), 2.0), voting.mask_pairs(masks), box_pairs(x.parcels(spark, SF).select("id", "x0", "y0", "x1", "y1"), x.parcels(spark, SF).select("id", "x0", "y0", "x1", "y1"))]
+    for df in frames:
+        assert "BroadcastExchange" not in joins_of(df) and "SortMergeJoin" in joins_of(df)

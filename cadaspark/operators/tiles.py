@@ -46,7 +46,7 @@ def training_cells(boxes: DataFrame, size: float) -> DataFrame:
     cells = box_cells(boxes.filter("status = 'approved'"), size).groupBy("cx", "cy").agg(F.min("id").alias("id"))
     beside = cells.select("cx", "cy", "id", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in SIDES])).alias("d"))
     beside = beside.select("cx", "cy", "id", (F.col("cx") + F.col("d.dx")).alias("ox"), (F.col("cy") + F.col("d.dy")).alias("oy"))
-    met = beside.join(cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("other")), ["ox", "oy"], "left")
+    met = beside.join(cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("other")).hint("merge"), ["ox", "oy"], "left")  # far more cells than the boxes' size lets expect
     return met.groupBy("cx", "cy").agg(F.bool_or(F.col("other").isNull() | (F.col("other") != F.col("id"))).alias("boundary"))
 
 

@@ -11,12 +11,15 @@ from cadaspark.operators.scoring import SOLO_SCORE, VOTES
 
 #: Least overlap of masks that mean one object, and cells of a fused mask (fixed values).
 MATCH_IOU, LEAST_MASK = 0.5, 20
+#: Names of groups that one call decides.
+GROUPS_A_CALL = 4096
 
 
 def mask_pairs(masks: DataFrame) -> DataFrame:
     """a, b, iou of masks that overlap by half of their union or more; ``masks`` has item, x, y."""
-    sizes = masks.groupBy("item").agg(F.count("*").alias("n"))
-    both = masks.select("x", "y", F.col("item").alias("a")).join(masks.select("x", "y", F.col("item").alias("b")), ["x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
+    sizes = masks.groupBy("item").agg(F.count("*").alias("n")).hint("merge")
+    # cells may come from shapes by an explode, so that a table's size says nothing about their number: no broadcast
+    both = masks.select("x", "y", F.col("item").alias("a")).join(masks.select("x", "y", F.col("item").alias("b")).hint("merge"), ["x", "y"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
     both = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumn("iou", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
     return both.filter(F.col("iou") >= MATCH_IOU).select("a", "b", "iou")
 
@@ -31,12 +34,14 @@ def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
     group = components(items.select(F.col("item").alias("node")), pairs.select("a", "b")).toDF("item", "group")
     ways = pairs.select(F.col("a").alias("item"), "b", "iou").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("b"), "iou"))
     near = ways.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("b", "iou"))).alias("near"))
-    rows = items.join(group, "item").join(near, "item", "left")
+    rows = items.join(group.hint("merge"), "item").join(near.hint("merge"), "item", "left")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         made: list[tuple[int, set]] = []
-        out = {}
-        for r in pdf.sort_values(["score", "item"], ascending=[False, True]).itertuples():
+        out, last = {}, None
+        for r in pdf.sort_values(["group", "score", "item"], ascending=[True, False, True]).itertuples():
+            if r.group != last:
+                made, last = [], r.group
             near = dict(r.near) if r.near is not None else {}
             open_ = [(-near[first], k) for k, (first, members) in enumerate(made) if first in near and r.member not in members]
             if open_:
@@ -48,7 +53,8 @@ def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
             out[r.item] = made[k][0]
         return pd.DataFrame({"item": list(out), "cluster": list(out.values())})
 
-    return rows.groupBy("group").applyInPandas(decide, "item bigint, cluster bigint")
+    # a call costs far more than a group: groups of near names go together
+    return rows.groupBy(F.floor(F.col("group") / GROUPS_A_CALL).alias("part")).applyInPandas(decide, "item bigint, cluster bigint")
 
 
 def voted_masks(items: DataFrame, masks: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +66,7 @@ def voted_masks(items: DataFrame, masks: DataFrame, members: int) -> tuple[DataF
     of = written(clusters(items, written(mask_pairs(masks), "mask-pairs")), "clusters")
     by = of.join(items.select("item", "score"), "item").groupBy("cluster").agg(F.count("*").alias("votes"), F.avg("score").alias("mean"))
     by = by.filter((F.col("votes") >= VOTES) | (F.col("mean") >= SOLO_SCORE))
-    cells = masks.join(of, "item").groupBy("cluster", "x", "y").agg(F.count("*").alias("n")).join(by.select("cluster", "votes"), "cluster").filter(F.col("n") >= 0.5 * F.col("votes"))
+    cells = masks.join(of.hint("merge"), "item").groupBy("cluster", "x", "y").agg(F.count("*").alias("n")).join(by.select("cluster", "votes").hint("merge"), "cluster").filter(F.col("n") >= 0.5 * F.col("votes"))
     cells = written(cells.select("cluster", "x", "y"), "fused-masks")
     big = cells.groupBy("cluster").agg(F.count("*").alias("cells")).filter(F.col("cells") >= LEAST_MASK)
     kept = by.join(big, "cluster").select("cluster", "votes", (F.col("mean") * F.least(F.lit(1.0), F.col("votes") / min(3, members))).alias("score"), "cells")

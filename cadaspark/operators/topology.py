@@ -171,17 +171,19 @@ def auto_fix(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     dropped = pairs.join(ranks.toDF("a_id", "ra"), "a_id").join(ranks.toDF("b_id", "rb"), "b_id").select(loser.alias("id")).distinct()
     dropped = written(dropped, "fix-dropped")
     stay = layer.join(dropped, "id", "left_anti")
-    cells = box_cells(stay).join(ranks, "id")
-    owner = written(cells.groupBy("cx", "cy").agg(F.max_by("id", "rank").alias("id"), F.count("*").alias("n")), "fix-owner")
-    cut = box_cells(stay).join(owner.filter("n > 1").withColumnRenamed("id", "owner"), ["cx", "cy"]).filter("id <> owner")
+    # cells are far more than the boxes' size lets expect: they carry their rank, and no join of them is broadcast
+    cells = box_cells(stay.withColumn("id", F.struct("id", rank.alias("rank"))))
+    owner = written(cells.groupBy("cx", "cy").agg(F.max_by("id.id", "id.rank").alias("id"), F.count("*").alias("n")), "fix-owner")
+    cut = box_cells(stay).join(owner.filter("n > 1").withColumnRenamed("id", "owner").hint("merge"), ["cx", "cy"]).filter("id <> owner")
     log = dropped.select(F.array("id").alias("parcel_ids"), F.lit("removed duplicate").alias("action"), F.lit(0.0).alias("area_m2"))
     log = log.unionByName(cut.groupBy("id", "owner").agg(F.count("*").cast("double").alias("area_m2")).select(F.array("owner", "id").alias("parcel_ids"), F.lit("overlap assigned").alias("action"), "area_m2"))
     while True:
         sizes = owner.groupBy("id").agg(F.count("*").alias("cells"))
         small = sizes.filter(F.col("cells") < LEAST_M2)
-        near = [owner.select("id", (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
-        beside = near[0].unionByName(near[1]).unionByName(near[2]).unionByName(near[3]).join(small.select("id"), "id", "left_semi")
-        met = beside.join(owner.select("cx", "cy", F.col("id").alias("other")), ["cx", "cy"]).filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("m"))
+        mine = owner.join(small.select("id"), "id", "left_semi")
+        near = [mine.select("id", (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+        beside = near[0].unionByName(near[1]).unionByName(near[2]).unionByName(near[3])
+        met = beside.join(owner.select("cx", "cy", F.col("id").alias("other")).hint("merge"), ["cx", "cy"]).filter("id <> other").groupBy("id", "other").agg(F.count("*").alias("m"))
         target = met.groupBy("id").agg(F.max_by("other", F.struct("m", -F.col("other"))).alias("into"))
         # of two small neighbours that want each other only the lesser id moves in a round
         moving = target.join(target.select(F.col("id").alias("into"), F.lit(True).alias("mutual")), "into", "left").filter(F.col("mutual").isNull() | (F.col("id") < F.col("into")))

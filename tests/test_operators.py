@@ -141,6 +141,13 @@ def test_auto_fix_leaves_no_overlap_and_keeps_the_ground(spark):
     assert log.filter("action = 'removed duplicate'").count() == 4
 
 
+def test_cells_of_the_fix_are_never_broadcast(spark, monkeypatch):
+    plans, write = {}, t.written
+    monkeypatch.setattr(t, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    t.auto_fix(x.parcels(spark, SF))
+    assert "fix-owner" in plans and "Inner, Build" not in plans["fix-owner"]
+
+
 def test_issues_do_not_depend_on_order_or_partitions(spark):
     layer = x.parcels_dirty(spark, SF)
     a = t.issues(layer).groupBy("type").count().orderBy("type").collect()

@@ -86,6 +86,14 @@ def test_gap_between_borders_that_do_not_match(spark):
     assert [(r.area_m2, r.neighbours, r.into) for r in got] == [(10.0, [1, 2], 2)]
 
 
+def test_gaps_between_long_roads(spark):
+    """Roads of 480 km and of 1 km: products of their coordinates are greater than 64-bit numbers."""
+    upright = [(k, box(k * 500, -50, k * 500 + 8, 480_050)) for k in range(3)]
+    across = [(10 + k, box(-50, y, 1050, y + 8)) for k, y in enumerate((0, 200, 480_000))]
+    found = {(round(r.gap.x), round(r.gap.y)): round(r.area_m2) for r in coverage.gaps(with_bounds(layer(spark, upright + across)), 1.0, 1e18).collect()}
+    assert found == {(x, y): 492 * h for x in (8, 508) for y, h in ((8, 192), (208, 480_000 - 208))}
+
+
 def test_no_gaps_in_odd_layers(spark):
     assert coverage.gaps(with_bounds(layer(spark, [])), 1.0, 400.0).collect() == []
     assert coverage.gaps(with_bounds(layer(spark, [(1, box(0, 0, 5, 5)), (2, box(0, 0, 5, 5)), (3, box(5, 5, 9, 9))])), 1.0, 400.0).collect() == []

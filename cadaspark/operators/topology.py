@@ -208,16 +208,16 @@ def merged(layer: DataFrame, groups: DataFrame) -> DataFrame:
         for r in rows.itertuples():
             after.setdefault((r.px, r.py), []).append((r.qx, r.qy))
         rings = []
-        while after:
-            start = min(after)
-            ring, at = [], start
-            while at in after:
-                ring.append(at)
-                step = after[at].pop()
-                if not after[at]:
-                    del after[at]
-                at = step
-            rings.append([{"x": x, "y": y} for x, y in ring])
+        for start in sorted(after):  # the least point left begins a ring
+            while start in after:
+                ring, at = [], start
+                while at in after:
+                    ring.append(at)
+                    step = after[at].pop()
+                    if not after[at]:
+                        del after[at]
+                    at = step
+                rings.append([{"x": x, "y": y} for x, y in ring])
         return pd.DataFrame({"group": [rows["group"].iloc[0]], "rings": [rings]})
 
     rings = layer.join(groups, "id").select("group", F.explode(F.flatten("geom")).alias("ring"))

@@ -1,6 +1,7 @@
 """Regions, votes and nearest boxes against plain loops."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -444,3 +445,12 @@ def test_cells_are_never_broadcast(spark):
     frames = [scoring.neighbour_pairs(cells), tiles.training_cells(x.parcels(spark, SF), 2.0), voting.mask_pairs(masks), box_pairs(x.parcels(spark, SF).select("id", "x0", "y0", "x1", "y1"), x.parcels(spark, SF).select("id", "x0", "y0", "x1", "y1"))]
     for df in frames:
         assert "BroadcastExchange" not in joins_of(df) and "SortMergeJoin" in joins_of(df)
+
+
+def test_outlines_of_many_rings(spark):
+    """A label of 22,500 cells that stand alone, each with a ring of its own, is chained in a time that grows with its rings."""
+    cells = spark.range(22_500).select((F.col("id") % 150 * 2).cast("int").alias("x"), (F.floor(F.col("id") / 150) * 2).cast("int").alias("y"), F.lit(1).alias("label"))
+    began = time.time()
+    out = regions.outlines(cells, 1.0).select("area", F.size("rings").alias("n"), F.array_max(F.transform("rings", F.size)).alias("most")).collect()
+    assert [tuple(r) for r in out] == [(22_500.0, 22_500, 4)]
+    assert time.time() - began < 30

@@ -213,6 +213,17 @@ def test_merges_with_ids(spark):
     assert got.keys() == {1, 2} and got[1] == (1, pytest.approx(160, abs=0.1)) and got[2] == (3, pytest.approx(925, abs=0.1))
 
 
+def test_shapes_are_merged_once_and_by_all_tasks(spark, monkeypatch):
+    """The plan has the kernel once, behind a shuffle of a fixed number of partitions, which is not coalesced."""
+    plans, write = {}, topology.written
+    monkeypatch.setattr(topology, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    parcels = layer(spark, [(i, box(20 * i, 0, 20 * i + 20, 20, 0.3)) for i in range(6)])
+    out = topology.merged_parcels(parcels, parcels.select("id", F.floor(F.col("id") / 2).alias("group")))
+    assert sorted((r.group, r.id, round(r.area, 1)) for r in out.collect()) == [(0, 0, 800.0), (1, 2, 800.0), (2, 4, 800.0)]
+    assert plans["merged-shapes"].count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plans["merged-shapes"]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_block_parcels_of_free_shapes(spark):
     """Two slanted houses, a bent road, a pond, a field: plots and open land tile the blocks, and nothing lies on a road."""
     from cadaspark.operators import blocks
